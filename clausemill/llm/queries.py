@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, packing, tokenfile
+from . import linededup, mixing, ngram_join, packing, tokenfile
 from .common import count_words, read, scratch_dir
 
 
@@ -47,12 +47,17 @@ def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.describe_files(tokenfile.read_token_files(spark, path))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read(spark, sf_dir, "documents"), n=5, percent=75)
+
+
 def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op4_pack_windows": op4_pack_windows,
         "op5_line_dedup": op5_line_dedup,
         "op6_token_orc": op6_token_orc,
+        "op8_ngram_join": op8_ngram_join,
     }
 
 
