@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, ngram_join, packing, tokenfile
-from .common import count_words, read, scratch_dir
+from . import langid, linededup, media, merkle, mixing, ngram_join, packing, quality, tokenfile
+from .common import count_words, fold_remainder, read, scratch_dir
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,14 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(quotas, rows["pattern"] == quotas["source_key"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    held_out = F.coalesce(fold_remainder(F.col("doc_id"), 5) == 0, F.lit(True))
+    labels = read(spark, sf_dir, "labels").filter(~held_out)
+    out = quality.classify(docs, labels, metadata=["n_chars"], threshold=0.3)
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(read(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -47,17 +55,45 @@ def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.describe_files(tokenfile.read_token_files(spark, path))
 
 
+def op7_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = merkle.fingerprint_with_next(read(spark, sf_dir, "documents"), tail=4, with_texts=False)
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents"), n=5, percent=75)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(fold_remainder(F.col("doc_id"), 4) == 2, F.lit(True))
+    out = langid.identify(docs, docs.filter(~held_out))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op10_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text becomes a payload that a page refers to by digest; the page is parsed, and the
+    digest join brings what the stored payload holds."""
+    path = scratch_dir(spark, "media") + "/store"
+    media.encode_payloads(read(spark, sf_dir, "documents")).write.option("compression", "zstd").parquet(path)
+    stored = spark.read.schema("doc_id long, n_bytes long, digest string, media binary").parquet(path)
+    html = F.concat(F.lit('<figure><img src="sha256:'), F.col("digest"), F.lit('"><figcaption>'), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure>"))
+    pages = media.sequences(stored.select(F.struct("doc_id", "n_bytes").alias("page"), html.alias("html")))
+    out = media.resolve(pages, media.read_payloads(stored), "page")
+    return out.select("page.doc_id", "page.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_quality_fm": op2_quality_fm,
         "op4_pack_windows": op4_pack_windows,
         "op5_line_dedup": op5_line_dedup,
         "op6_token_orc": op6_token_orc,
+        "op7_merkle_fingerprint": op7_merkle_fingerprint,
         "op8_ngram_join": op8_ngram_join,
+        "op9_language_id": op9_language_id,
+        "op10_media_sequences": op10_media_sequences,
     }
 
 

@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,9 +62,14 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     return read_token_files(spark, path).filter(F.col("doc_id").isin([int(x) for x in doc_ids]))
 
 
-@F.pandas_udf("long")
-def _crc_of_ids(ids):
-    return ids.map(lambda a: zlib.crc32(np.asarray(a, dtype="<u4").tobytes()))
+def _crc_of_ids(ids: Column) -> Column:
+    @F.arrow_udf("long")
+    def run(lists: pa.Array) -> pa.Array:
+        flat, off = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        data, first = np.ascontiguousarray(flat, "<i4"), off.tolist()
+        return pa.array([zlib.crc32(data[a:b].data) for a, b in zip(first, first[1:])], pa.int64())
+
+    return run(ids)
 
 
 def describe_files(files: DataFrame) -> DataFrame:
@@ -73,7 +78,7 @@ def describe_files(files: DataFrame) -> DataFrame:
     Within a part a running sum, plus the total of the parts before: the only unpartitioned
     window runs over one row per part.
     """
-    light = files.select("doc_id", "part", "row", F.size("ids").cast("long").alias("n_tokens"), _crc_of_ids("ids").alias("ids_crc32"))
+    light = files.select("doc_id", "part", "row", F.size("ids").cast("long").alias("n_tokens"), _crc_of_ids(F.col("ids")).alias("ids_crc32"))
     parts = files.groupBy("part").agg(F.sum(F.size("ids").cast("long")).alias("n"))
     before = parts.select(F.col("part"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inside = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
