@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, media, merkle, mixing, ngram_join, packing, quality, tokenfile
+from . import langid, linededup, media, merkle, mixing, ngram_join, packing, pii, quality, tokenfile
 from .common import count_words, fold_remainder, read, scratch_dir
 
 
@@ -24,6 +24,12 @@ def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op3_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_personal_data(read(spark, sf_dir, "documents"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return out.select("doc_id", *counts, F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op4_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(read(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -87,6 +93,7 @@ def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op2_quality_fm": op2_quality_fm,
+        "op3_contextual_pii": op3_contextual_pii,
         "op4_pack_windows": op4_pack_windows,
         "op5_line_dedup": op5_line_dedup,
         "op6_token_orc": op6_token_orc,
