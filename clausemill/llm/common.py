@@ -43,7 +43,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark, name)}/t"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table of a ``materialise``d frame that nothing reads any more."""
+    remove_dir(df.sparkSession, df._scratch)
 
 
 def count_words(text: Column) -> Column:

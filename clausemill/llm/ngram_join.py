@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 from .shingles import shingle_set, words_by_text
 
 _SET_SCHEMA = "doc_id long, n long, c1 long, c2 long, central long, prefix array<long>"
@@ -161,6 +161,23 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, pairs.schema)
 
 
+def _sieve(wanted: DataFrame, d: Column, bits: int = 22) -> Column:
+    """Whether a doc_id may be a wanted one, by a bitmap of 2**bits hash cells: it keeps most
+    texts out of the exact join that follows, and is never larger than that."""
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits)).cast("int")
+    cells = wanted.select(cell(F.col("d")).alias("cell")).distinct().toPandas()["cell"].to_numpy()
+    bitmap = np.zeros(1 << bits, bool)
+    bitmap[cells] = True
+    shared = wanted.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+
+    @F.arrow_udf("boolean")
+    def run(at: pa.Array) -> pa.Array:
+        i = at.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[i >> 3] >> (7 - (i & 7))) & 1 == 1)
+
+    return run(cell(d))
+
+
 def class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(c, s): the sorted shingle set, as bytes, of each wanted class. ``wanted``: d (smallest
     doc_id of the class) and c; only those documents are read again."""
@@ -170,7 +187,8 @@ def class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             yield pa.record_batch([pa.array([o[k] for o in out], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.binary()))], names=["c1", "c2", "s"])
 
     d = F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID))
-    rows = docs.select(d.alias("d"), docs["text"]).join(wanted.select("d").distinct(), "d", "left_semi").select("text")
+    rows = docs.select(d.alias("d"), docs["text"]).filter(_sieve(wanted, d))
+    rows = rows.join(wanted.select("d").distinct(), "d", "left_semi").select("text")
     found = rows.mapInArrow(run, "c1 long, c2 long, s binary").select(F.struct("c1", "c2").alias("c"), "s")
     return found.dropDuplicates(["c"])
 
@@ -211,11 +229,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, sketch_bi
     docs = docs.select("doc_id", "text")
     sets = materialise(shingle_prefixes(docs, n, percent, shingle_sketch(docs, n, sketch_bits)), "prefixes")
     ids = sets.select("doc_id", "n", "c1", "c2")
-    classes = ids.filter(F.col("n") > 0).groupBy("c1", "c2").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("d"))
     entries = sets.select("c1", "c2", "central", "n", F.posexplode("prefix").alias("pos", "tok"))
     entries = entries.select("tok", "c1", "c2", _pack(F.col("central"), F.col("n"), F.col("pos").cast("long")).alias("p"))
     shared = entries.selectExpr("tok", "c1", "c2", "p", "count(1) OVER (PARTITION BY tok) AS k").filter("k > 1").drop("k")
     blocks = materialise(shared.dropDuplicates(["tok", "c1", "c2"]), "blocks")
+    ids = materialise(ids, "ids")
+    release(sets)
+    classes = ids.filter(F.col("n") > 0).groupBy("c1", "c2").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("d"))
 
     head = blocks.groupBy("tok").agg(F.max(F.struct("p", "c1", "c2")).alias("head"))
     meet = blocks.join(head, "tok").select(F.col("head.c1").alias("a1"), F.col("head.c2").alias("a2"), F.col("head.p").alias("pa"), F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("p").alias("pb"))
@@ -225,6 +245,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, sketch_bi
 
     node = blocks.select("tok", "p", F.struct("c1", "c2").alias("node")).join(labels, "node", "left")
     node = materialise(node.select("tok", "p", "node", F.coalesce("label", "node").alias("label")), "blocks")
+    release(blocks)
     counts = node.groupBy("tok", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("tok").agg(F.max(F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("parts"))
     counts = counts.filter("parts > 1").select("tok", F.col("most.label").alias("most"))
     few = node.join(counts, "tok").filter(F.col("label") != F.col("most")).select("tok", F.col("p").alias("pa"), F.col("node").alias("na"), F.col("label").alias("la"))
