@@ -128,7 +128,7 @@ def _source_key(s: str | None) -> str:
     return "~" if s is None else "=" + s
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_repeats: int = 2, seed: int = 42, keep: Sequence[str] = (), hash_buckets: int = 4096, max_patterns: int = 100_000, fill_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_repeats: int = 2, seed: int = 42, keep: Sequence[str] = (), hash_buckets: int = 4096, max_patterns: int = 100_000, fill_rounds: int = 4) -> tuple[DataFrame, DataFrame]:
     """How often a mix to target weights takes each document, and the quotas.
 
     ``docs``: doc_id, size (words, not negative), sources (array of the sources that hold the
@@ -141,7 +141,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     error: the caller then merges rare patterns), are routed to the quotas on the driver. Within
     a pattern documents stand in seeded hash order; a quota takes those that lie wholly in its
     range, and what the last leaves open is filled with the largest documents that fit and are
-    free for another use, ``fill_rounds`` times. Positions in that order are sums over
+    free for another use, ``fill_rounds`` times (in the last of them with what comes nearest). Positions in that order are sums over
     ``hash_buckets`` hash ranges plus a sum inside one range, so no source, however large, meets
     in one task.
 
@@ -180,14 +180,16 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
 
     took = {r["s"]: r["n"] for r in placed.select("size", F.explode("takers").alias("s")).groupBy("s").agg(F.sum("size").alias("n")).collect()}
     more = {}  # rid -> further uses; at most one for each source and round
-    for _ in range(fill_rounds):
+    for turn in range(fill_rounds):
         gaps = [(s, int(t) - took.get(s, 0)) for s, t in targets.items() if int(t) > took.get(s, 0)]
         if not gaps:
             break
         used = _with_more(placed, more)
         spare = used.filter((F.col("repeats") < max_repeats) & (F.col("size") > 0)).select("rid", "size", "repeats", "h", F.explode(F.split("pattern", SEP)).alias("source"))
-        best = (spare.join(spark.createDataFrame(gaps, "source string, gap long"), "source").filter(F.col("size") <= F.col("gap"))
-                .groupBy("source").agg(F.max(F.struct("size", -F.col("repeats"), "h", "rid", "repeats")).alias("b")).collect())
+        fits = F.col("size") < (2 * F.col("gap") if turn == fill_rounds - 1 else F.col("gap") + 1)
+        # As many gaps as quotas, which this driver holds: small enough to hand to every task.
+        best = (spare.join(F.broadcast(spark.createDataFrame(gaps, "source string, gap long")), "source").filter(fits)
+                .groupBy("source").agg(F.max(F.struct(-F.abs(F.col("size") - F.col("gap")), -F.col("repeats"), "h", "rid", "size")).alias("b")).collect())
         new: set[int] = set()
         for r in sorted(best, key=lambda r: r["source"]):
             if r["b"]["rid"] not in new:
