@@ -53,6 +53,14 @@ def release(df: DataFrame) -> None:
     remove_dir(df.sparkSession, df._scratch)
 
 
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let Arrow batches hold ``most`` bytes where the session has the default of 64 MB: so many
+    whole texts, with what is made of them, are more than a worker should hold at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == f"{64 << 20}b":
+        spark.conf.set(key, f"{most}b")
+
+
 def count_words(text: Column) -> Column:
     """Runs of characters other than ASCII white space (null text: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 BITS = 15
 UNKNOWN = "und"
 _K = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -198,6 +200,7 @@ def identify(docs: DataFrame, train: DataFrame, **options) -> DataFrame:
     Only ``text`` enters a prediction. Columns called lang_pred, score or guess are replaced;
     repeated rows get equal results; an empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     model = fit(train, **options)
     out = docs.drop("lang_pred", "score", "guess").withColumn("guess", predict(docs["text"], model, docs.sparkSession))
     return out.withColumns({"lang_pred": F.col("guess.lang_pred"), "score": F.col("guess.score")}).drop("guess")

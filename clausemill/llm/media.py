@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 ITEM = "struct<pos: int, kind: string, text: string, ref: string, caption: string>"
 _MEDIA = {"img": "image", "video": "video", "audio": "audio", "source": "video", "embed": "object"}
 _BLOCKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "figure", "table", "ul", "ol", "blockquote", "pre", "figcaption"}
@@ -138,6 +140,8 @@ def encode_payloads(docs: DataFrame) -> DataFrame:
     ``digest`` is the payload's sha256; ``media`` is null where the task has given that digest
     before (bounded memory of digests), so copies are stored a few times, not each time.
     """
+    bound_batches(docs.sparkSession)
+
     def run(batches):
         seen: set[bytes] = set()
         for batch in batches:

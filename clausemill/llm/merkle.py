@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 _WORDS = re.compile(r"\S+\s*")
 _SENTENCE_END = re.compile(r"[.!?]\S{0,3}\s*\Z")
 _HEX, _ROOT = 6, 32  # hex digits of a leaf or branch, and of the root
@@ -120,11 +122,14 @@ def fingerprint_with_next(docs: DataFrame, tail: int = 4, buckets: int | None =
     rows; columns other than doc_id and text are ignored.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     null_id = -(1 << 63)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     rows = rows.withColumn("did", F.coalesce("doc_id", F.lit(null_id)))
-    bounds = np.unique(np.array(rows.approxQuantile("did", [i / n for i in range(1, n)], 0.25 / n), dtype=np.float64))
+    shares = [i / n for i in range(1, n)]
+    found = rows.agg(F.percentile_approx("did", shares, F.lit(max(100, 4 * n))).alias("q")).first()["q"] if shares else None
+    bounds = np.unique(np.array(found or [], dtype=np.float64))
 
     def bucket_of(ids):
         return np.searchsorted(bounds, ids.to_numpy(zero_copy_only=False).astype(np.float64), "right").astype(np.int32)

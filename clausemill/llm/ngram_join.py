@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release
+from .common import bound_batches, materialise, release
 from .shingles import shingle_set, words_by_text
 
 _SET_SCHEMA = "doc_id long, n long, c1 long, c2 long, central long, prefix array<long>"
@@ -226,6 +226,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, sketch_bi
     Rows that repeat a doc_id share its node if their texts do. An empty table gives no rows;
     columns other than doc_id and text are ignored.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     sets = materialise(shingle_prefixes(docs, n, percent, shingle_sketch(docs, n, sketch_bits)), "prefixes")
     ids = sets.select("doc_id", "n", "c1", "c2")

@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import tokens
+from .common import bound_batches
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -100,6 +101,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity:
     null ids stay null; an empty table gives no rows; columns other than doc_id and text are
     ignored.
     """
+    bound_batches(docs.sparkSession)
     path = tokenizer_path or tokens.default_path()
     end = np.array([end_id], dtype="<u4").tobytes()
 

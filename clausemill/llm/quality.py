@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .shingles import text_buffer, words_by_text
 
 WORD_BITS = 14
@@ -151,6 +152,7 @@ def classify(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] = (), l
     scored as empty; repeated rows score alike; columns called score or predicted are replaced;
     an empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("label"))
     n = known.count()
     chance = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1 << 30)) / float(1 << 30)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
+from .common import bound_batches
 
 FILE_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("row", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 _ARROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("row", pa.int64()), ("ids", pa.list_(pa.field("element", pa.int32(), nullable=False)))])
@@ -24,6 +25,7 @@ def encode_sorted(docs: DataFrame, tokenizer_path: str | None = None, end_id: in
     """
     from pyspark import TaskContext
 
+    bound_batches(docs.sparkSession)
     path = tokenizer_path or tokens.default_path()
     end = np.array([end_id], dtype="<u4").tobytes()
 
