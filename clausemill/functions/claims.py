@@ -17,7 +17,7 @@ def any_in(text: Column, needles: list[str]) -> Column:
 
 def age(q: Column) -> Column:
     """The first pattern whose number is an age."""
-    found = [F.nullif(F.regexp_extract(F.lower(q), p, 1), F.lit("")).cast("int") for p in K.AGE_PATTERNS]
+    found = [F.nullif(F.regexp_extract(F.lower(q), p, 1), F.lit("")).try_cast("int") for p in K.AGE_PATTERNS]
     return F.coalesce(*[F.when((a > 0) & (a < 120), a) for a in found])
 
 
@@ -42,11 +42,11 @@ def location(q: Column) -> Column:
 
 
 def policy_age(q: Column) -> Column:
-    return first_of(F.lower(q), K.POLICY_AGE_PATTERNS).cast("int")
+    return first_of(F.lower(q), K.POLICY_AGE_PATTERNS).try_cast("int")
 
 
 def policy_duration(q: Column) -> Column:
-    return F.coalesce(*[F.nullif(F.regexp_extract(F.lower(q), p, 1), F.lit("")).cast("int") * m for p, m in K.POLICY_DURATION_PATTERNS])
+    return F.coalesce(*[F.nullif(F.regexp_extract(F.lower(q), p, 1), F.lit("")).try_cast("int") * m for p, m in K.POLICY_DURATION_PATTERNS])
 
 
 def hospital(q: Column) -> Column:
@@ -71,7 +71,7 @@ def clause_amount(text: Column) -> Column:
 
 
 def clause_months(text: Column) -> Column:
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")).cast("int") * m for p, m in K.CLAUSE_MONTHS_PATTERNS])
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")).try_cast("int") * m for p, m in K.CLAUSE_MONTHS_PATTERNS])
 
 
 def parse(q: Column) -> dict[str, Column]:

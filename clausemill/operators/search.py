@@ -16,7 +16,7 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 5, threshold: float |
     k best before they meet."""
     rows = vectors if where is None else vectors.filter(where)
     q = F.array(*[F.lit(float(x)) for x in query])
-    score = V.dot(F.col(vector_col), q) / (V.norm(F.col(vector_col)) * V.norm(q))
+    score = F.try_divide(V.dot(F.col(vector_col), q), V.norm(F.col(vector_col)) * V.norm(q))
     best = rows.select(F.col(id_col), score.alias("score")).filter(F.col("score").isNotNull()).orderBy(F.desc("score"), F.col(id_col)).limit(k)
     out = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.col(id_col))))
     return out if threshold is None else out.filter(F.col("score") >= threshold)
