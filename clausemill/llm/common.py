@@ -45,6 +45,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    # The shuffles behind the table are done with. Executors delete their files once the driver's
+    # references are collected, which a mostly idle driver would do much later.
+    spark.sparkContext._jvm.System.gc()
     return out
 
 
