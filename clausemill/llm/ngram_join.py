@@ -7,7 +7,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, materialise, release
@@ -131,34 +131,53 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-_CUTS = (np.arange(1, 16, dtype=np.uint64) << np.uint64(60))
+def cell_counts(s: np.ndarray) -> bytes:
+    """How many members a set has in each of 256 cells of the hash range; empty where a count is
+    too large for its 16 bits."""
+    c = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256)
+    return c.astype("<u2").tobytes() if c.max() < 1 << 16 else b""
+
+
+def may_reach(a: bytes, b: bytes, percent: int) -> bool:
+    """Suffix filter: what two sets share is at most what they share cell by cell."""
+    if not a or not b:
+        return True
+    x, y = np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(b, "<u2").astype(np.int64)
+    return bool((100 + percent) * np.minimum(x, y).sum() >= percent * (x.sum() + y.sum()))
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets reach the similarity. Suffix filter first: the sets' counts in
-    cells of the hash range bound what they can share."""
-    need = -(-percent * (len(a) + len(b)) // (100 + percent))
-    edge = lambda x: np.diff(np.concatenate(([0], np.searchsorted(x, _CUTS), [len(x)])))
-    if np.minimum(edge(a), edge(b)).sum() < need:
-        return False
+    """Whether two sorted sets reach the similarity."""
     if len(a) > len(b):
         a, b = b, a
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
-    return int((b[at] == a).sum()) >= need
+    return (100 + percent) * int((b[at] == a).sum()) >= percent * (len(a) + len(b))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that reach the similarity; each is looked at once."""
-    def run(batches):
+    """The pairs that reach the similarity. Cell counts go to all pairs first; the sets, which
+    weigh far more, only to those left, and each of these is looked at once."""
+    def with_column(rows: DataFrame, name: str) -> DataFrame:
+        for end in ("a", "b"):
+            rows = rows.join(sets.select(F.col("c").alias(end), F.col(name).alias(f"s{end}")), end)
+        return rows.select("a", "b", "sa", "sb")
+
+    def keep(batches, test):
         for batch in batches:
             x, y = batch.column("sa"), batch.column("sb")
-            keep = [linked(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64), percent) for i in range(len(batch))]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array([test(x[i], y[i]) for i in range(len(batch))], pa.bool_()))
 
-    both = (pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
-            .join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb"))
-    return both.mapInArrow(run, pairs.schema)
+    def near(batches):
+        return keep(batches, lambda x, y: may_reach(x.as_py(), y.as_py(), percent))
+
+    def exact(batches):
+        return keep(batches, lambda x, y: linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent))
+
+    left = materialise(with_column(pairs, "cells").mapInArrow(near, pairs.schema), "pairs")
+    links = materialise(with_column(left, "s").mapInArrow(exact, pairs.schema), "links")
+    release(left)
+    return links
 
 
 def _sieve(wanted: DataFrame, d: Column, bits: int = 22) -> Column:
@@ -179,17 +198,17 @@ def _sieve(wanted: DataFrame, d: Column, bits: int = 22) -> Column:
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(c, s): the sorted shingle set, as bytes, of each wanted class. ``wanted``: d (smallest
-    doc_id of the class) and c; only those documents are read again."""
+    """(c, s, cells): the sorted shingle set of each wanted class and its cell counts, as bytes.
+    ``wanted``: d (smallest doc_id of the class) and c; only those documents are read again."""
     def run(batches):
         for batch in batches:
-            out = [(*_class_of(s), s.tobytes()) for _, w in words_by_text(batch.column("text")) for s in [shingle_set(w, n)]]
-            yield pa.record_batch([pa.array([o[k] for o in out], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.binary()))], names=["c1", "c2", "s"])
+            out = [(*_class_of(s), s.tobytes(), cell_counts(s)) for _, w in words_by_text(batch.column("text")) for s in [shingle_set(w, n)]]
+            yield pa.record_batch([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["c1", "c2", "s", "cells"])
 
     d = F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID))
     rows = docs.select(d.alias("d"), docs["text"]).filter(_sieve(wanted, d))
     rows = rows.join(wanted.select("d").distinct(), "d", "left_semi").select("text")
-    found = rows.mapInArrow(run, "c1 long, c2 long, s binary").select(F.struct("c1", "c2").alias("c"), "s")
+    found = rows.mapInArrow(run, "c1 long, c2 long, s binary, cells binary").select(F.struct("c1", "c2").alias("c"), "s", "cells")
     return found.dropDuplicates(["c"])
 
 
@@ -201,13 +220,16 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """
     both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    kept = labels
     for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         new = materialise(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
-        labels = new.select("node", "label")
+        release(kept)
+        kept, labels = new, new.select("node", "label")
         if new.filter(F.col("old") != F.col("label")).isEmpty():
+            release(both)
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
@@ -232,14 +254,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, sketch_bi
     ids = sets.select("doc_id", "n", "c1", "c2")
     entries = sets.select("c1", "c2", "central", "n", F.posexplode("prefix").alias("pos", "tok"))
     entries = entries.select("tok", "c1", "c2", _pack(F.col("central"), F.col("n"), F.col("pos").cast("long")).alias("p"))
-    shared = entries.selectExpr("tok", "c1", "c2", "p", "count(1) OVER (PARTITION BY tok) AS k").filter("k > 1").drop("k")
+    whole = Window.partitionBy("tok")
+    shared = entries.select("*", F.count(F.lit(1)).over(whole).alias("k"), F.max(F.struct("p", "c1", "c2")).over(whole).alias("head")).filter("k > 1").drop("k")
     blocks = materialise(shared.dropDuplicates(["tok", "c1", "c2"]), "blocks")
     ids = materialise(ids, "ids")
     release(sets)
     classes = ids.filter(F.col("n") > 0).groupBy("c1", "c2").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("d"))
 
-    head = blocks.groupBy("tok").agg(F.max(F.struct("p", "c1", "c2")).alias("head"))
-    meet = blocks.join(head, "tok").select(F.col("head.c1").alias("a1"), F.col("head.c2").alias("a2"), F.col("head.p").alias("pa"), F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("p").alias("pb"))
+    meet = blocks.select(F.col("head.c1").alias("a1"), F.col("head.c2").alias("a2"), F.col("head.p").alias("pa"), F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("p").alias("pb"))
     star = materialise(_pairs(meet.filter(((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))) & _may_link(F.col("pa"), F.col("pb"), percent))), "pairs")
     edges = _edges(star, docs, classes, n, percent)
     labels = components(edges)
@@ -247,13 +269,19 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, sketch_bi
     node = blocks.select("tok", "p", F.struct("c1", "c2").alias("node")).join(labels, "node", "left")
     node = materialise(node.select("tok", "p", "node", F.coalesce("label", "node").alias("label")), "blocks")
     release(blocks)
-    counts = node.groupBy("tok", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("tok").agg(F.max(F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("parts"))
-    counts = counts.filter("parts > 1").select("tok", F.col("most.label").alias("most"))
-    few = node.join(counts, "tok").filter(F.col("label") != F.col("most")).select("tok", F.col("p").alias("pa"), F.col("node").alias("na"), F.col("label").alias("la"))
-    cross = few.join(node, "tok").filter((F.col("la") != F.col("label")) & _may_link(F.col("pa"), F.col("p"), percent))
+    # Only shingles whose block holds several components go on; most blocks hold one by now.
+    parted = node.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("tok")
+    mixed = materialise(node.join(parted, "tok", "left_semi"), "mixed")
+    release(node)
+    most = mixed.groupBy("tok", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("tok").agg(F.max(F.struct("k", "label")).alias("most")).select("tok", F.col("most.label").alias("most"))
+    few = mixed.join(most, "tok").filter(F.col("label") != F.col("most")).select("tok", F.col("p").alias("pa"), F.col("node").alias("na"), F.col("label").alias("la"))
+    cross = few.join(mixed, "tok").filter((F.col("la") != F.col("label")) & _may_link(F.col("pa"), F.col("p"), percent))
     cross = _pairs(cross.select(F.col("na.c1").alias("a1"), F.col("na.c2").alias("a2"), F.col("node.c1").alias("b1"), F.col("node.c2").alias("b2")))
     rest = materialise(cross.join(star, ["a", "b"], "left_anti"), "pairs")
+    release(mixed)
+    release(star)
     late = _edges(rest, docs, classes, n, percent)
+    release(rest)
     if not late.isEmpty():
         labels = components(edges.unionByName(late))
 
@@ -269,4 +297,6 @@ def _edges(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percen
     ends = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
     wanted = classes.select("d", F.struct("c1", "c2").alias("c")).join(ends, "c", "left_semi")
     sets = materialise(class_sets(docs, wanted, n), "sets")
-    return materialise(_verify(pairs, sets, percent), "links")
+    links = _verify(pairs, sets, percent)
+    release(sets)
+    return links

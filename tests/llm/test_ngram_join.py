@@ -110,7 +110,10 @@ def test_linked_is_exact():
         pool = np.unique(rng.integers(0, 1 << 63, 60, dtype=np.uint64) * np.uint64(2))
         a, b = (np.sort(rng.choice(pool, rng.integers(1, 50), replace=False)) for _ in range(2))
         o = len(np.intersect1d(a, b))
-        assert ngram_join.linked(a, b, 40) == (100 * o >= 40 * (len(a) + len(b) - o))
+        want = 100 * o >= 40 * (len(a) + len(b) - o)
+        assert ngram_join.linked(a, b, 40) == want
+        assert ngram_join.may_reach(ngram_join.cell_counts(a), ngram_join.cell_counts(b), 40) or not want
+    assert ngram_join.may_reach(b"", ngram_join.cell_counts(a), 75)
 
 
 def test_long_texts_hash_as_short_ones(monkeypatch):
