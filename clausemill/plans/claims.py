@@ -160,6 +160,8 @@ SQL = {
     "clause_retrieval": f"SELECT claim_id, clause_id, relevance, rank FROM ({_MATCH})",
     "claim_analysis": f"SELECT claim_id, coverage_found, exclusions_found, max_coverage, waiting_months, sub_limit, co_pay, is_permanent_exclusion, waiting_violation, n_clauses FROM ({_FLAGGED})",
     "claim_decision": f"SELECT claim_id, {_rung(1)} AS decision, round(CAST({_rung(2)} AS DOUBLE), 2) AS amount, {_rung(3)} AS reason, {_rung(4)} AS confidence FROM ({_FLAGGED})",
+    "claim_json": f"""SELECT claim_id, '{{"decision":"' || decision || '",' || CASE WHEN amount > 0 THEN '"amount":"₹' || format('{{:,.2f}}', amount) || '",' ELSE '' END || '"reason":"' || reason || '","confidence":' || CAST(confidence AS DOUBLE) || '}}' AS json
+        FROM (SELECT claim_id, {_rung(1)} AS decision, CAST({_rung(2)} AS DOUBLE) AS amount, {_rung(3)} AS reason, {_rung(4)} AS confidence FROM ({_FLAGGED}))""",
     "mapped_clauses": f"SELECT claim_id, count(*) AS n, string_agg(clause_id || ':' || CASE WHEN relevance > 1 THEN 'high' WHEN relevance > 0 THEN 'medium' ELSE 'low' END, '|' ORDER BY rank) AS clauses FROM ({_MATCH}) WHERE rank <= 5 GROUP BY claim_id",
     "policy_summary": f"SELECT coalesce(policy, '(all)') AS policy, count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS {k}" for k in ("coverage", "exclusion", "waiting_period", "condition")) + f", count(*) FILTER (WHERE kind = 'other') AS other FROM ({CLAUSES}) GROUP BY ROLLUP (policy)",
 }

@@ -167,4 +167,7 @@ SQL = {
         b AS (SELECT d.doc_id, CASE WHEN mean > 0 THEN greatest(100, least(CAST(floor(length(text) / 10.0) AS BIGINT), mean * 3)) ELSE CAST(floor(length(text) / 10.0) AS BIGINT) END AS best FROM ({_DOCS}) d LEFT JOIN m USING (doc_id))
         SELECT doc_id, best AS max_size, greatest(50, CAST(floor(best / 10.0) AS BIGINT)) AS min_size, greatest(25, CAST(floor(best / 20.0) AS BIGINT)) AS overlap FROM b""",
     "batch_list": "SELECT doc_id, greatest(1, CAST(ceil(n / 32.0) AS BIGINT)) AS n_batches, n AS n_words FROM (SELECT doc_id, " + _n(_T, r"[^ \t\n\r\f]+") + " AS n FROM documents)",
+    "fallback_boundaries": f"""SELECT doc_id, array_to_string(bs, ',') AS boundaries, greatest(1, len(list_filter(range(1, len(es)), lambda i: es[i + 1] - es[i] >= 60))) AS n_pieces FROM (
+        SELECT doc_id, bs, list_concat([0], bs, [n]) AS es FROM (SELECT doc_id, length(text) AS n, list_filter(list_transform(range(1, len(ps) + 1), lambda i: list_sum(list_transform(ps[1:i], lambda p: length(p) + 2))), lambda b: b < length(text)) AS bs
+        FROM (SELECT doc_id, text, string_split(text, chr(10) || chr(10)) AS ps FROM ({STRUCTURED}))))""",
 }
