@@ -1,6 +1,7 @@
 """Every registered query of the library's own operators against its SQL in another engine."""
 
 import math
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -23,7 +24,7 @@ def sql(sf):
 def shown(v):
     if v is None or isinstance(v, float) and math.isnan(v):
         return "-"
-    if isinstance(v, bool) or not isinstance(v, (int, float)):
+    if isinstance(v, bool) or not isinstance(v, (int, float, Decimal)):
         return str(v).lower() if isinstance(v, bool) else str(v)
     return f"{float(v):.6g}"
 
