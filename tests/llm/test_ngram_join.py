@@ -104,6 +104,19 @@ def test_a_hub_joins_copies_that_do_not_meet_each_other(spark):
     check(spark, rows)
 
 
+def test_long_chains_in_random_order(spark):
+    rng = random.Random(7)
+    words = [f"c{i}" for i in range(4 * 300 + 44)]
+    ids = rng.sample(range(10_000), 300)
+    check(spark, [(d, " ".join(words[4 * i : 4 * i + 44])) for i, d in enumerate(ids)])
+    order = rng.sample(range(2000), 2000)
+    cut = set(range(99, 2000, 700))
+    edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(1999) if i not in cut], "a long, b long")
+    got = {r.node: r.label for r in ngram_join.components(edges).collect()}
+    starts = [0, *(i + 1 for i in sorted(cut)), 2000]
+    assert got == {x: min(order[lo:hi]) for lo, hi in zip(starts, starts[1:]) for x in order[lo:hi]}
+
+
 def test_linked_is_exact():
     rng = np.random.default_rng(0)
     for _ in range(300):
