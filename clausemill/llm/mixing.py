@@ -128,7 +128,7 @@ def _source_key(s: str | None) -> str:
     return "~" if s is None else "=" + s
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_repeats: int = 2, seed: int = 42, keep: Sequence[str] = (), hash_buckets: int = 4096, max_patterns: int = 100_000, fill_rounds: int = 4) -> tuple[DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_repeats: int = 2, seed: int = 42, keep: Sequence[str] = (), hash_buckets: int = 4096, max_patterns: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """How often a mix to target weights takes each document, and the quotas.
 
     ``docs``: doc_id, size (words, not negative), sources (array of the sources that hold the
@@ -140,10 +140,12 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     Words are summed by membership pattern; the sums, at most ``max_patterns`` of them (else an
     error: the caller then merges rare patterns), are routed to the quotas on the driver. Within
     a pattern documents stand in seeded hash order; a quota takes those that lie wholly in its
-    range, and what the last leaves open is filled with the largest documents that fit and are
-    free for another use, ``fill_rounds`` times (in the last of them with what comes nearest). Positions in that order are sums over
-    ``hash_buckets`` hash ranges plus a sum inside one range, so no source, however large, meets
-    in one task.
+    range. What that leaves open is filled with documents that fit and are free for another use:
+    first as many as fit in hash order, then as many as fit largest first, until none fits; each
+    pass of the latter more than halves a gap or uses up what was offered for it. At last a gap
+    takes the one document that overshoots it least, if that comes nearer. Positions in an order
+    are sums over ``hash_buckets`` hash ranges plus a sum inside one range, so no source, however
+    large, meets in one task.
 
     Rows with null or empty sources take nothing; repeated rows are documents of their own;
     documents of size 0 take nothing; an empty table gives no rows. Reruns over the same rows
@@ -176,32 +178,52 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     hi = F.col("before") + F.col("inside")
     takers = F.transform(F.filter("ranges", lambda r: (r["lo"] <= hi - F.col("size")) & (hi <= r["hi"]) & (F.col("size") > 0)), lambda r: r["source"])
     placed = materialise(base.withColumn("inside", F.sum("size").over(inside)).join(before, ["pattern", "bucket"]).join(segments, "pattern", "left")
-                         .select("rid", "doc_id", "size", "pattern", "h", F.coalesce(takers, F.array().cast("array<string>")).alias("takers"), *keep), "mix")
+                         .select("rid", "doc_id", "size", "pattern", "h", "bucket", F.coalesce(takers, F.array().cast("array<string>")).alias("takers"), *keep), "mix")
 
     took = {r["s"]: r["n"] for r in placed.select("size", F.explode("takers").alias("s")).groupBy("s").agg(F.sum("size").alias("n")).collect()}
-    more = {}  # rid -> further uses; at most one for each source and round
-    for turn in range(fill_rounds):
-        gaps = [(s, int(t) - took.get(s, 0)) for s, t in targets.items() if int(t) > took.get(s, 0)]
-        if not gaps:
-            break
-        used = _with_more(placed, more)
-        spare = used.filter((F.col("repeats") < max_repeats) & (F.col("size") > 0)).select("rid", "size", "repeats", "h", F.explode(F.split("pattern", SEP)).alias("source"))
-        fits = F.col("size") < (2 * F.col("gap") if turn == fill_rounds - 1 else F.col("gap") + 1)
+    picks: list[DataFrame] = []  # rid and source of further uses, a table for each pass
+    turn = 0
+    while gaps := [(s, int(t) - took.get(s, 0)) for s, t in targets.items() if int(t) > took.get(s, 0)]:
         # As many gaps as quotas, which this driver holds: small enough to hand to every task.
-        best = (spare.join(F.broadcast(spark.createDataFrame(gaps, "source string, gap long")), "source").filter(fits)
-                .groupBy("source").agg(F.max(F.struct(-F.abs(F.col("size") - F.col("gap")), -F.col("repeats"), "h", "rid", "size")).alias("b")).collect())
-        new: set[int] = set()
-        for r in sorted(best, key=lambda r: r["source"]):
-            if r["b"]["rid"] not in new:
-                new.add(r["b"]["rid"])
-                took[r["source"]] = took.get(r["source"], 0) + r["b"]["size"]
-        for rid in new:
-            more[rid] = more.get(rid, 0) + 1
-    rows = _with_more(placed, more).select("doc_id", "size", "pattern", "repeats", (F.col("size") * F.col("repeats")).alias("taken"), *keep)
+        open_ = F.broadcast(spark.createDataFrame(gaps, "source string, gap long"))
+        free = _with_more(placed, picks).filter((F.col("repeats") < max_repeats) & (F.col("size") > 0)).select("rid", "doc_id", "size", "repeats", "h", "bucket", F.explode(F.split("pattern", SEP)).alias("source")).join(open_, "source")
+        new = materialise(_fitting(free.filter(F.col("size") <= F.col("gap")), largest_first=turn > 0), "fill")
+        got = new.groupBy("source").agg(F.sum("size").alias("n")).collect()
+        if not got and turn:
+            break
+        for r in got:
+            took[r["source"]] = took.get(r["source"], 0) + r["n"]
+        picks.append(new.select("rid"))
+        turn += 1
+    if gaps:
+        best = (free.filter(F.col("size") < 2 * F.col("gap")).groupBy("source").agg(F.max(F.struct(-F.col("size"), -F.col("repeats"), "h", "rid")).alias("b")).collect())
+        picks.append(spark.createDataFrame([(rid,) for rid in sorted({r["b"]["rid"] for r in best})], "rid long"))
+    rows = _with_more(placed, picks).select("doc_id", "size", "pattern", "repeats", (F.col("size") * F.col("repeats")).alias("taken"), *keep)
     quotas = spark.createDataFrame([(k, sizes[k], float(t)) for k, t in targets.items()], "source_key string, source_size long, target double")
     return rows, quotas
 
 
-def _with_more(placed: DataFrame, more: dict[int, int]) -> DataFrame:
-    extra = placed.sparkSession.createDataFrame(list(more.items()), "rid long, more long")
-    return placed.join(extra, "rid", "left").withColumn("repeats", F.size("takers") + F.coalesce("more", F.lit(0)))
+def _fitting(free: DataFrame, largest_first: bool) -> DataFrame:
+    """rid, size and source of as many ``free`` documents as fit into the gap of their source, by
+    seeded hash order, unrepeated ones first. A document of several sources is offered to the one
+    with the largest gap. Sums by level (size, if largest first), then by hash range and inside one
+    range; what lies wholly behind the gap's end is left out at each step."""
+    level = -F.col("size") if largest_first else F.lit(0).cast("long")
+    only = free.groupBy("rid").agg(F.max(F.struct("gap", "source", "size", "repeats", "doc_id", "h", "bucket")).alias("x")).select("rid", "x.*")
+    only = only.withColumn("level", level)
+    upto = lambda part, *order: Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda w: F.coalesce(F.sum("n").over(w), F.lit(0))
+    by_level, by_range = ["source", "level"], ["source", "level", "repeats", "bucket"]
+    levels = only.groupBy("gap", *by_level).agg(F.sum("size").alias("n")).withColumn("lo", before(upto(["source"], "level"))).filter("lo < gap").select(*by_level, "lo")
+    ranges = only.join(levels, by_level).groupBy("gap", "lo", *by_range).agg(F.sum("size").alias("n"))
+    ranges = ranges.select("gap", *by_range, (F.col("lo") + before(upto(by_level, "repeats", "bucket"))).alias("lo")).filter("lo < gap").select(*by_range, "lo")
+    inside = Window.partitionBy(*by_range).orderBy("h", "doc_id", "rid").rowsBetween(Window.unboundedPreceding, 0)
+    return only.join(ranges, by_range).withColumn("hi", F.col("lo") + F.sum("size").over(inside)).filter("hi <= gap").select("rid", "size", "source")
+
+
+def _with_more(placed: DataFrame, picks: list[DataFrame]) -> DataFrame:
+    extra = placed.sparkSession.createDataFrame([], "rid long")
+    for p in picks:
+        extra = extra.unionByName(p)
+    extra = extra.groupBy("rid").agg(F.count(F.lit(1)).alias("more"))
+    return placed.join(extra, "rid", "left").withColumn("repeats", (F.size("takers") + F.coalesce("more", F.lit(0))).cast("long"))

@@ -119,6 +119,20 @@ def test_mix_with_overlaps_and_no_sources(spark):
     assert 0.97 * min(can, target) <= total <= min(can, target) + 1
 
 
+def test_mix_fills_behind_long_documents(spark):
+    data = [(i, 3000 if i < 3 else 20, [["a"], ["b"], ["c"]][i % 3]) for i in range(3 + 3 * 350)]
+    docs = spark.createDataFrame(data, "doc_id long, size long, sources array<string>")
+    for seed in (1, 2):
+        rows, quotas = mixing.mix_sources(docs, seed=seed)
+        got = rows.collect()
+        taken = Counter()
+        for r in got:
+            taken[r.pattern] += r.taken
+        target = {r.source_key: r.target for r in quotas.collect()}
+        assert len(got) == len(data) and all(r.repeats <= 2 for r in got)
+        assert all(abs(taken[s] - t) <= 20 for s, t in target.items()), (seed, taken, target)
+
+
 def test_op1_is_near_its_targets_and_repeatable(spark, sf):
     run = lambda: {r.doc_id: r for r in queries.op1_mix_sources(spark, sf).collect()}
     first, again = run(), run()
