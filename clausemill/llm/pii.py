@@ -31,6 +31,10 @@ _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: Identifier-like: a white-space separated token with a digit or '@'.
 _TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 
+#: Neighbouring tokens with digits, joined by blanks: one identifier written in groups.
+_GROUP = r"[^\s0-9@,;:!?]*+[0-9][^\s@,;:!?]*+"
+_RUN = rf"(?<!\S){_GROUP}(?: {_GROUP})++(?=[,;:!?]*+(?:\s|$))"
+
 _SPAN = "array<struct<s: int, e: int>>"
 _NONE = f"cast(array() AS {_SPAN})"
 
@@ -113,32 +117,42 @@ def find_base(docs: DataFrame, min_digits: int = 5) -> DataFrame:
     rows = rows.withColumn("known", F.concat(*map(_with_kind, KINDS)))
     trim = lambda x: F.struct((x["s"] + F.length(F.regexp_extract(_cut(text, x), r"^[^\p{L}\p{N}+]*+", 0))).alias("s"), (x["e"] - F.length(F.regexp_extract(F.reverse(_cut(text, x)), r"^[^\p{L}\p{N}]*+", 0))).alias("e"))
     tokens = F.transform(spans_of(text, _TOKEN), trim)
-    free = F.filter(tokens, lambda x: (x["s"] < x["e"]) & _identifier_like(_cut(text, x), min_digits) & ~F.exists("known", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    open_ = lambda x: F.struct((x["s"] + F.length(F.regexp_extract(_cut(text, x), r"^[^\p{L}\p{N}+(]*+", 0))).alias("s"), trim(x)["e"].alias("e"))
+    # A run whose first token is a candidate has that token's context already.
+    runs = F.filter(F.transform(spans_of(text, _RUN), open_), lambda x: F.length(_digits(F.regexp_extract(_cut(text, x), r"^\S+", 0))) < min_digits)
+    free = F.filter(F.concat(tokens, runs), lambda x: (x["s"] < x["e"]) & _identifier_like(_cut(text, x), min_digits) & ~F.exists("known", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     other = F.when(text.rlike("[0-9@]"), F.transform(free, lambda x: F.struct(F.lit(None).cast("string").alias("kind"), x["s"].alias("s"), x["e"].alias("e")))).otherwise(F.expr("cast(array() AS array<struct<kind: string, s: int, e: int>>)"))
     seen = F.transform(F.concat("known", other), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), _cut(text, x).alias("value"), _contexts(text, x).alias("contexts")))
     return rows.select("doc_id", "rk1", "rk2", *KINDS, seen.alias("seen"))
 
 
-def bootstrap(seen: DataFrame, rounds: int = 3, min_support: int = 3, min_pattern: float = 0.8, min_value: float = 0.8) -> DataFrame:
+def bootstrap(seen: DataFrame, min_support: int = 3, min_pattern: float = 0.8, min_value: float = 0.8) -> DataFrame:
     """(value, kind, score) of identifiers that patterns discover.
 
     ``seen``: kind (null if unknown), value, contexts. In each round a pattern's confidence for a
     kind is the summed score of its known values of that kind over the number of its distinct
     values; it counts from ``min_pattern`` on with a sum of at least ``min_support``. A value's
     score joins its patterns' confidences by noisy-or and counts from ``min_value`` on. Values
-    with a known kind keep it. Edges are distinct pairs, so common values weigh once.
+    with a known kind keep it, found ones as well; scores only rise. The rounds end when one adds
+    neither a value nor a pattern. Edges are distinct pairs, so common values weigh once.
     """
     edges = materialise(seen.select("value", F.explode("contexts").alias("pattern")).distinct(), "pii-edges")
     totals = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("total")).filter(F.col("total") >= min_support)
     seeds = materialise(seen.filter("kind IS NOT NULL").groupBy("value").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0)), "pii-seeds")
-    known = seeds
-    for _ in range(rounds):
+    known, size = seeds, None
+    while True:
         patterns = (edges.join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("hits")).filter(F.col("hits") >= min_support)
                     .join(totals, "pattern").withColumn("confidence", F.col("hits") / F.col("total")).filter(F.col("confidence") >= min_pattern))
+        patterns = materialise(patterns.select("pattern", "kind", "confidence"), "pii-patterns")
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))
-        found = edges.join(patterns.select("pattern", "kind", "confidence"), "pattern").join(seeds.select("value"), "value", "left_anti").groupBy("value", "kind").agg((1 - doubt).alias("score")).filter(F.col("score") >= min_value)
-        best = found.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("b")).select("value", F.col("b.kind").alias("kind"), F.col("b.score").alias("score"))
-        known = materialise(seeds.unionByName(best), "pii-known")
+        found = edges.join(patterns, "pattern").join(seeds.select("value"), "value", "left_anti").groupBy("value", "kind").agg((1 - doubt).alias("score")).filter(F.col("score") >= min_value)
+        both = known.select("value", "kind", "score", F.lit(1).alias("old")).unionByName(found.withColumn("old", F.lit(0)))
+        both = both.groupBy("value", "kind").agg(F.max("score").alias("score"), F.max("old").alias("old"))
+        best = both.groupBy("value").agg(F.max(F.struct("old", "score", "kind")).alias("b"))
+        known = materialise(best.select("value", F.col("b.kind").alias("kind"), F.col("b.score").alias("score")), "pii-known")
+        last, size = size, (known.count(), patterns.count())
+        if size == last or size[0] == 0 or size[1] == 0:
+            break
     return known.join(seeds.select("value"), "value", "left_anti")
 
 
@@ -166,6 +180,8 @@ def find_personal_data(docs: DataFrame, **options) -> DataFrame:
     added = seen.filter("kind IS NULL").select("rk1", "rk2", "s", "e", "value").join(values.select("value", "kind"), "value")
     added = added.groupBy("rk1", "rk2").agg(F.collect_set(F.struct("kind", "s", "e")).alias("added"))
     base = F.concat(*map(_with_kind, KINDS))
+    inner = lambda x: F.exists("added", lambda y: (y["s"] <= x["s"]) & (x["e"] <= y["e"]) & (y["e"] - y["s"] > x["e"] - x["s"]))
+    added = added.withColumn("added", F.filter("added", lambda x: ~inner(x)))
     out = found.drop("seen").withColumn("b", base).join(added, ["rk1", "rk2"], "left")
     none = F.expr("cast(array() AS array<struct<kind: string, s: int, e: int>>)")
     return out.select("doc_id", *KINDS, _listed(F.col("b")).alias("base"), _listed(F.concat("b", F.coalesce("added", none))).alias("spans"))

@@ -53,6 +53,26 @@ def test_contexts_discover_identifiers(spark):
     assert all(got[i][0] == got[i][1] != "" for i in range(12))
 
 
+def test_identifiers_written_in_groups(spark):
+    rows = [(i, f"Please call me on +1 (325) 555-{8000 + i} soon, thanks {i}.") for i in range(12)]
+    for i, v in enumerate(["(325) 555-8094", "020 7946 0958", "0325 555 9999"]):
+        rows.append((100 + i, f"Please call me on {v} soon, thanks."))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(docs).collect()}
+    for i, v in enumerate(["(325) 555-8094", "020 7946 0958", "0325 555 9999"]):
+        assert got[100 + i] == f"phone:18:{18 + len(v)}"
+
+
+def test_bootstrap_runs_until_it_settles(spark):
+    marks = lambda step: [f"p{step}_{k}" for k in range(6)]
+    edges = [("phone", f"s{j}", marks(0)) for j in range(40)]
+    for step in range(6):  # the values of each step prove the patterns of the next
+        edges += [(None, f"v{step}_{j}", marks(step) + marks(step + 1)) for j in range(8)]
+    seen = spark.createDataFrame(edges, "kind string, value string, contexts array<string>")
+    got = {r.value for r in pii.bootstrap(seen, min_pattern=0.4, min_value=0.4).collect()}
+    assert got == {f"v{step}_{j}" for step in range(6) for j in range(8)}
+
+
 def test_patterns_that_mix_discover_nothing(spark):
     rows = [(i, f"code is +1 (325) 555-{8000 + i} x") for i in range(5)] + [(50 + i, f"code is {77000 + i} x") for i in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
