@@ -118,10 +118,12 @@ def _place(packed: Column) -> Column:
 
 
 def _may_link(a: Column, b: Column, percent: int) -> Column:
-    """Length and positional filter on two entries of one shingle: the sets share at most the
-    places before it, itself and what follows it."""
+    """Length and positional filter on two entries of one shingle. Two sets that link must pass
+    at the first shingle of the common order that both hold, where nothing before it is shared:
+    they share at most that shingle and what follows it. It is in both prefixes, so a pair that
+    fails at every shingle it meets at can't link."""
     na, nb, i, j = _size(a), _size(b), _place(a), _place(b)
-    most = F.least(i, j) + 1 + F.least(na - i - 1, nb - j - 1)
+    most = F.least(na - i, nb - j)
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (most * (100 + percent) >= percent * (na + nb))
 
 
