@@ -4,6 +4,7 @@ positional and suffix filters, and the connected components of its links."""
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,15 +14,17 @@ from pyspark.sql import functions as F
 from .common import bound_batches, materialise, release
 from .shingles import shingle_set, words_by_text
 
-_SET_SCHEMA = "doc_id long, n long, c1 long, c2 long, central long, prefix array<long>"
-_SET_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("central", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 _NO_ID = -(1 << 63)
 
 
-def _class_of(shingles: np.ndarray) -> tuple[int, int]:
+def _class_of(shingles: np.ndarray) -> bytes:
     """128 bits that name a set; equal sets are one class and one node."""
-    d = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def _halves(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    return pa.array(d[:, 0]), pa.array(d[:, 1])
 
 
 def shingle_sketch(docs: DataFrame, n: int, bits: int, chunk: int = 3_000_000) -> np.ndarray:
@@ -61,47 +64,50 @@ def shingle_sketch(docs: DataFrame, n: int, bits: int, chunk: int = 3_000_000) -
     return table
 
 
-def shingle_prefixes(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataFrame:
+def shingle_prefixes(docs: DataFrame, n: int, percent: int, sketch: np.ndarray, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, n (set size), class (c1, c2), how common its shingles are, and the prefix: the
     rarest size - ceil(percent% of size) + 1 shingles, rare first. Within a task a class's
-    prefix is given once."""
+    prefix is given once. The columns ``keep`` are passed on."""
     bits = int(len(sketch)).bit_length() - 1
     shift, table = np.uint64(64 - bits), docs.sparkSession.sparkContext.broadcast(sketch)
+    names = ["doc_id", *keep]
 
     def run(batches):
         level, seen = table.value, set()
         for batch in batches:
-            ids, rows, prefixes = batch.column("doc_id").to_pylist(), [], []
+            rows, prefixes, first = [], [], 0
             for i, words in words_by_text(batch.column("text")):
                 s = shingle_set(words, n)
                 size, cls = len(s), _class_of(s)
                 prefix, central = None, 0
                 if size and cls not in seen:
-                    if len(seen) > 300_000:
+                    if len(seen) >= 100_000:
                         seen.clear()
                     seen.add(cls)
                     common = level[(s >> shift).astype(np.int64)]
                     central = int(common.mean() * 4)
                     p = size - (percent * size + 99) // 100 + 1
                     prefix = s[np.lexsort((s, common))[:p]].view(np.int64)
-                rows.append((ids[i], size, *cls, central))
+                rows.append((size, cls, central))
                 prefixes.append(prefix)
                 if len(rows) >= 2000:
-                    yield _set_batch(rows, prefixes)
-                    rows, prefixes = [], []
+                    yield _set_batch(batch.select(names).slice(first, len(rows)), rows, prefixes)
+                    rows, prefixes, first = [], [], i + 1
             if rows:
-                yield _set_batch(rows, prefixes)
+                yield _set_batch(batch.select(names).slice(first, len(rows)), rows, prefixes)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, _SET_SCHEMA)
+    chosen = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *keep, docs["text"])
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name in keep)
+    return chosen.mapInArrow(run, f"doc_id long, {kept + ', ' if kept else ''}n long, c1 long, c2 long, central long, prefix array<long>")
 
 
-def _set_batch(rows, prefixes):
-    cols = [pa.array(c, pa.int64()) for c in zip(*rows)]
+def _set_batch(ids: pa.RecordBatch, rows, prefixes):
+    size, cls, central = zip(*rows)
     off = np.zeros(len(prefixes) + 1, np.int32)
     np.cumsum([0 if p is None else len(p) for p in prefixes], out=off[1:])
     flat = [p for p in prefixes if p is not None]
     lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
-    return pa.record_batch([*cols, lists], schema=_SET_ARROW)
+    return pa.record_batch([*ids.columns, pa.array(size, pa.int64()), *_halves(cls), pa.array(central, pa.int64()), lists], names=[*ids.schema.names, "n", "c1", "c2", "central", "prefix"])
 
 
 # A prefix entry's number: how common (7 bits), set size (28 bits), position (28 bits).
@@ -157,12 +163,65 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return (100 + percent) * int((b[at] == a).sum()) >= percent * (len(a) + len(b))
 
 
+#: Cells of the bitmaps that keep rows out of joins: 2**22 bits, 512 KB, at every size of input.
+_CELLS = 1 << 22
+
+
+def _sieve(rows: DataFrame, cell: Column, wanted: DataFrame, wanted_cell: Column, run=None, schema: str | None = None) -> DataFrame:
+    """The rows whose cell is one of ``wanted``'s: all that a join with it needs, and few others.
+    What is let through wrongly the join takes out. ``run`` works on the batches that are left."""
+    cells = wanted.select(wanted_cell.alias("cell")).distinct().toPandas()["cell"].to_numpy()
+    bitmap = np.zeros(_CELLS, bool)
+    bitmap[cells] = True
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+
+    def pick(batches):
+        for batch in batches:
+            i = batch.column(0).to_numpy(zero_copy_only=False)
+            left = batch.filter(pa.array((shared.value[i >> 3] >> (7 - (i & 7))) & 1 == 1)).select(batch.schema.names[1:])
+            if run is None:
+                yield left
+            elif len(left):
+                yield from run(left)
+
+    return rows.select(cell.alias("cell"), *rows.columns).mapInArrow(pick, schema or rows.schema)
+
+
+def _hashed_cell(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(_CELLS)).cast("int")
+
+
+def class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(c, s, cells): the sorted shingle set of each wanted class and its cell counts, as bytes,
+    one or more rows a class. ``wanted``: d (smallest doc_id of the class) and c."""
+    def run(batch):
+        out, size = [], 0
+        for _, w in words_by_text(batch.column("text")):
+            s = shingle_set(w, n)
+            out.append((_class_of(s), s.tobytes(), cell_counts(s)))
+            size += s.nbytes
+            if size > 1 << 20:
+                yield rows(out)
+                out, size = [], 0
+        if out:
+            yield rows(out)
+
+    def rows(out):
+        cls, s, cells = zip(*out)
+        return pa.record_batch([*_halves(cls), pa.array(s, pa.binary()), pa.array(cells, pa.binary())], names=["c1", "c2", "s", "cells"])
+
+    d = F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID))
+    found = _sieve(docs.select("doc_id", "text"), _hashed_cell(d), wanted, _hashed_cell(F.col("d")), run, "c1 long, c2 long, s binary, cells binary")
+    return found.select(F.struct("c1", "c2").alias("c"), "s", "cells")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that reach the similarity. Cell counts go to all pairs first; the sets, which
     weigh far more, only to those left, and each of these is looked at once."""
-    def with_column(rows: DataFrame, name: str) -> DataFrame:
+    def with_column(rows: DataFrame, of: DataFrame, name: str) -> DataFrame:
+        one = of.select("c", name).dropDuplicates(["c"])
         for end in ("a", "b"):
-            rows = rows.join(sets.select(F.col("c").alias(end), F.col(name).alias(f"s{end}")), end)
+            rows = rows.join(one.select(F.col("c").alias(end), F.col(name).alias(f"s{end}")), end)
         return rows.select("a", "b", "sa", "sb")
 
     def keep(batches, test):
@@ -176,44 +235,15 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def exact(batches):
         return keep(batches, lambda x, y: linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent))
 
-    left = materialise(with_column(pairs, "cells").mapInArrow(near, pairs.schema), "pairs")
-    links = materialise(with_column(left, "s").mapInArrow(exact, pairs.schema), "links")
+    left = materialise(with_column(pairs, sets, "cells").mapInArrow(near, pairs.schema), "pairs")
+    cell = lambda c: F.pmod(c, F.lit(_CELLS)).cast("int")
+    ends = left.select(F.explode(F.array("a.c1", "b.c1")).alias("c1"))
+    needed = _sieve(sets.select("c", "s"), cell(F.col("c.c1")), ends, cell(F.col("c1")))
+    links = materialise(with_column(left, needed, "s").mapInArrow(exact, pairs.schema), "links")
     release(left)
     return links
 
 
-def _sieve(wanted: DataFrame, d: Column, bits: int = 22) -> Column:
-    """Whether a doc_id may be a wanted one, by a bitmap of 2**bits hash cells: it keeps most
-    texts out of the exact join that follows, and is never larger than that."""
-    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits)).cast("int")
-    cells = wanted.select(cell(F.col("d")).alias("cell")).distinct().toPandas()["cell"].to_numpy()
-    bitmap = np.zeros(1 << bits, bool)
-    bitmap[cells] = True
-    shared = wanted.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
-
-    @F.arrow_udf("boolean")
-    def run(at: pa.Array) -> pa.Array:
-        i = at.to_numpy(zero_copy_only=False)
-        return pa.array((shared.value[i >> 3] >> (7 - (i & 7))) & 1 == 1)
-
-    return run(cell(d))
-
-
-def class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(c, s, cells): the sorted shingle set of each wanted class and its cell counts, as bytes.
-    ``wanted``: d (smallest doc_id of the class) and c; only those documents are read again."""
-    def run(batches):
-        for batch in batches:
-            out = [(*_class_of(s), s.tobytes(), cell_counts(s)) for _, w in words_by_text(batch.column("text")) for s in [shingle_set(w, n)]]
-            yield pa.record_batch([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["c1", "c2", "s", "cells"])
-
-    d = F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID))
-    rows = docs.select(d.alias("d"), docs["text"]).filter(_sieve(wanted, d))
-    rows = rows.join(wanted.select("d").distinct(), "d", "left_semi").select("text")
-    found = rows.mapInArrow(run, "c1 long, c2 long, s binary, cells binary").select(F.struct("c1", "c2").alias("c"), "s", "cells")
-    return found.dropDuplicates(["c"])
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable from each node of ``edges`` (a, b).
 
@@ -241,7 +271,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, sketch_bits: int = 22) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, sketch_bits: int = 22, keep: Sequence[str] = ()) -> DataFrame:
     """Near-duplicate groups: doc_id, n_shingles and component_id (smallest doc_id reachable).
 
     Documents link when 100 * |A and B| >= ``percent`` * |A or B| for their sets of ``n``-word
@@ -253,12 +283,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, sketch_bi
     Documents with fewer than ``n`` words have one shingle, their whole sequence; null, empty and
     blank texts have none, link with nothing and are their own component (null doc_id: null).
     Rows that repeat a doc_id share its node if their texts do. An empty table gives no rows;
-    columns other than doc_id and text are ignored.
+    columns other than doc_id and text are ignored, but those named in ``keep`` are passed on,
+    along with ``component``, which names a row's component whatever its doc_id is (null for
+    rows without shingles). Names in ``keep`` must not be this operator's own (doc_id, n, c1, c2,
+    central, prefix).
     """
     bound_batches(docs.sparkSession)
+    if clash := {"doc_id", "n", "c1", "c2", "central", "prefix"} & set(keep):
+        raise ValueError(f"columns to keep must have other names: {sorted(clash)}")
+    docs = docs.select("doc_id", "text", *keep)
+    sets = materialise(shingle_prefixes(docs, n, percent, shingle_sketch(docs, n, sketch_bits), keep), "prefixes")
     docs = docs.select("doc_id", "text")
-    sets = materialise(shingle_prefixes(docs, n, percent, shingle_sketch(docs, n, sketch_bits)), "prefixes")
-    ids = sets.select("doc_id", "n", "c1", "c2")
+    ids = sets.select("doc_id", *keep, "n", "c1", "c2")
     entries = sets.select("c1", "c2", "central", "n", F.posexplode("prefix").alias("pos", "tok"))
     entries = entries.select("tok", "c1", "c2", _pack(F.col("central"), F.col("n"), F.col("pos").cast("long")).alias("p"))
     whole = Window.partitionBy("tok")
@@ -295,9 +331,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, sketch_bi
     # The label is the smallest class; the answer is the smallest doc_id of its classes.
     named = classes.select("c1", "c2", "d", F.struct("c1", "c2").alias("node")).join(labels, "node", "left").select("c1", "c2", "d", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("d").alias("component_id"))
-    found = named.join(least, "label").select("c1", "c2", "component_id")
+    found = named.join(least, "label").select("c1", "c2", "component_id", F.col("label").alias("component"))
     out = ids.join(found, ["c1", "c2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.nullif(F.col("component_id"), F.lit(_NO_ID))).otherwise(F.col("doc_id")).alias("component_id"))
+    component_id = F.when(F.col("n") > 0, F.nullif(F.col("component_id"), F.lit(_NO_ID))).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), *([*keep, "component"] if keep else []))
 
 
 def _edges(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
