@@ -56,7 +56,7 @@ def release(df: DataFrame) -> None:
     remove_dir(df.sparkSession, df._scratch)
 
 
-def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+def bound_batches(spark: SparkSession, most: int = 2 << 20) -> None:
     """Let Arrow batches hold ``most`` bytes where the session has the default of 64 MB: so many
     whole texts, with what is made of them, are more than a worker should hold at once."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

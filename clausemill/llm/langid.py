@@ -17,7 +17,7 @@ UNKNOWN = "und"
 _K = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 #: Below U+0250 what is not a letter counts as a space; other code points stay.
 _FOLD = np.array([ord(chr(i).lower()) if chr(i).isalpha() and len(chr(i).lower()) == 1 else 32 for i in range(0x250)], np.uint32)
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:

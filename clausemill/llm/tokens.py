@@ -20,6 +20,8 @@ _SAFE = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*\Z")
 #: The tokenizer's own split pattern, for the characters that _SAFE admits.
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+").findall
 _LONG = 100
+#: Bytes that a cached word takes beside its characters and ids.
+_ENTRY = 190
 
 
 def default_path() -> str:
@@ -29,22 +31,31 @@ def default_path() -> str:
 
 
 class WordIds:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
+    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, path: str, max_words: int = 1_000_000):
+    The ids of words are kept in two generations of at most ``max_bytes`` / 2 each: when the young
+    one is full it becomes the old one, and words met again move to the young one. Words that
+    stand in many texts stay; the long tail of others goes.
+    """
+
+    def __init__(self, path: str, max_bytes: int = 32 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self._lib = Tokenizer.from_file(path)
         self._specials = [t.content for t in self._lib.get_added_tokens_decoder().values()]
-        self._word_lib = Tokenizer.from_file(path)  # for words that are split and lower-cased already
-        self._word_lib.normalizer = None
-        self._word_lib.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self._max, self._known = max_words, {}
-
-    @staticmethod
-    def _ask(lib, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in lib.encode_batch_fast(parts, add_special_tokens=False)]
+        self._whole = self._lib.normalizer, self._lib.pre_tokenizer
+        self._word = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self._most, self._bytes = max_bytes // 2, 0
+        self._known: dict[str | tuple[str], bytes] = {}
+        self._old: dict[str | tuple[str], bytes] = {}
+
+    def _ask(self, parts: list[str], whole: bool = False) -> list[bytes]:
+        """Ids from the library: of texts as they are, or of words split and lower-cased already."""
+        if not parts:
+            return []
+        self._lib.normalizer, self._lib.pre_tokenizer = self._whole if whole else self._word
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self._lib.encode_batch_fast(parts, add_special_tokens=False)]
 
     def _pieces(self, text: str) -> list[str | tuple[str]]:
         """White-space separated pieces, lower-cased; what only the library can split is a tuple."""
@@ -58,29 +69,35 @@ class WordIds:
             out.append(piece.lower() if safe else (piece,))
         return out
 
-    def _learn(self, new: list[str | tuple[str]]) -> None:
-        """Put the ids of ``new`` pieces, and of the words in them, into the cache."""
+    def _learn(self, new: set[str | tuple[str]]) -> dict[str | tuple[str], bytes]:
+        """The ids of ``new`` pieces, by way of the words in them."""
         known = self._known
         other = [w for w in new if type(w) is tuple]
-        known.update(zip(other, self._ask(self._lib, [w[0] for w in other])))
+        got = dict(zip(other, self._ask([w[0] for w in other], whole=True)))
         parts = {w: _WORDS(w) for w in new if type(w) is str}
-        words = list({w for ws in parts.values() for w in ws if w not in known})
-        known.update(zip(words, self._ask(self._word_lib, words)))
-        for piece, ws in parts.items():
-            if len(ws) > 1:
-                known[piece] = b"".join([known[w] for w in ws])
+        words = {w for ws in parts.values() for w in ws}
+        ids = {w: known[w] for w in words & known.keys()}
+        ask = list(words - ids.keys())
+        ids |= zip(ask, self._ask(ask))
+        got |= {piece: ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for piece, ws in parts.items()}
+        return got | {w: ids[w] for w in ask}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self._pieces(t) if t else [] for t in texts]
         known = self._known
-        if len(known) > self._max:
-            known.clear()
-        new = list(set().union(*split).difference(known))
-        self._learn(new)
+        new = set().union(*split).difference(known)
+        back = new & self._old.keys()
+        got = {w: self._old[w] for w in back} | self._learn(new - back)
+        known.update(got)
         out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for w in new:
-            if len(w if type(w) is str else w[0]) > _LONG:
-                known.pop(w, None)
+        for w, ids in got.items():
+            n = len(w if type(w) is str else w[0])
+            if n > _LONG:
+                del known[w]
+            else:
+                self._bytes += _ENTRY + n + len(ids)
+        if self._bytes > self._most:
+            self._old, self._known, self._bytes = known, {}, 0
         return out
 
 
@@ -88,13 +105,14 @@ _ENCODERS: dict[str, WordIds] = {}
 
 
 def encoder(path: str) -> WordIds:
-    """This worker's encoder for a vocabulary file; kept between tasks."""
+    """This worker's encoder for a vocabulary file, kept between tasks; one at a time."""
     if path not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[path] = WordIds(path)
     return _ENCODERS[path]
 
 
-def batches_of_texts(batch, max_chars: int = 1_000_000):
+def batches_of_texts(batch, max_chars: int = 500_000):
     """(first row, texts) slices of an Arrow batch's ``text`` column with bounded size."""
     texts, size, start = [], 0, 0
     for i, t in enumerate(batch.column("text").to_pylist()):
