@@ -29,15 +29,18 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, min_docs: int
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest doc_id; rows
-    that repeat an id and its text are one document."""
+    """One document of each near-duplicate group stays, the one with the smallest doc_id (null
+    first, then by row hash); documents without words all stay. Rows that repeat an id and its
+    text are one document; rows that share an id but not a text are judged apart."""
     docs = docs.select(*COLUMNS)
-    groups = materialise(ngram_join.jaccard_components(docs, n=5, percent=75), "groups")
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep")).distinct()
-    out = docs.join(stay, docs["doc_id"].eqNullSafe(stay["keep"]), "left_semi")
-    if groups.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return out
-    return out.dropDuplicates(["doc_id", "text"])
+    rows = docs.withColumns(dict(zip(("rk1", "rk2"), row_key(F.col("doc_id"), F.col("text")))))
+    groups = materialise(ngram_join.jaccard_components(rows, n=5, percent=75, keep=("rk1", "rk2")), "groups")
+    chosen = groups.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "rk1", "rk2")).alias("k")).select("k.rk1", "k.rk2")
+    stay = chosen.unionByName(groups.filter("component IS NULL").select("rk1", "rk2"))
+    out = rows.join(stay, ["rk1", "rk2"], "left_semi")
+    if not groups.groupBy("rk1", "rk2").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates(["rk1", "rk2"])
+    return out.select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
