@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as K
-from .text import count, strip
+from .text import count, let, strip
 
 
 def first_of(text: Column, patterns: list[str], group: int = 1) -> Column:
@@ -25,30 +25,35 @@ def numbered_rest(text: Column) -> Column:
 
 
 def structure_type(text: Column) -> Column:
-    low, n = F.lower(strip(text)), numbering(text)
-    starts = lambda *ws: reduce(lambda a, b: a | b, [F.startswith(low, F.lit(w)) for w in ws])
-    has = lambda w: F.contains(low, F.lit(w))
-    out = F.when(text.rlike(K.STRUCTURES[0][1]), K.STRUCTURES[0][0])
-    for name, p in K.STRUCTURES[1:]:
-        out = out.when(text.rlike(p), name)
-    out = (out.when(starts("whereas", "recital"), "recital").when(starts("preamble"), "preamble").when(has("signature") & (has("date") | has("sign")), "signature_block").when(starts("schedule", "appendix", "exhibit"), "schedule"))
-    dots = F.size(F.split(n, "\\."))
-    out = out.when(n.isNotNull() & (dots > 2), "subclause").when(n.isNotNull() & (dots > 1), "clause").when(n.isNotNull() & (F.length(numbered_rest(text)) > 200), "section").when(n.isNotNull(), "subsection")
-    return out.when(F.length(text) < 100, "heading").when(F.length(text) < 500, "paragraph").otherwise("section")
+    """What a text is: by keyword, by how it begins, by its numbering, else by its length."""
+    def kind(x):
+        low, n, parts = x["low"], x["n"], x["parts"]
+        starts = lambda *ws: reduce(lambda a, b: a | b, [F.startswith(low, F.lit(w)) for w in ws])
+        has = lambda w: F.contains(low, F.lit(w))
+        out = F.when(text.rlike(K.STRUCTURES[0][1]), K.STRUCTURES[0][0])
+        for name, p in K.STRUCTURES[1:]:
+            out = out.when(text.rlike(p), name)
+        out = (out.when(starts("whereas", "recital"), "recital").when(starts("preamble"), "preamble").when(has("signature") & (has("date") | has("sign")), "signature_block").when(starts("schedule", "appendix", "exhibit"), "schedule"))
+        out = out.when(n.isNotNull() & (parts > 2), "subclause").when(n.isNotNull() & (parts > 1), "clause").when(n.isNotNull() & (F.length(numbered_rest(text)) > 200), "section").when(n.isNotNull(), "subsection")
+        return out.when(F.length(text) < 100, "heading").when(F.length(text) < 500, "paragraph").otherwise("section")
+
+    facts = let(numbering(text), lambda n: F.struct(F.lower(strip(text)).alias("low"), n.alias("n"), F.size(F.split(n, "\\.")).alias("parts")))
+    return let(facts, kind)
 
 
 def clause_type(text: Column) -> Column:
     """struct(score, ord, type): the type with most indicator hits, the first declared on ties;
     null without a hit. The score is hits over one and the length in thousands."""
-    low = F.lower(text)
-    kinds = [F.struct((reduce(lambda a, b: a + b, [count(low, p) for p in ps]) / (F.length(text) / 1000 + 1)).alias("score"), F.lit(-i).alias("ord"), F.lit(k).alias("type")) for i, (k, ps) in enumerate(K.CLAUSE_INDICATORS.items())]
-    best = F.array_max(F.array(*kinds))
-    return F.when(best["score"] > 0, best)
+    def best(low):
+        hits = lambda ps: reduce(lambda a, b: a + b, [count(low, p) for p in ps])
+        return F.array_max(F.array(*[F.struct((hits(ps) / (F.length(text) / 1000 + 1)).alias("score"), F.lit(-i).alias("ord"), F.lit(k).alias("type")) for i, (k, ps) in enumerate(K.CLAUSE_INDICATORS.items())]))
 
+    return let(let(F.lower(text), best), lambda b: F.when(b["score"] > 0, b))
 
-def type_and_confidence(text: Column) -> dict[str, Column]:
-    best = clause_type(text)
-    return {"clause_type": F.coalesce(best["type"], F.lit("other")), "confidence": F.when(best.isNotNull(), F.least(best["score"], F.lit(1.0))).otherwise(0.5)}
+
+def type_and_confidence(text: Column) -> Column:
+    """struct(clause_type, confidence) of a clause."""
+    return let(clause_type(text), lambda b: F.struct(F.coalesce(b["type"], F.lit("other")).alias("clause_type"), F.when(b.isNotNull(), F.least(b["score"], F.lit(1.0))).otherwise(0.5).alias("confidence")))
 
 
 def _set(*lists: Column) -> Column:
@@ -61,10 +66,10 @@ def references(text: Column) -> Column:
 
 def key_terms(text: Column) -> Column:
     """Legal terms, quoted terms and runs of capitals."""
-    low = F.lower(text)
-    return _set(*[F.regexp_extract_all(low, F.lit(p), F.lit(0)) for p in K.KEY_TERMS], F.regexp_extract_all(text, F.lit('"([^"]+)"'), F.lit(1)), F.regexp_extract_all(text, F.lit(r"\b[A-Z][A-Z\s]{2,}\b"), F.lit(0)))
+    terms = let(F.lower(text), lambda low: F.flatten(F.array(*[F.regexp_extract_all(low, F.lit(p), F.lit(0)) for p in K.KEY_TERMS])))
+    return _set(terms, F.regexp_extract_all(text, F.lit('"([^"]+)"'), F.lit(1)), F.regexp_extract_all(text, F.lit(r"\b[A-Z][A-Z\s]{2,}\b"), F.lit(0)))
 
 
 def likely_clause(text: Column) -> Column:
-    hits = reduce(lambda a, b: a + b, [F.lower(text).rlike(p).cast("int") for p in K.LIKELY_CLAUSE])
+    hits = let(F.lower(text), lambda low: reduce(lambda a, b: a + b, [low.rlike(p).cast("int") for p in K.LIKELY_CLAUSE]))
     return (hits >= 2) & F.length(text).between(50, 2000)

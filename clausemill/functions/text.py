@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
@@ -15,6 +16,12 @@ from . import constants as K
 _BLANKS = r"[ \t\n\r\f]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` uses it: the optimiser
+    neither copies nor folds back what a lambda binds."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(text: Column) -> Column:
     """Without white space at either end; trim() takes a set of characters in linear time."""
     return F.btrim(text, F.lit(" \t\n\r\f\x0b"))
@@ -62,35 +69,42 @@ def present(text: Column, needles: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.contains(text, F.lit(n)).cast("int") for n in needles])
 
 
-def language(text: Column) -> dict[str, Column]:
-    """Language by the presence of common words between spaces; English wins ties, and empty
-    text is unknown."""
-    padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    en, es, fr = (present(padded, [f" {w} " for w in ws]) for ws in (K.ENGLISH_WORDS, K.SPANISH_WORDS, K.FRENCH_WORDS))
-    english, spanish = (en >= es) & (en >= fr), es >= fr
-    n = F.when(english, en).when(spanish, es).otherwise(fr)
-    empty = F.length(text) == 0
-    name = F.when(empty, "unknown").when(english, "english").when(spanish, "spanish").otherwise("french")
-    return {"language": name, "indicators": F.when(empty, 0).otherwise(n), "confidence": F.when(empty, 0.0).otherwise(F.least(n / F.greatest(word_count(text) * 0.1, F.lit(1.0)), F.lit(1.0)))}
+def language(text: Column) -> Column:
+    """struct(language, indicators, confidence) by the presence of common words between spaces;
+    English wins ties, and empty text is unknown."""
+    lists = {"en": K.ENGLISH_WORDS, "es": K.SPANISH_WORDS, "fr": K.FRENCH_WORDS}
+
+    def choose(c):
+        english, spanish = (c["en"] >= c["es"]) & (c["en"] >= c["fr"]), c["es"] >= c["fr"]
+        n = F.when(english, c["en"]).when(spanish, c["es"]).otherwise(c["fr"])
+        name = F.when(c["empty"], "unknown").when(english, "english").when(spanish, "spanish").otherwise("french")
+        sure = F.least(n / F.greatest(c["w"] * 0.1, F.lit(1.0)), F.lit(1.0))
+        return F.struct(name.alias("language"), F.when(c["empty"], 0).otherwise(n).alias("indicators"), F.when(c["empty"], 0.0).otherwise(sure).alias("confidence"))
 
+    counts = let(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), lambda t: F.struct(*[present(t, [f" {w} " for w in ws]).alias(k) for k, ws in lists.items()], (F.length(t) == 2).alias("empty"), word_count(t).alias("w")))
+    return let(counts, choose)
 
-def syllables(word: Column) -> Column:
-    """Vowel groups, less a final e where there are several, at least one."""
-    w = F.lower(word)
-    groups = F.regexp_count(w, F.lit("[aeiouy]+"))
-    return F.greatest(groups - F.when(F.endswith(w, F.lit("e")) & (groups > 1), 1).otherwise(0), F.lit(1))
+
+#: Vowel groups; words whose final e is a group of its own after others; words without a vowel.
+_VOWELS = "[aeiouy]+"
+_MUTE_E = r"(?<![^ \t\n\r\f])[^aeiouy \t\n\r\f]*+[aeiouy]++[^aeiouy \t\n\r\f][^ \t\n\r\f]*e(?![^ \t\n\r\f])"
+_NO_VOWEL = r"(?<![^ \t\n\r\f])[^aeiouy \t\n\r\f]++(?![^ \t\n\r\f])"
 
 
 def syllable_total(text: Column) -> Column:
-    return F.aggregate(words(text), F.lit(0).cast("long"), lambda a, w: a + syllables(w))
+    """Over all words: vowel groups, less a final e where there are several, at least one."""
+    return let(F.lower(text), lambda t: count(t, _VOWELS) - count(t, _MUTE_E) + count(t, _NO_VOWEL))
 
 
-def readability(text: Column) -> dict[str, Column]:
-    """Flesch reading ease and its band; 0 and unknown without words or sentences."""
-    w, s = word_count(text), F.size(nonblank_parts(text, "."))
-    some = (w > 0) & (s > 0)
-    score = F.when(some, 206.835 - 1.015 * (w / s) - 84.6 * (syllable_total(text) / w)).otherwise(0.0)
-    return {"flesch": score, "reading_level": F.when(~some, "unknown").otherwise(_band(score))}
+def readability(text: Column) -> Column:
+    """struct(flesch, reading_level): the reading ease and its band; 0 and unknown without words
+    or sentences."""
+    def ease(x):
+        some = (x["w"] > 0) & (x["s"] > 0)
+        return F.struct(some.alias("some"), F.when(some, 206.835 - 1.015 * (x["w"] / x["s"]) - 84.6 * (x["y"] / x["w"])).otherwise(0.0).alias("flesch"))
+
+    counts = F.struct(word_count(text).alias("w"), F.size(nonblank_parts(text, ".")).alias("s"), syllable_total(text).alias("y"))
+    return let(let(counts, ease), lambda x: F.struct(x["flesch"].alias("flesch"), F.when(~x["some"], "unknown").otherwise(_band(x["flesch"])).alias("reading_level")))
 
 
 def _band(score: Column) -> Column:
@@ -109,9 +123,8 @@ def simple_readability(text: Column) -> Column:
 
 def coherence(text: Column) -> Column:
     """0.8 where sentences have 5 to 30 words on average, else 0.5; 0 without sentences."""
-    s = F.size(nonblank_parts(text, "."))
-    words_in = F.aggregate(nonblank_parts(text, "."), F.lit(0).cast("long"), lambda a, x: a + word_count(x))
-    return F.when(s == 0, 0.0).when((words_in / s).between(5, 30), 0.8).otherwise(0.5)
+    counts = let(nonblank_parts(text, "."), lambda ps: F.struct(F.size(ps).alias("s"), F.aggregate(ps, F.lit(0).cast("long"), lambda a, x: a + word_count(x)).alias("w")))
+    return let(counts, lambda x: F.when(x["s"] == 0, 0.0).when((x["w"] / x["s"]).between(5, 30), 0.8).otherwise(0.5))
 
 
 def quality_score(text: Column, sections: Column, has_metadata: Column) -> Column:
@@ -156,10 +169,9 @@ def normalise(text: Column) -> Column:
     settled, in that order. Composition (NFC) is ``nfc``, for it has no built-in function."""
     t = F.regexp_replace(text, r"[\p{C}&&[^\n\r\t]]", "")
     t = F.regexp_replace(t, r"\r\n?", "\n")
-    t = F.translate(t, K.UNICODE_SPACES, " " * len(K.UNICODE_SPACES))
-    t = F.regexp_replace(t, " {2,}", " ")
-    t = F.translate(t, K.DOUBLE_QUOTES + K.SINGLE_QUOTES, '"' * len(K.DOUBLE_QUOTES) + "'" * len(K.SINGLE_QUOTES))
-    return F.translate(t, K.DASHES, "-" * len(K.DASHES))
+    for chars, to in ((K.UNICODE_SPACES, " "), (None, None), (K.DOUBLE_QUOTES, '"'), (K.SINGLE_QUOTES, "'"), (K.DASHES, "-")):
+        t = F.regexp_replace(t, f"[{chars}]", to) if chars else F.regexp_replace(t, " {2,}", " ")
+    return t
 
 
 def nfc(text: Column) -> Column:

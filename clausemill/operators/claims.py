@@ -18,42 +18,55 @@ def parse(questions: DataFrame) -> DataFrame:
     return out.withColumn("assumptions", X.assumptions(cols))
 
 
-def _mentions(text: Column, proc: Column) -> Column:
-    return F.coalesce(F.exists(F.split(F.lower(proc), " "), lambda w: F.contains(text, w)), F.lit(False))
+def best_clauses(claims: DataFrame, clauses: DataFrame, k: int = 15) -> DataFrame:
+    """(policy, procedure, rank, relevance, clause_id, kind, text): the ``k`` clauses of a policy
+    that name most words of a procedure; ties by clause id, which names one clause.
+
+    Ranks depend on the policy and the procedure alone, so they are made for distinct pairs and
+    not for claims. Ids and scores are cut to ``k`` in each task before they are shuffled; texts
+    meet the few that are left.
+    """
+    wanted = claims.select("policy", "procedure").distinct().withColumn("words", F.split(F.lower("procedure"), " "))
+    low = clauses.select("policy", "clause_id", F.lower("text").alias("low"))
+    named = F.coalesce(F.size(F.filter("words", lambda w: F.contains(F.col("low"), w))), F.lit(0))
+    scored = low.join(wanted, "policy").select("policy", "procedure", "clause_id", named.alias("relevance"))
+    w = Window.partitionBy("policy", "procedure").orderBy(F.desc("relevance"), "clause_id")
+    best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return best.join(clauses.select("clause_id", "kind", "text"), "clause_id")
+
+
+def _for_claims(claims: DataFrame, rows: DataFrame) -> DataFrame:
+    """The claims with the rows of their policy and procedure (which may be null)."""
+    rows = rows.withColumnsRenamed({"policy": "_policy", "procedure": "_procedure"})
+    return claims.join(rows, (F.col("policy") == F.col("_policy")) & F.col("procedure").eqNullSafe(F.col("_procedure"))).drop("_policy", "_procedure")
 
 
 def retrieve(claims: DataFrame, clauses: DataFrame, k: int = 15) -> DataFrame:
-    """The ``k`` clauses of each claim's policy that name most words of its procedure; ties by
-    clause id. An equi-join on the policy, then a cut per claim."""
-    low = F.lower("text")
-    words = F.coalesce(F.size(F.filter(F.split(F.lower("procedure"), " "), lambda w: F.contains(low, w))), F.lit(0))
-    rows = claims.join(clauses, "policy").withColumn("relevance", words)
-    w = Window.partitionBy("claim_id").orderBy(F.desc("relevance"), "clause_id")
-    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def analyse(matched: DataFrame) -> DataFrame:
-    """One row a claim: flags and amounts over its matched clauses, in rank order. A clause is
-    coverage, exclusion, waiting period or condition, the first that fits."""
-    low = F.lower("text")
-    mentions = _mentions(low, F.col("procedure"))
-    cover = (F.col("kind") == "coverage") | (X.any_in(low, K.COVERAGE_WORDS) & mentions)
-    exclude = ~cover & ((F.col("kind") == "exclusion") | X.any_in(low, K.EXCLUSION_WORDS))
-    wait = ~cover & ~exclude & ((F.col("kind") == "waiting_period") | X.any_in(low, K.WAITING_WORDS))
-    amount = X.clause_amount(F.col("text"))
-    subs = [F.when(F.contains(low, F.lit(s)) & (amount > 0), s) for s in K.SUB_LIMIT_ITEMS]
-    sub = F.coalesce(*reversed(subs))
-    copay = F.when(F.contains(low, F.lit("co-pay")) | F.contains(low, F.lit("copay")), F.nullif(F.regexp_extract("text", r"(\d+)%", 1), F.lit("")).cast("int"))
+    """The best clauses of each claim, a row each, with relevance and rank."""
+    return _for_claims(claims, best_clauses(claims, clauses, k))
+
+
+def analyse(claims: DataFrame, clauses: DataFrame, k: int = 15) -> DataFrame:
+    """One row a claim: flags and amounts over its best clauses, in rank order. A clause is
+    coverage, exclusion, waiting period or condition, the first that fits. All of it is settled for
+    policy and procedure before claims are joined."""
+    any_in = lambda ws: X.any_in(F.col("low"), ws)
+    kind = lambda k: F.col("kind") == k
+    rows = best_clauses(claims, clauses, k).withColumns({"low": F.lower("text"), "amount": X.clause_amount(F.col("text")), "months": X.clause_months(F.col("text"))})
+    rows = rows.withColumn("mentions", F.col("relevance") > 0).withColumn("cover", kind("coverage") | (any_in(K.COVERAGE_WORDS) & F.col("mentions")))
+    rows = rows.withColumn("exclude", ~F.col("cover") & (kind("exclusion") | any_in(K.EXCLUSION_WORDS)))
+    rows = rows.withColumn("wait", ~F.col("cover") & ~F.col("exclude") & (kind("waiting_period") | any_in(K.WAITING_WORDS)))
+    sub = F.coalesce(*reversed([F.when(any_in([s]) & (F.col("amount") > 0), F.col("amount")) for s in K.SUB_LIMIT_ITEMS]))
+    copay = F.when(any_in(["co-pay", "copay"]), F.nullif(F.regexp_extract("text", r"(\d+)%", 1), F.lit("")).cast("int"))
     flag = lambda c: F.max(F.coalesce(c, F.lit(False)))
-    last = lambda v: F.max_by(v, F.when(v.isNotNull(), F.col("rank")))
-    out = matched.groupBy("claim_id").agg(
-        flag(cover).alias("coverage_found"), flag(exclude & mentions).alias("exclusions_found"), F.coalesce(F.max(F.when(cover, amount)), F.lit(0.0)).alias("max_coverage"),
-        F.coalesce(F.max(F.when(wait, X.clause_months(F.col("text")))), F.lit(0)).alias("waiting_months"),
-        last(F.when(sub.isNotNull(), amount)).alias("sub_limit"), last(copay).alias("co_pay"),
-        flag(F.contains(low, F.lit("daycare")) | F.contains(low, F.lit("less than 24 hours"))).alias("is_daycare"), flag(F.contains(low, F.lit("pre-existing")) | F.contains(low, F.lit("preexisting"))).alias("is_preexisting"),
-        flag(X.any_in(low, K.PERMANENT_EXCLUSIONS)).alias("is_permanent_exclusion"), flag(exclude & X.any_in(low, K.ACCIDENT_EXCLUSIONS)).alias("accident_excluded"),
-        flag(cover & (F.contains(low, F.lit("newborn")) | F.contains(low, F.lit("baby")))).alias("newborn_covered"), F.count(F.lit(1)).alias("n_clauses"),
-        F.first("procedure").alias("procedure"), F.first("policy_age_months").alias("policy_age_months"), F.first("age").alias("age"), F.first("amount_claimed").alias("amount_claimed"))
+    last = lambda v: F.max_by(v, F.when(F.col(v).isNotNull(), F.col("rank")))
+    found = rows.withColumns({"sub": sub, "copay": copay}).groupBy("policy", "procedure").agg(
+        flag(F.col("cover")).alias("coverage_found"), flag(F.col("exclude") & F.col("mentions")).alias("exclusions_found"), F.coalesce(F.max(F.when(F.col("cover"), F.col("amount"))), F.lit(0.0)).alias("max_coverage"),
+        F.coalesce(F.max(F.when(F.col("wait"), F.col("months"))), F.lit(0)).alias("waiting_months"), last("sub").alias("sub_limit"), last("copay").alias("co_pay"),
+        flag(any_in(["daycare", "less than 24 hours"])).alias("is_daycare"), flag(any_in(["pre-existing", "preexisting"])).alias("is_preexisting"),
+        flag(any_in(K.PERMANENT_EXCLUSIONS)).alias("is_permanent_exclusion"), flag(F.col("exclude") & any_in(K.ACCIDENT_EXCLUSIONS)).alias("accident_excluded"),
+        flag(F.col("cover") & any_in(["newborn", "baby"])).alias("newborn_covered"), F.count(F.lit(1)).alias("n_clauses"))
+    out = _for_claims(claims.select("claim_id", "policy", "procedure", "policy_age_months", "age", "amount_claimed"), found)
     months, own = F.coalesce("policy_age_months", F.lit(0)), F.coalesce(X.by_procedure(F.col("procedure"), K.WAITING_MONTHS), F.lit(0))
     due = F.when((months > 0) & (F.col("waiting_months") > 0), F.col("waiting_months")).otherwise(own)
     return out.withColumn("waiting_violation", (months > 0) & (months < due))
@@ -100,8 +113,10 @@ def decision_json(decisions: DataFrame) -> DataFrame:
 
 
 def mapped_clauses(matched: DataFrame, n: int = 5) -> DataFrame:
-    """The first ``n`` clauses of each claim, cut at 200 characters, with a relevance label."""
-    label = F.when(F.col("relevance") > 1, "high").when(F.col("relevance") > 0, "medium").otherwise("low")
+    """The first ``n`` clauses of each claim, cut at 200 characters, with a label of the share of
+    the procedure's words that they name: above 0.8 high, above 0.6 medium, else low."""
+    share = F.coalesce(F.col("relevance") / F.size(F.split(F.lower("procedure"), " ")), F.lit(0.0))
+    label = F.when(share > 0.8, "high").when(share > 0.6, "medium").otherwise("low")
     rows = matched.filter(F.col("rank") <= n).select("claim_id", "rank", "clause_id", F.left("text", F.lit(200)).alias("text"), label.alias("relevance"))
     return rows.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("rank", "clause_id", "text", "relevance"))).alias("mapped_clauses"))
 

@@ -13,59 +13,70 @@ from ..functions import vectors as V
 def top_k(vectors: DataFrame, query: list[float], k: int = 5, threshold: float | None = 0.1, where: Column | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` vectors most like ``query`` by cosine, ranked from 1; the threshold comes after
     the cut, and ``where`` (on metadata) before it. Ties go by id. Each partition keeps its own
-    k best before they meet."""
+    k best before they meet. Rows with null or not finite vectors are left out."""
     rows = vectors if where is None else vectors.filter(where)
     q = F.array(*[F.lit(float(x)) for x in query])
     score = F.try_divide(V.dot(F.col(vector_col), q), V.norm(F.col(vector_col)) * V.norm(q))
-    best = rows.select(F.col(id_col), score.alias("score")).filter(F.col("score").isNotNull()).orderBy(F.desc("score"), F.col(id_col)).limit(k)
+    best = rows.select(F.col(id_col), score.alias("score")).filter(F.col("score").isNotNull() & ~F.isnan("score")).orderBy(F.desc("score"), F.col(id_col)).limit(k)
     out = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.col(id_col))))
     return out if threshold is None else out.filter(F.col("score") >= threshold)
 
 
-def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 5, threshold: float | None = 0.1, exclude_self: bool = True, max_queries: int = 100_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 5, threshold: float | None = 0.1, exclude_self: bool = True, max_bytes: int = 64 << 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id, score, rank) for every row of ``queries`` against all vectors.
 
-    Query vectors are held by every task, so their number is checked: beyond ``max_queries`` they
-    are taken in blocks, a pass each. A task multiplies batches of vectors with all queries and
-    passes on its k best of each query; a window over those picks the result.
+    Query vectors are held by every task, so their bytes are checked: beyond ``max_bytes`` they
+    are taken in blocks, a pass each. A task multiplies slices of its vectors with all queries,
+    a matrix of at most ``max_bytes`` / 2 at a time, and passes on its k best of each query; a window
+    over those picks the result. Ties go by id. Rows whose id or vector is null or whose vector isn't
+    finite are left out on either side; a zero vector scores 0.
     """
-    held = queries.select(id_col, vector_col).orderBy(id_col)
-    n = held.count()
-    if n > max_queries:
-        blocks = -(-n // max_queries)
-        part = F.pmod(F.xxhash64(id_col), F.lit(blocks))
-        out = [top_k_batch(vectors, queries.filter(part == b), k, threshold, exclude_self, n + 1, id_col, vector_col) for b in range(blocks)]
-        union = out[0]
-        for o in out[1:]:
-            union = union.unionByName(o)
-        return union
-    got = held.toPandas()
-    if got.empty:
+    good = lambda df: df.filter(F.col(id_col).isNotNull() & V.finite(F.col(vector_col)))
+    held = good(queries).select(F.col(id_col).cast("long").alias("id"), V.doubles(F.col(vector_col)).alias("v"))
+    n, most = held.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    if not n:
         return vectors.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
-    q_ids = got[id_col].to_numpy(np.int64)
-    q = np.stack(got[vector_col].map(lambda v: np.asarray(v, float)))
-    shared = vectors.sparkSession.sparkContext.broadcast((q_ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
+    blocks = -(-n * (most or 1) * 8 // max_bytes)
+    best = None
+    for b in range(blocks):
+        got = held.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toPandas()
+        if len(got):
+            part = _best_of_block(good(vectors), got, k, exclude_self, max_bytes // 2, id_col, vector_col)
+            best = part if best is None else best.unionByName(part)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    out = best.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return out if threshold is None else out.filter(F.col("score") >= threshold)
+
+
+def _unit(rows: list) -> np.ndarray:
+    v = np.stack([np.asarray(x, float) for x in rows])
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def _best_of_block(vectors: DataFrame, queries: pd.DataFrame, k: int, exclude_self: bool, max_bytes: int, id_col: str, vector_col: str) -> DataFrame:
+    """The k best of each query in each task."""
+    shared = vectors.sparkSession.sparkContext.broadcast((queries["id"].to_numpy(np.int64), _unit(list(queries["v"]))))
 
     def run(frames):
         ids, unit = shared.value
-        kept = None
+        score, best = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, np.int64)
+        step = max(1, max_bytes // (8 * len(ids)))
         for f in frames:
-            v_ids = f["id"].to_numpy(np.int64)
-            v = np.stack([np.asarray(x, float) for x in f["v"]])
-            s = unit @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
-            for a in range(0, len(v_ids), 2000):
-                block = pd.DataFrame({"query_id": np.repeat(ids, len(v_ids[a : a + 2000])), "id": np.tile(v_ids[a : a + 2000], len(ids)), "score": s[:, a : a + 2000].ravel()})
+            f = f.sort_values("id")
+            for a in range(0, len(f), step):
+                v_ids = f["id"].to_numpy(np.int64)[a : a + step]
+                s = unit @ _unit(list(f["v"].iloc[a : a + step])).T
                 if exclude_self:
-                    block = block[block["query_id"] != block["id"]]
-                kept = block if kept is None else pd.concat([kept, block])
-                kept = kept.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
-        if kept is not None:
-            yield kept
-
-    best = vectors.select(F.col(id_col).alias("id"), V.doubles(F.col(vector_col)).alias("v")).filter("v IS NOT NULL").mapInPandas(run, "query_id long, id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    out = best.withColumn("rank", rank).filter(F.col("rank") <= k)
-    return out if threshold is None else out.filter(F.col("score") >= threshold)
+                    s[ids[:, None] == v_ids[None, :]] = -np.inf
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                score, best = np.hstack([score, np.take_along_axis(s, top, 1)]), np.hstack([best, v_ids[top]])
+                order = np.lexsort((best, -score), axis=1)[:, :k]
+                score, best = np.take_along_axis(score, order, 1), np.take_along_axis(best, order, 1)
+        q, at = np.nonzero(score > -np.inf)
+        yield pd.DataFrame({"query_id": ids[q], "id": best[q, at], "score": score[q, at]})
+
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), V.doubles(F.col(vector_col)).alias("v"))
+    return rows.mapInPandas(run, "query_id long, id long, score double")
 
 
 def remove(vectors: DataFrame, ids: DataFrame, id_col: str = "vec_id") -> DataFrame:

@@ -8,11 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def usage(events: DataFrame, group: Column) -> DataFrame:
-    """Calls, failures, tokens, cost and mean latency of successes, by provider."""
+def usage(events: DataFrame, group: Column, rates: dict[str, float] | None = None) -> DataFrame:
+    """Calls, failures, tokens, cost (tokens in thousands at the provider's rate, 0 if it has
+    none) and mean latency of successes, by provider."""
     ok = F.col("event_type") != "error"
     tokens = F.floor(F.abs("value")).cast("long")
-    return events.groupBy(group.alias("provider")).agg(F.count(F.lit(1)).alias("calls"), F.sum((~ok).cast("long")).alias("failures"), F.sum(F.when(ok, tokens).otherwise(0)).alias("tokens"), F.avg(F.when(ok, F.col("value"))).alias("mean_latency"))
+    out = events.groupBy(group.alias("provider")).agg(F.count(F.lit(1)).alias("calls"), F.sum((~ok).cast("long")).alias("failures"), F.sum(F.when(ok, tokens).otherwise(0)).alias("tokens"), F.avg(F.when(ok, F.col("value"))).alias("mean_latency"))
+    rate = F.create_map(*[F.lit(x) for kv in (rates or {"": 0.0}).items() for x in kv])
+    return out.withColumn("cost", F.col("tokens") / 1000 * F.coalesce(F.try_element_at(rate, F.coalesce("provider", F.lit(""))), F.lit(0.0)))
+
+
+def total_cost(used: DataFrame) -> DataFrame:
+    """Cost, tokens and calls over all providers."""
+    return used.agg(F.sum("calls").alias("calls"), F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"))
 
 
 def running_usage(events: DataFrame) -> DataFrame:
@@ -35,12 +43,17 @@ def least_recent(events: DataFrame, keep: int, key: str = "user_id") -> DataFram
 
 def over_size(entries: DataFrame, cap: float, size: Column, order: list[str]) -> DataFrame:
     """Oldest entries that go until the rest is within ``cap``: those whose younger entries and
-    they themselves sum to more. Sums go by day first, so no task sees all rows in one window."""
-    rows = entries.select("*", size.alias("size"), F.to_date("ts").alias("day"))
-    days = rows.groupBy("day").agg(F.sum("size").alias("n"))
-    later = days.select("day", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("later"))
-    inside = Window.partitionBy("day").orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("inside", F.sum("size").over(inside)).join(later, "day").filter(F.col("later") + F.col("inside") > cap).drop("inside", "later", "day")
+    they themselves sum to more. Sums go by day, then by minute within the day, then by entry
+    within the minute, so no task sees all rows, or a day's, in one window."""
+    rows = entries.select("*", size.alias("size"), F.date_trunc("MINUTE", "ts").alias("_minute"))
+    above = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    minutes = rows.groupBy("_minute", F.to_date("_minute").alias("_day")).agg(F.sum("size").alias("n"))
+    days = minutes.groupBy("_day").agg(F.sum("n").alias("n"))
+    days = days.select("_day", above(Window.orderBy(F.desc("_day"))).alias("_days"))
+    minutes = minutes.withColumn("_minutes", above(Window.partitionBy("_day").orderBy(F.desc("_minute")))).join(days, "_day")
+    later = minutes.select("_minute", (F.col("_days") + F.col("_minutes")).alias("_later"))
+    inside = F.sum("size").over(Window.partitionBy("_minute").orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_inside", inside).join(later, "_minute").filter(F.col("_later") + F.col("_inside") > cap).drop("_inside", "_later", "_minute")
 
 
 def rate_window(events: DataFrame, seconds: int = 3600, limit: int = 3) -> DataFrame:
@@ -52,11 +65,12 @@ def rate_window(events: DataFrame, seconds: int = 3600, limit: int = 3) -> DataF
 
 def token_cost(texts: DataFrame, model: Column, prices: DataFrame, default: str) -> DataFrame:
     """Tokens (a quarter of the length) times the price per thousand; unknown models pay the
-    default's price. ``prices`` (model, rate) is a catalogue."""
-    base = prices.filter(F.col("model") == default).select(F.col("rate").alias("default_rate"))
+    default's price, and nothing is charged if that has none either. ``prices`` (model, rate) is a
+    catalogue."""
+    base = prices.filter(F.col("model") == default).select("rate").first()
     tokens = F.floor(F.length("text") / 4)
-    rows = texts.withColumn("model", model).join(prices, "model", "left").join(F.broadcast(base.limit(1)), F.lit(True), "left")
-    return rows.select("doc_id", "model", tokens.alias("tokens"), (tokens / 1000 * F.coalesce("rate", "default_rate")).alias("cost"))
+    rows = texts.withColumn("model", model).join(prices, "model", "left")
+    return rows.select("doc_id", "model", tokens.alias("tokens"), (tokens / 1000 * F.coalesce("rate", F.lit(float(base[0]) if base else 0.0))).alias("cost"))
 
 
 def render(template: Column, values: dict[str, Column]) -> Column:
@@ -83,6 +97,11 @@ TEMPLATES = [
 ]
 
 
+def template(name: str) -> Column:
+    """A template of the catalogue as a literal."""
+    return F.lit(dict(TEMPLATES)[name])
+
+
 def templates(spark) -> DataFrame:
     """The catalogue of prompt templates."""
     return spark.createDataFrame(TEMPLATES, "name string, template string")

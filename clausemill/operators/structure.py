@@ -14,16 +14,28 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_number", "line"))
 
 
-def headings(docs: DataFrame) -> DataFrame:
-    """Markdown headings and short numbered lines: level, title, and the position at which the
-    line first stands in the text."""
-    rows = docs.select("doc_id", "text", F.posexplode(F.split("text", "\n")).alias("line_number", "raw")).withColumn("line", X.strip(F.col("raw")))
-    marks, number = F.regexp_extract("line", K.MARKDOWN_HEADING, 1), F.regexp_extract("line", K.NUMBERED_HEADING, 1)
-    found = rows.withColumns({"marks": marks, "number": number}).filter((F.col("marks") != "") | ((F.col("number") != "") & (F.length("line") < 100)))
+def _placed_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_number, raw, position, words_before): where each line begins and how many
+    words stand before it, as running sums, so that texts are split once and carried no further."""
+    before = Window.partitionBy("doc_id").orderBy("line_number").rowsBetween(Window.unboundedPreceding, -1)
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_number", "raw"))
+    return rows.withColumns({"position": F.coalesce(F.sum(F.length("raw") + 1).over(before), F.lit(0)), "words_before": F.coalesce(F.sum(X.word_count(F.col("raw"))).over(before), F.lit(0))})
+
+
+def _headings(docs: DataFrame) -> DataFrame:
+    rows = _placed_lines(docs).withColumn("line", X.strip(F.col("raw")))
+    rows = rows.withColumns({"marks": F.regexp_extract("line", K.MARKDOWN_HEADING, 1), "number": F.regexp_extract("line", K.NUMBERED_HEADING, 1)})
+    found = rows.filter((F.col("marks") != "") | ((F.col("number") != "") & (F.length("line") < 100)))
     dots = F.length("number") - F.length(F.replace("number", F.lit("."), F.lit("")))
-    return found.select("doc_id", "line_number", F.when(F.col("marks") != "", F.length("marks")).otherwise(dots + 1).alias("level"),
-                        X.strip(F.when(F.col("marks") != "", F.regexp_extract("line", K.MARKDOWN_HEADING, 2)).otherwise(F.regexp_extract("line", K.NUMBERED_HEADING, 2))).alias("title"),
-                        (F.expr("instr(text, raw)") - 1).alias("position"))
+    marked = F.col("marks") != ""
+    title = F.when(marked, F.regexp_extract("line", K.MARKDOWN_HEADING, 2)).otherwise(F.regexp_extract("line", K.NUMBERED_HEADING, 2))
+    return found.select("doc_id", "line_number", F.when(marked, F.length("marks")).otherwise(dots + 1).alias("level"), X.strip(title).alias("title"), F.col("position").cast("int").alias("position"), "words_before")
+
+
+def headings(docs: DataFrame) -> DataFrame:
+    """Markdown headings and short numbered lines: level, title, and where the line begins; each
+    of several equal lines has its own place."""
+    return _headings(docs).drop("words_before")
 
 
 def paragraphs(docs: DataFrame, separator: str = r"\n[ \t\n\r\f]*\n", least: int = 20) -> DataFrame:
@@ -56,13 +68,24 @@ def table_runs(docs: DataFrame) -> DataFrame:
 
 
 def sections(docs: DataFrame) -> DataFrame:
-    """From each heading to the next of its level or above: level, title, start, end, words."""
-    heads = headings(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", "line_number", "level", "title"))).alias("hs"))
-    rows = docs.select("doc_id", "text").join(heads, "doc_id").select("doc_id", "text", "hs", F.explode("hs").alias("h"))
-    later = F.filter("hs", lambda x: (x["position"] > F.col("h.position")) & (x["level"] <= F.col("h.level")))
-    rows = rows.withColumn("end", F.coalesce(F.array_min(F.transform(later, lambda x: x["position"])), F.length("text")))
-    content = F.substring("text", F.col("h.position") + 1, F.col("end") - F.col("h.position"))
-    return rows.select("doc_id", F.col("h.level").alias("level"), F.col("h.title").alias("title"), F.col("h.position").alias("start"), "end", X.word_count(content).alias("n_words"))
+    """From each heading to the next of its level or above: level, title, start, end, words.
+
+    Headings are folded from the last to the first: of those that follow, the open ones are kept
+    with rising levels, so the first that isn't deeper ends the section. A section is a run of
+    lines, so its words are a difference of running sums.
+    """
+    head = "struct<position: int, words: bigint, level: int, title: string>"
+    heads = _headings(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", F.col("words_before").alias("words"), "level", "title"))).alias("hs"))
+    ends = docs.select("doc_id", F.length("text").alias("n"), X.word_count(F.col("text")).cast("long").alias("w"))
+
+    def step(acc, h):
+        open_ = F.filter(acc["open"], lambda x: x["level"] <= h["level"])
+        end = F.struct(F.coalesce(F.try_element_at(open_, F.lit(-1))["position"], F.col("n")).alias("at"), F.coalesce(F.try_element_at(open_, F.lit(-1))["words"], F.col("w")).alias("words"))
+        return F.struct(F.array_append(open_, h).alias("open"), F.array_append(acc["out"], F.struct(h.alias("h"), end.alias("end"))).alias("out"))
+
+    start = F.struct(F.expr(f"cast(array() AS array<{head}>)").alias("open"), F.expr(f"cast(array() AS array<struct<h: {head}, `end`: struct<at: int, words: bigint>>>)").alias("out"))
+    rows = heads.join(ends, "doc_id").select("doc_id", F.explode(F.aggregate(F.reverse("hs"), start, step, lambda acc: acc["out"])).alias("x"))
+    return rows.select("doc_id", F.col("x.h.level").alias("level"), F.col("x.h.title").alias("title"), F.col("x.h.position").alias("start"), F.col("x.end.at").alias("end"), (F.col("x.end.words") - F.col("x.h.words")).cast("int").alias("n_words"))
 
 
 def page_headings(docs: DataFrame) -> DataFrame:

@@ -52,9 +52,16 @@ def coverage_amount(spark, d):
     return p.select("claim_id", F.round(X.coverage_amount(F.lit(0.0), F.col("procedure"), F.col("amount_claimed"), F.col("age")), 2).alias("amount"))
 
 
+def _claims(spark, d):
+    return C.parse(load(spark, d, QUESTIONS)).withColumn("policy", F.concat(F.lit("policy "), (F.col("claim_id") % 50).cast("string")))
+
+
 def _matched(spark, d):
-    claims = C.parse(load(spark, d, QUESTIONS)).withColumn("policy", F.concat(F.lit("policy "), (F.col("claim_id") % 50).cast("string")))
-    return C.retrieve(claims, load(spark, d, CLAUSES))
+    return C.retrieve(_claims(spark, d), load(spark, d, CLAUSES))
+
+
+def _analysed(spark, d):
+    return C.analyse(_claims(spark, d), load(spark, d, CLAUSES))
 
 
 def clause_retrieval(spark, d):
@@ -62,19 +69,21 @@ def clause_retrieval(spark, d):
 
 
 def claim_analysis(spark, d):
-    return C.analyse(_matched(spark, d)).select("claim_id", "coverage_found", "exclusions_found", "max_coverage", "waiting_months", "sub_limit", "co_pay", "is_permanent_exclusion", "waiting_violation", "n_clauses")
+    return _analysed(spark, d).select("claim_id", "coverage_found", "exclusions_found", "max_coverage", "waiting_months", "sub_limit", "co_pay", "is_permanent_exclusion", "waiting_violation", "n_clauses")
 
 
 def claim_decision(spark, d):
-    return C.decide(C.analyse(_matched(spark, d))).select("claim_id", "decision", F.round("amount", 2).alias("amount"), "reason", "confidence")
+    return C.decide(_analysed(spark, d)).select("claim_id", "decision", F.round("amount", 2).alias("amount"), "reason", "confidence")
 
 
 def claim_json(spark, d):
-    return C.decision_json(C.decide(C.analyse(_matched(spark, d))))
+    return C.decision_json(C.decide(_analysed(spark, d)))
 
 
 def mapped_clauses(spark, d):
-    return C.mapped_clauses(_matched(spark, d)).select("claim_id", F.size("mapped_clauses").alias("n"), F.array_join(F.transform("mapped_clauses", lambda x: F.concat_ws(":", x["clause_id"].cast("string"), x["relevance"])), "|").alias("clauses"))
+    """The first five clauses with their labels, and a hash of their texts as shown."""
+    return C.mapped_clauses(_matched(spark, d)).select("claim_id", F.size("mapped_clauses").alias("n"), F.array_join(F.transform("mapped_clauses", lambda x: F.concat_ws(":", x["clause_id"].cast("string"), x["relevance"])), "|").alias("clauses"),
+                                                       F.md5(F.array_join(F.transform("mapped_clauses", lambda x: x["text"]), "|").cast("binary")).alias("texts_md5"))
 
 
 def policy_summary(spark, d):
@@ -162,6 +171,6 @@ SQL = {
     "claim_decision": f"SELECT claim_id, {_rung(1)} AS decision, round(CAST({_rung(2)} AS DOUBLE), 2) AS amount, {_rung(3)} AS reason, {_rung(4)} AS confidence FROM ({_FLAGGED})",
     "claim_json": f"""SELECT claim_id, '{{"decision":"' || decision || '",' || CASE WHEN amount > 0 THEN '"amount":"₹' || format('{{:,.2f}}', amount) || '",' ELSE '' END || '"reason":"' || reason || '","confidence":' || CAST(confidence AS DOUBLE) || '}}' AS json
         FROM (SELECT claim_id, {_rung(1)} AS decision, CAST({_rung(2)} AS DOUBLE) AS amount, {_rung(3)} AS reason, {_rung(4)} AS confidence FROM ({_FLAGGED}))""",
-    "mapped_clauses": f"SELECT claim_id, count(*) AS n, string_agg(clause_id || ':' || CASE WHEN relevance > 1 THEN 'high' WHEN relevance > 0 THEN 'medium' ELSE 'low' END, '|' ORDER BY rank) AS clauses FROM ({_MATCH}) WHERE rank <= 5 GROUP BY claim_id",
+    "mapped_clauses": f"SELECT claim_id, count(*) AS n, string_agg(clause_id || ':' || CASE WHEN relevance::DOUBLE / len(string_split(lower(procedure), ' ')) > 0.8::DOUBLE THEN 'high' WHEN relevance::DOUBLE / len(string_split(lower(procedure), ' ')) > 0.6::DOUBLE THEN 'medium' ELSE 'low' END, '|' ORDER BY rank) AS clauses, md5(string_agg(left(text, 200), '|' ORDER BY rank)) AS texts_md5 FROM ({_MATCH}) WHERE rank <= 5 GROUP BY claim_id",
     "policy_summary": f"SELECT coalesce(policy, '(all)') AS policy, count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS {k}" for k in ("coverage", "exclusion", "waiting_period", "condition")) + f", count(*) FILTER (WHERE kind = 'other') AS other FROM ({CLAUSES}) GROUP BY ROLLUP (policy)",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import clauses as X
@@ -23,7 +24,8 @@ def _rows(spark, d, cols):
 
 
 def clause_type(spark, d):
-    return _rows(spark, d, X.type_and_confidence(T()))
+    rows = load(spark, d, CLAUSES).select("clause_id", X.type_and_confidence(T()).alias("x"))
+    return rows.select("clause_id", "x.clause_type", F.round("x.confidence", 6).alias("confidence"))
 
 
 def structure_type(spark, d):
@@ -48,10 +50,10 @@ def likely_clause(spark, d):
 
 def segments(docs):
     """Parts between blank lines of more than 50 characters, with the running position."""
-    parts = F.transform(F.split("text", "\n\n"), strip)
-    rows = docs.select("clause_id", F.posexplode(parts).alias("i", "part"), parts.alias("parts"))
-    at = F.aggregate(F.slice("parts", F.lit(1), F.col("i")), F.lit(0), lambda a, p: a + F.length(p) + 2)
-    return rows.select("clause_id", "i", "part", at.alias("start")).filter(F.length("part") > 50)
+    rows = docs.select("clause_id", F.posexplode(F.transform(F.split("text", "\n\n"), strip)).alias("i", "part"))
+    before = Window.partitionBy("clause_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum(F.length("part") + 2).over(before), F.lit(0)))
+    return rows.filter(F.length("part") > 50)
 
 
 def clauses(spark, d):
@@ -90,9 +92,8 @@ def llm_json_parse(spark, d):
 
 def clause_llm_merge(spark, d):
     """The answer's type unless it is other, the union of terms, the mean confidence."""
-    own, a = X.type_and_confidence(T()), parse_answer(F.col("response"))
-    rows = load(spark, d, _ANSWERS).select("clause_id", own["clause_type"].alias("t"), own["confidence"].alias("c"), X.key_terms(T()).alias("k"), a.alias("a"))
-    return rows.select("clause_id", F.when(F.col("a.clause_type") != "other", F.col("a.clause_type")).otherwise(F.col("t")).alias("clause_type"), F.round((F.col("c") + F.col("a.confidence")) / 2, 6).alias("confidence"), F.array_join(F.array_sort(F.array_union("k", "a.key_terms")), "|").alias("terms"))
+    rows = load(spark, d, _ANSWERS).select("clause_id", X.type_and_confidence(T()).alias("own"), X.key_terms(T()).alias("k"), parse_answer(F.col("response")).alias("a"))
+    return rows.select("clause_id", F.when(F.col("a.clause_type") != "other", F.col("a.clause_type")).otherwise(F.col("own.clause_type")).alias("clause_type"), F.round((F.col("own.confidence") + F.col("a.confidence")) / 2, 6).alias("confidence"), F.array_join(F.array_sort(F.array_union("k", "a.key_terms")), "|").alias("terms"))
 
 
 QUERIES = {f.__name__: f for f in (clause_type, structure_type, numbering, clause_refs, key_terms, likely_clause, clauses, clauses_from_chunks, clause_type_dist, llm_json_parse, clause_llm_merge)}

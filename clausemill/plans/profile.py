@@ -19,6 +19,12 @@ def _docs(spark, d, cols, names=("doc_id",)):
     return rows.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
 
 
+def _fields(spark, d, struct):
+    """doc_id and the fields of a struct, which is made once a text; doubles rounded."""
+    rows = table(spark, d, "documents").select("doc_id", struct.alias("x")).select("doc_id", "x.*")
+    return rows.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
+
+
 def text_stats(spark, d):
     return _docs(spark, d, X.statistics(T()))
 
@@ -28,11 +34,11 @@ def char_counts(spark, d):
 
 
 def language(spark, d):
-    return _docs(spark, d, X.language(T()))
+    return _fields(spark, d, X.language(T()))
 
 
 def readability(spark, d):
-    return _docs(spark, d, X.readability(T()))
+    return _fields(spark, d, X.readability(T()))
 
 
 def simple_readability(spark, d):
@@ -107,9 +113,12 @@ def contractions(spark, d):
 
 
 def title_case(spark, d):
-    """How long the text is with capital lines in title case, and how many capitals it has."""
-    out = X.title_case_lines(T())
-    return _docs(spark, d, {"n_chars": F.length(out)})
+    """Capital lines in title case, over texts whose ASCII lines with an even number of characters
+    were made capitals first: the text's hash and how many capitals became small."""
+    loud = F.array_join(F.transform(F.split(T(), "\n"), lambda s: F.when((F.length(s) % 2 == 0) & ~s.rlike(r"[^\x00-\x7f]"), F.upper(s)).otherwise(s)), "\n")
+    out = X.title_case_lines(loud)
+    capitals = lambda c: F.regexp_count(c, F.lit("[A-Z]"))
+    return _docs(spark, d, {"sha": F.sha2(out.cast("binary"), 256), "n_lowered": capitals(loud) - capitals(out)})
 
 
 def safe_filename(spark, d):
@@ -203,6 +212,9 @@ for _a, _b in X.ENTITIES:
     _HTML = "replace({}, '{}', '{}')".format(_HTML, _a, _b.replace("'", "''"))
 _HTML = f"trim(regexp_replace({_HTML}, '[ \\t\\n\\r\\f]+', ' ', 'g'))"
 _TITLE = f"list_filter(list_transform(string_split({_T}, chr(10))[1:10], lambda s: {_strip('s')}), lambda s: length(s) < 200 AND length(s) > 0 AND ((upper(s) = s AND lower(s) <> s) OR regexp_matches(lower(s), 'agreement|contract|policy|license')))"
+_LOUD = f"array_to_string(list_transform(string_split({_T}, chr(10)), lambda s: CASE WHEN length(s) % 2 = 0 AND NOT regexp_matches(s, '[^\\x00-\\x7f]') THEN upper(s) ELSE s END), chr(10))"
+_TITLED = f"""array_to_string(list_transform(string_split(loud, chr(10)), lambda s: CASE WHEN upper(s) = s AND lower(s) <> s AND len({_words('s')}) <= 10 AND NOT regexp_matches(s, '[0-9]')
+    THEN array_to_string(list_transform(string_split(lower(s), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') ELSE s END), chr(10))"""
 _BLANK_RUN = r"[ \t\n\r\f]+"
 
 SQL = {
@@ -233,7 +245,7 @@ SQL = {
     "doc_title": f"SELECT doc_id, ({_TITLE})[1] AS title FROM documents",
     "normalize": f"SELECT doc_id, sha256(o) AS sha, length(U) AS before, length(o) AS after FROM (SELECT doc_id, U, {_NORMAL} AS o FROM (SELECT doc_id, {_TEXT_UNRULY} AS U FROM documents))",
     "contractions": f"SELECT doc_id, length(o) AS n_chars, sha256(o) AS sha FROM (SELECT doc_id, {_CONTRACT} AS o FROM documents)",
-    "title_case": f"SELECT doc_id, length({_T}) AS n_chars FROM documents",
+    "title_case": f"SELECT doc_id, sha256(o) AS sha, {_n('loud', '[A-Z]')} - {_n('o', '[A-Z]')} AS n_lowered FROM (SELECT doc_id, loud, {_TITLED} AS o FROM (SELECT doc_id, {_LOUD} AS loud FROM documents))",
     "safe_filename": "SELECT page_id, left(translate(url, '<>:\"/\\|?*', '_________'), 255) AS name FROM pages",
     "html_to_text": f"SELECT page_id, length(t) AS n_chars, sha256(t) AS sha FROM (SELECT page_id, {_HTML} AS t FROM pages)",
     "html_security": f"SELECT page_id, contains(lower(html), '<script') AS script, contains(html, 'bit.ly') OR contains(html, 'tinyurl') AS shortened_url, contains(lower(html), '<script') OR contains(lower(html), 'javascript:') OR contains(lower(html), 'vbscript:') AS embedded_code, {_n('html', K.URL)} AS external_links FROM pages",

@@ -18,7 +18,15 @@ def _events(spark, d):
 
 
 def usage_stats(spark, d):
-    return S.usage(_events(spark, d), F.concat(F.lit("p"), (F.col("user_id") % 4).cast("string"))).withColumn("mean_latency", F.round("mean_latency", 6))
+    return _usage(spark, d).withColumn("mean_latency", F.round("mean_latency", 6)).withColumn("cost", F.round("cost", 6))
+
+
+def _usage(spark, d):
+    return S.usage(_events(spark, d), F.concat(F.lit("p"), (F.col("user_id") % 4).cast("string")), {"p0": 0.03, "p1": 0.002, "p2": 0.01})
+
+
+def usage_cost(spark, d):
+    return S.total_cost(_usage(spark, d)).withColumn("cost", F.round("cost", 6))
 
 
 def running_usage(spark, d):
@@ -57,9 +65,10 @@ def token_cost(spark, d):
 
 
 def render_prompt(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.left("text", F.lit(50)).alias("text"), "lang")
-    rows = docs.crossJoin(F.broadcast(S.templates(spark).filter("name = 'clause_extraction'")))
-    return rows.select("doc_id", S.render(F.col("template"), {"kind": F.coalesce("lang", F.lit("?")), "text": F.coalesce("text", F.lit(""))}).alias("prompt"), F.array_join(S.missing_variables(F.col("template"), ["text"]), ",").alias("missing"))
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    prompt = S.render(S.template("clause_extraction"), {"kind": F.coalesce("lang", F.lit("?")), "text": F.coalesce("text", F.lit(""))})
+    rows = docs.select("doc_id", prompt.alias("prompt"), F.array_join(S.missing_variables(S.template("clause_extraction"), ["text"]), ",").alias("missing"))
+    return rows.select("doc_id", F.length("prompt").alias("n_chars"), F.sha2(F.col("prompt").cast("binary"), 256).alias("sha"), "missing")
 
 
 def conversation_summary(spark, d):
@@ -68,16 +77,28 @@ def conversation_summary(spark, d):
     return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.sum((F.col("role") == "user").cast("long")).alias("n_user"), F.sum(F.length("text")).alias("n_chars"), F.max_by("role", "turn").alias("last_role"))
 
 
-QUERIES = {f.__name__: f for f in (usage_stats, running_usage, ttl_expired, lru_evict, size_evict, rate_window, rate_limit, circuit_breaker, token_cost, render_prompt, conversation_summary)}
+QUERIES = {f.__name__: f for f in (usage_stats, usage_cost, running_usage, ttl_expired, lru_evict, size_evict, rate_window, rate_limit, circuit_breaker, token_cost, render_prompt, conversation_summary)}
 
 SQL = {
-    "usage_stats": "SELECT 'p' || (user_id % 4) AS provider, count(*) AS calls, count(*) FILTER (WHERE event_type = 'error') AS failures, sum(CASE WHEN event_type <> 'error' THEN CAST(floor(abs(value)) AS BIGINT) ELSE 0 END) AS tokens, round(avg(value) FILTER (WHERE event_type <> 'error'), 6) AS mean_latency FROM events GROUP BY 1",
+    "usage_stats": "SELECT 'p' || (user_id % 4) AS provider, count(*) AS calls, count(*) FILTER (WHERE event_type = 'error') AS failures, sum(CASE WHEN event_type <> 'error' THEN CAST(floor(abs(value)) AS BIGINT) ELSE 0 END) AS tokens, round(avg(value) FILTER (WHERE event_type <> 'error'), 6) AS mean_latency, round(sum(CASE WHEN event_type <> 'error' THEN CAST(floor(abs(value)) AS BIGINT) ELSE 0 END)::DOUBLE / 1000 * CASE user_id % 4 WHEN 0 THEN 0.03 WHEN 1 THEN 0.002 WHEN 2 THEN 0.01 ELSE 0 END, 6) AS cost FROM events GROUP BY provider, user_id % 4",
+    "usage_cost": "SELECT count(*) AS calls, sum(t) AS tokens, round(sum(t * CASE user_id % 4 WHEN 0 THEN 0.03 WHEN 1 THEN 0.002 WHEN 2 THEN 0.01 ELSE 0 END)::DOUBLE / 1000, 6) AS cost FROM (SELECT *, CASE WHEN event_type <> 'error' THEN CAST(floor(abs(value)) AS BIGINT) ELSE 0 END AS t FROM events)",
     "running_usage": "SELECT event_id, count(*) OVER w AS n, round(avg(value) OVER w, 6) AS mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)",
     "ttl_expired": "SELECT event_type, count(*) AS n, max(event_id) AS last_id FROM events WHERE ts < TIMESTAMP '2024-01-20 11:00:00' GROUP BY 1",
     "lru_evict": "SELECT user_id FROM (SELECT user_id, row_number() OVER (ORDER BY max(struct_pack(a := ts, b := event_id)) DESC) AS r FROM events GROUP BY user_id) WHERE r > 50",
     "size_evict": "SELECT event_id, size FROM (SELECT event_id, CAST(floor(abs(value)) AS BIGINT) % 10 + 1 AS size, sum(CAST(floor(abs(value)) AS BIGINT) % 10 + 1) OVER (ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS s FROM events) WHERE s > 5000",
     "rate_window": "SELECT event_id, count(*) OVER w AS n_recent, count(*) OVER w <= 3 AS within FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 MINUTES PRECEDING AND CURRENT ROW)",
     "token_cost": "SELECT doc_id, 'm' || (doc_id % 4) AS model, CAST(floor(length(coalesce(text, '')) / 4.0) AS BIGINT) AS tokens, round(floor(length(coalesce(text, '')) / 4.0) / 1000 * CASE doc_id % 4 WHEN 1 THEN 0.002 WHEN 2 THEN 0.01 ELSE 0.03 END, 6) AS cost FROM documents",
-    "render_prompt": "SELECT doc_id, 'Give each clause of the ' || coalesce(lang, '?') || ' below as {\"type\": ..., \"text\": ...}: ' || coalesce(left(text, 50), '') AS prompt, 'kind' AS missing FROM documents",
+    "render_prompt": "SELECT doc_id, length(p) AS n_chars, sha256(p) AS sha, 'kind' AS missing FROM (SELECT doc_id, 'Give each clause of the ' || coalesce(lang, '?') || ' below as {\"type\": ..., \"text\": ...}: ' || coalesce(text, '') AS p FROM documents)",
+    "rate_limit": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+        r AS (SELECT user_id, rn, event_id, TRUE AS allowed, 0.0::DOUBLE AS wait_seconds, [tm] AS times FROM e WHERE rn = 1
+        UNION ALL SELECT user_id, rn, event_id, len(open) < 5, CASE WHEN len(open) < 5 THEN 0.0 ELSE 3600.0 - (tm - open[1]) END, CASE WHEN len(open) < 5 THEN list_append(open, tm) ELSE open END
+        FROM (SELECT e.*, list_filter(r.times, lambda t: t > e.tm - 3600.0) AS open FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
+        SELECT user_id, event_id, allowed, wait_seconds FROM r""",
+    "circuit_breaker": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS tm, coalesce(event_type = 'error', FALSE) AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+        r AS (SELECT user_id, 0 AS rn, NULL::BIGINT AS event_id, 'closed' AS state, TRUE AS passed, 0 AS failures, 0.0::DOUBLE AS last FROM e WHERE rn = 1
+        UNION ALL SELECT user_id, rn, event_id, CASE WHEN s = 'open' THEN 'open' WHEN bad AND (s = 'half_open' OR failures + 1 >= 3) THEN 'open' WHEN NOT bad AND s = 'half_open' THEN 'closed' ELSE s END, s <> 'open',
+        CASE WHEN s = 'open' THEN failures WHEN bad THEN failures + 1 WHEN s = 'half_open' THEN 0 ELSE failures END, CASE WHEN s <> 'open' AND bad THEN tm ELSE last END
+        FROM (SELECT e.*, r.failures, r.last, CASE WHEN r.state = 'open' AND e.tm - r.last >= 86400.0 THEN 'half_open' ELSE r.state END AS s FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
+        SELECT user_id, event_id, state, passed FROM r WHERE rn > 0""",
     "conversation_summary": "SELECT conv_id, count(*) AS n_turns, count(*) FILTER (WHERE role = 'user') AS n_user, sum(length(text)) AS n_chars, max_by(role, turn) AS last_role FROM conversations GROUP BY conv_id",
 }

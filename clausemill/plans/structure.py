@@ -113,9 +113,10 @@ def fallback_boundaries(spark, d):
 
 QUERIES = {f.__name__: f for f in (headings, paragraphs, list_runs, table_runs, document_tables, sections, pdf_headings, table_heuristic, chunk_fixed, chunk_sentence, chunk_paragraph, chunk_structure, chunk_hybrid, chunk_links, chunk_overlap, chunk_quality, chunk_section_range_join, text_overlap, tune_chunking, batch_list, fallback_boundaries)}
 
-_LINES = f"SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_number FROM ({STRUCTURED})"
+_LINES = f"""SELECT *, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS position FROM (
+    SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_number FROM ({STRUCTURED}))"""
 _HEADS = f"""SELECT doc_id, text, line_number, CASE WHEN m <> '' THEN length(m) ELSE length(n) - length(replace(n, '.', '')) + 1 END AS level,
-    {_strip(f"CASE WHEN m <> '' THEN regexp_extract(line, '{K.MARKDOWN_HEADING}', 2) ELSE regexp_extract(line, '{K.NUMBERED_HEADING}', 2) END")} AS title, instr(text, raw) - 1 AS position
+    {_strip(f"CASE WHEN m <> '' THEN regexp_extract(line, '{K.MARKDOWN_HEADING}', 2) ELSE regexp_extract(line, '{K.NUMBERED_HEADING}', 2) END")} AS title, position
     FROM (SELECT *, regexp_extract(line, '{K.MARKDOWN_HEADING}', 1) AS m, regexp_extract(line, '{K.NUMBERED_HEADING}', 1) AS n FROM (SELECT *, {_strip('raw')} AS line FROM ({_LINES})))
     WHERE m <> '' OR (n <> '' AND length(line) < 100)"""
 _SECTIONS = f"""SELECT h.doc_id, h.level, h.title, h.position AS start, coalesce(min(l.position), any_value(length(h.text))) AS "end", h.text
@@ -138,6 +139,19 @@ def _cut(size, overlap, above):
 
 
 _CHUNKS = f"SELECT *, doc_id || '_' || start || '_' || substr(md5(content), 1, 8) AS chunk_id FROM ({_fixed(_DOCS, 1000, 50)})"
+_SENTENCES = rf"list_filter(list_transform(string_split_regex(text, '[.!?]+(?:[ \t\n\r\f]+|$)'), lambda p: {_strip('p')}), lambda p: length(p) > 10)"
+_LONG_LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda p: {_strip('p')}), lambda p: length(p) > 20)"
+
+
+def _packed(parts, limit, joiner):
+    """Greedy packing, a part a step; a full chunk passes its last part on."""
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, {parts} AS ps FROM ({_DOCS})),
+        r AS (SELECT doc_id, ps, 1 AS i, 0 AS k, [ps[1]] AS cur, length(ps[1]) AS size FROM d WHERE len(ps) > 0
+        UNION ALL SELECT doc_id, ps, i + 1, CASE WHEN big THEN k + 1 ELSE k END, CASE WHEN big THEN [cur[-1], ps[i + 1]] ELSE list_append(cur, ps[i + 1]) END, CASE WHEN big THEN length(cur[-1]) + length(ps[i + 1]) ELSE size + length(ps[i + 1]) END
+        FROM (SELECT *, size + length(ps[i + 1]) > {limit} AS big FROM r WHERE i < len(ps)))
+        SELECT doc_id, k, length(c) AS n_chars, md5(c) AS content_md5 FROM (SELECT doc_id, k, array_to_string(max_by(cur, i), {joiner}) AS c FROM r GROUP BY doc_id, k)"""
+
+
 _RUN = "line_number - row_number() OVER (PARTITION BY doc_id ORDER BY line_number)"
 _BARS = "length(raw) - length(replace(raw, '|', ''))"
 _TABLES = f"SELECT doc_id, min(line_number) AS start_line, max(line_number) AS end_line, count(*) AS n_rows FROM (SELECT doc_id, line_number, {_RUN} AS run FROM (LINES) WHERE {_BARS} >= 2) GROUP BY doc_id, run HAVING count(*) >= 2"
@@ -156,6 +170,8 @@ SQL = {
         SELECT *, regexp_extract(line, '^(\d+(?:\.\d+)*)\.?\s+[A-Z]', 1) AS n FROM (SELECT *, {_strip('raw')} AS line FROM ({_LINES})) WHERE length(line) BETWEEN 1 AND 100)) WHERE heading_type IS NOT NULL""",
     "table_heuristic": f"SELECT doc_id, coalesce(list_sum(list_transform(f, lambda s: {_SIGNS})), 0) > 0.2 * len(f) AS tabular FROM (SELECT doc_id, list_filter(string_split({_T}, chr(10)), lambda s: {_strip('s')} <> '') AS f FROM documents)",
     "chunk_fixed": f'SELECT doc_id, k, start, "end", md5(content) AS content_md5 FROM ({_fixed(_DOCS, 1000, 50)})',
+    "chunk_sentence": _packed(_SENTENCES, 400, "' '"),
+    "chunk_paragraph": _packed(_LONG_LINES, 1000, "chr(10) || chr(10)"),
     "chunk_structure": _cut(300, 50, 300),
     "chunk_hybrid": _cut(300, 50, 450),
     "chunk_links": f"SELECT doc_id, start, 'previous:' || lag(chunk_id) OVER w AS previous, 'next:' || lead(chunk_id) OVER w AS next FROM ({_CHUNKS}) WINDOW w AS (PARTITION BY doc_id ORDER BY start)",

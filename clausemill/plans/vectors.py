@@ -10,8 +10,9 @@ from ..sources.tables import table
 
 
 def _query_vector(vectors, vec_id):
+    """The vector with an id; one without a direction, which nothing is like, if there is none."""
     rows = vectors.filter(F.col("vec_id") == vec_id).select("embedding").take(1)
-    return list(rows[0][0]) if rows else [0.0]
+    return list(rows[0][0]) if rows and rows[0][0] else []
 
 
 def vector_topk(spark, d, k=5, threshold=0.1):

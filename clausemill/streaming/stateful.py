@@ -14,7 +14,7 @@ ALLOWED = "user_id long, event_id long, allowed boolean, wait_seconds double"
 BREAKER = "user_id long, event_id long, state string, passed boolean"
 
 
-class RateLimiter:
+class AllowanceWindow:
     """Allows an event while fewer than ``limit`` were allowed in the last ``window`` seconds;
     only allowed ones count."""
 
@@ -30,7 +30,7 @@ class RateLimiter:
         return False, self.window - (at - self.times[0])
 
 
-class CircuitBreaker:
+class FailureGate:
     """closed: passes all, opens at ``threshold`` failures. open: passes none until ``timeout``
     seconds after the last failure. Then half_open: one success closes it, a failure reopens."""
 
@@ -53,40 +53,57 @@ class CircuitBreaker:
 
 
 def _seconds(ts: pd.Series) -> pd.Series:
-    return ts.astype("datetime64[us]").astype("int64") / 1e6
+    return (ts.astype("datetime64[us]") - pd.Timestamp(0)) / pd.Timedelta(seconds=1)
 
 
-def _limited(key, rows: pd.DataFrame, limiter: RateLimiter) -> pd.DataFrame:
+def _limited(key, rows: pd.DataFrame, limiter: AllowanceWindow) -> pd.DataFrame:
     rows = rows.sort_values(["ts", "event_id"])
     got = [limiter.offer(t) for t in _seconds(rows["ts"])]
     return pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "allowed": [g[0] for g in got], "wait_seconds": [g[1] for g in got]})
 
 
-def _broken(key, rows: pd.DataFrame, breaker: CircuitBreaker) -> pd.DataFrame:
+def _broken(key, rows: pd.DataFrame, breaker: FailureGate) -> pd.DataFrame:
     rows = rows.sort_values(["ts", "event_id"])
     got = [breaker.offer(t, e == "error") for t, e in zip(_seconds(rows["ts"]), rows["event_type"])]
     return pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "state": [g[0] for g in got], "passed": [g[1] for g in got]})
 
 
-def rate_limit_batch(events: DataFrame, limit: int, window: float) -> DataFrame:
-    """The limiter over a finished table, a user at a time."""
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        return _limited(key, rows, RateLimiter(limit, window))
+def _by_user(events: DataFrame, offer, fresh, schema: str) -> DataFrame:
+    """A state machine over each user's events in order. Spark sorts the rows; tasks go through
+    them batch by batch and keep the present user's machine alone, so a user with any share of
+    the rows needs no more memory. Null users are one user; null times come first, as time 0."""
+    names = [f.split()[0] for f in schema.split(", ")]
 
-    return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandas(run, ALLOWED)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, machine = object(), None
+        for f in frames:
+            out = []
+            times = _seconds(f["ts"]).fillna(0.0)
+            for u, e, t, kind in zip(f["user_id"], f["event_id"], times, f["event_type"]):
+                u = None if pd.isna(u) else u
+                if machine is None or u != user:
+                    user, machine = u, fresh()
+                out.append((u, e, *offer(machine, t, kind)))
+            yield pd.DataFrame(out, columns=names).astype({"user_id": "Int64", "event_id": "Int64"})
 
+    rows = events.select("user_id", "event_id", "ts", "event_type")
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").mapInPandas(run, schema)
+
+
+def rate_limit_batch(events: DataFrame, limit: int, window: float) -> DataFrame:
+    """The limiter over a finished table."""
+    return _by_user(events, lambda m, t, kind: m.offer(t), lambda: AllowanceWindow(limit, window), ALLOWED)
 
-def circuit_breaker_batch(events: DataFrame, threshold: int, timeout: float) -> DataFrame:
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        return _broken(key, rows, CircuitBreaker(threshold, timeout))
 
-    return events.select("user_id", "event_id", "ts", "event_type").groupBy("user_id").applyInPandas(run, BREAKER)
+def circuit_breaker_batch(events: DataFrame, threshold: int, timeout: float) -> DataFrame:
+    """The breaker over a finished table; events of type error are failures."""
+    return _by_user(events, lambda m, t, kind: m.offer(t, kind == "error"), lambda: FailureGate(threshold, timeout), BREAKER)
 
 
 def rate_limit_stream(events: DataFrame, limit: int, window: float) -> DataFrame:
     """The limiter over a stream; its state is the times of at most ``limit`` allowed events."""
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        limiter = RateLimiter(limit, window, state.get[0] if state.exists else ())
+        limiter = AllowanceWindow(limit, window, state.get[0] if state.exists else ())
         rows = pd.concat(list(frames))
         out = _limited(key, rows, limiter)
         state.update((list(limiter.times),))
@@ -97,7 +114,7 @@ def rate_limit_stream(events: DataFrame, limit: int, window: float) -> DataFrame
 
 def circuit_breaker_stream(events: DataFrame, threshold: int, timeout: float) -> DataFrame:
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        breaker = CircuitBreaker(threshold, timeout, *(state.get if state.exists else ()))
+        breaker = FailureGate(threshold, timeout, *(state.get if state.exists else ()))
         out = _broken(key, pd.concat(list(frames)), breaker)
         state.update((breaker.state, breaker.failures, breaker.last))
         yield out

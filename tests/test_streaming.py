@@ -8,10 +8,10 @@ from clausemill.streaming import stateful
 
 
 def test_state_machines():
-    r = stateful.RateLimiter(2, 10.0)
+    r = stateful.AllowanceWindow(2, 10.0)
     assert [r.offer(t)[0] for t in (0, 1, 2, 9, 10, 11, 12)] == [True, True, False, False, True, True, False]
     assert r.offer(12)[1] == pytest.approx(8)
-    b = stateful.CircuitBreaker(2, 5.0)
+    b = stateful.FailureGate(2, 5.0)
     got = [b.offer(t, f) for t, f in ((0, True), (1, False), (2, True), (3, False), (8, False), (9, True))]
     assert got == [("closed", True), ("closed", True), ("open", True), ("open", False), ("closed", True), ("closed", True)]
 
