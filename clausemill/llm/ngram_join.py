@@ -299,7 +299,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, sketch_bi
     entries = entries.select("tok", "c1", "c2", _pack(F.col("central"), F.col("n"), F.col("pos").cast("long")).alias("p"))
     whole = Window.partitionBy("tok")
     shared = entries.select("*", F.count(F.lit(1)).over(whole).alias("k"), F.max(F.struct("p", "c1", "c2")).over(whole).alias("head")).filter("k > 1").drop("k")
-    blocks = materialise(shared.dropDuplicates(["tok", "c1", "c2"]), "blocks")
+    nodes = F.count(F.lit(1)).over(whole).alias("k")
+    blocks = materialise(shared.dropDuplicates(["tok", "c1", "c2"]).select("*", nodes).filter("k > 1"), "blocks")
     ids = materialise(ids, "ids")
     release(sets)
     classes = ids.filter(F.col("n") > 0).groupBy("c1", "c2").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("d"))
@@ -309,7 +310,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, sketch_bi
     edges = _edges(star, docs, classes, n, percent)
     labels = components(edges)
 
-    node = blocks.select("tok", "p", F.struct("c1", "c2").alias("node")).join(labels, "node", "left")
+    # Two nodes of one shingle have met already.
+    node = blocks.filter("k > 2").select("tok", "p", F.struct("c1", "c2").alias("node")).join(labels, "node", "left")
     node = materialise(node.select("tok", "p", "node", F.coalesce("label", "node").alias("label")), "blocks")
     release(blocks)
     # Only shingles whose block holds several components go on; most blocks hold one by now.
