@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches
 
+#: A name of this operator's own.
+_GOT = "_media_got"
 ITEM = "struct<pos: int, kind: string, text: string, ref: string, caption: string>"
 _MEDIA = {"img": "image", "video": "video", "audio": "audio", "source": "video", "embed": "object"}
 _BLOCKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "figure", "table", "ul", "ol", "blockquote", "pre", "figcaption"}
@@ -100,9 +102,39 @@ def sequences(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.withColumn("sequence", interleaved(pages[html]))
 
 
+def escaped(text: Column) -> Column:
+    """Text as it stands in HTML."""
+    out = text
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def document_page(text: Column, digest: Column, caption: Column) -> Column:
+    """A document as a page: its first line, a figure with the payload that ``digest`` names, then
+    its other lines. Null text is empty; nothing is left out."""
+    whole = escaped(F.coalesce(text, F.lit("")))
+    first = F.substring_index(whole, "\n", 1)
+    rest = F.replace(F.substring(whole, F.length(first) + 2, F.length(whole)), F.lit("\n"), F.lit("</p><p>"))
+    figure = F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('"><figcaption>'), escaped(F.coalesce(caption, F.lit(""))), F.lit("</figcaption></figure>"))
+    return F.concat(F.lit("<article><p>"), first, F.lit("</p>"), figure, F.lit("<p>"), rest, F.lit("</p></article>"))
+
+
+def without_texts(sequence: Column) -> Column:
+    """The items of a sequence with their text's length in its place: what an alignment needs."""
+    return F.transform(sequence, lambda x: F.struct(x["pos"].alias("pos"), x["kind"].alias("kind"), F.coalesce(F.length(x["text"]), F.lit(0)).alias("n_chars"), x["ref"].alias("ref"), x["caption"].alias("caption")))
+
+
 _SIDE = 64
 
 
+def payload_digest(text: Column) -> Column:
+    """sha256 of the payload that ``encode_payloads`` stores for a text."""
+    data = F.coalesce(text, F.lit("")).cast("binary")
+    zeros = F.when(F.length(data) == 0, _SIDE).otherwise(F.pmod(-F.length(data), F.lit(_SIDE)))
+    return F.sha2(F.concat(data, F.unhex(F.repeat(F.lit("00"), zeros))), 256)
+
+
 def to_png(payload: bytes) -> bytes:
     """8-bit grey PNG, 64 samples a row; ``payload`` is a positive multiple of 64 bytes."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, _SIDE)
@@ -138,7 +170,9 @@ def encode_payloads(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, digest, media) of (doc_id, text): the text's padded bytes as PNG.
 
     ``digest`` is the payload's sha256; ``media`` is null where the task has given that digest
-    before (bounded memory of digests), so copies are stored a few times, not each time.
+    before (bounded memory of digests), so copies are stored a few times, not each time. Null and
+    empty texts are one payload of 64 zero bytes; repeated rows give a row each; an empty table
+    gives none; columns other than doc_id and text are ignored.
     """
     bound_batches(docs.sparkSession)
 
@@ -153,13 +187,13 @@ def encode_payloads(docs: DataFrame) -> DataFrame:
                 d = hashlib.sha256(payload)
                 media = None
                 if d.digest() not in seen:
-                    if len(seen) > 500_000:
+                    if len(seen) >= 100_000:
                         seen.clear()
                     seen.add(d.digest())
                     media = to_png(payload)
                     size += len(media)
                 out.append((doc, len(data), d.hexdigest(), media))
-                if size > 8_000_000:
+                if size > 2_000_000 or len(out) >= 2000:
                     yield _rows(out, _ENCODED)
                     out, size = [], 0
             if out:
@@ -177,7 +211,8 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def read_payloads(store: DataFrame) -> DataFrame:
-    """What the stored media (digest, media) hold, one row a digest: sizes, checks, feature."""
+    """What the stored media (digest, media) hold, one row a digest: sizes, checks, feature. Rows
+    without media are passed over; an empty table gives no rows."""
     def run(batches):
         for batch in batches:
             out = []
@@ -200,13 +235,17 @@ def digest_of(ref: Column) -> Column:
 def resolve(seqs: DataFrame, payloads: DataFrame, key: str) -> DataFrame:
     """The media items of ``seqs`` (``key``, sequence), a row each, with what ``payloads`` (one
     row a digest) has of them; unresolved ones keep nulls. Only references and the light payload
-    rows meet in the join."""
+    rows meet in the join. A null or empty sequence gives no rows; repeated rows give theirs each."""
     items = seqs.select(key, F.explode("sequence").alias("item")).filter(F.col("item.ref").isNotNull()).select(key, "item.pos", "item.kind", "item.ref", "item.caption").withColumn("digest", digest_of(F.col("ref")))
     return items.join(payloads, "digest", "left")
 
 
 def align(seqs: DataFrame, resolved: DataFrame, key: str) -> DataFrame:
     """``seqs`` with ``media``: an array as long as ``sequence`` that has, at each media item's
-    position, the digest that was resolved for it (null for text and unresolved items)."""
-    got = resolved.filter(F.col("payload_bytes").isNotNull()).groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("pos", "digest"))).alias("got"))
-    return seqs.join(got, key, "left").withColumn("media", F.transform("sequence", lambda x: F.try_element_at("got", x["pos"]))).drop("got")
+    position, what was resolved for it (null for text and unresolved items). ``key`` names a
+    sequence; rows that repeat one get the same array. A null key keeps its sequence and resolves
+    nothing; a column called media is replaced."""
+    own = [c for c in resolved.columns if c not in (key, "kind", "ref", "caption")]
+    got = resolved.filter(F.col("payload_bytes").isNotNull()).groupBy(key).agg(F.collect_set(F.struct(*own)).alias(_GOT))
+    found = lambda x: F.try_element_at(F.filter(_GOT, lambda g: g["pos"] == x["pos"]), F.lit(1))
+    return seqs.drop("media").join(got, key, "left").withColumn("media", F.transform("sequence", found)).drop(_GOT)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, linededup, media, merkle, mixing, ngram_join, packing, pii, quality, tokenfile
-from .common import count_words, fold_remainder, read, scratch_dir
+from .common import count_words, fold_remainder, materialise, read, scratch_dir
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = merkle.fingerprint_with_next(read(spark, sf_dir, "documents"), tail=4, with_texts=False)
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "changed")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,15 +95,22 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text becomes a payload that a page refers to by digest; the page is parsed, and the
-    digest join brings what the stored payload holds."""
+    """Each document becomes a page of its lines and a figure that refers to its payload by digest.
+    The pages are parsed to ordered items, digest joins bring what the stored payloads hold, and the
+    figure's place in the aligned sequence gives the row. Rows with a null id keep theirs."""
     path = scratch_dir(spark, "media") + "/store"
-    media.encode_payloads(read(spark, sf_dir, "documents")).write.option("compression", "zstd").parquet(path)
-    stored = spark.read.schema("doc_id long, n_bytes long, digest string, media binary").parquet(path)
-    html = F.concat(F.lit('<figure><img src="sha256:'), F.col("digest"), F.lit('"><figcaption>'), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure>"))
-    pages = media.sequences(stored.select(F.struct("doc_id", "n_bytes").alias("page"), html.alias("html")))
-    out = media.resolve(pages, media.read_payloads(stored), "page")
-    return out.select("page.doc_id", "page.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    media.encode_payloads(docs).select("digest", "media").filter("media IS NOT NULL").write.option("compression", "zstd").parquet(path)
+    payloads = materialise(media.read_payloads(spark.read.schema("digest string, media binary").parquet(path)), "payloads")
+    digest, caption = media.payload_digest(F.col("text")), F.concat(F.lit("document "), F.col("doc_id").cast("string"))
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.length(F.coalesce("text", F.lit("")).cast("binary")).cast("long").alias("n_bytes"), digest.alias("digest"))
+    pages = media.sequences(docs.select(key.alias("page"), media.document_page(F.col("text"), digest, caption).alias("html"))).drop("html")
+    light = materialise(pages.withColumn("sequence", media.without_texts(F.col("sequence"))), "sequences")
+    aligned = media.align(light, media.resolve(light, payloads, "page"), "page")
+    at = F.array_position(F.transform("sequence", lambda x: x["kind"]), F.lit("image")).cast("int")
+    rows = aligned.withColumn("at", at).withColumns({"m": F.get("media", F.col("at") - 1), "item": F.get("sequence", F.col("at") - 1)})
+    return rows.select("page.doc_id", "page.n_bytes", "m.payload_bytes", "m.payload_sha256", "m.tail_crc32", "m.media_bytes", "m.media_sha256", "m.feature",
+                       F.col("item.pos").alias("position"), F.col("item.caption").alias("caption"), F.size("sequence").alias("n_items"), F.aggregate("sequence", F.lit(0).cast("long"), lambda a, x: a + x["n_chars"]).alias("sequence_chars"))
 
 
 def queries() -> dict:
