@@ -1,13 +1,15 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
-Entities found by fixed patterns are the seeds. The words around them are lexical patterns; a
-graph of patterns and the identifier-like values they surround is scored in rounds: a pattern by
-the share of its values that are known, a value by the patterns that surround it. Values that
-good patterns surround are identifiers that the fixed patterns don't know.
+Entities found by fixed patterns are the seeds. The words around them, in several widths, and the
+shapes of their digits are lexical patterns; a graph of patterns and the identifier-like values
+that have them is scored in rounds: a pattern by the share of its values that are known, a value by
+its patterns. Values of good patterns are identifiers that the fixed patterns don't know.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,13 +96,39 @@ def _with_kind(kind: str) -> Column:
 
 
 def _contexts(text: Column, x: Column) -> Column:
-    """The lexical patterns around a span: the two words before it; the words on either side.
-    Words are what stands within 80 code points, lower-cased."""
-    left = lower_ascii(F.substring(text, F.greatest(x["s"] - 79, F.lit(1)), F.least(x["s"], F.lit(80))))
-    right = lower_ascii(F.substring(text, x["e"] + 1, F.lit(80)))
-    two = F.regexp_extract(left, r"(?:^|\s)(\S++\s++\S++)\s*+$", 1)
-    one, after = F.regexp_extract(left, r"(?:^|\s)(\S++)\s*+$", 1), F.regexp_extract(right, r"^\s*+(\S++)", 1)
-    return F.array_compact(F.array(F.when(two != "", F.concat(F.lit("before:"), two)), F.when((one != "") & (after != ""), F.concat(F.lit("around:"), one, F.lit("|"), after))))
+    """The lexical patterns of a span, in several widths: the three and the two words before it in
+    its line, the words on either side, the two words after it; and those of its own form
+    (``_forms``). Words are what stands within 80 code points, lower-cased, digits as 0; '^' stands
+    for the start of a line."""
+    plain = lambda c: F.regexp_replace(lower_ascii(c), "[0-9]", "0")
+    left = F.substring(text, F.greatest(x["s"] - 79, F.lit(1)), F.least(x["s"], F.lit(80)))
+    left = plain(F.when((x["s"] < 80) | F.contains(left, F.lit("\n")), F.concat(F.lit("^ "), F.substring_index(left, "\n", -1))).otherwise(left))
+    right = plain(F.substring_index(F.substring(text, x["e"] + 1, F.lit(80)), "\n", 1))
+    before = lambda n: F.regexp_extract(left, r"(?:^|\s)(" + r"\s++".join([r"\S++"] * n) + r")\s*+$", 1)
+    after = lambda n: F.regexp_extract(right, r"^\s*+(" + r"\s++".join([r"\S++"] * n) + ")", 1)
+    named = lambda kind, c: F.when(c != "", F.concat(F.lit(kind), c))
+    around = F.when((before(1) != "") & (after(1) != ""), F.concat(F.lit("around:"), before(1), F.lit("|"), after(1)))
+    return F.array_compact(F.concat(F.array(named("before:", before(3)), named("before:", before(2)), around, named("after:", after(2))), _forms(_cut(text, x))))
+
+
+def _forms(value: Column) -> Column:
+    """Patterns of a value's own form. Without letters: its digit shape, the shape without a leading
+    +country code, and for card-like lengths how many digits it has however they are grouped. With
+    an @: the host, digits as 9."""
+    n = F.length(_digits(value))
+    shape = F.regexp_replace(value, "[0-9]", "9")
+    numeric = (n >= 7) & value.rlike(r"^[0-9+() ./-]+$")
+    return F.array(F.when(numeric, F.concat(F.lit("shape:"), shape)), F.when(numeric, F.concat(F.lit("core:"), F.regexp_replace(shape, r"^\+9{1,3}[ .-]?", ""))), F.when(numeric & (n >= 13), F.concat(F.lit("digits:"), n.cast("string"))),
+                   F.when(F.contains(value, F.lit("@")), F.concat(F.lit("host:"), F.regexp_replace(lower_ascii(F.substring_index(value, "@", -1)), "[0-9]", "9"))))
+
+
+def plausible(kind: Column, value: Column) -> Column:
+    """Whether a value may be of a kind at all, whatever surrounds it: what a base pattern's test
+    has refused no context brings back."""
+    n = F.length(_digits(value))
+    groups = F.regexp_extract_all(value, F.lit("[0-9]+"), F.lit(0))
+    ip = (F.size(groups) == 4) & _ip_ok(F.array_join(groups, "."))
+    return F.when(kind == "email", F.contains(value, F.lit("@"))).when(kind == "ip", ip).when(kind == "card", _luhn(value)).otherwise(n.between(7, 15) & ~value.rlike(r"\p{L}"))
 
 
 def _identifier_like(value: Column, min_digits: int) -> Column:
@@ -126,26 +154,27 @@ def find_base(docs: DataFrame, min_digits: int = 5) -> DataFrame:
     return rows.select("doc_id", "rk1", "rk2", *KINDS, seen.alias("seen"))
 
 
-def bootstrap(seen: DataFrame, min_support: int = 3, min_pattern: float = 0.8, min_value: float = 0.8) -> DataFrame:
+def bootstrap(seen: DataFrame, min_support: int = 3, min_pattern: float = 0.8, min_value: float = 0.8, may_be: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(value, kind, score) of identifiers that patterns discover.
 
     ``seen``: kind (null if unknown), value, contexts. In each round a pattern's confidence for a
     kind is the summed score of its known values of that kind over the number of its distinct
-    values; it counts from ``min_pattern`` on with a sum of at least ``min_support``. A value's
+    values that may be of it; it counts from ``min_pattern`` on with a sum of at least ``min_support``. A value's
     score joins its patterns' confidences by noisy-or and counts from ``min_value`` on. Values
-    with a known kind keep it, found ones as well; scores only rise. The rounds end when one adds
-    neither a value nor a pattern. Edges are distinct pairs, so common values weigh once.
+    with a known kind keep it, found ones as well; scores only rise. ``may_be`` (kind, value) keeps
+    out values that can't be of a kind. The rounds end when one adds neither a value nor a pattern. Edges are distinct pairs, so common values weigh once.
     """
-    edges = materialise(seen.select("value", F.explode("contexts").alias("pattern")).distinct(), "pii-edges")
-    totals = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("total")).filter(F.col("total") >= min_support)
+    may = F.array_compact(F.array(*[F.when(may_be(F.lit(k), F.col("value")) if may_be else F.lit(True), k) for k in KINDS]))
+    edges = materialise(seen.withColumn("may", may).select("value", "may", F.explode("contexts").alias("pattern")).distinct(), "pii-edges")
+    totals = edges.select("pattern", F.explode("may").alias("kind")).groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("total")).filter(F.col("total") >= min_support)
     seeds = materialise(seen.filter("kind IS NOT NULL").groupBy("value").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0)), "pii-seeds")
     known, size = seeds, None
     while True:
         patterns = (edges.join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("hits")).filter(F.col("hits") >= min_support)
-                    .join(totals, "pattern").withColumn("confidence", F.col("hits") / F.col("total")).filter(F.col("confidence") >= min_pattern))
+                    .join(totals, ["pattern", "kind"]).withColumn("confidence", F.col("hits") / F.col("total")).filter(F.col("confidence") >= min_pattern))
         patterns = materialise(patterns.select("pattern", "kind", "confidence"), "pii-patterns")
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))
-        found = edges.join(patterns, "pattern").join(seeds.select("value"), "value", "left_anti").groupBy("value", "kind").agg((1 - doubt).alias("score")).filter(F.col("score") >= min_value)
+        found = edges.join(patterns, "pattern").filter(F.array_contains("may", F.col("kind"))).join(seeds.select("value"), "value", "left_anti").groupBy("value", "kind").agg((1 - doubt).alias("score")).filter(F.col("score") >= min_value)
         both = known.select("value", "kind", "score", F.lit(1).alias("old")).unionByName(found.withColumn("old", F.lit(0)))
         both = both.groupBy("value", "kind").agg(F.max("score").alias("score"), F.max("old").alias("old"))
         best = both.groupBy("value").agg(F.max(F.struct("old", "score", "kind")).alias("b"))
@@ -163,6 +192,21 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(keyed, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def held_back(docs: DataFrame, part: int = 5, **options) -> DataFrame:
+    """How much the bootstrap finds again: (kind, n_hidden, n_found, n_right), where one in ``part``
+    of the known values, by hash, is given to it as unknown; n_right of those it names have their
+    own kind. So much smaller is the share that a pattern's known values can have, and the bounds
+    are lowered by that."""
+    options = {"min_pattern": 0.8 * (1 - 1 / part), "min_value": 0.8 * (1 - 1 / part)} | options
+    found = materialise(find_base(docs.select("doc_id", "text")), "pii")
+    seen = found.select(F.explode("seen").alias("x")).select("x.kind", "x.value", "x.contexts")
+    hidden = F.pmod(F.xxhash64("value"), F.lit(part)) == 0
+    got = bootstrap(seen.select(F.when(~hidden, F.col("kind")).alias("kind"), "value", "contexts"), may_be=plausible, **options)
+    truth = seen.filter(hidden & F.col("kind").isNotNull()).groupBy("value").agg(F.min("kind").alias("kind"))
+    rows = truth.join(got.select("value", F.col("kind").alias("named")), "value", "left")
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n_hidden"), F.count("named").alias("n_found"), F.sum((F.col("named") == F.col("kind")).cast("long")).alias("n_right"))
+
+
 def find_personal_data(docs: DataFrame, **options) -> DataFrame:
     """Personal data in every whole text of ``docs`` (doc_id, text).
 
@@ -176,7 +220,7 @@ def find_personal_data(docs: DataFrame, **options) -> DataFrame:
     """
     found = materialise(find_base(docs.select("doc_id", "text")), "pii")
     seen = found.select("rk1", "rk2", F.explode("seen").alias("x")).select("rk1", "rk2", "x.*")
-    values = bootstrap(seen.select("kind", "value", "contexts"), **options)
+    values = bootstrap(seen.select("kind", "value", "contexts"), may_be=plausible, **options)
     added = seen.filter("kind IS NULL").select("rk1", "rk2", "s", "e", "value").join(values.select("value", "kind"), "value")
     added = added.groupBy("rk1", "rk2").agg(F.collect_set(F.struct("kind", "s", "e")).alias("added"))
     base = F.concat(*map(_with_kind, KINDS))

@@ -79,6 +79,24 @@ def test_patterns_that_mix_discover_nothing(spark):
     assert all(r.base == r.spans for r in pii.find_personal_data(docs).collect())
 
 
+def test_shapes_find_what_the_base_patterns_lose(spark):
+    check = lambda d: next(c for c in "0123456789" if luhn(d + c))
+    cards = [d + check(d) for d in (f"4929348{i}8514{i}" for i in range(10, 30))]
+    rows = [(i, f"{chr(97 + i)}w {chr(97 + i)}x {c} {chr(97 + i)}y z") for i, c in enumerate(cards)]
+    rows = [(100 + i, t) for i, t in rows] + [(10, f"a b {cards[0][:-1]}{(int(cards[0][-1]) + 1) % 10} c"), (11, "c d 4242424242424242 5105105105105100 e"), (12, "g h 4222.2222.2222.2220 k"), (13, "m n 9111111111111111 4242424242424241 o")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.base, r.spans) for r in pii.find_personal_data(docs).collect()}
+    assert got[10] == ("", "") and got[13] == ("", "")  # refused by the check digit
+    assert got[11] == ("", "card:4:20,card:21:37")
+    assert got[12][1] == "card:4:23"
+
+
+def test_hidden_values_come_back(spark):
+    rows = [(i, f"Send it to +1 (325) 555-{4000 + 7 * i} by noon {i}.") for i in range(60)] + [(100 + i, f"From host 10.0.{i}.7 today {i}") for i in range(60)]
+    got = {r.kind: r for r in pii.held_back(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {"phone", "ip"} and all(r.n_hidden > 3 and r.n_right == r.n_found >= 0.9 * r.n_hidden for r in got.values())
+
+
 def test_odd_documents(spark):
     got = pii.find_personal_data(documents(spark)).collect()
     assert len(got) == len(TEXTS) and all(r.base == "" for r in got)
@@ -87,8 +105,8 @@ def test_odd_documents(spark):
 
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "a@b.c")], "doc_id long, text string")
-    plan = pii.find_base(docs)._jdf.queryExecution().toString()
-    assert not re.search("Python|Arrow|Pandas", plan)
+    for frame in (pii.find_base(docs), pii.find_personal_data(docs)):
+        assert not re.search("Python|Arrow|Pandas", frame._jdf.queryExecution().toString())
 
 
 @pytest.mark.parametrize("value,ok", [("4111111111111111", True), ("4111111111111112", False), ("411111111111", False)])
