@@ -5,13 +5,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialise, release
+from .common import bound_batches, materialise, release, tidy
 from .shingles import shingle_set, words_by_text
 
 _NO_ID = -(1 << 63)
@@ -27,7 +28,7 @@ def _halves(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
     return pa.array(d[:, 0]), pa.array(d[:, 1])
 
 
-def shingle_sketch(docs: DataFrame, n: int, bits: int, chunk: int = 3_000_000) -> np.ndarray:
+def shingle_sketch(docs: DataFrame, n: int, bits: int, chunk: int = 2_000_000) -> np.ndarray:
     """log2 of how many documents hold a shingle, by the hash's first ``bits`` bits.
 
     Tasks count within chunks of their documents and pass on what occurs at least twice, so the
@@ -57,7 +58,7 @@ def shingle_sketch(docs: DataFrame, n: int, bits: int, chunk: int = 3_000_000) -
         if held:
             yield flush()
 
-    rows = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    rows = docs.select("text").mapInArrow(tidy(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     found = rows.filter(F.col("n") >= 4).select(F.col("bucket").cast("int").alias("bucket"), F.least(F.log2("n"), F.lit(31)).cast("tinyint").alias("level")).toPandas()
     table = np.zeros(1 << bits, np.uint8)
     table[found["bucket"].to_numpy(np.int64)] = found["level"].to_numpy(np.uint8)
@@ -66,8 +67,8 @@ def shingle_sketch(docs: DataFrame, n: int, bits: int, chunk: int = 3_000_000) -
 
 def shingle_prefixes(docs: DataFrame, n: int, percent: int, sketch: np.ndarray, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, n (set size), class (c1, c2), how common its shingles are, and the prefix: the
-    rarest size - ceil(percent% of size) + 1 shingles, rare first. Within a task a class's
-    prefix is given once. The columns ``keep`` are passed on."""
+    rarest size - ceil(percent% of size) + 1 shingles, rare first, and its odd cells. Within a task
+    a class's prefix and odd cells are given once. The columns ``keep`` are passed on."""
     bits = int(len(sketch)).bit_length() - 1
     shift, table = np.uint64(64 - bits), docs.sparkSession.sparkContext.broadcast(sketch)
     names = ["doc_id", *keep]
@@ -75,11 +76,11 @@ def shingle_prefixes(docs: DataFrame, n: int, percent: int, sketch: np.ndarray,
     def run(batches):
         level, seen = table.value, set()
         for batch in batches:
-            rows, prefixes, first = [], [], 0
+            rows, prefixes, odd, first = [], [], [], 0
             for i, words in words_by_text(batch.column("text")):
                 s = shingle_set(words, n)
                 size, cls = len(s), _class_of(s)
-                prefix, central = None, 0
+                prefix, cells, central = None, None, 0
                 if size and cls not in seen:
                     if len(seen) >= 100_000:
                         seen.clear()
@@ -88,26 +89,48 @@ def shingle_prefixes(docs: DataFrame, n: int, percent: int, sketch: np.ndarray,
                     central = int(common.mean() * 4)
                     p = size - (percent * size + 99) // 100 + 1
                     prefix = s[np.lexsort((s, common))[:p]].view(np.int64)
+                    cells = odd_cells(s)
                 rows.append((size, cls, central))
                 prefixes.append(prefix)
+                odd.append(cells)
                 if len(rows) >= 2000:
-                    yield _set_batch(batch.select(names).slice(first, len(rows)), rows, prefixes)
-                    rows, prefixes, first = [], [], i + 1
+                    yield _set_batch(batch.select(names).slice(first, len(rows)), rows, prefixes, odd)
+                    rows, prefixes, odd, first = [], [], [], i + 1
             if rows:
-                yield _set_batch(batch.select(names).slice(first, len(rows)), rows, prefixes)
+                yield _set_batch(batch.select(names).slice(first, len(rows)), rows, prefixes, odd)
 
     chosen = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *keep, docs["text"])
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name in keep)
-    return chosen.mapInArrow(run, f"doc_id long, {kept + ', ' if kept else ''}n long, c1 long, c2 long, central long, prefix array<long>")
+    return chosen.mapInArrow(tidy(run), f"doc_id long, {kept + ', ' if kept else ''}n long, c1 long, c2 long, central long, prefix array<long>, odd array<long>")
 
 
-def _set_batch(ids: pa.RecordBatch, rows, prefixes):
+def _set_batch(ids: pa.RecordBatch, rows, prefixes, odd):
     size, cls, central = zip(*rows)
-    off = np.zeros(len(prefixes) + 1, np.int32)
-    np.cumsum([0 if p is None else len(p) for p in prefixes], out=off[1:])
-    flat = [p for p in prefixes if p is not None]
-    lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
-    return pa.record_batch([*ids.columns, pa.array(size, pa.int64()), *_halves(cls), pa.array(central, pa.int64()), lists], names=[*ids.schema.names, "n", "c1", "c2", "central", "prefix"])
+    return pa.record_batch([*ids.columns, pa.array(size, pa.int64()), *_halves(cls), pa.array(central, pa.int64()), _lists(prefixes), _lists(odd)], names=[*ids.schema.names, "n", "c1", "c2", "central", "prefix", "odd"])
+
+
+def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
+    """The arrays as lists of longs; empty for None."""
+    off = np.zeros(len(arrays) + 1, np.int32)
+    np.cumsum([0 if a is None else len(a) for a in arrays], out=off[1:])
+    flat = [a for a in arrays if a is not None]
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
+
+
+_ODD = 8
+
+
+def odd_cells(s: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * 8 cells of the hash range: whether a set has an odd number there."""
+    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) & (64 * _ODD - 1), minlength=64 * _ODD) & 1
+    return np.packbits(bits.astype(np.uint8)).view("<i8")
+
+
+def _may_differ(a: Column, b: Column, na: Column, nb: Column, percent: int) -> Column:
+    """Whether two sets may be as alike as asked by their odd cells: where these differ, some member
+    of the one isn't in the other."""
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(_ODD)))
+    return (100 + percent) * apart <= (100 - percent) * (na + nb)
 
 
 # A prefix entry's number: how common (7 bits), set size (28 bits), position (28 bits).
@@ -184,7 +207,7 @@ def _sieve(rows: DataFrame, cell: Column, wanted: DataFrame, wanted_cell: Column
             elif len(left):
                 yield from run(left)
 
-    return rows.select(cell.alias("cell"), *rows.columns).mapInArrow(pick, schema or rows.schema)
+    return rows.select(cell.alias("cell"), *rows.columns).mapInArrow(tidy(pick), schema or rows.schema)
 
 
 def _hashed_cell(c: Column) -> Column:
@@ -235,11 +258,11 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def exact(batches):
         return keep(batches, lambda x, y: linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent))
 
-    left = materialise(with_column(pairs, sets, "cells").mapInArrow(near, pairs.schema), "pairs")
+    left = materialise(with_column(pairs, sets, "cells").mapInArrow(tidy(near), pairs.schema), "pairs")
     cell = lambda c: F.pmod(c, F.lit(_CELLS)).cast("int")
     ends = left.select(F.explode(F.array("a.c1", "b.c1")).alias("c1"))
     needed = _sieve(sets.select("c", "s"), cell(F.col("c.c1")), ends, cell(F.col("c1")))
-    links = materialise(with_column(left, needed, "s").mapInArrow(exact, pairs.schema), "links")
+    links = materialise(with_column(left, needed, "s").mapInArrow(tidy(exact), pairs.schema), "links")
     release(left)
     return links
 
@@ -286,10 +309,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, sketch_bi
     columns other than doc_id and text are ignored, but those named in ``keep`` are passed on,
     along with ``component``, which names a row's component whatever its doc_id is (null for
     rows without shingles). Names in ``keep`` must not be this operator's own (doc_id, n, c1, c2,
-    central, prefix).
+    central, prefix, odd).
     """
     bound_batches(docs.sparkSession)
-    if clash := {"doc_id", "n", "c1", "c2", "central", "prefix"} & set(keep):
+    if clash := {"doc_id", "n", "c1", "c2", "central", "prefix", "odd"} & set(keep):
         raise ValueError(f"columns to keep must have other names: {sorted(clash)}")
     docs = docs.select("doc_id", "text", *keep)
     sets = materialise(shingle_prefixes(docs, n, percent, shingle_sketch(docs, n, sketch_bits), keep), "prefixes")
@@ -302,6 +325,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, sketch_bi
     nodes = F.count(F.lit(1)).over(whole).alias("k")
     blocks = materialise(shared.dropDuplicates(["tok", "c1", "c2"]).select("*", nodes).filter("k > 1"), "blocks")
     ids = materialise(ids, "ids")
+    odd = materialise(sets.filter(F.size("prefix") > 0).select(F.struct("c1", "c2").alias("node"), "odd").dropDuplicates(["node"]), "odd")
     release(sets)
     classes = ids.filter(F.col("n") > 0).groupBy("c1", "c2").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("d"))
 
@@ -316,11 +340,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, sketch_bi
     release(blocks)
     # Only shingles whose block holds several components go on; most blocks hold one by now.
     parted = node.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("tok")
-    mixed = materialise(node.join(parted, "tok", "left_semi"), "mixed")
+    mixed = materialise(node.join(parted, "tok", "left_semi").join(odd, "node"), "mixed")
     release(node)
+    release(odd)
     most = mixed.groupBy("tok", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("tok").agg(F.max(F.struct("k", "label")).alias("most")).select("tok", F.col("most.label").alias("most"))
-    few = mixed.join(most, "tok").filter(F.col("label") != F.col("most")).select("tok", F.col("p").alias("pa"), F.col("node").alias("na"), F.col("label").alias("la"))
-    cross = few.join(mixed, "tok").filter((F.col("la") != F.col("label")) & _may_link(F.col("pa"), F.col("p"), percent))
+    few = mixed.join(most, "tok").filter(F.col("label") != F.col("most")).select("tok", F.col("p").alias("pa"), F.col("node").alias("na"), F.col("label").alias("la"), F.col("odd").alias("oa"))
+    near = _may_link(F.col("pa"), F.col("p"), percent) & _may_differ(F.col("oa"), F.col("odd"), _size(F.col("pa")), _size(F.col("p")), percent)
+    cross = few.join(mixed, "tok").filter((F.col("la") != F.col("label")) & near)
     cross = _pairs(cross.select(F.col("na.c1").alias("a1"), F.col("na.c2").alias("a2"), F.col("node.c1").alias("b1"), F.col("node.c2").alias("b2")))
     rest = materialise(cross.join(star, ["a", "b"], "left_anti"), "pairs")
     release(mixed)
