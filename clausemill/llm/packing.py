@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import tokens
-from .common import bound_batches
+from .common import bound_batches, tidy
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -109,6 +109,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity:
         enc = tokens.encoder(path)
         box = OpenWindows(capacity, open_windows, TaskContext.get().partitionId() << 40)
         rows: list[tuple] = []
+        held = 0
 
         def flush():
             cols = zip(*rows) if rows else [[]] * len(_ARROW)
@@ -121,9 +122,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity:
             for first, texts in tokens.batches_of_texts(batch):
                 for i, coded in enumerate(enc.encode(texts), first):
                     rows.extend(box.add(ids[i], coded + end))
-                if len(rows) >= 4096:
-                    yield flush()
+                    held += len(coded)
+                    if held >= 1 << 20:
+                        yield flush()
+                        held = 0
         rows.extend(box.finish())
         yield flush()
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, SCHEMA)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(tidy(run), SCHEMA)

@@ -22,7 +22,7 @@ def library():
 
 @pytest.fixture(scope="module")
 def coder():
-    return tokens.WordIds(tokens.default_path(), max_words=50)
+    return tokens.WordIds(tokens.default_path(), max_bytes=12_000)
 
 
 def ids_of(library, text, *end):
