@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +67,25 @@ def bound_batches(spark: SparkSession, most: int = 2 << 20) -> None:
         spark.conf.set(key, f"{most}b")
 
 
+def give_back() -> None:
+    """Hand what Python has freed back to the system: workers live on between tasks and stages,
+    beside other tasks' memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """``run``, a function over a task's Arrow batches, that gives its memory back at the end."""
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def count_words(text: Column) -> Column:
     """Runs of characters other than ASCII white space (null text: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")

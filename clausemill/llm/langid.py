@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, give_back, tidy
 
 BITS = 15
 UNKNOWN = "und"
+#: A name of this operator's own.
+_GUESS = "_langid_guess"
 _K = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 #: Below U+0250 what is not a letter counts as a space; other code points stay.
 _FOLD = np.array([ord(chr(i).lower()) if chr(i).isalpha() and len(chr(i).lower()) == 1 else 32 for i in range(0x250)], np.uint32)
@@ -130,7 +132,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(df)
         yield pa.record_batch([pa.array(at.astype(np.int64)), pa.array(df[at])], names=["bucket", "n"])
 
-    found = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = docs.select("text").mapInArrow(tidy(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(1 << BITS)
     out[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy()
     return out
@@ -140,9 +142,10 @@ def fit(docs: DataFrame, label: str = "lang", max_train: int = 6000, max_classes
     """Train on (doc_id, text, ``label``); rows with a null label or no letter are not used.
 
     Class and document frequencies come from all rows. The weights are fitted on a sample of
-    about ``max_train`` rows, spread evenly over the classes and chosen by hash; every
-    ``calibration``-th of them is held back for the temperature. No rows: a model without
-    classes, which calls every text 'und'.
+    about ``max_train`` rows (never more than twice that reach the driver, as n-gram counts),
+    spread evenly over the classes and chosen by hash, equal rows once; every ``calibration``-th of
+    them is held back for the temperature. No rows: a model without classes, which calls every text
+    'und'. More than ``max_classes`` classes raise an error: the weights of so many aren't bounded.
     """
     rows = docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col(label).cast("string").alias("label"))
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(max_classes + 1).collect()}
@@ -154,16 +157,18 @@ def fit(docs: DataFrame, label: str = "lang", max_train: int = 6000, max_classes
     idf = np.log((1.0 + sum(counts.values())) / (1.0 + document_frequencies(rows))) + 1.0
     share = F.create_map(*[x for c in classes for x in (F.lit(c), F.lit(min(1.0, max_train / len(classes) / counts[c])))])
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.filter(chance < F.try_element_at(share, F.col("label")))
+    sample = rows.filter(chance < F.try_element_at(share, F.col("label"))).dropDuplicates(["doc_id", "text", "label"])
+    sample = sample.withColumn("chance", chance)
 
     def features(batches):
         for batch in batches:
-            texts, labels = batch.column("text").to_pylist(), batch.column("label").to_pylist()
-            got = [(label, *gram_counts(t)) for t, label in zip(texts, labels) if has_letter(t)]
+            texts, labels, chances = (batch.column(c).to_pylist() for c in ("text", "label", "chance"))
+            got = [(label, *gram_counts(t), c) for t, label, c in zip(texts, labels, chances) if has_letter(t)]
             if got:
-                yield pa.record_batch([pa.array([g[0] for g in got]), pa.array([g[1].astype(np.int32).tobytes() for g in got]), pa.array([g[2].astype(np.int32).tobytes() for g in got])], names=["label", "at", "n"])
+                yield pa.record_batch([pa.array([g[0] for g in got]), pa.array([g[1].astype(np.int32).tobytes() for g in got]), pa.array([g[2].astype(np.int32).tobytes() for g in got]), pa.array([g[3] for g in got])], names=["label", "at", "n", "chance"])
 
-    got = sorted(tuple(r) for r in sample.mapInArrow(features, "label string, at binary, n binary").collect())
+    found = sample.select("text", "label", "chance").mapInArrow(tidy(features), "label string, at binary, n binary, chance double")
+    got = sorted(tuple(r) for r in found.orderBy("chance").limit(2 * max_train).select("label", "at", "n").collect())
     order = np.random.default_rng(3).permutation(len(got))
     vectors, labels = [], []
     for i in order:
@@ -189,6 +194,7 @@ def predict(text: Column, model: Model, spark) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         m = held.value
         got = [m.predict(t) for t in texts.to_pylist()]
+        give_back()
         return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["lang_pred", "score"])
 
     return run(text)
@@ -197,10 +203,10 @@ def predict(text: Column, model: Model, spark) -> Column:
 def identify(docs: DataFrame, train: DataFrame, **options) -> DataFrame:
     """``docs`` with lang_pred and score, by a model fitted on ``train`` (doc_id, text, lang).
 
-    Only ``text`` enters a prediction. Columns called lang_pred, score or guess are replaced;
-    repeated rows get equal results; an empty table gives no rows.
+    Only ``text`` enters a prediction. Columns called lang_pred or score are replaced; repeated
+    rows get equal results; an empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
     model = fit(train, **options)
-    out = docs.drop("lang_pred", "score", "guess").withColumn("guess", predict(docs["text"], model, docs.sparkSession))
-    return out.withColumns({"lang_pred": F.col("guess.lang_pred"), "score": F.col("guess.score")}).drop("guess")
+    out = docs.drop("lang_pred", "score").withColumn(_GUESS, predict(docs["text"], model, docs.sparkSession))
+    return out.withColumns({"lang_pred": F.col(f"{_GUESS}.lang_pred"), "score": F.col(f"{_GUESS}.score")}).drop(_GUESS)

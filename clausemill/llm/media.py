@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, tidy
 
 #: A name of this operator's own.
 _GOT = "_media_got"
@@ -199,7 +199,7 @@ def encode_payloads(docs: DataFrame) -> DataFrame:
             if out:
                 yield _rows(out, _ENCODED)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, n_bytes long, digest string, media binary")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(tidy(run), "doc_id long, n_bytes long, digest string, media binary")
 
 
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.string()), ("media", pa.binary())])
@@ -223,7 +223,7 @@ def read_payloads(store: DataFrame) -> DataFrame:
                 yield _rows(out, _READ)
 
     rows = store.filter(F.col("media").isNotNull()).select("digest", "media")
-    found = rows.mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    found = rows.mapInArrow(tidy(run), "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return found.dropDuplicates(["digest"])
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, tidy
 
 _WORDS = re.compile(r"\s*\S+\s*")
 _SENTENCE_END = re.compile(r"[.!?]\S{0,3}\s*\Z")
@@ -215,7 +215,7 @@ def fingerprint_with_next(docs: DataFrame, tail: int = 4, buckets: int | None =
     placed = rows.withColumn("place", F.explode(places("did", "th"))).select("place.bucket", "place.ahead", "did", "th", "doc_id", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (placed.repartition(parts, "bucket").sortWithinPartitions("bucket", "ahead", "did", "th", "text")
-            .select("bucket", "ahead", "doc_id", "text").mapInArrow(run, _SCHEMA))
+            .select("bucket", "ahead", "doc_id", "text").mapInArrow(tidy(run), _SCHEMA))
 
 
 _SCHEMA = OUT + ", n_chars long, edited_sha256 string"

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, tidy
 from .shingles import text_buffer, words_by_text
 
 WORD_BITS = 14
@@ -121,7 +121,7 @@ def fit(labelled: DataFrame, metadata: Sequence[str] = (), label: str = "quality
                 yield pa.record_batch([pa.array([g[k] for g in got], pa.int64() if k == 0 else pa.binary()) for k in range(4)], names=["y", "at", "v", "d"])
 
     rows = labelled.filter(F.col(label).isNotNull()).select(F.coalesce("text", F.lit("")).alias("text"), F.col(label).cast("long").alias("y"), *metadata)
-    got = sorted(tuple(r) for r in rows.mapInArrow(run, "y long, at binary, v binary, d binary").collect())
+    got = sorted(tuple(r) for r in rows.mapInArrow(tidy(run), "y long, at binary, v binary, d binary").collect())
     y = np.array([g[0] for g in got], float)
     if len(set(y)) < 2:
         return None
@@ -147,8 +147,8 @@ def classify(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] = (), l
     """``docs`` (doc_id, text, ``metadata`` columns) with score and predicted.
 
     ``labels`` (doc_id, ``label``) are the rows to learn from: a hash sample of about
-    ``max_train`` of them (so few that they are broadcast), joined to their documents. The score
-    sees the text and the metadata only. Null metadata count as 0; null and empty texts are
+    ``max_train`` ids (at most twice as many, which is what is broadcast), joined to their
+    documents; of several labels or texts of an id one counts, the least by value. The score sees the text and the metadata only. Null metadata count as 0; null and empty texts are
     scored as empty; repeated rows score alike; columns called score or predicted are replaced;
     an empty table gives no rows.
     """
@@ -156,7 +156,10 @@ def classify(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] = (), l
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("label"))
     n = known.count()
     chance = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.filter(chance < min(1.0, max_train / max(1, n)))
-    model = fit(docs.select("doc_id", "text", *metadata).join(F.broadcast(sample), "doc_id"), metadata, "label", **options)
+    few = known.filter(chance < min(1.0, max_train / max(1, n))).groupBy("doc_id").agg(F.min("label").alias("label"))
+    sample = few.withColumn("chance", chance).orderBy("chance", "doc_id").limit(2 * max_train).select("doc_id", "label")
+    texts = docs.select("doc_id", "text", *metadata).join(F.broadcast(sample), "doc_id")
+    one = texts.groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "label", *metadata)).alias("x")).select("x.*")
+    model = fit(one, metadata, "label", **options)
     out = docs.withColumn("score", score(docs, model, metadata))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

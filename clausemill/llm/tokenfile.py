@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .common import bound_batches
+from .common import bound_batches, tidy
 
 FILE_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("row", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 _ARROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("row", pa.int64()), ("ids", pa.list_(pa.field("element", pa.int32(), nullable=False)))])
@@ -45,7 +45,7 @@ def encode_sorted(docs: DataFrame, tokenizer_path: str | None = None, end_id: in
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     n = [partitions] if partitions else []
-    return rows.repartitionByRange(*n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, FILE_SCHEMA)
+    return rows.repartitionByRange(*n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(tidy(run), FILE_SCHEMA)
 
 
 def write_token_files(encoded: DataFrame, path: str, stripe_bytes: int = 16 << 20, bloom_fpp: float = 0.01) -> None:
