@@ -101,3 +101,14 @@ def coverage_amount(max_amount: Column, proc: Column, claimed: Column, a: Column
     times the age factor."""
     base = F.coalesce(F.when(max_amount > 0, max_amount), by_procedure(proc, K.COVERAGE_LIMITS).cast("double"), F.least(F.nullif(claimed, F.lit(0.0)), F.lit(float(K.CLAIM_CAP))))
     return base * F.when(a.isNull() | (a == 0), 1.0).otherwise(age_factor(a))
+
+
+def complies(clause: Column, a: Column, city: Column) -> Column:
+    """Whether a claim meets a clause's condition on age (above or below a number) or on a network
+    city; true where neither is set."""
+    low = F.lower(clause)
+    limit = F.nullif(F.regexp_extract(low, r"age[^\n]*?(\d+)", 1), F.lit("")).try_cast("int")
+    aged = limit.isNotNull() & (F.coalesce(a, F.lit(0)) != 0)
+    network = city.isNotNull() & F.contains(low, F.lit("network"))
+    return (F.when(aged & any_in(low, ["above", "over"]), a > limit).when(aged & any_in(low, ["below", "under"]), a < limit)
+            .when(network, F.lower(city).isin(K.NETWORK_CITIES)).otherwise(True))

@@ -73,3 +73,16 @@ def key_terms(text: Column) -> Column:
 def likely_clause(text: Column) -> Column:
     hits = let(F.lower(text), lambda low: reduce(lambda a, b: a + b, [low.rlike(p).cast("int") for p in K.LIKELY_CLAUSE]))
     return (hits >= 2) & F.length(text).between(50, 2000)
+
+
+def section_level(line: Column) -> Column:
+    """Dots of the numbering and one; without one by keyword, else 4."""
+    low, n = F.lower(line), numbering(line)
+    has = lambda *ws: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in ws])
+    return F.when(n.isNotNull(), F.length(n) - F.length(F.replace(n, F.lit("."), F.lit(""))) + 1).when(has("article", "chapter", "part"), 1).when(has("section"), 2).when(has("clause"), 3).otherwise(4)
+
+
+def context(text: Column, start: Column, end: Column, around: int = 500) -> Column:
+    """A span with ``around`` characters on either side."""
+    at = F.greatest(start - around, F.lit(0))
+    return F.substring(text, at + 1, end + around - at)

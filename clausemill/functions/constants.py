@@ -5,6 +5,13 @@ ENGLISH_WORDS = ["the", "and", "is", "in", "to", "of", "a", "that", "it", "with"
 SPANISH_WORDS = ["el", "la", "de", "que", "y", "en", "un", "es", "se", "no", "te", "lo", "le", "da", "su"]
 FRENCH_WORDS = ["le", "de", "et", "à", "un", "il", "être", "et", "en", "avoir", "que", "pour", "dans", "ce", "son"]
 
+# The shorter lists, used where a document brings no language of its own.
+ENGLISH_WORDS_SHORT = ["the", "and", "is", "in", "to", "of", "a", "that"]
+SPANISH_WORDS_SHORT = ["el", "la", "de", "que", "y", "en", "un", "es"]
+FRENCH_WORDS_SHORT = ["le", "de", "et", "à", "un", "il", "être", "en"]
+SHORTENERS = ["bit.ly", "tinyurl.com", "goo.gl", "t.co"]
+NETWORK_CITIES = ["mumbai", "delhi", "bangalore", "chennai", "pune", "hyderabad"]
+
 # Substrings counted once each.
 POSITIVE_WORDS = ["good", "great", "excellent", "amazing", "wonderful", "fantastic", "love", "like", "happy", "pleased"]
 NEGATIVE_WORDS = ["bad", "terrible", "awful", "horrible", "hate", "dislike", "angry", "frustrated", "disappointed", "upset"]

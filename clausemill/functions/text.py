@@ -223,3 +223,60 @@ def sentences(text: Column, least: int = 10) -> Column:
     """Parts between sentence ends (a run of .!? before white space or the end), stripped, of
     more than ``least`` characters; the ends themselves are dropped."""
     return F.filter(F.transform(F.split(text, r"[.!?]+(?:[ \t\n\r\f]+|$)"), strip), lambda s: F.length(s) > least)
+
+
+def language_or(known: Column, text: Column) -> Column:
+    """The language a document brings, else a guess by the shorter lists; unknown without a hit."""
+    lists = (K.ENGLISH_WORDS_SHORT, K.SPANISH_WORDS_SHORT, K.FRENCH_WORDS_SHORT)
+    counts = let(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), lambda t: F.struct(*[present(t, [f" {w} " for w in ws]).alias(k) for k, ws in zip(("en", "es", "fr"), lists)]))
+    guess = let(counts, lambda c: F.when((c["en"] >= c["es"]) & (c["en"] >= c["fr"]), "english").when(c["es"] >= c["fr"], "spanish").when(c["fr"] > 0, "french").otherwise("unknown"))
+    return F.coalesce(known, guess)
+
+
+def change_counts(text: Column) -> Column:
+    """struct of what ``normalise`` changes, step by step: characters removed or replaced."""
+    def from_clean(t):
+        lined = F.regexp_replace(t, r"\r\n?", "\n")
+        spaced = F.regexp_replace(lined, f"[{K.UNICODE_SPACES}]", " ")
+        return F.struct(
+            (F.length(text) - F.length(t)).alias("control_characters"), count(t, r"\r\n?").alias("line_endings"), count(lined, f"[{K.UNICODE_SPACES}]").alias("white_space"),
+            (F.length(spaced) - F.length(F.regexp_replace(spaced, " {2,}", " "))).alias("extra_spaces"), count(t, f"[{K.DOUBLE_QUOTES}{K.SINGLE_QUOTES}]").alias("quotes"), count(t, f"[{K.DASHES}]").alias("dashes"))
+
+    return let(F.regexp_replace(text, r"[\p{C}&&[^\n\r\t]]", ""), from_clean)
+
+
+def hyperlinks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(K.URL), F.lit(0))
+
+
+def numbered_references(text: Column) -> Column:
+    """n of [n] and (n), in order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"\[\d+\]|\(\d+\)"), F.lit(0)), lambda r: F.substring(r, F.lit(2), F.length(r) - 2))
+
+
+def suspicious_links(text: Column) -> Column:
+    """Links by way of shorteners or to dotted quads, each once."""
+    return F.filter(hyperlinks(text), lambda u: reduce(lambda a, b: a | b, [F.contains(F.lower(u), F.lit(s)) for s in K.SHORTENERS]) | u.rlike(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"))
+
+
+def sentence_count(text: Column) -> Column:
+    """Parts between runs of sentence ends that aren't blank, of any length."""
+    return F.size(F.filter(F.split(text, "[.!?]+"), lambda p: strip(p) != ""))
+
+
+def duration_label(seconds: Column) -> Column:
+    """Milliseconds under a second, seconds under a minute, else minutes and seconds."""
+    tenth = lambda c: F.format_string("%.1f", F.round(c, 1))
+    return (F.when(seconds < 1, F.concat(F.round(seconds * 1000).cast("long").cast("string"), F.lit("ms"))).when(seconds < 60, F.concat(tenth(seconds), F.lit("s")))
+            .otherwise(F.concat(F.floor(seconds / 60).cast("string"), F.lit("m "), tenth(seconds % 60), F.lit("s"))))
+
+
+def merged(left: Column, right: Column, prefix: str = "") -> Column:
+    """Two maps as one; keys of the right, with ``prefix``, win."""
+    right = F.transform_keys(right, lambda k, v: F.concat(F.lit(prefix), k)) if prefix else right
+    return F.map_concat(F.map_filter(left, lambda k, v: ~F.map_contains_key(right, k)), right)
+
+
+def question_fault(q: Column) -> Column:
+    """Why a question can't be asked: blank, or over 500 characters; null if it can."""
+    return F.when(F.coalesce(strip(q), F.lit("")) == "", "empty").when(F.length(q) > 500, "too_long")

@@ -38,6 +38,52 @@ def fixed(docs: DataFrame, c: ChunkConfig = ChunkConfig()) -> DataFrame:
     return rows.select("doc_id", F.col("w.k").alias("k"), F.col("w.s").alias("start"), F.col("w.e").alias("end"), F.substring("text", F.col("w.s") + 1, F.col("w.e") - F.col("w.s")).alias("content"))
 
 
+def snapped(docs: DataFrame, c: ChunkConfig = ChunkConfig(), back: int = 200) -> DataFrame:
+    """(doc_id, k, start, end, content) of windows that end behind the last sentence end in their
+    last ``back`` characters, or where they are full if there is none. The next one starts
+    ``overlap`` characters earlier; the last ends with the text. ``back`` and ``overlap`` must leave
+    a window some room, so that each one gets on."""
+    if c.max_size <= back + c.overlap:
+        raise ValueError("max_size must exceed back + overlap")
+    none = F.expr("cast(array() AS array<struct<s: int, e: int>>)")
+
+    def step(acc, _):
+        full = F.least(acc["at"] + c.max_size, F.length("text"))
+        last = F.length(F.regexp_extract(F.substring(F.col("text"), full - back + 1, F.lit(back + 1)), r"(?s)^(.*[.!?])\s", 1))
+        e = F.when(full >= F.length("text"), full).when(last > 0, full - back + last).otherwise(full)
+        more = F.struct((e - c.overlap).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("s"), e.alias("e"))).alias("out"), (e >= F.length("text")).alias("done"))
+        return F.when(acc["done"], acc).otherwise(more)
+
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"), F.lit(False).alias("done"))
+    turns = F.sequence(F.lit(1), F.ceil(F.length("text") / (c.max_size - back - c.overlap)).cast("int") + 1)
+    rows = docs.filter(X.strip(F.col("text")) != "").select("doc_id", "text", F.posexplode(F.aggregate(turns, start, step, lambda acc: acc["out"])).alias("k", "w"))
+    return rows.select("doc_id", "k", F.col("w.s").alias("start"), F.col("w.e").alias("end"), F.substring("text", F.col("w.s") + 1, F.col("w.e") - F.col("w.s")).alias("content"))
+
+
+def long_boundaries(text: Column, size: int = 3000, step: int = 2500) -> Column:
+    """Boundaries of a long text by way of overlapping segments: each one's own boundaries, moved
+    to their place in the text, each once and sorted."""
+    at = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(step))
+    found = F.transform(at, lambda s: F.transform(fallback_boundaries(F.substring(text, s + 1, F.lit(size))), lambda b: b + s))
+    return F.array_sort(F.array_distinct(F.flatten(found)))
+
+
+def coverage(docs: DataFrame, chunks: DataFrame, least: float = 0.8) -> DataFrame:
+    """By document: whether chunk ids are unique and chunks cover ``least`` of the text."""
+    sums = chunks.groupBy("doc_id").agg(F.sum(F.length("content")).alias("n"), F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("chunk_id").alias("n_ids"))
+    rows = docs.select("doc_id", F.length("text").alias("length")).join(sums, "doc_id", "left")
+    share = F.when(F.col("length") > 0, F.coalesce("n", F.lit(0)) / F.col("length")).otherwise(1.0)
+    return rows.select("doc_id", (F.coalesce("n_chunks", F.lit(0)) == F.coalesce("n_ids", F.lit(0))).alias("unique_ids"), F.round(share, 6).alias("share"), (share >= least).alias("covered"))
+
+
+def page_of(positions: DataFrame, pages: DataFrame) -> DataFrame:
+    """``positions`` (doc_id, position) with the number of the page (doc_id, page, start, end; end
+    exclusive) that holds each; null if none does."""
+    p = pages.select(F.col("doc_id").alias("_doc"), "page", F.col("start").alias("_start"), F.col("end").alias("_end"))
+    inside = (F.col("doc_id") == F.col("_doc")) & (F.col("position") >= F.col("_start")) & (F.col("position") < F.col("_end"))
+    return positions.join(p, inside, "left").drop("_doc", "_start", "_end")
+
+
 def _pack(parts: Column, limit: int, carry: int) -> Column:
     """Greedy lists of parts whose lengths sum to at most ``limit``; a full list passes its last
     ``carry`` parts on. Joiners don't count."""

@@ -109,3 +109,24 @@ def mean_pairwise_cosine(vectors: DataFrame, vector_col: str = "embedding") -> D
 def index_info(vectors: DataFrame, vector_col: str = "embedding") -> DataFrame:
     n, d = F.count(F.lit(1)), F.max(F.size(vector_col))
     return vectors.agg(n.alias("n_vectors"), d.alias("dimension"), (n * d * 4).alias("n_bytes"), F.when(n < 1000, "flat").when(n < 10000, "ivf").otherwise("hnsw").alias("index_type"))
+
+
+def with_chunks(found: DataFrame, chunks: DataFrame, id_col: str = "vec_id", cut: int = 200) -> DataFrame:
+    """Search results with their chunk (chunk_id, text) cut to ``cut`` characters and the score to
+    three digits; a result without a chunk is called unknown and has an empty text."""
+    c = chunks.select(F.col("chunk_id"), F.left("text", F.lit(cut)).alias("chunk_text"))
+    rows = found.join(c, F.col(id_col) == F.col("chunk_id"), "left")
+    name = F.coalesce(F.col("chunk_id").cast("string"), F.concat(F.lit("unknown_"), F.col(id_col).cast("string")))
+    return rows.select("rank", name.alias("chunk"), F.round("score", 3).alias("score"), F.coalesce("chunk_text", F.lit("")).alias("text"))
+
+
+def related(clauses: DataFrame, edges: DataFrame) -> DataFrame:
+    """(clause_id, related_id, relation, direction) along reference edges (src, dst, relation) in
+    both directions; ends that are no clauses are left out."""
+    known = clauses.select(F.col("clause_id").alias("known")).distinct()
+    out = edges.select(F.col("src").alias("clause_id"), F.col("dst").alias("related_id"), "relation", F.lit("to").alias("direction"))
+    back = edges.select(F.col("dst").alias("clause_id"), F.col("src").alias("related_id"), "relation", F.lit("from").alias("direction"))
+    both = out.unionByName(back)
+    for end in ("clause_id", "related_id"):
+        both = both.join(known, both[end] == known["known"], "left_semi")
+    return both

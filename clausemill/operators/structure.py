@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import clauses as C
 from ..functions import constants as K
 from ..functions import text as X
 
@@ -105,3 +106,15 @@ def looks_tabular(text: Column) -> Column:
     sign = lambda c: c.cast("int")
     signs = lambda s: sign(F.contains(s, F.lit("|"))) + sign(F.contains(s, F.lit("\t"))) + sign(F.contains(s, F.lit("   "))) + sign(X.count(s, "[0-9]+") >= 3)
     return F.aggregate(full, F.lit(0), lambda a, s: a + signs(s)) > 0.2 * F.size(full)
+
+
+def clause_sections(docs: DataFrame) -> DataFrame:
+    """Lines that head a section, an article or a heading: kind, numbering and level."""
+    rows = lines(docs).withColumn("title", X.strip(F.col("line"))).filter(F.col("title") != "")
+    rows = rows.select("doc_id", "line_number", "title", C.structure_type(F.col("title")).alias("structure_type"), C.numbering(F.col("title")).alias("number"), C.section_level(F.col("title")).alias("level"))
+    return rows.filter(F.col("structure_type").isin("section", "article", "heading"))
+
+
+def sections_by_title(secs: DataFrame) -> DataFrame:
+    """One section for each title of a document: the last one stands."""
+    return secs.groupBy("doc_id", "title").agg(F.max_by(F.struct("level", "start", "end", "n_words"), "start").alias("x")).select("doc_id", "title", "x.*")

@@ -1,8 +1,8 @@
 """Registered queries of the library's own operators, each with equivalent SQL."""
 
-from . import claims, clauses, profile, state, structure, vectors
+from . import claims, clauses, profile, records, state, structure, vectors
 
-MODULES = (profile, structure, clauses, claims, vectors, state)
+MODULES = (profile, structure, clauses, claims, vectors, state, records)
 
 
 def queries() -> dict:

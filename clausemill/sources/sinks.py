@@ -34,3 +34,22 @@ def cached(texts: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hits, misses) of texts against a cache keyed by content hash."""
     keyed = texts.withColumn("content_hash", F.sha2(F.col("text").cast("binary"), 256))
     return keyed.join(cache, "content_hash"), keyed.join(cache.select("content_hash"), "content_hash", "left_anti")
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def saved_indexes(spark: SparkSession, root: str) -> list[str]:
+    """Names of the indexes saved under ``root``, sorted; none if there is no such folder."""
+    where, fs = _folder(spark, root)
+    return sorted(x.getPath().getName() for x in fs.listStatus(where) if x.isDirectory()) if fs.exists(where) else []
+
+
+def delete_index(spark: SparkSession, root: str, name: str) -> bool:
+    """Delete a saved index; whether there was one. Names lead nowhere but into ``root``."""
+    if not name or "/" in name or name.startswith("."):
+        raise ValueError(f"no name of an index: {name!r}")
+    where, fs = _folder(spark, f"{root}/{name}")
+    return fs.delete(where, True)

@@ -131,3 +131,24 @@ def test_state_helpers(spark):
     assert {r.user_id for r in state.least_recent(events, 1).collect()} == {0, 1}
     assert one(spark, "Hi {name}, {{x}} {other}", state.render(T(), {"name": F.lit("you")})) == "Hi you, {x} {other}"
     assert one(spark, "{a} {b}", state.missing_variables(T(), ["a"])) == ["b"]
+
+
+def test_records(spark):
+    assert one(spark, "see [12] and (7), not [x]", text.numbered_references(T())) == ["12", "7"]
+    assert one(spark, "http://a.b/ http://bit.ly/1.2.3.4 http://9.8.7.6/x", text.suspicious_links(T())) == ["http://bit.ly/1.2.3.4", "http://9.8.7.6/x"]
+    left, right = F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)), F.create_map(F.lit("b"), F.lit(3))
+    assert one(spark, "x", text.merged(left, right)) == {"a": 1, "b": 3} and one(spark, "x", text.merged(left, right, "p_")) == {"a": 1, "b": 2, "p_b": 3}
+    assert [one(spark, s, text.question_fault(T())) for s in (" \t", "a" * 501, "Who?")] == ["empty", "too_long", None]
+    assert [one(spark, s, claims.complies(T(), F.lit(50), F.lit("Pune"))) for s in ("age above 60", "age below 60", "network hospital", "any")] == [False, True, True, True]
+    assert [one(spark, "x", text.duration_label(F.lit(v))) for v in (0.25, 12.34, 125.5)] == ["250ms", "12.3s", "2m 5.5s"]
+
+
+def test_windows_snap_to_sentence_ends(spark):
+    body = "".join(f"Sentence number {i} has a few words in it. " for i in range(60)) + "x" * 900
+    docs = spark.createDataFrame([(1, body), (2, "short."), (3, "  "), (4, None)], "doc_id int, text string")
+    rows = sorted((r.k, r.start, r.end, r.content) for r in chunking.snapped(docs, chunking.ChunkConfig(400, 50, 40), 100).filter("doc_id = 1").collect())
+    assert rows[0][1] == 0 and rows[-1][2] == len(body) and all(b[1] == a[2] - 40 for a, b in zip(rows, rows[1:]))
+    assert all(c == body[s:e] and e - s <= 400 for _, s, e, c in rows) and all(c.endswith(".") for _, s, e, c in rows if e < 2000)
+    assert {r.doc_id for r in chunking.snapped(docs).collect()} == {1, 2}
+    with pytest.raises(ValueError):
+        chunking.snapped(docs, chunking.ChunkConfig(200, 50, 50))

@@ -1,6 +1,7 @@
 import zipfile
 from email.message import EmailMessage
 
+import pytest
 from pyspark.sql import functions as F
 
 from clausemill.sources import files, sinks
@@ -54,6 +55,11 @@ def test_index_round_trip_and_cache(spark, tmp_path):
     v = spark.createDataFrame([(1, [3.0, 4.0], "a"), (2, [0.0, 1.0], "b")], "vec_id long, embedding array<double>, namespace string")
     sinks.save_index(v, str(tmp_path / "i"))
     assert [(r.vec_id, r.vector_norm) for r in sinks.load_index(spark, str(tmp_path / "i"), "a").collect()] == [(1, 5.0)]
+    root = str(tmp_path)
+    assert sinks.saved_indexes(spark, root) == ["i"] and sinks.saved_indexes(spark, root + "/none") == []
+    with pytest.raises(ValueError):
+        sinks.delete_index(spark, root, "../i")
+    assert sinks.delete_index(spark, root, "i") and not sinks.delete_index(spark, root, "i") and sinks.saved_indexes(spark, root) == []
     rows = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, "z")], "k int, v int, t string")
     assert sorted(r.t for r in sinks.latest(rows, ["k"], "v").collect()) == ["y", "z"]
     texts = spark.createDataFrame([("p",), ("q",)], "text string")
