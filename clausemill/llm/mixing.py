@@ -149,9 +149,12 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
 
     Rows with null or empty sources take nothing; repeated rows are documents of their own;
     documents of size 0 take nothing; an empty table gives no rows. Reruns over the same rows
-    take the same documents.
+    take the same documents. Columns of ``docs`` that are not named are ignored; names in ``keep``
+    must not be this operator's own (an error says which).
     """
     spark = docs.sparkSession
+    if clash := {"doc_id", "size", "sources", "pattern", "h", "rid", "bucket", "takers", "ranges", "before", "inside", "repeats", "more", "taken"} & set(keep):
+        raise ValueError(f"columns to keep must have other names: {sorted(clash)}")
     marks = F.transform(F.coalesce("sources", F.array().cast("array<string>")), lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("~")))
     base = materialise(docs.select("doc_id", F.col("size").cast("long").alias("size"), F.array_join(F.array_sort(F.array_distinct(marks)), SEP).alias("pattern"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")).alias("h"), F.monotonically_increasing_id().alias("rid"), *keep)
                        .withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(hash_buckets))), "mix")

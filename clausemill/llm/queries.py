@@ -17,6 +17,8 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents. Null ids count as held out; null and empty texts are scored as
+    empty; repeated rows score alike."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     held_out = F.coalesce(fold_remainder(F.col("doc_id"), 5) == 0, F.lit(True))
     labels = read(spark, sf_dir, "labels").filter(~held_out)
@@ -25,17 +27,20 @@ def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents; a row for each, repeated ones and null ids included."""
     out = pii.find_personal_data(read(spark, sf_dir, "documents"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return out.select("doc_id", *counts, F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
 def op4_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed; null and empty texts are one end id, repeated rows packed each."""
     pieces = packing.pack_documents(read(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without frequent lines; a row for each, repeated ones and null ids included."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = linededup.dedup_lines(docs, min_docs=10, min_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -56,17 +61,20 @@ FROM keyed LEFT JOIN frequent f USING (k) GROUP BY doc_id, rn
 
 
 def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded, written and read back; null ids come first, ties by text."""
     path = scratch_dir(spark, "token-files") + "/orc"
     tokenfile.write_token_files(tokenfile.encode_sorted(read(spark, sf_dir, "documents")), path)
     return tokenfile.describe_files(tokenfile.read_token_files(spark, path))
 
 
 def op7_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edits; null ids come first, ties by text."""
     out = merkle.fingerprint_with_next(read(spark, sf_dir, "documents"), tail=4, with_texts=False)
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "changed")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents; null ids have a null component."""
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents"), n=5, percent=75)
 
 
@@ -88,6 +96,7 @@ FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents; null ids count as held out."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(fold_remainder(F.col("doc_id"), 4) == 2, F.lit(True))
     out = langid.identify(docs, docs.filter(~held_out))

@@ -21,7 +21,9 @@ def encode_sorted(docs: DataFrame, tokenizer_path: str | None = None, end_id: in
     """Rows (doc_id, part, row, ids) in ascending doc_id, nulls first; ties by text.
 
     ``part`` and ``row`` number the range partitions and the rows in each, so that the order of
-    the whole table can be had from the files alone.
+    the whole table can be had from the files alone. Null and empty texts have the end id alone;
+    repeated rows are encoded once each; an empty table gives no rows; columns other than doc_id and
+    text are ignored.
     """
     from pyspark import TaskContext
 
@@ -50,7 +52,8 @@ def encode_sorted(docs: DataFrame, tokenizer_path: str | None = None, end_id: in
 
 def write_token_files(encoded: DataFrame, path: str, stripe_bytes: int = 16 << 20, bloom_fpp: float = 0.01) -> None:
     """Write as ORC, sorted as given. Stripes of ``stripe_bytes`` are read in parallel; row
-    indexes and stripe statistics on doc_id (sorted) prune ranges, Bloom filters prune points."""
+    indexes and stripe statistics on doc_id (sorted) prune ranges, Bloom filters prune points. A
+    table without rows leaves a folder without rows; null ids are stored as such."""
     (encoded.write.format("orc").option("compression", "zstd").option("orc.stripe.size", stripe_bytes)
      .option("orc.create.index", "true").option("orc.row.index.stride", 1000).option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", bloom_fpp).save(path))
 
@@ -78,7 +81,8 @@ def describe_files(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each stored row; start counts all ids before it.
 
     Within a part a running sum, plus the total of the parts before: the only unpartitioned
-    window runs over one row per part.
+    window runs over one row per part. Rows that share an id, null ids among them, have a row each;
+    files without rows give none.
     """
     light = files.select("doc_id", "part", "row", F.size("ids").cast("long").alias("n_tokens"), _crc_of_ids(F.col("ids")).alias("ids_crc32"))
     parts = files.groupBy("part").agg(F.sum(F.size("ids").cast("long")).alias("n"))
