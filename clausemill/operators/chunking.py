@@ -153,6 +153,11 @@ def chunk_id(doc: Column, start: Column, content: Column) -> Column:
     return F.concat_ws("_", doc.cast("string"), start.cast("string"), F.substring(F.md5(content.cast("binary")), 1, 8))
 
 
+def context_label(content: Column, start: Column, end: Column, around: int) -> Column:
+    """The content behind the span that it stands in with ``around`` characters on either side."""
+    return F.concat(F.lit("[Context: "), F.greatest(start - around, F.lit(0)).cast("string"), F.lit("-"), (end + around).cast("string"), F.lit("] "), content)
+
+
 def links(chunks: DataFrame, overlap: int = 50) -> DataFrame:
     """Ids of the chunks before and after, and how far chunks overlap those."""
     w = Window.partitionBy("doc_id").orderBy("start")

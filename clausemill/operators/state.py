@@ -23,6 +23,12 @@ def total_cost(used: DataFrame) -> DataFrame:
     return used.agg(F.sum("calls").alias("calls"), F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"))
 
 
+def call_stats(calls: DataFrame, group: str, amount: Column, hit: Column) -> DataFrame:
+    """Calls, summed and mean amount and share of hits by group; no mean where nothing was called."""
+    sums = calls.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(amount).alias("total"), F.count(amount).alias("_n"), F.sum(F.coalesce(hit, F.lit(False)).cast("long")).alias("_hits"))
+    return sums.select(group, "n", "total", F.try_divide("total", F.col("_n")).alias("mean"), F.try_divide("_hits", F.col("n")).alias("hit_rate"))
+
+
 def running_usage(events: DataFrame) -> DataFrame:
     """The mean value of each user's events up to each one."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)

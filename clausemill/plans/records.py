@@ -10,6 +10,7 @@ from ..functions import constants as K
 from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import search
+from ..operators import state as ST
 from ..operators import structure as S
 from ..sources.tables import table
 from .claims import _MATCH, _PARSED, _claims, _matched
@@ -160,7 +161,40 @@ def vector_chunks(spark, d):
     return search.with_chunks(found, _documents(spark, d).filter("doc_id % 2 = 0").select(F.col("doc_id").alias("chunk_id"), "text"))
 
 
-QUERIES = {f.__name__: f for f in (language_or_metadata, normalize_changes, normalize_sections, document_links, sentence_counts, duration_labels, metadata_merge, question_checks, chunk_snapped, long_boundaries, chunk_coverage, heading_pages, section_titles, clause_sections, clause_records, clauses_by_type, related_clauses, condition_compliance, claim_query_json, error_json, vector_chunks)}
+def chunk_records(spark, d):
+    """Chunks as records with their section, and how they are shown with their context."""
+    docs = load(spark, d, STRUCTURED)
+    chunks = C.fixed(docs, C.ChunkConfig(300, 50, 50))
+    section = C.containing_section(chunks, S.sections(docs))
+    rows = chunks.join(section, ["doc_id", "start"])
+    record = F.to_json(F.struct("doc_id", "start", "end", "section"))
+    return rows.select("doc_id", "start", record.alias("record"), F.md5(C.context_label(F.col("content"), F.col("start"), F.col("end"), 100).cast("binary")).alias("shown_md5"))
+
+
+def search_stats(spark, d):
+    return ST.call_stats(table(spark, d, "events"), "event_type", F.col("value"), F.col("value") > 50).withColumns({c: F.round(c, 6) for c in ("mean", "hit_rate")})
+
+
+def preprocessing_report(spark, d):
+    """Whether a document may go on, what keeps it from that, and how many stand so."""
+    t = F.col("text")
+    tests = {"blank": T.strip(t) == "", "short": F.length(T.strip(t)) < 10, "no_source": F.col("source").isNull(), "no_language": F.col("lang").isNull(), "long": F.length(t) > 100_000}
+    issues = F.array_compact(F.array(*[F.when(c, k) for k, c in tests.items()]))
+    rows = _documents(spark, d).select(F.array_join(issues, ",").alias("issues"), F.length(t).alias("n"))
+    return rows.groupBy("issues").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n").alias("n_chars"), F.first(F.col("issues") == "").alias("valid"))
+
+
+def document_metadata(spark, d):
+    """All that is known of a document in one row, and how many of its fields aren't null."""
+    t = F.col("text")
+    rows = _documents(spark, d).select("doc_id", "lang", "source", F.struct(*[c.alias(k) for k, c in T.statistics(t).items()]).alias("s"), T.language(t).alias("l"), T.readability(t).alias("r"), F.struct(*[c.alias(k) for k, c in T.pattern_counts(t).items()]).alias("p"))
+    rows = rows.select("doc_id", "lang", "source", "s.*", "l.*", "r.*", "p.*")
+    names = [c for c in rows.columns if c != "doc_id"]
+    n = sum((F.col(c).isNotNull().cast("int") for c in names), F.lit(0))
+    return rows.select(*[F.round(c, 6).alias(c) if k == "double" else F.col(c) for c, k in rows.dtypes], n.alias("n_fields"))
+
+
+QUERIES = {f.__name__: f for f in (chunk_records, search_stats, preprocessing_report, document_metadata, language_or_metadata, normalize_changes, normalize_sections, document_links, sentence_counts, duration_labels, metadata_merge, question_checks, chunk_snapped, long_boundaries, chunk_coverage, heading_pages, section_titles, clause_sections, clause_records, clauses_by_type, related_clauses, condition_compliance, claim_query_json, error_json, vector_chunks)}
 
 
 def _chars(cs):
@@ -197,22 +231,31 @@ def _level(t):
 
 def _sql():
     from .clauses import _BEST, _TYPE, _likely, _structure
+    from .profile import SQL as PROFILE_SQL
+    from .structure import SQL as STRUCTURE_SQL
 
     boundaries = lambda t: f"list_filter(list_transform(range(1, len(string_split({t}, chr(10) || chr(10))) + 1), lambda i: CAST(list_sum(list_transform(string_split({t}, chr(10) || chr(10))[1:i], lambda p: length(p) + 2)) AS BIGINT)), lambda b: b < length({t}))"
     parts = _SEGMENTS.replace("p AS text,", "p AS part,")
+    meta = ["lang", "source", "n_chars", "n_words", "n_sentences", "n_paragraphs", "n_lines", "words_per_sentence", "words_per_paragraph", "language", "indicators", "confidence", "flesch", "reading_level", *K.CONTENT_PATTERNS]
     return {
+        "chunk_records": f"""SELECT c.doc_id, c.start, '{{"doc_id":' || c.doc_id || ',"start":' || c.start || ',"end":' || c."end" || CASE WHEN s.section IS NOT NULL THEN ',"section":"' || s.section || '"' ELSE '' END || '}}' AS record, md5('[Context: ' || greatest(c.start - 100, 0) || '-' || (c."end" + 100) || '] ' || c.content) AS shown_md5
+            FROM ({_fixed(STRUCTURED, 300, 50)}) c JOIN ({STRUCTURE_SQL['chunk_section_range_join']}) s ON s.doc_id = c.doc_id AND s.start = c.start""",
+        "search_stats": "SELECT event_type, count(*) AS n, sum(value) AS total, round(avg(value), 6) AS mean, round(count(*) FILTER (WHERE value > 50)::DOUBLE / count(*), 6) AS hit_rate FROM events GROUP BY event_type",
+        "preprocessing_report": f"""SELECT issues, count(*) AS n_documents, sum(length(t)) AS n_chars, issues = '' AS valid FROM (SELECT t, array_to_string(list_filter([CASE WHEN {_strip('t')} = '' THEN 'blank' END, CASE WHEN length({_strip('t')}) < 10 THEN 'short' END, CASE WHEN source IS NULL THEN 'no_source' END,
+            CASE WHEN lang IS NULL THEN 'no_language' END, CASE WHEN length(t) > 100000 THEN 'long' END], lambda x: x IS NOT NULL), ',') AS issues FROM (SELECT *, {_TEXT} AS t FROM documents)) GROUP BY issues""",
+        "document_metadata": f"""SELECT *, {' + '.join(f'CAST({c} IS NOT NULL AS INT)' for c in meta)} AS n_fields FROM (SELECT doc_id, lang, source FROM documents) JOIN ({PROFILE_SQL['text_stats']}) USING (doc_id) JOIN ({PROFILE_SQL['language']}) USING (doc_id) JOIN ({PROFILE_SQL['readability']}) USING (doc_id) JOIN ({PROFILE_SQL['pattern_counts']}) USING (doc_id)""",
         "language_or_metadata": f"SELECT doc_id, coalesce(CASE WHEN doc_id % 3 <> 0 THEN lang END, CASE WHEN en >= es AND en >= fr THEN 'english' WHEN es >= fr THEN 'spanish' WHEN fr > 0 THEN 'french' ELSE 'unknown' END) AS language FROM (SELECT *, {_SHORT[0]} AS en, {_SHORT[1]} AS es, {_SHORT[2]} AS fr FROM (SELECT *, ' ' || lower({_TEXT}) || ' ' AS p FROM documents))",
         "normalize_changes": f"""SELECT doc_id, 0 AS control_characters, {_n('u', r'\r\n?')} AS line_endings, {_n('u', _chars(K.UNICODE_SPACES))} AS white_space, length({_SPACED}) - length(regexp_replace({_SPACED}, ' {{2,}}', ' ', 'g')) AS extra_spaces, {_n('u', _chars(K.DOUBLE_QUOTES + K.SINGLE_QUOTES))} AS quotes, {_n('u', _chars(K.DASHES))} AS dashes,
             CASE WHEN length(u) > 0 THEN round((length(u) - length({_normal('u')}))::DOUBLE / length(u) * 100, 6) ELSE 0 END AS reduction FROM (SELECT doc_id, {_U} AS u FROM documents)""",
         "normalize_sections": f"SELECT doc_id, len(ls) AS n_sections, sha256(array_to_string(list_transform(ls, lambda s: {_normal('s')}), '|')) AS sha FROM (SELECT doc_id, list_filter(string_split({_U}, chr(13) || chr(10)), lambda s: s <> '') AS ls FROM documents)",
-        "document_links": f"""SELECT page_id, len({_LINKS}) AS n_links, md5(array_to_string({_LINKS}, '|')) AS links_md5, array_to_string(list_transform(regexp_extract_all(h, '\[\d+\]|\(\d+\)'), lambda r: r[2:-2]), ',') AS refs,
+        "document_links": rf"""SELECT page_id, len({_LINKS}) AS n_links, md5(array_to_string({_LINKS}, '|')) AS links_md5, array_to_string(list_transform(regexp_extract_all(h, '\[\d+\]|\(\d+\)'), lambda r: r[2:-2]), ',') AS refs,
             array_to_string(list_filter({_LINKS}, lambda u: {_SHORTENED} OR regexp_matches(u, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+')), ' ') AS suspicious FROM (SELECT page_id, {_HTML} AS h FROM pages)""",
         "sentence_counts": f"SELECT doc_id, len(list_filter(string_split_regex({_TEXT}, '[.!?]+'), lambda p: {_strip('p')} <> '')) AS n_sentences FROM documents",
         "duration_labels": "SELECT event_id, CASE WHEN s < 1 THEN CAST(round(s * 1000) AS BIGINT) || 'ms' WHEN s < 60 THEN format('{:.1f}', round(s, 1)) || 's' ELSE CAST(floor(s / 60) AS BIGINT) || 'm ' || format('{:.1f}', round(s % 60, 1)) || 's' END AS label FROM (SELECT event_id, abs(CAST(trunc(value) AS BIGINT)) / 4.0::DOUBLE AS s FROM events)",
         "metadata_merge": f"""SELECT doc_id, {_ENTRIES.format("'lang=' || lang, 'source=' || source, 'n_chars=' || length(t), 'n_words=' || w")} AS merged, {_ENTRIES.format("'lang=' || lang, 'source=' || source, 'n_chars=' || n_chars, 'made_n_chars=' || length(t), 'made_n_words=' || w")} AS prefixed,
             2 + CAST(lang IS NOT NULL AS INT) + CAST(source IS NOT NULL AS INT) AS n_fields FROM (SELECT *, {_TEXT} AS t, {_n(_T, r'[^ \t\n\r\f]+')} AS w FROM documents)""",
         "question_checks": f"SELECT conv_id, count(*) BETWEEN 1 AND 10 AS n_allowed, count(*) FILTER (WHERE coalesce({_strip('text')}, '') = '') AS n_empty, count(*) FILTER (WHERE coalesce({_strip('text')}, '') <> '' AND length(text) > 500) AS n_long, min_by({_strip('text')}, turn) AS first FROM conversations GROUP BY conv_id",
-        "chunk_snapped": f"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM ({_DOCS}) WHERE {_strip('text')} <> ''),
+        "chunk_snapped": rf"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM ({_DOCS}) WHERE {_strip('text')} <> ''),
             r AS (SELECT doc_id, -1 AS k, 0::BIGINT AS s, 50::BIGINT AS e FROM d
             UNION ALL SELECT doc_id, k + 1, e - 50, CASE WHEN f >= n THEN n WHEN l > 0 THEN f - 200 + l ELSE f END FROM (SELECT *, length(regexp_extract(substr(text, f - 199, 201), '(?s)^(.*[.!?])\s', 1)) AS l FROM (SELECT r.*, d.text, d.n, least(r.e - 50 + 1000, d.n) AS f FROM r JOIN d USING (doc_id) WHERE r.e < d.n OR r.k = -1)))
             SELECT doc_id, k, s AS start, e AS "end", md5(substr(text, s + 1, e - s)) AS content_md5 FROM r JOIN d USING (doc_id) WHERE k >= 0""",
