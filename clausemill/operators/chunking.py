@@ -120,21 +120,32 @@ def by_sections(docs: DataFrame, c: ChunkConfig = ChunkConfig()) -> DataFrame:
 
 
 def hybrid(docs: DataFrame, c: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """Sections, where those above one and a half times the largest size are cut."""
+    """Sections; those above one and a half times the largest size are cut at the boundaries of
+    their paragraphs, where pieces under the least size are left out."""
     rows = sections(docs).withColumn("n", F.col("end") - F.col("start"))
-    spans = F.when(F.col("n") > 1.5 * c.max_size, fixed_spans(F.col("n"), c)).otherwise(F.array(F.struct(F.lit(0).alias("k"), F.lit(0).alias("s"), F.col("n").alias("e"))))
-    rows = rows.select("doc_id", "title", "start", F.explode(spans).alias("w"))
-    return rows.select("doc_id", "title", (F.col("start") + F.col("w.s")).alias("start"), (F.col("start") + F.col("w.e")).alias("end"))
+    big = F.col("n") > 1.5 * c.max_size
+    whole = rows.filter(~big).select("doc_id", "title", "start", "end")
+    cut = rows.filter(big).join(docs.select("doc_id", "text"), "doc_id").withColumn("text", F.substring("text", F.col("start") + 1, F.col("n")))
+    cut = cut.select("doc_id", "title", "start", F.explode(boundary_spans(F.col("text"), fallback_boundaries(F.col("text")), c.min_size)).alias("w"))
+    return whole.unionByName(cut.select("doc_id", "title", (F.col("start") + F.col("w.s")).alias("start"), (F.col("start") + F.col("w.e")).alias("end")))
 
 
-def at_boundaries(text: Column, boundaries: Column, least: int) -> Column:
-    """The pieces between sorted boundaries that have ``least`` characters, or the whole text if
-    none has."""
+def boundary_spans(text: Column, boundaries: Column, least: int) -> Column:
+    """(s, e) of the pieces between sorted boundaries that have ``least`` characters, or of the whole
+    text if none has."""
     inner = F.array_sort(F.array_distinct(F.filter(boundaries, lambda b: (b > 0) & (b < F.length(text)))))
     edges = F.concat(F.array(F.lit(0)), inner, F.array(F.length(text)))
-    pieces = F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda i: F.substring(text, F.get(edges, i - 1) + 1, F.get(edges, i) - F.get(edges, i - 1)))
-    good = F.filter(pieces, lambda p: F.length(p) >= least)
-    return F.when(F.size(good) > 0, good).otherwise(F.array(text))
+
+    def spans(es):
+        all_ = F.transform(F.sequence(F.lit(1), F.size(es) - 1), lambda i: F.struct(F.get(es, i - 1).alias("s"), F.get(es, i).alias("e")))
+        return F.filter(all_, lambda x: x["e"] - x["s"] >= least)
+
+    return X.let(X.let(edges, spans), lambda good: F.when(F.size(good) > 0, good).otherwise(F.array(F.struct(F.lit(0).alias("s"), F.length(text).alias("e")))))
+
+
+def at_boundaries(text: Column, boundaries: Column, least: int) -> Column:
+    """The pieces that ``boundary_spans`` names."""
+    return F.transform(boundary_spans(text, boundaries, least), lambda x: F.substring(text, x["s"] + 1, x["e"] - x["s"]))
 
 
 def fallback_boundaries(text: Column) -> Column:

@@ -173,7 +173,11 @@ SQL = {
     "chunk_sentence": _packed(_SENTENCES, 400, "' '"),
     "chunk_paragraph": _packed(_LONG_LINES, 1000, "chr(10) || chr(10)"),
     "chunk_structure": _cut(300, 50, 300),
-    "chunk_hybrid": _cut(300, 50, 450),
+    "chunk_hybrid": f"""SELECT doc_id, title, start, "end" FROM ({_SECTIONS}) WHERE "end" - start <= 450 UNION ALL
+        SELECT doc_id, title, start + w.s, start + w.e FROM (SELECT doc_id, title, start, unnest(CASE WHEN len(good) > 0 THEN good ELSE [struct_pack(s := 0, e := n)] END) AS w FROM (
+        SELECT *, list_filter(list_transform(range(1, len(es)), lambda i: struct_pack(s := es[i], e := es[i + 1])), lambda x: x.e - x.s >= 50) AS good FROM (SELECT *, list_concat([0], bs, [n]) AS es FROM (
+        SELECT *, list_filter(list_transform(range(1, len(ps) + 1), lambda i: CAST(list_sum(list_transform(ps[1:i], lambda p: length(p) + 2)) AS BIGINT)), lambda b: b < n) AS bs FROM (
+        SELECT doc_id, title, start, "end" - start AS n, string_split(substr(text, start + 1, "end" - start), chr(10) || chr(10)) AS ps FROM ({_SECTIONS}) WHERE "end" - start > 450)))))""",
     "chunk_links": f"SELECT doc_id, start, 'previous:' || lag(chunk_id) OVER w AS previous, 'next:' || lead(chunk_id) OVER w AS next FROM ({_CHUNKS}) WINDOW w AS (PARTITION BY doc_id ORDER BY start)",
     "chunk_overlap": f"SELECT doc_id, start, greatest(0, least(50, coalesce(lag(\"end\") OVER w - start, 0))) AS overlap_previous, greatest(0, least(50, coalesce(\"end\" - lead(start) OVER w, 0))) AS overlap_next FROM ({_CHUNKS}) WINDOW w AS (PARTITION BY doc_id ORDER BY start)",
     "chunk_quality": f"SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (WHERE length(content) < 100) AS n_small, count(*) FILTER (WHERE length(content) > 1200) AS n_large, count(*) - count(DISTINCT md5(content)) AS n_repeated, CAST(floor(avg(length(content))) AS BIGINT) AS avg_size, min(length(content)) AS min_size, max(length(content)) AS max_size FROM ({_CHUNKS}) GROUP BY doc_id",
