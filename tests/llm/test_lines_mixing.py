@@ -37,6 +37,16 @@ def test_lines_of_a_table(spark, sf):
     assert got == want
 
 
+@pytest.mark.parametrize("shares", [1, 3, 1000])
+def test_hot_lines_are_dealt_in_parts(spark, shares):
+    texts = [f"hot\nline {i % 7}\nHOT \nown {i}" if i % 3 else f"own {i}\nhot" for i in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    keys = linededup.document_keys(docs, F.lit(0)).drop("batch")
+    frequent = keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs")).filter("n_docs >= 5")
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in linededup.drop_lines(docs, frequent, 1, shares).collect()}
+    assert got == dict(enumerate(brute_lines(texts, 5)))
+
+
 def test_no_lines(spark):
     assert linededup.dedup_lines(empty(spark)).count() == 0
 

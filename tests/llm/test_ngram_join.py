@@ -129,6 +129,28 @@ def test_linked_is_exact():
     assert ngram_join.may_reach(b"", ngram_join.cell_counts(a), 75)
 
 
+def test_odd_cells_never_exceed_the_difference():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        pool = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2))
+        a, b = (np.sort(rng.choice(pool, rng.integers(1, 250), replace=False)) for _ in range(2))
+        apart = np.unpackbits(ngram_join.odd_cells(a).view(np.uint8) ^ ngram_join.odd_cells(b).view(np.uint8)).sum()
+        assert apart <= len(np.setxor1d(a, b)) and not np.any(ngram_join.odd_cells(a) ^ ngram_join.odd_cells(a))
+
+
+def test_copies_without_a_centre(spark):
+    """Texts edited at three places each, without the text they come from: few link, all are like."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for at in rng.sample(range(150), 2 if i % 10 == 0 else 4):
+            w[at] = f"e{i}_{at}"
+        rows.append((i, " ".join(w)))
+    check(spark, rows)
+
+
 def test_long_texts_hash_as_short_ones(monkeypatch):
     import pyarrow as pa
 
