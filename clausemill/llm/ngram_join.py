@@ -118,6 +118,7 @@ def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
 
 
 _ODD = 8
+_EARLIER = 6
 
 
 def odd_cells(s: np.ndarray) -> np.ndarray:
@@ -336,7 +337,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, sketch_bi
 
     # Two nodes of one shingle have met already.
     node = blocks.filter("k > 2").select("tok", "p", F.struct("c1", "c2").alias("node")).join(labels, "node", "left")
-    node = materialise(node.select("tok", "p", "node", F.coalesce("label", "node").alias("label")), "blocks")
+    # The shared shingles just before each in a node's order: two nodes with one of them in common
+    # have met there, where they pass if they pass here, so that pairs are made about once.
+    earlier = Window.partitionBy("node").orderBy(_place(F.col("p"))).rowsBetween(-_EARLIER, -1)
+    node = node.select("tok", "p", "node", F.coalesce("label", "node").alias("label"), F.collect_list("tok").over(earlier).alias("earlier"))
+    node = materialise(node, "blocks")
     release(blocks)
     # Only shingles whose block holds several components go on; most blocks hold one by now.
     parted = node.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("tok")
@@ -344,9 +349,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, sketch_bi
     release(node)
     release(odd)
     most = mixed.groupBy("tok", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("tok").agg(F.max(F.struct("k", "label")).alias("most")).select("tok", F.col("most.label").alias("most"))
-    few = mixed.join(most, "tok").filter(F.col("label") != F.col("most")).select("tok", F.col("p").alias("pa"), F.col("node").alias("na"), F.col("label").alias("la"), F.col("odd").alias("oa"))
+    few = mixed.join(most, "tok").filter(F.col("label") != F.col("most")).select("tok", F.col("p").alias("pa"), F.col("node").alias("na"), F.col("label").alias("la"), F.col("odd").alias("oa"), F.col("earlier").alias("ea"))
     near = _may_link(F.col("pa"), F.col("p"), percent) & _may_differ(F.col("oa"), F.col("odd"), _size(F.col("pa")), _size(F.col("p")), percent)
-    cross = few.join(mixed, "tok").filter((F.col("la") != F.col("label")) & near)
+    cross = few.join(mixed, "tok").filter((F.col("la") != F.col("label")) & near & ~F.arrays_overlap("ea", "earlier"))
     cross = _pairs(cross.select(F.col("na.c1").alias("a1"), F.col("na.c2").alias("a2"), F.col("node.c1").alias("b1"), F.col("node.c2").alias("b2")))
     rest = materialise(cross.join(star, ["a", "b"], "left_anti"), "pairs")
     release(mixed)
