@@ -38,7 +38,7 @@ class WordIds:
     stand in many texts stay; the long tail of others goes.
     """
 
-    def __init__(self, path: str, max_bytes: int = 128 << 20):
+    def __init__(self, path: str, max_bytes: int = 256 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
