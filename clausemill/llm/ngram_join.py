@@ -164,17 +164,21 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 
 def cell_counts(s: np.ndarray) -> bytes:
-    """How many members a set has in each of 256 cells of the hash range; empty where a count is
-    too large for its 16 bits."""
-    c = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256)
-    return c.astype("<u2").tobytes() if c.max() < 1 << 16 else b""
+    """How many members a set has in each cell of the hash range, a byte each; about two members
+    a cell, so 64 to 65,536 cells by size. Empty where a count is too large for its byte."""
+    bits = min(16, max(6, int(len(s)).bit_length() - 1))
+    c = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return c.astype(np.uint8).tobytes() if c.max() < 256 else b""
 
 
 def may_reach(a: bytes, b: bytes, percent: int) -> bool:
-    """Suffix filter: what two sets share is at most what they share cell by cell."""
+    """Suffix filter: what two sets share is at most what they share cell by cell. Finer cells are
+    summed to the coarser ones of the other set."""
     if not a or not b:
         return True
-    x, y = np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(b, "<u2").astype(np.int64)
+    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+    n = min(len(x), len(y))
+    x, y = x.reshape(n, -1).sum(1), y.reshape(n, -1).sum(1)
     return bool((100 + percent) * np.minimum(x, y).sum() >= percent * (x.sum() + y.sum()))
 
 
