@@ -74,10 +74,11 @@ class WordIds:
         known = self._known
         other = [w for w in new if type(w) is tuple]
         got = dict(zip(other, self._ask([w[0] for w in other], whole=True)))
-        parts = {w: _WORDS(w) for w in new if type(w) is str}
+        plain = {w for w in new if type(w) is str and w.isalpha()}  # letters alone are one word
+        parts = {w: _WORDS(w) for w in new if type(w) is str and w not in plain}
         words = {w for ws in parts.values() for w in ws}
         ids = {w: known[w] for w in words & known.keys()}
-        ask = list(words - ids.keys())
+        ask = list((words | plain) - ids.keys())
         ids |= zip(ask, self._ask(ask))
         got |= {piece: ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for piece, ws in parts.items()}
         return got | {w: ids[w] for w in ask}
