@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, media, merkle, mixing, ngram_join, packing, pii, quality, tokenfile
-from .common import count_words, fold_remainder, materialise, read, scratch_dir
+from . import divergence, langid, linededup, manifest, media, merkle, mixing, ngram_join, packing, pii, quality, tokencount, tokenfile
+from .common import count_words, fold_remainder, lower_ascii, materialise, read, scratch_dir
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +122,97 @@ def op10_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("item.pos").alias("position"), F.col("item.caption").alias("caption"), F.size("sequence").alias("n_items"), F.aggregate("sequence", F.lit(0).cast("long"), lambda a, x: a + x["n_chars"]).alias("sequence_chars"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source against each other source of its language, and its terms against the language's."""
+    return divergence.audit_sources(read(spark, sf_dir, "documents"), min_docs=3, top=200)
+
+
+OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rn, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT rn, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT rn) >= 3),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS (SELECT DISTINCT lang, source FROM d),
+size AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS n FROM groups LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.n + v.v) AS p
+      FROM size g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+whole AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (x.n + 1)) // (y.n + v.v) AS p
+          FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY lang, term) x JOIN (SELECT lang, sum(n)::HUGEINT AS n FROM size GROUP BY lang) y USING (lang) JOIN v USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+          FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pairs.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL
+  SELECT p.lang, p.source, 'term', p.term, (((p.p - w.p) * (p.p - w.p)) // w.p)::BIGINT
+  FROM p JOIN whole w ON w.lang = p.lang AND w.term = p.term WHERE p.n > 0 AND p.p > w.p)
+SELECT lang, source, part, item, value, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM rows)
+WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents; a row for each, null texts, repeated rows and null ids included."""
+    return tokencount.count_tokens(read(spark, sf_dir, "documents"), limit=1024)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, proofs and check of all documents; where 5 divides the crc32 of the id, the text is
+    tampered with. A null id is never tampered with and comes first in its source."""
+    docs = read(spark, sf_dir, "documents")
+    touched = F.coalesce(fold_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    tampered = F.when(touched, lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    return manifest.verify(manifest.build(docs, tampered=tampered))
+
+
+OP13_SQL = """
+WITH RECURSIVE f AS (
+  SELECT row_number() OVER () AS id, *, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+         lambda crc, c: list_reduce(list_prepend(xor(crc, c), range(8)), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))) AS crc
+  FROM documents),
+d AS (
+  SELECT id, doc_id, coalesce('+' || source, '!') AS s,
+         sha256(concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+                       coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-'), coalesce(strlen(text) || ':' || text, '-'))) AS leaf,
+         sha256(concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+                       coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-'), coalesce(strlen(text) || ':' || CASE WHEN xor(crc, 4294967295) % 5 = 0
+                       THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-'))) AS other
+  FROM f),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+tree(s, level, i, digest, n) AS (
+  SELECT s, 0, i, leaf, count(*) OVER (PARTITION BY s) FROM leaves
+  UNION ALL
+  SELECT s, level + 1, j, digest, count(*) OVER (PARTITION BY s) FROM (
+    SELECT s, level, i // 16 AS j, sha256(string_agg(digest, '' ORDER BY i)) AS digest FROM tree WHERE n > 1 GROUP BY s, level, i // 16)),
+subroots AS (SELECT s, digest, row_number() OVER (ORDER BY encode(s)) - 1 AS i FROM tree WHERE n = 1),
+over(level, i, digest, n) AS (
+  SELECT 0, i, digest, count(*) OVER () FROM subroots
+  UNION ALL
+  SELECT level + 1, j, digest, count(*) OVER () FROM (
+    SELECT level, i // 16 AS j, sha256(string_agg(digest, '' ORDER BY i)) AS digest FROM over WHERE n > 1 GROUP BY level, i // 16)),
+fold(id, s, level, i, digest, proof) AS (
+  SELECT id, s, 0, i, other, '' FROM leaves
+  UNION ALL
+  SELECT f.id, f.s, f.level + 1, f.i // 16, sha256(string_agg(CASE WHEN m.i = f.i THEN f.digest ELSE m.digest END, '' ORDER BY m.i)),
+         f.proof || coalesce(string_agg(m.digest, '' ORDER BY m.i) FILTER (WHERE m.i <> f.i), '')
+  FROM fold f JOIN tree m ON m.s = f.s AND m.level = f.level AND m.i // 16 = f.i // 16 WHERE m.n > 1 GROUP BY f.id, f.s, f.level, f.i, f.digest, f.proof),
+sourced AS (SELECT f.* FROM fold f JOIN tree t ON t.s = f.s AND t.level = f.level AND t.n = 1),
+higher(id, level, i, digest, proof) AS (
+  SELECT id, 0, sub.i, f.digest, f.proof FROM sourced f JOIN subroots sub ON sub.s = f.s
+  UNION ALL
+  SELECT f.id, f.level + 1, f.i // 16, sha256(string_agg(CASE WHEN m.i = f.i THEN f.digest ELSE m.digest END, '' ORDER BY m.i)),
+         f.proof || coalesce(string_agg(m.digest, '' ORDER BY m.i) FILTER (WHERE m.i <> f.i), '')
+  FROM higher f JOIN over m ON m.level = f.level AND m.i // 16 = f.i // 16 WHERE m.n > 1 GROUP BY f.id, f.level, f.i, f.digest, f.proof),
+root AS (SELECT digest FROM over WHERE n = 1),
+ends AS (SELECT id, digest, proof FROM higher WHERE level = (SELECT max(level) FROM over))
+SELECT l.doc_id, l.leaf, sub.digest AS subroot, root.digest AS root, sha256(e.proof) AS proof_sha256, e.digest AS folded_root, e.digest = root.digest AS verified
+FROM leaves l JOIN subroots sub ON sub.s = l.s JOIN ends e ON e.id = l.id, root
+"""
+
+
 def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -134,8 +225,11 @@ def queries() -> dict:
         "op8_ngram_join": op8_ngram_join,
         "op9_language_id": op9_language_id,
         "op10_media_sequences": op10_media_sequences,
+        "op11_source_divergence": op11_source_divergence,
+        "op12_token_counts": op12_token_counts,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op8_ngram_join": OP8_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op8_ngram_join": OP8_SQL, "op11_source_divergence": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
