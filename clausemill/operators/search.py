@@ -103,7 +103,17 @@ def mean_pairwise_cosine(vectors: DataFrame, vector_col: str = "embedding") -> D
     """Mean cosine of all pairs by (|sum of unit vectors|^2 - n) / (n (n - 1)): one pass."""
     unit = vectors.select(F.posexplode(V.normalise(F.col(vector_col))).alias("i", "x"))
     sums = unit.groupBy("i").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
-    return sums.agg(F.max("n").alias("n"), F.sum(F.col("s") * F.col("s")).alias("q")).select("n", ((F.col("q") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("mean_cosine"))
+    return sums.agg(F.max("n").alias("n"), F.sum(F.col("s") * F.col("s")).alias("q")).select("n", F.try_divide(F.col("q") - F.col("n"), F.col("n") * (F.col("n") - 1)).alias("mean_cosine"))
+
+
+def similarity_report(vectors: DataFrame, warn_above: float = 0.95, vector_col: str = "embedding") -> DataFrame:
+    """n, the mean length of the vectors, the mean cosine of all pairs, and whether that is so high
+    that the vectors tell too little apart. One vector alone has no mean cosine and no warning."""
+    good = vectors.filter(V.finite(F.col(vector_col)) & (V.norm(F.col(vector_col)) >= 1e-6))
+    lengths = good.agg(F.lit(None).cast("long").alias("n"), F.avg(V.norm(F.col(vector_col))).alias("mean_norm"), F.lit(None).cast("double").alias("mean_cosine"))
+    mean = mean_pairwise_cosine(good, vector_col).select("n", F.lit(None).cast("double").alias("mean_norm"), F.when(F.col("n") > 1, F.col("mean_cosine")).alias("mean_cosine"))
+    both = mean.unionByName(lengths).agg(*[F.max(c).alias(c) for c in ("n", "mean_norm", "mean_cosine")])
+    return both.withColumn("warning", F.coalesce(F.col("mean_cosine") > warn_above, F.lit(False)))
 
 
 def index_info(vectors: DataFrame, vector_col: str = "embedding") -> DataFrame:
