@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators import state as S
+from ..sources import sinks
 from ..sources.tables import table
 from ..streaming import stateful
 
@@ -77,12 +78,54 @@ def conversation_summary(spark, d):
     return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.sum((F.col("role") == "user").cast("long")).alias("n_user"), F.sum(F.length("text")).alias("n_chars"), F.max_by("role", "turn").alias("last_role"))
 
 
-QUERIES = {f.__name__: f for f in (usage_stats, usage_cost, running_usage, ttl_expired, lru_evict, size_evict, rate_window, rate_limit, circuit_breaker, token_cost, render_prompt, conversation_summary)}
+def cache_reads(spark, d):
+    """Reads of a cache with a life of six hours, in order of time."""
+    return stateful.cache_batch(_events(spark, d), 6 * 3600.0).withColumn("age_seconds", F.round("age_seconds", 3))
+
+
+def _cache(docs):
+    """A third of the documents, made a minute apart before ``NOW``."""
+    at = F.lit(NOW.isoformat(sep=" ")).cast("timestamp_ntz")
+    made = F.expr("TIMESTAMP_NTZ '2024-01-20 12:00:00' - make_dt_interval(0, 0, CAST(doc_id % 90 AS INT), 0)")
+    own = docs.filter("doc_id % 3 = 0 AND trim(text) <> ''").groupBy("text").agg(F.min(F.col("doc_id") % 90).alias("doc_id"))
+    return own.select(sinks.cache_key(F.col("text"), "m").alias("cache_key"), F.length("text").alias("value"), made.alias("created_at"), F.lit(0).cast("long").alias("access_count"), made.alias("last_accessed")), at
+
+
+def cache_split(spark, d):
+    """Texts found in the cache, those it lacks or that have expired, and blank ones."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    cache, now = _cache(docs)
+    got = sinks.looked_up(docs, cache, "m", now)
+    return got.select("doc_id", F.col("cache_key").isNull().alias("blank"), "hit", F.col("value").isNotNull().alias("has_value"), F.coalesce(F.col("access_count"), F.lit(0).cast("long")).alias("access_count"))
+
+
+def cache_after(spark, d):
+    """What the cache holds after that batch: all texts, by how often they were read."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    cache, now = _cache(docs)
+    reads = sinks.looked_up(docs, cache, "m", now)
+    made = reads.filter("NOT hit AND cache_key IS NOT NULL").select("cache_key", F.length("text").alias("value"))
+    return sinks.refreshed(cache, reads, made, now).groupBy("access_count").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("n_chars"), F.sum((F.col("last_accessed") == now).cast("long")).alias("n_touched"))
+
+
+QUERIES = {f.__name__: f for f in (cache_reads, cache_split, cache_after, usage_stats, usage_cost, running_usage, ttl_expired, lru_evict, size_evict, rate_window, rate_limit, circuit_breaker, token_cost, render_prompt, conversation_summary)}
 
 SQL = {
     "usage_stats": "SELECT 'p' || (user_id % 4) AS provider, count(*) AS calls, count(*) FILTER (WHERE event_type = 'error') AS failures, sum(CASE WHEN event_type <> 'error' THEN CAST(floor(abs(value)) AS BIGINT) ELSE 0 END) AS tokens, round(avg(value) FILTER (WHERE event_type <> 'error'), 6) AS mean_latency, round(sum(CASE WHEN event_type <> 'error' THEN CAST(floor(abs(value)) AS BIGINT) ELSE 0 END)::DOUBLE / 1000 * CASE user_id % 4 WHEN 0 THEN 0.03 WHEN 1 THEN 0.002 WHEN 2 THEN 0.01 ELSE 0 END, 6) AS cost FROM events GROUP BY provider, user_id % 4",
     "usage_cost": "SELECT count(*) AS calls, sum(t) AS tokens, round(sum(t * CASE user_id % 4 WHEN 0 THEN 0.03 WHEN 1 THEN 0.002 WHEN 2 THEN 0.01 ELSE 0 END)::DOUBLE / 1000, 6) AS cost FROM (SELECT *, CASE WHEN event_type <> 'error' THEN CAST(floor(abs(value)) AS BIGINT) ELSE 0 END AS t FROM events)",
     "running_usage": "SELECT event_id, count(*) OVER w AS n, round(avg(value) OVER w, 6) AS mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)",
+    "cache_reads": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+        c(user_id, event_id, t, k, made, n) AS (
+          SELECT user_id, event_id, t, k, t, 0::BIGINT FROM e WHERE k = 1
+          UNION ALL SELECT e.user_id, e.event_id, e.t, e.k, CASE WHEN e.t - c.made < 21600000000 THEN c.made ELSE e.t END, CASE WHEN e.t - c.made < 21600000000 THEN c.n + 1 ELSE 0 END
+          FROM c JOIN e ON e.user_id = c.user_id AND e.k = c.k + 1)
+        SELECT user_id, event_id, n > 0 AS hit, n AS accesses, round((t - made) / 1e6, 3) AS age_seconds FROM c""",
+    "cache_split": f"""WITH c AS (SELECT text, min(doc_id % 90) AS least FROM documents WHERE doc_id % 3 = 0 AND trim(text, ' ') <> '' GROUP BY text)
+        SELECT doc_id, coalesce(trim(documents.text, ' '), '') = '' AS blank, c.text IS NOT NULL AND least < 60 AS hit, c.text IS NOT NULL AND least < 60 AS has_value, (c.text IS NOT NULL AND least < 60)::BIGINT AS access_count
+        FROM documents LEFT JOIN c ON c.text = documents.text""",
+    "cache_after": f"""WITH c AS (SELECT text, min(doc_id % 90) AS age FROM documents WHERE doc_id % 3 = 0 AND trim(text, ' ') <> '' GROUP BY text),
+        a AS (SELECT d.text, CASE WHEN any_value(c.age) < 60 THEN count(*) ELSE 0 END AS access_count FROM documents d LEFT JOIN c ON c.text = d.text WHERE trim(d.text, ' ') <> '' GROUP BY d.text)
+        SELECT access_count, count(*) AS n, sum(length(text))::BIGINT AS n_chars, count(*) AS n_touched FROM a GROUP BY access_count""",
     "ttl_expired": "SELECT event_type, count(*) AS n, max(event_id) AS last_id FROM events WHERE ts < TIMESTAMP '2024-01-20 11:00:00' GROUP BY 1",
     "lru_evict": "SELECT user_id FROM (SELECT user_id, row_number() OVER (ORDER BY max(struct_pack(a := ts, b := event_id)) DESC) AS r FROM events GROUP BY user_id) WHERE r > 50",
     "size_evict": "SELECT event_id, size FROM (SELECT event_id, CAST(floor(abs(value)) AS BIGINT) % 10 + 1 AS size, sum(CAST(floor(abs(value)) AS BIGINT) % 10 + 1) OVER (ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS s FROM events) WHERE s > 5000",

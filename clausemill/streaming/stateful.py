@@ -8,10 +8,12 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 ALLOWED = "user_id long, event_id long, allowed boolean, wait_seconds double"
 BREAKER = "user_id long, event_id long, state string, passed boolean"
+CACHE = "user_id long, event_id long, hit boolean, accesses long, age_seconds double"
 
 
 class AllowanceWindow:
@@ -52,14 +54,24 @@ class FailureGate:
         return self.state, True
 
 
-def _seconds(ts: pd.Series) -> pd.Series:
-    return (ts.astype("datetime64[us]") - pd.Timestamp(0)) / pd.Timedelta(seconds=1)
+class CacheEntry:
+    """A cached value: a read within ``ttl`` seconds of its making is a hit and counts; a later one
+    finds it expired and makes it anew. Hits don't make it younger."""
 
+    def __init__(self, ttl: float, created: float | None = None, accesses: int = 0):
+        self.ttl, self.created, self.accesses = ttl, created, accesses
 
-def _limited(key, rows: pd.DataFrame, limiter: AllowanceWindow) -> pd.DataFrame:
-    rows = rows.sort_values(["ts", "event_id"])
-    got = [limiter.offer(t) for t in _seconds(rows["ts"])]
-    return pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "allowed": [g[0] for g in got], "wait_seconds": [g[1] for g in got]})
+    def offer(self, at: float) -> tuple[bool, int, float]:
+        """Hit or not, the hits of this entry so far, and its age."""
+        if self.created is not None and at - self.created < self.ttl:
+            self.accesses += 1
+            return True, self.accesses, at - self.created
+        self.created, self.accesses = at, 0
+        return False, 0, 0.0
+
+
+def _seconds(ts: pd.Series) -> pd.Series:
+    return (ts.astype("datetime64[us]") - pd.Timestamp(0)) / pd.Timedelta(seconds=1)
 
 
 def _broken(key, rows: pd.DataFrame, breaker: FailureGate) -> pd.DataFrame:
@@ -100,16 +112,68 @@ def circuit_breaker_batch(events: DataFrame, threshold: int, timeout: float) ->
     return _by_user(events, lambda m, t, kind: m.offer(t, kind == "error"), lambda: FailureGate(threshold, timeout), BREAKER)
 
 
-def rate_limit_stream(events: DataFrame, limit: int, window: float) -> DataFrame:
-    """The limiter over a stream; its state is the times of at most ``limit`` allowed events."""
+def cache_batch(events: DataFrame, ttl: float) -> DataFrame:
+    """Reads of a cache keyed by user over a finished table, in order of time."""
+    return _by_user(events, lambda m, t, kind: m.offer(t), lambda: CacheEntry(ttl), CACHE)
+
+
+class _CacheReads(StatefulProcessor):
+    """One entry for each key; a timer at the end of its life removes it when the watermark gets
+    there, which changes no result, since every later read would find it expired."""
+
+    def __init__(self, ttl: float):
+        self.ttl = ttl
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.entry = handle.getValueState("entry", "created double, accesses long, timer long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        kept = self.entry.get()
+        entry, timer = (CacheEntry(self.ttl, kept[0], kept[1]), kept[2]) if kept is not None else (CacheEntry(self.ttl), None)
+        reads = sorted(r for f in rows for r in zip(_seconds(f["ts"]).tolist(), f["event_id"].tolist()))
+        got = [(key[0], e, *entry.offer(t)) for t, e in reads]
+        ends = int((entry.created + self.ttl) * 1000) + 1
+        if timer != ends:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(ends)
+        self.entry.update((entry.created, entry.accesses, ends))
+        yield pd.DataFrame(got, columns=[c.split()[0] for c in CACHE.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.entry.clear()
+        yield pd.DataFrame({c.split()[0]: [] for c in CACHE.split(", ")}).astype({"user_id": "int64", "event_id": "int64", "hit": "bool", "accesses": "int64", "age_seconds": "float64"})
+
+    def close(self) -> None:
+        pass
+
+
+def cache_stream(events: DataFrame, ttl: float, late: str = "10 minutes") -> DataFrame:
+    """The same reads as a stream. State holds one entry a key and falls as entries expire; rows
+    later than ``late`` are dropped. Needs the RocksDB state store."""
+    rows = events.select("user_id", "event_id", "ts").filter(F.col("user_id").isNotNull() & F.col("ts").isNotNull()).withWatermark("ts", late)
+    return rows.groupBy("user_id").transformWithStateInPandas(_CacheReads(ttl), CACHE, "Append", "eventTime")
+
+
+def rate_limit_stream(events: DataFrame, limit: int, window: float, late: str = "10 minutes") -> DataFrame:
+    """The limiter over a stream; its state is the times of at most ``limit`` allowed events and goes
+    once the watermark has passed the last of them by ``window``, when none counts any more. Rows
+    later than ``late`` are dropped."""
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         limiter = AllowanceWindow(limit, window, state.get[0] if state.exists else ())
-        rows = pd.concat(list(frames))
-        out = _limited(key, rows, limiter)
+        reads = sorted(r for f in frames for r in zip(_seconds(f["ts"]).tolist(), f["event_id"].tolist()))
+        got = [(key[0], e, *limiter.offer(t)) for t, e in reads]
         state.update((list(limiter.times),))
-        yield out
+        ends = int(((limiter.times[-1] if limiter.times else reads[-1][0]) + window) * 1000) + 1
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(got, columns=[c.split()[0] for c in ALLOWED.split(", ")])
 
-    return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(run, ALLOWED, "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    rows = events.select("user_id", "event_id", "ts").withWatermark("ts", late)
+    return rows.groupBy("user_id").applyInPandasWithState(run, ALLOWED, "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def circuit_breaker_stream(events: DataFrame, threshold: int, timeout: float) -> DataFrame:

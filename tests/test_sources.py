@@ -68,3 +68,48 @@ def test_index_round_trip_and_cache(spark, tmp_path):
     assert [r.text for r in hits.collect()] == ["p"] and [r.text for r in misses.collect()] == ["q"]
     sinks.write_json(rows, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 3
+
+
+def test_cache_lookup_and_refresh(spark):
+    now = F.lit("2024-01-01 12:00:00").cast("timestamp")
+    at = lambda t: f"2024-01-01 {t}"
+    texts = spark.createDataFrame([("fresh",), ("fresh",), ("old",), ("new",), (" ",), (None,)], "text string")
+    rows = [("fresh", 5, at("11:30:00"), 2), ("old", 6, at("11:00:00"), 9), ("unread", 7, at("11:59:00"), 1)]
+    cache = spark.createDataFrame(rows, "text string, value int, t string, access_count long").select(sinks.cache_key(F.col("text"), "m").alias("cache_key"), "value", F.col("t").cast("timestamp").alias("created_at"), "access_count", F.col("t").cast("timestamp").alias("last_accessed"))
+    got = sinks.looked_up(texts, cache, "m", now)
+    assert sorted((r.text or "", r.hit, r.value, r.access_count) for r in got.collect()) == [("", False, None, None), (" ", False, None, None), ("fresh", True, 5, 3), ("fresh", True, 5, 3), ("new", False, None, None), ("old", False, None, None)]
+    assert got.filter("text = ' '").first().cache_key is None and got.filter("hit").first().age_seconds == 1800.0
+    assert sinks.looked_up(texts, cache, "other", now).filter("hit").count() == 0
+    made = got.filter("NOT hit AND cache_key IS NOT NULL").select("cache_key", F.length("text").alias("value"))
+    after = {r.value: (r.access_count, str(r.created_at)[11:], str(r.last_accessed)[11:]) for r in sinks.refreshed(cache, got, made, now).collect()}
+    assert after == {5: (4, "11:30:00", "12:00:00"), 3: (0, "12:00:00", "12:00:00"), 7: (1, "11:59:00", "11:59:00")} and sinks.refreshed(cache, got, made, now).count() == 4
+
+
+def stamps(path):
+    return {d.name: {f.name: f.stat().st_mtime_ns for f in d.glob("*.parquet")} for d in path.iterdir() if d.is_dir()}
+
+
+def test_index_upkeep_in_place(spark, tmp_path):
+    """Only touched namespaces are rewritten; an emptied one goes; counts are true."""
+    path = tmp_path / "i"
+    v = spark.createDataFrame([(i, [float(i), 1.0], f"{i % 3}") for i in range(30)], "vec_id long, embedding array<double>, namespace string")
+    sinks.save_index(v, str(path))
+    before = stamps(path)
+    new = spark.createDataFrame([(0, [9.0, 9.0], "0"), (99, [1.0, 2.0], "0"), (1, [5.0, 5.0], "n")], v.schema)
+    assert sinks.upsert_index(new, str(path)) == 1
+    after = stamps(path)
+    assert after["namespace=1"] == before["namespace=1"] and after["namespace=2"] == before["namespace=2"] and after["namespace=0"] != before["namespace=0"] and "namespace=n" in after
+    rows = {(str(r.namespace), r.vec_id): r for r in sinks.load_index(spark, str(path)).collect()}
+    assert len(rows) == 32 and rows["0", 0].embedding == [9.0, 9.0] and rows["1", 1].embedding == [1.0, 1.0] and rows["n", 1].vector_norm == pytest.approx(50**0.5)
+    ids = spark.createDataFrame([(1,), (1,), (4,), (777,)], "vec_id long")
+    assert sinks.remove_from_index(spark, str(path), ids) == 3
+    last = stamps(path)
+    assert "namespace=n" not in last and last["namespace=2"] == before["namespace=2"] and last["namespace=0"] == after["namespace=0"]
+    assert sinks.remove_from_index(spark, str(path), ids) == 0
+    assert sinks.load_index(spark, str(path)).count() == 29
+
+
+def test_metadata_of_records(spark):
+    df = spark.createDataFrame([(1, "t", [1, 2], None)], "n int, s string, a array<int>, x string").withColumn("at", F.lit("2024-05-06 07:08:09").cast("timestamp"))
+    m = df.select(sinks.scalar_metadata("n", "s", "a", "x", "at", schema=df.schema).alias("m")).first().m
+    assert m == {"n": "1", "s": "t", "a": "[1,2]", "at": "2024-05-06T07:08:09"}
