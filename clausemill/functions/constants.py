@@ -113,3 +113,10 @@ CLAUSE_MONTHS_PATTERNS = [(r"(?i)(\d+)\s*months?", 1), (r"(?i)(\d+)\s*years?", 1
 CLAIM_CAP = 500000
 NEWBORN_LIMIT = 50000
 DAYCARE_LIMIT = 50000
+
+#: Fields of format-specific metadata: the name given and the key in the scan's own metadata.
+PDF_FIELDS = {"creation_date": "CreationDate", "modification_date": "ModDate", "author": "Author", "title": "Title", "subject": "Subject", "keywords": "Keywords", "creator": "Creator", "producer": "Producer"}
+DOCX_PROPERTIES = ["title", "author", "subject", "keywords", "category", "comments", "created", "modified", "last_modified_by", "revision", "version"]
+DOCX_COUNTS = ["paragraph_count", "section_count", "tables_count", "images_count"]
+MAIL_FIELDS = {"subject": "subject", "from_address": "from", "date_sent": "date", "message_id": "message_id"}
+MAIL_FLAGS = {"is_multipart": "is_multipart", "has_attachments": "has_attachments", "has_html_content": "has_html"}

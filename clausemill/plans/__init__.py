@@ -1,8 +1,8 @@
 """Registered queries of the library's own operators, each with equivalent SQL."""
 
-from . import claims, clauses, index, profile, records, state, structure, vectors
+from . import claims, clauses, index, metadata, profile, records, state, structure, vectors
 
-MODULES = (profile, structure, clauses, claims, vectors, index, state, records)
+MODULES = (profile, structure, clauses, claims, vectors, index, state, records, metadata)
 
 
 def queries() -> dict:
