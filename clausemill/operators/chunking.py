@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from .structure import headings, paragraphs, sections
@@ -45,19 +49,32 @@ def snapped(docs: DataFrame, c: ChunkConfig = ChunkConfig(), back: int = 200) ->
     a window some room, so that each one gets on."""
     if c.max_size <= back + c.overlap:
         raise ValueError("max_size must exceed back + overlap")
-    none = F.expr("cast(array() AS array<struct<s: int, e: int>>)")
+    rows = docs.filter(X.strip(F.col("text")) != "").select("doc_id", "text")
+    schema = T.StructType([rows.schema["doc_id"], *[T.StructField(n, k) for n, k in (("k", T.IntegerType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("content", T.StringType()))]])
 
-    def step(acc, _):
-        full = F.least(acc["at"] + c.max_size, F.length("text"))
-        last = F.length(F.regexp_extract(F.substring(F.col("text"), full - back + 1, F.lit(back + 1)), r"(?s)^(.*[.!?])\s", 1))
-        e = F.when(full >= F.length("text"), full).when(last > 0, full - back + last).otherwise(full)
-        more = F.struct((e - c.overlap).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("s"), e.alias("e"))).alias("out"), (e >= F.length("text")).alias("done"))
-        return F.when(acc["done"], acc).otherwise(more)
+    def run(batches):
+        for batch in batches:
+            for i, text in enumerate(batch.column("text").to_pylist()):  # a text's windows at a time
+                spans = list(_snapped_spans(text, c, back))
+                ids = pa.array([batch.column("doc_id")[i].as_py()] * len(spans), batch.schema.field("doc_id").type)
+                yield pa.record_batch([ids, pa.array(range(len(spans)), pa.int32()), *[pa.array([x[j] for x in spans], pa.int32()) for j in (0, 1)], pa.array([text[s:e] for s, e in spans], pa.string())], names=schema.names)
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"), F.lit(False).alias("done"))
-    turns = F.sequence(F.lit(1), F.ceil(F.length("text") / (c.max_size - back - c.overlap)).cast("int") + 1)
-    rows = docs.filter(X.strip(F.col("text")) != "").select("doc_id", "text", F.posexplode(F.aggregate(turns, start, step, lambda acc: acc["out"])).alias("k", "w"))
-    return rows.select("doc_id", "k", F.col("w.s").alias("start"), F.col("w.e").alias("end"), F.substring("text", F.col("w.s") + 1, F.col("w.e") - F.col("w.s")).alias("content"))
+    return rows.mapInArrow(run, schema)
+
+
+_SENTENCE_END = re.compile(r"(?s)(.*[.!?])[ \t\n\x0b\f\r]")
+
+
+def _snapped_spans(text: str, c: ChunkConfig, back: int) -> Iterator[tuple[int, int]]:
+    """The windows of one text. Each depends on the end of the one before; a window looks at its last
+    ``back`` characters alone, so the time is linear in the text."""
+    at, n, e = 0, len(text), -1
+    while e < n:
+        e = full = min(at + c.max_size, n)
+        if full < n and (m := _SENTENCE_END.match(text[full - back : full + 1])):
+            e = full - back + m.end(1)
+        yield at, e
+        at = e - c.overlap
 
 
 def long_boundaries(text: Column, size: int = 3000, step: int = 2500) -> Column:
@@ -78,10 +95,15 @@ def coverage(docs: DataFrame, chunks: DataFrame, least: float = 0.8) -> DataFram
 
 def page_of(positions: DataFrame, pages: DataFrame) -> DataFrame:
     """``positions`` (doc_id, position) with the number of the page (doc_id, page, start, end; end
-    exclusive) that holds each; null if none does."""
-    p = pages.select(F.col("doc_id").alias("_doc"), "page", F.col("start").alias("_start"), F.col("end").alias("_end"))
-    inside = (F.col("doc_id") == F.col("_doc")) & (F.col("position") >= F.col("_start")) & (F.col("position") < F.col("_end"))
-    return positions.join(p, inside, "left").drop("_doc", "_start", "_end")
+    exclusive) that holds each; null if none does. Pages don't overlap. Positions and beginnings of
+    pages are sorted together, and each position takes the last page that has begun: one sort by
+    document, and no pairs of positions and pages."""
+    begun = pages.filter("doc_id IS NOT NULL AND end > start").select("doc_id", F.col("start").alias("_at"), F.lit(0).alias("_kind"), F.struct("page", F.col("end").alias("e")).alias("_page"))
+    row = F.struct(*[F.col(c) for c in positions.columns])
+    asked = positions.select("doc_id", F.col("position").alias("_at"), F.lit(1).alias("_kind"), row.alias("_row"))
+    w = Window.partitionBy("doc_id").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = asked.unionByName(begun, allowMissingColumns=True).withColumn("_page", F.last("_page", ignorenulls=True).over(w)).filter("_kind = 1")
+    return both.select("_row.*", F.when(F.col("_at") < F.col("_page.e"), F.col("_page.page")).alias("page"))
 
 
 def _pack(parts: Column, limit: int, carry: int) -> Column:
@@ -186,17 +208,41 @@ def quality(chunks: DataFrame, c: ChunkConfig = ChunkConfig()) -> DataFrame:
 
 
 def containing_section(chunks: DataFrame, secs: DataFrame) -> DataFrame:
-    """The first section whose span holds a chunk's start (both ends included), null if none."""
-    at = secs.select("doc_id", F.col("start").alias("s"), F.col("end").alias("e"), "title")
-    rows = chunks.join(at, (chunks["doc_id"] == at["doc_id"]) & chunks["start"].between(at["s"], at["e"]), "left")
-    return rows.groupBy(chunks["doc_id"], chunks["start"]).agg(F.min_by(at["title"], F.struct(at["s"], at["e"])).alias("section"))
+    """The first section whose span holds a chunk's start (both ends included), null if none.
+
+    A section that ends no later than one before it never is the first to hold a place, so only
+    those that reach further than all before count. Their beginnings and ends both rise: the first
+    that holds a place is the next to end, if it has begun. So places and ends are sorted together,
+    from the last to the first, without pairs of chunks and sections."""
+    before = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    far = secs.filter("doc_id IS NOT NULL").withColumn("_reach", F.max("end").over(before)).filter("_reach IS NULL OR end > _reach")
+    ends = far.select("doc_id", F.col("end").alias("_at"), F.lit(1).alias("_kind"), F.struct(F.col("start").alias("s"), "title").alias("_sec"))
+    places = chunks.select("doc_id", "start").distinct().select("doc_id", F.col("start").alias("_at"), F.lit(0).alias("_kind"))
+    w = Window.partitionBy("doc_id").orderBy(F.desc("_at"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    both = places.unionByName(ends, allowMissingColumns=True).withColumn("_sec", F.last("_sec", ignorenulls=True).over(w)).filter("_kind = 0")
+    return both.select("doc_id", F.col("_at").alias("start"), F.when(F.col("_sec.s") <= F.col("_at"), F.col("_sec.title")).alias("section"))
 
 
 def text_overlap(a: Column, b: Column, most: int) -> Column:
-    """Length of the longest end of ``a`` that begins ``b``, up to ``most``."""
+    """Length of the longest end of ``a`` that begins ``b``, up to ``most``, in one pass: hashes of the end
+    of ``a`` and the beginning of ``b`` grow a character at a time, and the last length at which they agree is
+    compared. Only if that were a chance would all lengths be."""
+    prime, base = 2_147_483_647, 1_000_003
     n = F.least(F.length(a), F.length(b), F.lit(most))
-    hits = F.filter(F.sequence(F.lit(0), n), lambda i: F.right(a, i) == F.left(b, i))
-    return F.coalesce(F.array_max(hits), F.lit(0))
+    codes = lambda s: F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    zero = F.struct(*[F.lit(v).cast("long").alias(k) for k, v in (("p", 1), ("x", 0), ("y", 0), ("i", 0), ("best", 0))])
+
+    def step(acc, pair):
+        x, y, i = (acc["x"] + pair["a"] * acc["p"]) % prime, (acc["y"] * base + pair["b"]) % prime, acc["i"] + 1
+        return F.struct((acc["p"] * base % prime).alias("p"), x.alias("x"), y.alias("y"), i.alias("i"), F.when(x == y, i).otherwise(acc["best"]).alias("best"))
+
+    def longest(n):
+        pairs = F.zip_with(F.reverse(codes(F.right(a, n))), codes(F.left(b, n)), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+        best = F.aggregate(pairs, zero, step, lambda acc: acc["best"].cast("int"))
+        every = F.array_max(F.filter(F.sequence(F.lit(0), n), lambda i: F.right(a, i) == F.left(b, i)))
+        return X.let(best, lambda i: F.when(F.right(a, i) == F.left(b, i), i).otherwise(every))
+
+    return F.coalesce(F.when(n > 0, X.let(n, longest)), F.lit(0))
 
 
 def tune(docs: DataFrame, target: int = 10, min_size: int = 100, separator: str = "\n") -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import clauses as C
 from ..functions import constants as K
@@ -71,22 +73,34 @@ def table_runs(docs: DataFrame) -> DataFrame:
 def sections(docs: DataFrame) -> DataFrame:
     """From each heading to the next of its level or above: level, title, start, end, words.
 
-    Headings are folded from the last to the first: of those that follow, the open ones are kept
-    with rising levels, so the first that isn't deeper ends the section. A section is a run of
-    lines, so its words are a difference of running sums.
+    Spark sorts a document's headings from the last to the first; going through them, a task keeps
+    the open ones, whose levels rise, so the first that isn't deeper ends the section. That takes
+    linear time and holds a heading for each level. A section is a run of lines, so its words are a
+    difference of running sums.
     """
-    head = "struct<position: int, words: bigint, level: int, title: string>"
-    heads = _headings(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", F.col("words_before").alias("words"), "level", "title"))).alias("hs"))
+    heads = _headings(docs).filter("doc_id IS NOT NULL").select("doc_id", "level", "title", "position", F.col("words_before").alias("words"))
+    schema = T.StructType([*heads.schema, T.StructField("end", T.IntegerType()), T.StructField("end_words", T.LongType())])
+
+    def run(batches):
+        doc, open_ = object(), []
+        for batch in batches:
+            ends, words = [], []
+            for d, level, at, w in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "level", "position", "words")]):
+                if d != doc:
+                    doc, open_ = d, []
+                while open_ and open_[-1][0] > level:
+                    open_.pop()
+                ends.append(open_[-1][1] if open_ else None)
+                words.append(open_[-1][2] if open_ else None)
+                open_.append((level, at, w))
+                if len(open_) > 1 and open_[-2][0] == level:
+                    del open_[-2]
+            yield pa.record_batch([*batch.columns, pa.array(ends, pa.int32()), pa.array(words, pa.int64())], names=schema.names)
+
+    closed = heads.repartition("doc_id").sortWithinPartitions("doc_id", F.desc("position")).mapInArrow(run, schema)
     ends = docs.select("doc_id", F.length("text").alias("n"), X.word_count(F.col("text")).cast("long").alias("w"))
-
-    def step(acc, h):
-        open_ = F.filter(acc["open"], lambda x: x["level"] <= h["level"])
-        end = F.struct(F.coalesce(F.try_element_at(open_, F.lit(-1))["position"], F.col("n")).alias("at"), F.coalesce(F.try_element_at(open_, F.lit(-1))["words"], F.col("w")).alias("words"))
-        return F.struct(F.array_append(open_, h).alias("open"), F.array_append(acc["out"], F.struct(h.alias("h"), end.alias("end"))).alias("out"))
-
-    start = F.struct(F.expr(f"cast(array() AS array<{head}>)").alias("open"), F.expr(f"cast(array() AS array<struct<h: {head}, `end`: struct<at: int, words: bigint>>>)").alias("out"))
-    rows = heads.join(ends, "doc_id").select("doc_id", F.explode(F.aggregate(F.reverse("hs"), start, step, lambda acc: acc["out"])).alias("x"))
-    return rows.select("doc_id", F.col("x.h.level").alias("level"), F.col("x.h.title").alias("title"), F.col("x.h.position").alias("start"), F.col("x.end.at").alias("end"), (F.col("x.end.words") - F.col("x.h.words")).cast("int").alias("n_words"))
+    rows = closed.join(ends, "doc_id")
+    return rows.select("doc_id", "level", "title", F.col("position").alias("start"), F.coalesce("end", "n").alias("end"), (F.coalesce("end_words", "w") - F.col("words")).cast("int").alias("n_words"))
 
 
 def page_headings(docs: DataFrame) -> DataFrame:
