@@ -1,8 +1,8 @@
 """Registered queries of the library's own operators, each with equivalent SQL."""
 
-from . import claims, clauses, index, mail, metadata, profile, records, state, structure, vectors
+from . import claims, clauses, index, mail, metadata, preprocess, profile, records, state, structure, vectors
 
-MODULES = (profile, structure, clauses, claims, vectors, index, state, records, metadata, mail)
+MODULES = (profile, structure, clauses, claims, vectors, index, state, records, metadata, mail, preprocess)
 
 
 def queries() -> dict:
