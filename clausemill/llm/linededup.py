@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import BLANKS, lower_ascii, materialise, release, remove_dir, row_key, scratch_dir
 
 #: This operator's own columns, named so that no table has them.
@@ -170,8 +171,9 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = 1, shares:
     hit = marked.join(salted, ["h1", "h2", "salt"], "left_semi")
     gone = hit.groupBy(_R1, _R2).agg(F.collect_set("pos").alias(_GONE))
     lines = lines_of(F.col("text"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(_GONE))
-    kept = F.when(F.col(_GONE).isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda p: lines[p]), "\n"))
+    stay = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(_GONE))
+    rest = let(lines, lambda ls: F.array_join(F.transform(stay(ls), lambda p: ls[p]), "\n"))  # bound, else split anew for each line
+    kept = F.when(F.col(_GONE).isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(rest)
     return (rows.join(gone, [_R1, _R2], "left")
             .withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size(_GONE), F.lit(0)).cast("long"), "text": kept})
             .drop(_R1, _R2, _GONE))
@@ -190,7 +192,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
     runs = LineRuns(spark, scratch_dir(spark, "line-runs"), fanout)
-    runs.add_batches(document_keys(docs.select("doc_id", "text"), arrival(docs, batches), min_chars), batches)
-    frequent = materialise(runs.frequent(min_docs), "frequent-lines")
-    runs.close()
+    try:
+        runs.add_batches(document_keys(docs.select("doc_id", "text"), arrival(docs, batches), min_chars), batches)
+        frequent = materialise(runs.frequent(min_docs), "frequent-lines")
+    finally:
+        runs.close()
     return drop_lines(docs, frequent, min_chars)

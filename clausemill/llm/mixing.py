@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Stands between the source keys of a pattern.
-SEP = "\x1f"
+#: Stands between the source keys of a pattern, and what it and the mark itself are in a name.
+SEP, MARK = "\x1f", "\x1e"
 
 
 def share_targets(sizes: dict[str | None, int], weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> dict[str | None, float]:
@@ -124,8 +124,12 @@ def _flow(patterns: dict, targets: dict, max_repeats: int) -> list[tuple]:
 
 
 def _source_key(s: str | None) -> str:
-    """Null and any string stay apart."""
-    return "~" if s is None else "=" + s
+    """Null and any string stay apart, and no key holds the separator."""
+    return "~" if s is None else "=" + s.replace(MARK, MARK + "0").replace(SEP, MARK + "1")
+
+
+def _source_name(key: str) -> str | None:
+    return None if key == "~" else key[1:].replace(MARK + "1", SEP).replace(MARK + "0", MARK)
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_repeats: int = 2, seed: int = 42, keep: Sequence[str] = (), hash_buckets: int = 4096, max_patterns: int = 100_000) -> tuple[DataFrame, DataFrame]:
@@ -135,7 +139,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     document) and the columns named in ``keep``. Returns (rows, quotas): rows has doc_id, size,
     pattern, repeats, taken (size * repeats) and the kept columns; quotas has source_key,
     source_size and target, where source_key is '=' and the source's name, or '~' for null (the
-    pattern of a document of one source is that key).
+    pattern of a document of one source is that key); in names \\x1e is written \\x1e0 and \\x1f \\x1e1.
 
     Words are summed by membership pattern; the sums, at most ``max_patterns`` of them (else an
     error: the caller then merges rare patterns), are routed to the quotas on the driver. Within
@@ -155,7 +159,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     spark = docs.sparkSession
     if clash := {"doc_id", "size", "sources", "pattern", "h", "rid", "bucket", "takers", "ranges", "before", "inside", "repeats", "more", "taken"} & set(keep):
         raise ValueError(f"columns to keep must have other names: {sorted(clash)}")
-    marks = F.transform(F.coalesce("sources", F.array().cast("array<string>")), lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("~")))
+    marks = F.transform(F.coalesce("sources", F.array().cast("array<string>")), lambda s: F.coalesce(F.concat(F.lit("="), F.replace(F.replace(s, F.lit(MARK), F.lit(MARK + "0")), F.lit(SEP), F.lit(MARK + "1"))), F.lit("~")))
     base = materialise(docs.select("doc_id", F.col("size").cast("long").alias("size"), F.array_join(F.array_sort(F.array_distinct(marks)), SEP).alias("pattern"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")).alias("h"), F.monotonically_increasing_id().alias("rid"), *keep)
                        .withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(hash_buckets))), "mix")
     found = base.groupBy("pattern").agg(F.sum("size").alias("n")).limit(max_patterns + 1).collect()
@@ -166,7 +170,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     for sources, n in patterns.values():
         for s in sources:
             sizes[s] += n
-    named = share_targets({None if k == "~" else k[1:]: n for k, n in sizes.items()}, weights, share, float(max_repeats))
+    named = share_targets({_source_name(k): n for k, n in sizes.items()}, weights, share, float(max_repeats))
     targets = {_source_key(s): t for s, t in named.items()}
 
     ranges: dict[str, list] = defaultdict(list)

@@ -309,7 +309,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, sketch_bi
     each other, so no link between components is missed and none within one is spent.
 
     Documents with fewer than ``n`` words have one shingle, their whole sequence; null, empty and
-    blank texts have none, link with nothing and are their own component (null doc_id: null).
+    blank texts have none, link with nothing and are their own component (null doc_id: null). Null ids
+    are no candidates for a group's smallest; only groups of null ids alone have a null component.
     Rows that repeat a doc_id share its node if their texts do. An empty table gives no rows;
     columns other than doc_id and text are ignored, but those named in ``keep`` are passed on,
     along with ``component``, which names a row's component whatever its doc_id is (null for
@@ -332,7 +333,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, sketch_bi
     ids = materialise(ids, "ids")
     odd = materialise(sets.filter(F.size("prefix") > 0).select(F.struct("c1", "c2").alias("node"), "odd").dropDuplicates(["node"]), "odd")
     release(sets)
-    classes = ids.filter(F.col("n") > 0).groupBy("c1", "c2").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("d"))
+    classes = ids.filter(F.col("n") > 0).groupBy("c1", "c2").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("d"), F.min("doc_id").alias("least"))
 
     meet = blocks.select(F.col("head.c1").alias("a1"), F.col("head.c2").alias("a2"), F.col("head.p").alias("pa"), F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("p").alias("pb"))
     star = materialise(_pairs(meet.filter(((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))) & _may_link(F.col("pa"), F.col("pb"), percent))), "pairs")
@@ -366,11 +367,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, sketch_bi
         labels = components(edges.unionByName(late))
 
     # The label is the smallest class; the answer is the smallest doc_id of its classes.
-    named = classes.select("c1", "c2", "d", F.struct("c1", "c2").alias("node")).join(labels, "node", "left").select("c1", "c2", "d", F.coalesce("label", "node").alias("label"))
-    least = named.groupBy("label").agg(F.min("d").alias("component_id"))
+    named = classes.select("c1", "c2", "least", F.struct("c1", "c2").alias("node")).join(labels, "node", "left").select("c1", "c2", "least", F.coalesce("label", "node").alias("label"))
+    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     found = named.join(least, "label").select("c1", "c2", "component_id", F.col("label").alias("component"))
     out = ids.join(found, ["c1", "c2"], "left")
-    component_id = F.when(F.col("n") > 0, F.nullif(F.col("component_id"), F.lit(_NO_ID))).otherwise(F.col("doc_id"))
+    component_id = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), *([*keep, "component"] if keep else []))
 
 

@@ -157,3 +157,30 @@ def test_op1_is_near_its_targets_and_repeatable(spark, sf):
         target[d.source] = r.target
     assert target == mixing.share_targets(dict(sizes))
     assert all(abs(taken[s] - t) <= 0.05 * t + 20 for s, t in target.items()), [(s, taken[s], t) for s, t in target.items()]
+
+
+def test_a_text_of_many_lines(spark):
+    """Time is linear in the lines: 100,000 of them, half dropped."""
+    import time
+
+    text = "\n".join("frequent" if i % 2 else f"own {i}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, text), (2, "frequent\nx")], "doc_id long, text string")
+    start = time.perf_counter()
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in linededup.dedup_lines(docs, min_docs=2, batches=2, fanout=2).collect()}
+    assert time.perf_counter() - start < 60
+    assert got == {1: ("\n".join(f"own {i}" for i in range(0, 100_000, 2)), 100_000, 50_000), 2: ("x", 2, 1)}
+
+
+def test_source_names_that_hold_separators(spark):
+    names = ["a\x1fb", "c", "", None, "a", "\x1e", "\x1e1", "\x1f", "~", "=", "b"]
+    rows = [(100 * i + j, 5 + j, [s]) for i, s in enumerate(names) for j in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, size long, sources array<string>")
+    got, quotas = mixing.mix_sources(df)
+    joined = got.join(quotas, got["pattern"] == quotas["source_key"]).collect()
+    assert len(joined) == len(rows) and quotas.count() == len(names)
+    targets = mixing.share_targets({s: 45 for s in names})
+    by_source = {s: [r for r in joined if r.doc_id // 100 == i] for i, s in enumerate(names)}
+    for s, rs in by_source.items():
+        assert {r.source_size for r in rs} == {45} and all(r.target == pytest.approx(targets[s]) for r in rs)
+        assert abs(sum(r.taken for r in rs) - targets[s]) <= 10
+    assert [mixing._source_name(mixing._source_key(s)) for s in names] == names and not any(mixing.SEP in mixing._source_key(s) for s in names)

@@ -160,3 +160,10 @@ def test_long_texts_hash_as_short_ones(monkeypatch):
     cut = list(shingles.words_by_text(pa.array(["a b", text, None, ""])))
     assert [(i, w.tolist()) for i, w in whole] == [(i, w.tolist()) for i, w in cut]
     assert [len(w) for _, w in whole] == [2, 3002, 0, 0]
+
+
+def test_null_ids_are_no_smallest(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, words), (5, words + " x"), (7, words + " y"), (None, "quite another text of seven words"), (9, "one two"), (9, "one two"), (-(1 << 63), "a b c d e f"), (3, "a b c d e f")]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted([(None, 5), (5, 5), (7, 5), (None, None), (9, 9), (9, 9), (-(1 << 63), -(1 << 63)), (3, -(1 << 63))], key=str)
