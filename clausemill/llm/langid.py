@@ -132,9 +132,9 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(df)
         yield pa.record_batch([pa.array(at.astype(np.int64)), pa.array(df[at])], names=["bucket", "n"])
 
-    found = docs.select("text").mapInArrow(tidy(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = docs.select("text").mapInArrow(tidy(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << BITS)
-    out[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy()
+    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
@@ -172,16 +172,20 @@ def fit(docs: DataFrame, label: str = "lang", max_train: int = 6000, max_classes
     order = np.random.default_rng(3).permutation(len(got))
     vectors, labels = [], []
     for i in order:
-        at, n = np.frombuffer(got[i][1], np.int32), np.frombuffer(got[i][2], np.int32)
-        v = n * idf[at]
+        name, at, n = got[i]
+        got[i] = None
+        at = np.frombuffer(at, np.int32)
+        v = np.frombuffer(n, np.int32) * idf[at]
         vectors.append((at, v / np.sqrt(v @ v)))
-        labels.append(classes.index(got[i][0]))
+        labels.append(classes.index(name))
     back = [i for i in range(len(vectors)) if i % calibration == 0 and len(vectors) > calibration]
-    train = [i for i in range(len(vectors)) if i not in set(back)]
+    train = sorted(set(range(len(vectors))).difference(back))
     w, b = ftrl([vectors[i] for i in train], [labels[i] for i in train], len(classes), epochs, alpha, beta, l1, l2)
     model = Model(classes, idf, w.astype(np.float32), b)
     if back:
         model.temperature = calibrate(np.array([model.logits(*vectors[i]) for i in back]), np.array([labels[i] for i in back]))
+    del got, vectors
+    give_back()
     return model
 
 
