@@ -9,6 +9,12 @@ FRENCH_WORDS = ["le", "de", "et", "à", "un", "il", "être", "et", "en", "avoir"
 ENGLISH_WORDS_SHORT = ["the", "and", "is", "in", "to", "of", "a", "that"]
 SPANISH_WORDS_SHORT = ["el", "la", "de", "que", "y", "en", "un", "es"]
 FRENCH_WORDS_SHORT = ["le", "de", "et", "à", "un", "il", "être", "en"]
+
+# The lists for mail bodies, found within longer words too.
+MAIL_ENGLISH_WORDS = ["the", "and", "is", "in", "to", "of", "a", "that", "it", "with"]
+MAIL_SPANISH_WORDS = ["el", "la", "de", "que", "y", "en", "un", "es", "se", "no"]
+MAIL_FRENCH_WORDS = ["le", "de", "et", "à", "un", "il", "être", "et", "en", "avoir"]
+
 SHORTENERS = ["bit.ly", "tinyurl.com", "goo.gl", "t.co"]
 NETWORK_CITIES = ["mumbai", "delhi", "bangalore", "chennai", "pune", "hyderabad"]
 
@@ -47,6 +53,7 @@ NUMBERED_HEADING = r"^(\d+(?:\.\d+)*\.?)\s+(.+)$"
 BULLET_ITEM = r"^\s*[-*+]\s+.+$"
 NUMBER_ITEM = r"^\s*\d+\.\s+.+$"
 LETTER_ITEM = r"^\s*[a-zA-Z]\.\s+.+$"
+PAGE_SECTION_PATTERNS = [r"^\d+\.?\s+[A-Z][^.]*$", r"^[A-Z][A-Z\s]{2,}[A-Z]$", r"^[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*:?\s*$"]
 HIERARCHY_PATTERNS = [r"^\d+\.\s", r"^[A-Z][A-Z\s]+$", r"^[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*:?\s*$"]
 LIST_PATTERNS = [r"^\s*[-•*]\s", r"^\s*\d+\.\s", r"^\s*[a-z]\)\s"]
 

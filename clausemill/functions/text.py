@@ -233,6 +233,20 @@ def language_or(known: Column, text: Column) -> Column:
     return F.coalesce(known, guess)
 
 
+def mail_language(text: Column) -> Column:
+    """A guess for mail bodies by common words anywhere in the text, within longer words too;
+    English wins ties, then Spanish; empty or null text is unknown."""
+    lists = (K.MAIL_ENGLISH_WORDS, K.MAIL_SPANISH_WORDS, K.MAIL_FRENCH_WORDS)
+    counts = let(F.lower(text), lambda t: F.struct(*[present(t, ws).alias(k) for k, ws in zip(("en", "es", "fr"), lists)]))
+    guess = let(counts, lambda c: F.when((c["en"] >= c["es"]) & (c["en"] >= c["fr"]), "english").when(c["es"] >= c["fr"], "spanish").otherwise("french"))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) > 0, guess).otherwise("unknown")
+
+
+def logged_list(items: Column, most: int = 10, length: int = 200) -> Column:
+    """The first ``most`` items, each redacted and cut to ``length`` as a log line is."""
+    return F.transform(F.slice(items, 1, most), lambda s: truncate(redact(s), length))
+
+
 def change_counts(text: Column) -> Column:
     """struct of what ``normalise`` changes, step by step: characters removed or replaced."""
     def from_clean(t):

@@ -113,6 +113,40 @@ def page_headings(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "line_number", kind.alias("heading_type"), level.alias("level")).filter("heading_type IS NOT NULL")
 
 
+def page_sections(pages: DataFrame) -> DataFrame:
+    """Sections of paged texts (doc_id, page, text): from a heading line to the next, over page
+    breaks. title, first and last page, n_lines, n_words and content (stripped lines that aren't
+    blank). A heading without a line below it and lines before the first heading give no section;
+    rows without a doc_id or text are left out. One sort by document numbers the sections; only a
+    section's own lines meet in one group."""
+    rows = pages.filter("doc_id IS NOT NULL").select("doc_id", "page", F.posexplode(F.transform(F.split("text", "\n"), X.strip)).alias("line_number", "line")).filter("line <> ''")
+    rows = rows.withColumn("head", X.matches_any(F.col("line"), K.PAGE_SECTION_PATTERNS))
+    w = Window.partitionBy("doc_id").orderBy("page", "line_number")
+    rows = rows.withColumn("section", F.sum(F.col("head").cast("long")).over(w)).filter("section > 0")
+    body = F.when(~F.col("head"), F.struct("page", "line_number", "line"))
+    found = rows.groupBy("doc_id", "section").agg(F.max(F.when(F.col("head"), F.col("line"))).alias("title"), F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.count(body).alias("n_lines"),
+                                                  F.sum(F.when(~F.col("head"), X.word_count(F.col("line")))).alias("n_words"), F.array_sort(F.collect_list(body)).alias("lines"))
+    return found.filter("n_lines > 0").select("doc_id", "section", "title", "page_start", "page_end", "n_lines", "n_words", F.array_join("lines.line", "\n").alias("content"))
+
+
+def structure_summary(docs: DataFrame) -> DataFrame:
+    """One row a document: how many headings, paragraphs, lists, list items, tables and sections it
+    has, its deepest heading level, and whether it is hierarchical (two headings or more) and in
+    several sections. Documents without any (null and empty texts too) have zeros and a null level;
+    rows that share a doc_id are counted together, and rows without one are left out."""
+    docs = docs.filter("doc_id IS NOT NULL")
+    tagged = lambda rows, kind, n=1, level=None: rows.select("doc_id", F.lit(kind).alias("kind"), F.lit(n).cast("long").alias("n") if isinstance(n, int) else n.cast("long").alias("n"), (level if level is not None else F.lit(None)).cast("int").alias("level"))
+    parts = [docs.select("doc_id", F.lit("document").alias("kind"), F.lit(1).cast("long").alias("n"), F.lit(None).cast("int").alias("level")),
+             tagged(headings(docs), "heading", level=F.col("level")), tagged(paragraphs(docs), "paragraph"), tagged(list_runs(docs), "list", F.col("n_items")), tagged(table_runs(docs), "table"), tagged(sections(docs), "section")]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    many = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
+    out = rows.groupBy("doc_id").agg(many("heading").alias("n_headings"), many("paragraph").alias("n_paragraphs"), many("list").alias("n_lists"), F.sum(F.when(F.col("kind") == "list", F.col("n")).otherwise(0)).alias("n_items"),
+                                     many("table").alias("n_tables"), many("section").alias("n_sections"), F.max("level").alias("deepest"))
+    return out.withColumns({"hierarchical": F.col("n_headings") >= 2, "several_sections": F.col("n_sections") > 1})
+
+
 def looks_tabular(text: Column) -> Column:
     """Whether signs of tables are more than a fifth of the lines that aren't blank: bars, tabs,
     runs of blanks, and three or more numbers."""

@@ -9,6 +9,9 @@ STRUCTURED = f"""SELECT o_orderkey AS doc_id, '# Order ' || o_orderkey || {NL} |
  || '1. numbered start' || {NL} || 'A line between.' || {NL} || '| a | b |' || {NL} || '| 1 | 2 |' || {NL} || '| 3 | ' || o_orderkey || ' |' || {NL} || 'GENERAL TERMS' || {NL} || {NL}
  || '# Closing' || {NL} || 'The closing text of the agreement stands here. ' || repeat('More words of it follow! ', o_orderkey % 60) AS text FROM orders"""
 
+#: (doc_id, page, text): the same documents on two pages; the break may fall within a line.
+PAGED = f"""SELECT doc_id, 1 AS page, left(text, 120) AS text FROM ({STRUCTURED}) a UNION ALL SELECT doc_id, 2 AS page, substr(text, 121) AS text FROM ({STRUCTURED}) b"""
+
 #: (clause_id, policy, kind, text): a clause for each order.
 CLAUSES = """SELECT o_orderkey AS clause_id, 'policy ' || (o_custkey % 50) AS policy, CASE o_orderkey % 5 WHEN 0 THEN 'coverage' WHEN 1 THEN 'exclusion' WHEN 2 THEN 'waiting_period' WHEN 3 THEN 'condition' ELSE 'other' END AS kind,
  CASE o_orderkey % 12

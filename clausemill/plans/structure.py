@@ -11,7 +11,7 @@ from ..operators import chunking as C
 from ..operators import structure as S
 from ..sources.tables import table
 from .profile import _T, _n, _strip
-from .samples import STRUCTURED, load
+from .samples import PAGED, STRUCTURED, load
 
 
 def _docs(spark, d):
@@ -102,8 +102,27 @@ def tune_chunking(spark, d):
 
 
 def batch_list(spark, d):
-    rows = _docs(spark, d).select("doc_id", F.posexplode(C.batches(X.words(F.col("text")), 32)).alias("i", "b"))
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_batches"), F.sum(F.size("b")).alias("n_words"))
+    """Batches of 32 words; the hash is over the batches, a line each."""
+    rows = _docs(spark, d).select("doc_id", C.batches(X.words(F.col("text")), 32).alias("b"))
+    return rows.select("doc_id", F.size("b").alias("n_batches"), F.size(F.flatten("b")).alias("n_words"), F.md5(F.array_join(F.transform("b", lambda b: F.array_join(b, " ")), "\n")).alias("batches_md5"))
+
+
+def page_sections(spark, d):
+    return S.page_sections(load(spark, d, PAGED)).withColumn("content_md5", F.md5("content")).drop("content")
+
+
+def structure_summary(spark, d):
+    return S.structure_summary(load(spark, d, STRUCTURED))
+
+
+def mail_language(spark, d):
+    return _docs(spark, d).select("doc_id", X.mail_language(F.col("text")).alias("language"))
+
+
+def logged_lines(spark, d):
+    """The log form of each document's lines: ten at most, of 200 characters."""
+    lines = X.logged_list(F.split("text", "\n"))
+    return _docs(spark, d).select("doc_id", F.size(lines).alias("n_items"), F.md5(F.array_join(lines, "\n")).alias("items_md5"))
 
 
 def fallback_boundaries(spark, d):
@@ -111,7 +130,11 @@ def fallback_boundaries(spark, d):
     return load(spark, d, STRUCTURED).select("doc_id", F.array_join(b, ",").alias("boundaries"), F.size(C.at_boundaries(F.col("text"), b, 60)).alias("n_pieces"))
 
 
-QUERIES = {f.__name__: f for f in (headings, paragraphs, list_runs, table_runs, document_tables, sections, pdf_headings, table_heuristic, chunk_fixed, chunk_sentence, chunk_paragraph, chunk_structure, chunk_hybrid, chunk_links, chunk_overlap, chunk_quality, chunk_section_range_join, text_overlap, tune_chunking, batch_list, fallback_boundaries)}
+QUERIES = {f.__name__: f for f in (headings, paragraphs, list_runs, table_runs, document_tables, sections, pdf_headings, table_heuristic, chunk_fixed, chunk_sentence, chunk_paragraph, chunk_structure, chunk_hybrid, chunk_links, chunk_overlap, chunk_quality, chunk_section_range_join, text_overlap, tune_chunking, batch_list, fallback_boundaries, page_sections, structure_summary, mail_language, logged_lines)}
+
+def _present(text, words):
+    return "(" + " + ".join(f"CAST(contains({text}, '{w}') AS INT)" for w in words) + ")"
+
 
 _LINES = f"""SELECT *, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS position FROM (
     SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_number FROM ({STRUCTURED}))"""
@@ -186,7 +209,20 @@ SQL = {
     "tune_chunking": f"""WITH m AS (SELECT doc_id, CAST(floor(avg(length(content))) AS BIGINT) AS mean FROM ({_PARAGRAPHS.format(strip=_strip("p"), split="string_split(text, chr(10))", docs=_DOCS)}) GROUP BY doc_id),
         b AS (SELECT d.doc_id, CASE WHEN mean > 0 THEN greatest(100, least(CAST(floor(length(text) / 10.0) AS BIGINT), mean * 3)) ELSE CAST(floor(length(text) / 10.0) AS BIGINT) END AS best FROM ({_DOCS}) d LEFT JOIN m USING (doc_id))
         SELECT doc_id, best AS max_size, greatest(50, CAST(floor(best / 10.0) AS BIGINT)) AS min_size, greatest(25, CAST(floor(best / 20.0) AS BIGINT)) AS overlap FROM b""",
-    "batch_list": "SELECT doc_id, greatest(1, CAST(ceil(n / 32.0) AS BIGINT)) AS n_batches, n AS n_words FROM (SELECT doc_id, " + _n(_T, r"[^ \t\n\r\f]+") + " AS n FROM documents)",
+    "batch_list": "SELECT doc_id, len(b) AS n_batches, len(w) AS n_words, md5(array_to_string(b, chr(10))) AS batches_md5 FROM (SELECT doc_id, w, list_transform(range(0, greatest(1, CAST(ceil(len(w) / 32.0) AS BIGINT))), lambda i: array_to_string(w[i * 32 + 1:i * 32 + 32], ' ')) AS b FROM (SELECT doc_id, regexp_extract_all(" + _T + r", '[^ \t\n\r\f]+') AS w FROM documents))",
+    "page_sections": f"""SELECT doc_id, section, max(line) FILTER (WHERE head) AS title, min(page) AS page_start, max(page) AS page_end, count(*) FILTER (WHERE NOT head) AS n_lines, sum({_n('line', r'[^ \t\n\r\f]+')}) FILTER (WHERE NOT head) AS n_words,
+        md5(string_agg(line, chr(10) ORDER BY page, line_number) FILTER (WHERE NOT head)) AS content_md5 FROM (
+        SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY page, line_number) AS section FROM (SELECT *, regexp_matches(line, '{K.PAGE_SECTION_PATTERNS[0]}') OR regexp_matches(line, '{K.PAGE_SECTION_PATTERNS[1]}') OR regexp_matches(line, '{K.PAGE_SECTION_PATTERNS[2]}') AS head FROM (
+        SELECT doc_id, page, line_number, {_strip('raw')} AS line FROM (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line_number FROM ({PAGED}))) WHERE line <> ''))
+        WHERE section > 0 GROUP BY doc_id, section HAVING count(*) FILTER (WHERE NOT head) > 0""",
+    "structure_summary": f"""WITH d AS (SELECT doc_id FROM ({STRUCTURED})), h AS (SELECT doc_id, count(*) AS n, max(level) AS deepest FROM ({_HEADS}) GROUP BY doc_id), s AS (SELECT doc_id, count(*) AS n FROM ({_SECTIONS}) GROUP BY doc_id),
+        p AS (SELECT doc_id, count(*) AS n FROM ({_PARAGRAPHS.format(strip=_strip("p"), split=r"string_split_regex(text, '\n[ \t\n\r\f]*\n')", docs=STRUCTURED)}) GROUP BY doc_id),
+        l AS (SELECT doc_id, count(*) AS n, sum(items) AS items FROM (SELECT doc_id, run, count(*) AS items FROM (SELECT doc_id, {_RUN} AS run FROM ({_LINES}) WHERE regexp_matches(raw, '{K.BULLET_ITEM}') OR regexp_matches(raw, '{K.NUMBER_ITEM}') OR regexp_matches(raw, '{K.LETTER_ITEM}')) GROUP BY doc_id, run) GROUP BY doc_id),
+        t AS (SELECT doc_id, count(*) AS n FROM ({_TABLES.replace("(LINES)", f"({_LINES})")}) GROUP BY doc_id)
+        SELECT doc_id, coalesce(h.n, 0) AS n_headings, coalesce(p.n, 0) AS n_paragraphs, coalesce(l.n, 0) AS n_lists, coalesce(l.items, 0) AS n_items, coalesce(t.n, 0) AS n_tables, coalesce(s.n, 0) AS n_sections, h.deepest, coalesce(h.n, 0) >= 2 AS hierarchical, coalesce(s.n, 0) > 1 AS several_sections
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN p USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN s USING (doc_id)""",
+    "mail_language": f"""SELECT doc_id, CASE WHEN length(t) = 0 THEN 'unknown' WHEN en >= es AND en >= fr THEN 'english' WHEN es >= fr THEN 'spanish' ELSE 'french' END AS language FROM (SELECT doc_id, t, {_present('t', K.MAIL_ENGLISH_WORDS)} AS en, {_present('t', K.MAIL_SPANISH_WORDS)} AS es, {_present('t', K.MAIL_FRENCH_WORDS)} AS fr FROM (SELECT doc_id, lower({_T}) AS t FROM documents))""",
+    "logged_lines": f"""SELECT doc_id, len(l) AS n_items, md5(array_to_string(l, chr(10))) AS items_md5 FROM (SELECT doc_id, list_transform(string_split({_T}, chr(10))[1:10], lambda s: CASE WHEN regexp_matches(lower(s), 'password|token|key|secret') THEN '[REDACTED]' WHEN length(s) > 200 THEN left(s, 197) || '...' ELSE s END) AS l FROM documents)""",
     "fallback_boundaries": f"""SELECT doc_id, array_to_string(bs, ',') AS boundaries, greatest(1, len(list_filter(range(1, len(es)), lambda i: es[i + 1] - es[i] >= 60))) AS n_pieces FROM (
         SELECT doc_id, bs, list_concat([0], bs, [n]) AS es FROM (SELECT doc_id, length(text) AS n, list_filter(list_transform(range(1, len(ps) + 1), lambda i: list_sum(list_transform(ps[1:i], lambda p: length(p) + 2))), lambda b: b < length(text)) AS bs
         FROM (SELECT doc_id, text, string_split(text, chr(10) || chr(10)) AS ps FROM ({STRUCTURED}))))""",

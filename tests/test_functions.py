@@ -152,3 +152,33 @@ def test_windows_snap_to_sentence_ends(spark):
     assert {r.doc_id for r in chunking.snapped(docs).collect()} == {1, 2}
     with pytest.raises(ValueError):
         chunking.snapped(docs, chunking.ChunkConfig(200, 50, 50))
+
+
+def test_page_sections_over_page_breaks(spark):
+    pages = [(1, 1, "before any heading\n1. Scope Of Cover\nfirst line"), (1, 2, "second line of it\n\nGENERAL TERMS\nDefinitions:\n  a term  "), (1, 3, ""), (2, 1, None), (None, 1, "TITLE LINE\nlost"), (3, 1, "no heading here at all, only text")]
+    got = structure.page_sections(spark.createDataFrame(pages, "doc_id int, page int, text string")).orderBy("doc_id", "section").collect()
+    assert [tuple(r) for r in got] == [
+        (1, 1, "1. Scope Of Cover", 1, 2, 2, 6, "first line\nsecond line of it"),
+        (1, 3, "Definitions:", 2, 2, 1, 2, "a term")]  # GENERAL TERMS has no line below it
+    assert structure.page_sections(spark.createDataFrame([], "doc_id int, page int, text string")).count() == 0
+
+
+def test_structure_summary_of_odd_texts(spark):
+    text = "# One\n## Two\n- a\n- b\n\nA paragraph that is long enough.\n\n| a | b |\n| 1 | 2 |\n1. x"
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None), (None, text)], "doc_id int, text string")
+    got = {r["doc_id"]: r for r in structure.structure_summary(docs).collect()}
+    assert set(got) == {1, 2, 3}
+    r = got[1]
+    assert (r["n_headings"], r["n_lists"], r["n_items"], r["n_tables"], r["n_sections"], r["deepest"], r["hierarchical"], r["several_sections"]) == (3, 2, 3, 1, 3, 2, True, True)
+    for i in (2, 3):
+        assert (got[i]["n_headings"], got[i]["n_paragraphs"], got[i]["n_items"], got[i]["deepest"], got[i]["hierarchical"]) == (0, 0, 0, None, False)
+
+
+@pytest.mark.parametrize("t,want", [("", "unknown"), (None, "unknown"), ("zzz", "english"), ("El perro no se va de la casa", "spanish"), ("être et avoir, le père", "french"), ("it is within the thing", "english")])
+def test_mail_language(spark, t, want):
+    assert one(spark, t, text.mail_language(T())) == want
+
+
+def test_logged_list(spark):
+    got = one(spark, ",".join(["my password", "x" * 300] + ["y"] * 20), text.logged_list(F.split(T(), ",")))
+    assert len(got) == 10 and got[0] == "[REDACTED]" and got[1] == "x" * 197 + "..." and got[2] == "y"
