@@ -96,11 +96,11 @@ HOSPITAL_PATTERNS = [r"(?:at\s+)?([A-Z][a-zA-Z\s]+?)\s+hospital", r"hospital[:\s
 DATE_PATTERNS = [r"(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})", r"(?i)(\d{1,2}\s+(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\w*\s+\d{2,4})", r"(?i)((?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\w*\s+\d{1,2},?\s+\d{2,4})"]
 AMOUNT_PATTERNS = [r"(?i)(?:rs\.?|inr|₹)\s*(\d+(?:,\d{3})*(?:\.\d{2})?)", r"(?i)(\d+(?:,\d{3})*(?:\.\d{2})?)\s*(?:rs\.?|inr|₹|rupees)", r"(?i)amount[:\s]*(?:rs\.?|inr|₹)?\s*(\d+(?:,\d{3})*(?:\.\d{2})?)"]
 ASSUMPTIONS = {
-    "age": "Age not specified - assuming adult patient",
-    "gender": "Gender not specified - will apply gender-neutral policies",
-    "location": "Location not specified - assuming treatment in India",
-    "policy": "Policy age/duration not specified - will check waiting periods",
-    "hospital": "Hospital not specified - assuming network hospital",
+    "age": "no age given: taken as an adult",
+    "gender": "no gender given: rules for all genders apply",
+    "location": "no place given: taken as treated in India",
+    "policy": "no policy age or term given: waiting periods are tested",
+    "hospital": "no hospital given: taken as one of the network",
 }
 
 # Claim decisions. Amounts in rupees, periods in months.
