@@ -53,10 +53,10 @@ def leaves(v: Column, depth: int = 12) -> Column:
     return F.when(fields(v).isNotNull(), inner(v, F.lit("$"), depth))
 
 
-def structure_flags(text: Column) -> dict[str, Column]:
-    """Headings, two or more levels' worth of them, lists and tables: whether there are any."""
-    n = T.structure_counts(text)
-    return {"has_headings": n["heading_lines"] > 0, "is_hierarchical": n["heading_lines"] >= 2, "has_lists": n["list_lines"] > 0, "has_tables": n["table_lines"] > 0}
+def structure_flags(counts: Column) -> dict[str, Column]:
+    """Headings, two or more levels' worth of them, lists and tables: whether ``structure_counts``
+    has any."""
+    return {"has_headings": counts["heading_lines"] > 0, "is_hierarchical": counts["heading_lines"] >= 2, "has_lists": counts["list_lines"] > 0, "has_tables": counts["table_lines"] > 0}
 
 
 def probes(content: Column) -> dict[str, Column]:
@@ -69,21 +69,29 @@ def probes(content: Column) -> dict[str, Column]:
             "encoding": F.when(F.startswith(head, F.lit("PK")) | F.startswith(head, F.lit("%PDF")), "binary").when(ascii_only, "ascii").when(utf8, "utf-8").otherwise("unknown")}
 
 
-def document(text: Column, source: Column, language: Column, sections: Column, has_metadata: Column) -> Column:
-    """All that is known of a text, in eight groups, as one VARIANT."""
+def text_counts(text: Column) -> dict[str, Column]:
+    """What several groups of ``document`` need, to be columns of the rows that it is made of, so
+    that each is counted once."""
+    return {"words": T.word_count(text), "sentences": T.part_count(text, "."), "paragraphs": T.part_count(text, "\n\n"), "lines": T.structure_counts(text), "coherence": T.coherence(text)}
+
+
+def document(text: Column, source: Column, language: Column, sections: Column, has_metadata: Column, counts: dict[str, Column] | None = None, ease: Column | None = None) -> Column:
+    """All that is known of a text, in eight groups, as one VARIANT. ``counts`` (``text_counts``) and
+    ``ease`` (``readability``) spare work where they are columns already."""
     group = lambda d: F.struct(*[c.alias(k) for k, c in d.items()])
-    counts = T.pattern_counts(text)
-    groups = {
+    counts = text_counts(text) if counts is None else counts
+    words, sentences = counts["words"], counts["sentences"]
+    ease = T.readability(text, words, sentences) if ease is None else ease
+    return F.to_variant_object(group({
         "source": F.struct(source.alias("name"), language.alias("language")),
-        "document": group(T.statistics(text)),
-        "content_analysis": F.struct(T.language(text).alias("language"), T.readability(text).alias("readability"), group(counts).alias("patterns"), group(T.sentiment(text)).alias("tone")),
+        "document": group(T.statistics(text, words, sentences, counts["paragraphs"])),
+        "content_analysis": F.struct(T.language(text, words).alias("language"), ease.alias("readability"), group(T.pattern_counts(text)).alias("patterns"), group(T.sentiment(text)).alias("tone")),
         "technical": F.struct(F.octet_length(text).alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha256")),
-        "structure": group(structure_flags(text)),
+        "structure": group(structure_flags(counts["lines"])),
         "security": group(T.html_security(text)),
-        "quality": F.struct(T.quality_score(text, sections, has_metadata).alias("score"), T.coherence(text).alias("coherence")),
-        "accessibility": F.struct(T.simple_readability(text).alias("simple_readability"), T.readability(text)["reading_level"].alias("reading_level")),
-    }
-    return F.to_variant_object(group(groups))
+        "quality": F.struct(T.quality_score(text, sections, has_metadata, ease["flesch"], counts["coherence"]).alias("score"), counts["coherence"].alias("coherence")),
+        "accessibility": F.struct(T.simple_readability(text, words, sentences).alias("simple_readability"), ease["reading_level"].alias("reading_level")),
+    }))
 
 
 def _text(v: Column, path: str) -> Column:

@@ -45,13 +45,18 @@ def nonblank_parts(text: Column, separator: str) -> Column:
     return F.filter(F.transform(parts, strip), lambda p: p != "")
 
 
-def statistics(text: Column) -> dict[str, Column]:
+def part_count(text: Column, separator: str) -> Column:
+    return F.size(nonblank_parts(text, separator))
+
+
+def statistics(text: Column, words: Column | None = None, sentences: Column | None = None, paragraphs: Column | None = None) -> dict[str, Column]:
     """Counts of words, sentences, paragraphs and lines, and their averages. The average
-    sentence is over all parts between dots, blank ones too."""
-    w = word_count(text)
-    paragraphs = F.size(nonblank_parts(text, "\n\n"))
+    sentence is over all parts between dots, blank ones too. Here and below, counts that are known
+    already are taken as given."""
+    w = word_count(text) if words is None else words
+    paragraphs = part_count(text, "\n\n") if paragraphs is None else paragraphs
     return {
-        "n_chars": F.length(text), "n_words": w, "n_sentences": F.size(nonblank_parts(text, ".")), "n_paragraphs": paragraphs, "n_lines": F.size(nonblank_parts(text, "\n")),
+        "n_chars": F.length(text), "n_words": w, "n_sentences": part_count(text, ".") if sentences is None else sentences, "n_paragraphs": paragraphs, "n_lines": part_count(text, "\n"),
         "words_per_sentence": w / F.greatest(F.size(F.split(text, "\\.")), F.lit(1)), "words_per_paragraph": w / F.greatest(paragraphs, F.lit(1)),
     }
 
@@ -69,7 +74,7 @@ def present(text: Column, needles: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.contains(text, F.lit(n)).cast("int") for n in needles])
 
 
-def language(text: Column) -> Column:
+def language(text: Column, words: Column | None = None) -> Column:
     """struct(language, indicators, confidence) by the presence of common words between spaces;
     English wins ties, and empty text is unknown."""
     lists = {"en": K.ENGLISH_WORDS, "es": K.SPANISH_WORDS, "fr": K.FRENCH_WORDS}
@@ -81,29 +86,40 @@ def language(text: Column) -> Column:
         sure = F.least(n / F.greatest(c["w"] * 0.1, F.lit(1.0)), F.lit(1.0))
         return F.struct(name.alias("language"), F.when(c["empty"], 0).otherwise(n).alias("indicators"), F.when(c["empty"], 0.0).otherwise(sure).alias("confidence"))
 
-    counts = let(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), lambda t: F.struct(*[present(t, [f" {w} " for w in ws]).alias(k) for k, ws in lists.items()], (F.length(t) == 2).alias("empty"), word_count(t).alias("w")))
+    counts = let(_spaced_words(text, lists), lambda hits: F.struct(*[_among(hits, ws).alias(k) for k, ws in lists.items()], (F.length(text) == 0).alias("empty"), (word_count(text) if words is None else words).alias("w")))
     return let(counts, choose)
 
 
-#: Vowel groups; words whose final e is a group of its own after others; words without a vowel.
-_VOWELS = "[aeiouy]+"
-_MUTE_E = r"(?<![^ \t\n\r\f])[^aeiouy \t\n\r\f]*+[aeiouy]++[^aeiouy \t\n\r\f][^ \t\n\r\f]*e(?![^ \t\n\r\f])"
-_NO_VOWEL = r"(?<![^ \t\n\r\f])[^aeiouy \t\n\r\f]++(?![^ \t\n\r\f])"
+def _spaced_words(text: Column, lists: dict[str, list[str]]) -> Column:
+    """Those of the lists' words that stand between spaces or at an end of the lower-cased text."""
+    every = sorted({w for ws in lists.values() for w in ws})
+    return F.array_intersect(F.array(*[F.lit(w) for w in every]), F.split(F.lower(text), " "))
+
+
+def _among(hits: Column, needles: list[str]) -> Column:
+    return F.size(F.filter(F.array(*[F.lit(w) for w in needles]), lambda w: F.array_contains(hits, w)))
+
+
+#: A word's first vowels with what is before them; a word without a vowel; later vowels with the
+#: consonants before them, unless a final e ends them. Each place is looked at a bounded number of times.
+_SYLLABLE = (r"(?<![^ \t\n\r\f])[^aeiouy \t\n\r\f]*+(?:[aeiouy]++|(?<=[^ \t\n\r\f])(?![^ \t\n\r\f]))"
+             r"|(?<=[aeiouy])[^aeiouy \t\n\r\f]++(?![aeiouy]*e(?![^ \t\n\r\f]))[aeiouy]++")
 
 
 def syllable_total(text: Column) -> Column:
-    """Over all words: vowel groups, less a final e where there are several, at least one."""
-    return let(F.lower(text), lambda t: count(t, _VOWELS) - count(t, _MUTE_E) + count(t, _NO_VOWEL))
+    """Over all words: vowel groups, less one that ends in a final e where there are several, at
+    least one."""
+    return count(F.lower(text), _SYLLABLE)
 
 
-def readability(text: Column) -> Column:
+def readability(text: Column, words: Column | None = None, sentences: Column | None = None) -> Column:
     """struct(flesch, reading_level): the reading ease and its band; 0 and unknown without words
     or sentences."""
     def ease(x):
         some = (x["w"] > 0) & (x["s"] > 0)
         return F.struct(some.alias("some"), F.when(some, 206.835 - 1.015 * (x["w"] / x["s"]) - 84.6 * (x["y"] / x["w"])).otherwise(0.0).alias("flesch"))
 
-    counts = F.struct(word_count(text).alias("w"), F.size(nonblank_parts(text, ".")).alias("s"), syllable_total(text).alias("y"))
+    counts = F.struct((word_count(text) if words is None else words).alias("w"), (part_count(text, ".") if sentences is None else sentences).alias("s"), syllable_total(text).alias("y"))
     return let(let(counts, ease), lambda x: F.struct(x["flesch"].alias("flesch"), F.when(~x["some"], "unknown").otherwise(_band(x["flesch"])).alias("reading_level")))
 
 
@@ -114,9 +130,10 @@ def _band(score: Column) -> Column:
     return out.otherwise("very_difficult")
 
 
-def simple_readability(text: Column) -> Column:
+def simple_readability(text: Column, words: Column | None = None, sentences: Column | None = None) -> Column:
     """1 less words a sentence over 20 and characters a word over 10, from 0 to 1."""
-    w, s = word_count(text), F.size(nonblank_parts(text, "."))
+    w = word_count(text) if words is None else words
+    s = part_count(text, ".") if sentences is None else sentences
     chars = F.length(F.regexp_replace(text, _BLANKS, ""))
     return F.when((w > 0) & (s > 0), F.greatest(F.lit(0.0), 1 - F.least(w / s / 20 + chars / w / 10, F.lit(1.0)))).otherwise(0.0)
 
@@ -127,19 +144,20 @@ def coherence(text: Column) -> Column:
     return let(counts, lambda x: F.when(x["s"] == 0, 0.0).when((x["w"] / x["s"]).between(5, 30), 0.8).otherwise(0.5))
 
 
-def quality_score(text: Column, sections: Column, has_metadata: Column) -> Column:
+def quality_score(text: Column, sections: Column, has_metadata: Column, flesch: Column | None = None, coherent: Column | None = None) -> Column:
     """Mean of completeness, clarity and accuracy; the reading ease enters unclamped."""
     n = lambda c: c.cast("double")
     long_enough = F.length(text) > 100
     several = sections > 1
     complete = (n(strip(text) != "") + n(long_enough) + n(several) + n(F.length(strip(text)) >= 10)) / 4
-    clear = (readability(text)["flesch"] / 100 + 1 + n(several)) / 3
+    clear = ((readability(text)["flesch"] if flesch is None else flesch) / 100 + 1 + n(several)) / 3
     confident = F.when(F.length(text) == 0, 0.0).otherwise(F.least(0.5 + 0.2 * n(long_enough) + 0.2 * n(several) + 0.1 * n(has_metadata), F.lit(1.0)))
-    return (complete + clear + (1.0 + confident + coherence(text)) / 3) / 3
+    return (complete + clear + (1.0 + confident + (coherence(text) if coherent is None else coherent)) / 3) / 3
 
 
 def pattern_counts(text: Column) -> dict[str, Column]:
-    return {name: count(text, p) for name, p in K.CONTENT_PATTERNS.items()}
+    counts = {name: count(text, p) for name, p in K.CONTENT_PATTERNS.items()}
+    return counts | {"emails": F.when(F.contains(text, F.lit("@")), counts["emails"]).otherwise(0)}
 
 
 def matches_any(text: Column, patterns: list[str]) -> Column:
@@ -151,13 +169,12 @@ def sentiment(text: Column) -> dict[str, Column]:
     return {"positive": present(t, K.POSITIVE_WORDS), "negative": present(t, K.NEGATIVE_WORDS), "urgent": present(t, K.URGENT_WORDS)}
 
 
-def structure_counts(text: Column) -> dict[str, Column]:
-    """Heading-like, list and table lines."""
-    lines = F.split(text, "\n")
-    many = lambda p: F.size(F.filter(lines, p))
+def structure_counts(text: Column) -> Column:
+    """struct of the numbers of heading-like, list and table lines; the text is split once."""
     bars = lambda s: F.length(s) - F.length(F.replace(s, F.lit("|"), F.lit("")))
     table = lambda s: ((F.size(words(s)) >= 3) & F.contains(s, F.lit("   "))) | (F.size(F.split(s, "\t")) >= 3) | (bars(s) >= 2)
-    return {"heading_lines": many(lambda s: matches_any(strip(s), K.HIERARCHY_PATTERNS)), "list_lines": many(lambda s: matches_any(s, K.LIST_PATTERNS)), "table_lines": many(table)}
+    kinds = {"heading_lines": lambda s: matches_any(strip(s), K.HIERARCHY_PATTERNS), "list_lines": lambda s: matches_any(s, K.LIST_PATTERNS), "table_lines": table}
+    return let(F.split(text, "\n"), lambda lines: F.struct(*[F.size(F.filter(lines, p)).alias(k) for k, p in kinds.items()]))
 
 
 def distinct_characters(text: Column) -> Column:

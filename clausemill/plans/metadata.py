@@ -32,9 +32,13 @@ def metadata_leaves(spark, d):
 
 def metadata_tree(spark, d):
     """Fields of the whole metadata document, picked out of its groups, and how many it has."""
-    text = F.coalesce("text", F.lit(""))
-    doc = M.document(text, F.col("source"), F.col("lang"), F.lit(1), F.col("source").isNotNull())
-    rows = table(spark, d, "documents").select("doc_id", doc.alias("m"))
+    rows = table(spark, d, "documents").select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    counts = M.text_counts(F.col("text"))
+    rows = rows.withColumns({f"_{k}": c for k, c in counts.items()})
+    known = {k: F.col(f"_{k}") for k in counts}
+    rows = rows.withColumn("_ease", T.readability(F.col("text"), known["words"], known["sentences"]))
+    doc = M.document(F.col("text"), F.col("source"), F.col("lang"), F.lit(1), F.col("source").isNotNull(), known, F.col("_ease"))
+    rows = rows.select("doc_id", doc.alias("m"))
     get = lambda path, kind: F.try_variant_get("m", path, kind)
     return rows.select("doc_id", F.size(F.map_keys(M.fields(F.col("m")))).alias("n_groups"), get("$.source.name", "string").alias("source"), get("$.document.n_words", "long").alias("n_words"), get("$.content_analysis.language.language", "string").alias("language"),
                        F.round(get("$.content_analysis.readability.flesch", "double"), 6).alias("flesch"), get("$.accessibility.reading_level", "string").alias("reading_level"), get("$.structure.has_lists", "boolean").alias("has_lists"), get("$.structure.is_hierarchical", "boolean").alias("is_hierarchical"), get("$.technical.sha256", "string").alias("sha256"))
@@ -62,7 +66,8 @@ def embedded_objects(spark, d):
 
 
 def structure_flags(spark, d):
-    return table(spark, d, "documents").select("doc_id", *[c.alias(k) for k, c in M.structure_flags(F.coalesce("text", F.lit(""))).items()])
+    rows = table(spark, d, "documents").select("doc_id", T.structure_counts(F.coalesce("text", F.lit(""))).alias("n"))
+    return rows.select("doc_id", *[c.alias(k) for k, c in M.structure_flags(F.col("n")).items()])
 
 
 def content_probes(spark, d):

@@ -58,7 +58,7 @@ def sentiment(spark, d):
 
 
 def structure_counts(spark, d):
-    return _docs(spark, d, X.structure_counts(T()))
+    return _fields(spark, d, X.structure_counts(T()))
 
 
 def quality_score(spark, d):
