@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -182,6 +183,35 @@ def parsed_boundaries(response: Column, length: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(ints, lambda b: (b > 0) & (b < length))))
 
 
+_BLANK = " \t\n\r\f\x0b"
+_PIECES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("content", pa.string())]))
+
+
+def _pieces_of(text: str | None, bounds: list[int] | None, least: int) -> list[dict]:
+    """Stripped pieces between the boundaries, or between blank lines if there are none given."""
+    if text is None:
+        return []
+    if bounds is None:
+        bounds = [b for b in accumulate(len(p) + 2 for p in text.split("\n\n")) if b < len(text)]
+    edges = [0, *bounds, len(text)]
+    cut = ((a, b, text[a:b].strip(_BLANK)) for a, b in zip(edges, edges[1:]))
+    return [{"start": a, "end": b, "content": c} for a, b, c in cut if len(c) >= least]
+
+
+def semantic(docs: DataFrame, response: str = "response", least: int = 50) -> DataFrame:
+    """Chunks between the boundaries that a model's free-text answer names, numbers outside the
+    text left out; without an answer (null), between blank lines. Content is stripped, shorter
+    chunks than ``least`` go, and a text may end up with none. Null texts have none. A text is cut
+    in Arrow batches, in time that grows with its length alone: cutting by position in an
+    expression starts from the text's beginning for each piece."""
+    @F.arrow_udf("array<struct<start:int,end:int,content:string>>")
+    def cut(texts: pa.Array, bounds: pa.Array) -> pa.Array:
+        return pa.array([_pieces_of(t, b, least) for t, b in zip(texts.to_pylist(), bounds.to_pylist())], _PIECES)
+
+    bounds = parsed_boundaries(F.col(response), F.length("text"))
+    return docs.select("doc_id", F.posexplode(cut(F.col("text"), bounds)).alias("k", "p")).select("doc_id", "k", "p.start", "p.end", "p.content")
+
+
 def chunk_id(doc: Column, start: Column, content: Column) -> Column:
     return F.concat_ws("_", doc.cast("string"), start.cast("string"), F.substring(F.md5(content.cast("binary")), 1, 8))
 

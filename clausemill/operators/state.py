@@ -103,11 +103,44 @@ TEMPLATES = [
 ]
 
 
+DOCUMENT_KINDS = ["pdf", "docx", "email"]
+#: (template, kind) pairs that don't go together.
+UNFIT = {("clause_extraction", "email")}
+
+
 def template(name: str) -> Column:
     """A template of the catalogue as a literal."""
     return F.lit(dict(TEMPLATES)[name])
 
 
 def templates(spark) -> DataFrame:
-    """The catalogue of prompt templates."""
-    return spark.createDataFrame(TEMPLATES, "name string, template string")
+    """The catalogue of prompt templates, with the kinds of document that each is for."""
+    rows = [(name, text, [k for k in DOCUMENT_KINDS if (name, k) not in UNFIT]) for name, text in TEMPLATES]
+    return spark.createDataFrame(rows, "name string, template string, kinds array<string>")
+
+
+def without_template(catalogue: DataFrame, name: str) -> DataFrame:
+    return catalogue.filter(F.col("name") != name)
+
+
+def with_template(catalogue: DataFrame, name: str, text: str, kinds: list[str]) -> DataFrame:
+    """The catalogue with a template, which takes the place of one of the same name."""
+    added = catalogue.sparkSession.createDataFrame([(name, text, kinds)], "name string, template string, kinds array<string>")
+    return without_template(catalogue, name).unionByName(added)
+
+
+def templates_for(catalogue: DataFrame, kind: str) -> DataFrame:
+    return catalogue.filter(F.array_contains("kinds", kind))
+
+
+def template_info(catalogue: DataFrame) -> DataFrame:
+    """A row for each template: its kinds, the variables that it wants and its length."""
+    return catalogue.select("name", F.array_join("kinds", ",").alias("kinds"), F.array_join(missing_variables(F.col("template"), [""]), ",").alias("variables"), F.length("template").alias("n_chars"))
+
+
+def offered(docs: DataFrame, kind: Column, catalogue: DataFrame) -> DataFrame:
+    """Each document with the sorted names of the templates for its kind; the catalogue is gathered
+    to a row a kind first, so documents aren't shuffled or repeated."""
+    by_kind = catalogue.select(F.explode("kinds").alias("_kind"), "name").groupBy("_kind").agg(F.array_sort(F.collect_set("name")).alias("_names"))
+    none = F.array().cast("array<string>")
+    return docs.withColumn("_kind", kind).join(F.broadcast(by_kind), "_kind", "left").withColumn("templates", F.coalesce("_names", none)).drop("_kind", "_names")

@@ -72,6 +72,14 @@ def render_prompt(spark, d):
     return rows.select("doc_id", F.length("prompt").alias("n_chars"), F.sha2(F.col("prompt").cast("binary"), 256).alias("sha"), "missing")
 
 
+def template_choice(spark, d):
+    """The templates on offer for each document, after one was added and one taken away."""
+    catalogue = S.without_template(S.with_template(S.templates(spark), "risk_review", "Name the risks in: {text}", ["docx"]), "question_answering")
+    docs = table(spark, d, "documents").select("doc_id")
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("pdf", "docx", "email", "text")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return S.offered(docs, kind, catalogue).select("doc_id", F.size("templates").alias("n_templates"), F.array_join("templates", ",").alias("templates"))
+
+
 def conversation_summary(spark, d):
     """Turns, roles and characters by conversation."""
     c = table(spark, d, "conversations")
@@ -108,7 +116,7 @@ def cache_after(spark, d):
     return sinks.refreshed(cache, reads, made, now).groupBy("access_count").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("n_chars"), F.sum((F.col("last_accessed") == now).cast("long")).alias("n_touched"))
 
 
-QUERIES = {f.__name__: f for f in (cache_reads, cache_split, cache_after, usage_stats, usage_cost, running_usage, ttl_expired, lru_evict, size_evict, rate_window, rate_limit, circuit_breaker, token_cost, render_prompt, conversation_summary)}
+QUERIES = {f.__name__: f for f in (cache_reads, cache_split, cache_after, usage_stats, usage_cost, running_usage, ttl_expired, lru_evict, size_evict, rate_window, rate_limit, circuit_breaker, token_cost, render_prompt, template_choice, conversation_summary)}
 
 SQL = {
     "usage_stats": "SELECT 'p' || (user_id % 4) AS provider, count(*) AS calls, count(*) FILTER (WHERE event_type = 'error') AS failures, sum(CASE WHEN event_type <> 'error' THEN CAST(floor(abs(value)) AS BIGINT) ELSE 0 END) AS tokens, round(avg(value) FILTER (WHERE event_type <> 'error'), 6) AS mean_latency, round(sum(CASE WHEN event_type <> 'error' THEN CAST(floor(abs(value)) AS BIGINT) ELSE 0 END)::DOUBLE / 1000 * CASE user_id % 4 WHEN 0 THEN 0.03 WHEN 1 THEN 0.002 WHEN 2 THEN 0.01 ELSE 0 END, 6) AS cost FROM events GROUP BY provider, user_id % 4",
@@ -143,5 +151,8 @@ SQL = {
         CASE WHEN s = 'open' THEN failures WHEN bad THEN failures + 1 WHEN s = 'half_open' THEN 0 ELSE failures END, CASE WHEN s <> 'open' AND bad THEN tm ELSE last END
         FROM (SELECT e.*, r.failures, r.last, CASE WHEN r.state = 'open' AND e.tm - r.last >= 86400.0 THEN 'half_open' ELSE r.state END AS s FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
         SELECT user_id, event_id, state, passed FROM r WHERE rn > 0""",
+    "template_choice": """SELECT doc_id, len(t) AS n_templates, array_to_string(t, ',') AS templates FROM (SELECT doc_id, list_sort(list_filter([CASE WHEN k < 2 THEN 'clause_extraction' END, CASE WHEN k = 1 THEN 'risk_review' END,
+        CASE WHEN k < 3 THEN 'content_structuring' END, CASE WHEN k < 3 THEN 'content_summarization' END, CASE WHEN k < 3 THEN 'document_analysis' END, CASE WHEN k < 3 THEN 'metadata_extraction' END, CASE WHEN k < 3 THEN 'section_identification' END], lambda x: x IS NOT NULL)) AS t
+        FROM (SELECT doc_id, doc_id % 4 AS k FROM documents))""",
     "conversation_summary": "SELECT conv_id, count(*) AS n_turns, count(*) FILTER (WHERE role = 'user') AS n_user, sum(length(text)) AS n_chars, max_by(role, turn) AS last_role FROM conversations GROUP BY conv_id",
 }

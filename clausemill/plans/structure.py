@@ -125,12 +125,19 @@ def logged_lines(spark, d):
     return _docs(spark, d).select("doc_id", F.size(lines).alias("n_items"), F.md5(F.array_join(lines, "\n")).alias("items_md5"))
 
 
+def chunk_semantic(spark, d):
+    """Chunks at boundaries that an answer in words proposes; a third of the texts has no answer."""
+    answer = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("Split at 25, then "), (F.col("doc_id") % 400 + 130).cast("string"), F.lit(" and "), (F.col("doc_id") % 90 + 40).cast("string"), F.lit("; never at 0 or 99999.")))
+    rows = C.semantic(load(spark, d, STRUCTURED).withColumn("response", answer), least=30)
+    return rows.select("doc_id", "start", "end", F.md5("content").alias("content_md5"))
+
+
 def fallback_boundaries(spark, d):
     b = C.fallback_boundaries(F.col("text"))
     return load(spark, d, STRUCTURED).select("doc_id", F.array_join(b, ",").alias("boundaries"), F.size(C.at_boundaries(F.col("text"), b, 60)).alias("n_pieces"))
 
 
-QUERIES = {f.__name__: f for f in (headings, paragraphs, list_runs, table_runs, document_tables, sections, pdf_headings, table_heuristic, chunk_fixed, chunk_sentence, chunk_paragraph, chunk_structure, chunk_hybrid, chunk_links, chunk_overlap, chunk_quality, chunk_section_range_join, text_overlap, tune_chunking, batch_list, fallback_boundaries, page_sections, structure_summary, mail_language, logged_lines)}
+QUERIES = {f.__name__: f for f in (headings, paragraphs, list_runs, table_runs, document_tables, sections, pdf_headings, table_heuristic, chunk_fixed, chunk_sentence, chunk_paragraph, chunk_structure, chunk_hybrid, chunk_links, chunk_overlap, chunk_quality, chunk_section_range_join, text_overlap, tune_chunking, batch_list, chunk_semantic, fallback_boundaries, page_sections, structure_summary, mail_language, logged_lines)}
 
 def _present(text, words):
     return "(" + " + ".join(f"CAST(contains({text}, '{w}') AS INT)" for w in words) + ")"
@@ -223,6 +230,11 @@ SQL = {
         FROM d LEFT JOIN h USING (doc_id) LEFT JOIN p USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN s USING (doc_id)""",
     "mail_language": f"""SELECT doc_id, CASE WHEN length(t) = 0 THEN 'unknown' WHEN en >= es AND en >= fr THEN 'english' WHEN es >= fr THEN 'spanish' ELSE 'french' END AS language FROM (SELECT doc_id, t, {_present('t', K.MAIL_ENGLISH_WORDS)} AS en, {_present('t', K.MAIL_SPANISH_WORDS)} AS es, {_present('t', K.MAIL_FRENCH_WORDS)} AS fr FROM (SELECT doc_id, lower({_T}) AS t FROM documents))""",
     "logged_lines": f"""SELECT doc_id, len(l) AS n_items, md5(array_to_string(l, chr(10))) AS items_md5 FROM (SELECT doc_id, list_transform(string_split({_T}, chr(10))[1:10], lambda s: CASE WHEN regexp_matches(lower(s), 'password|token|key|secret') THEN '[REDACTED]' WHEN length(s) > 200 THEN left(s, 197) || '...' ELSE s END) AS l FROM documents)""",
+    "chunk_semantic": rf"""WITH d AS (SELECT doc_id, text, length(text) AS n, string_split(text, chr(10) || chr(10)) AS ps, CASE WHEN doc_id % 3 <> 0 THEN 'Split at 25, then ' || (doc_id % 400 + 130) || ' and ' || (doc_id % 90 + 40) || '; never at 0 or 99999.' END AS answer FROM ({STRUCTURED})),
+        b AS (SELECT *, CASE WHEN answer IS NULL THEN list_transform(range(1, len(ps) + 1), lambda i: CAST(list_sum(list_transform(ps[1:i], lambda p: length(p) + 2)) AS BIGINT)) ELSE list_sort(list_distinct(list_transform(regexp_extract_all(answer, '\d+'), lambda x: CAST(x AS BIGINT)))) END AS all_bs FROM d),
+        e AS (SELECT doc_id, text, list_concat([0], list_filter(all_bs, lambda x: x > 0 AND x < n), [n]) AS es FROM b), p AS (SELECT doc_id, text, es, unnest(range(1, len(es))) AS i FROM e),
+        c AS (SELECT doc_id, es[i] AS start, es[i + 1] AS "end", {_strip('substr(text, es[i] + 1, es[i + 1] - es[i])')} AS content FROM p)
+        SELECT doc_id, start, "end", md5(content) AS content_md5 FROM c WHERE length(content) >= 30""",
     "fallback_boundaries": f"""SELECT doc_id, array_to_string(bs, ',') AS boundaries, greatest(1, len(list_filter(range(1, len(es)), lambda i: es[i + 1] - es[i] >= 60))) AS n_pieces FROM (
         SELECT doc_id, bs, list_concat([0], bs, [n]) AS es FROM (SELECT doc_id, length(text) AS n, list_filter(list_transform(range(1, len(ps) + 1), lambda i: list_sum(list_transform(ps[1:i], lambda p: length(p) + 2))), lambda b: b < length(text)) AS bs
         FROM (SELECT doc_id, text, string_split(text, chr(10) || chr(10)) AS ps FROM ({STRUCTURED}))))""",
