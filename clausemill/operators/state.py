@@ -140,7 +140,8 @@ def template_info(catalogue: DataFrame) -> DataFrame:
 
 def offered(docs: DataFrame, kind: Column, catalogue: DataFrame) -> DataFrame:
     """Each document with the sorted names of the templates for its kind; the catalogue is gathered
-    to a row a kind first, so documents aren't shuffled or repeated."""
+    to a row a kind first, so documents aren't repeated, nor shuffled while Spark finds those rows small
+    enough to broadcast."""
     by_kind = catalogue.select(F.explode("kinds").alias("_kind"), "name").groupBy("_kind").agg(F.array_sort(F.collect_set("name")).alias("_names"))
     none = F.array().cast("array<string>")
-    return docs.withColumn("_kind", kind).join(F.broadcast(by_kind), "_kind", "left").withColumn("templates", F.coalesce("_names", none)).drop("_kind", "_names")
+    return docs.withColumn("_kind", kind).join(by_kind, "_kind", "left").withColumn("templates", F.coalesce("_names", none)).drop("_kind", "_names")
