@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from .structure import headings, paragraphs, sections
+from .structure import by_text, headed, headings, paragraphs, sections
 
 
 @dataclass(frozen=True)
@@ -144,13 +144,25 @@ def by_sections(docs: DataFrame, c: ChunkConfig = ChunkConfig()) -> DataFrame:
 
 def hybrid(docs: DataFrame, c: ChunkConfig = ChunkConfig()) -> DataFrame:
     """Sections; those above one and a half times the largest size are cut at the boundaries of
-    their paragraphs, where pieces under the least size are left out."""
-    rows = sections(docs).withColumn("n", F.col("end") - F.col("start"))
-    big = F.col("n") > 1.5 * c.max_size
-    whole = rows.filter(~big).select("doc_id", "title", "start", "end")
-    cut = rows.filter(big).join(docs.select("doc_id", "text"), "doc_id").withColumn("text", F.substring("text", F.col("start") + 1, F.col("n")))
-    cut = cut.select("doc_id", "title", "start", F.explode(boundary_spans(F.col("text"), fallback_boundaries(F.col("text")), c.min_size)).alias("w"))
-    return whole.unionByName(cut.select("doc_id", "title", (F.col("start") + F.col("w.s")).alias("start"), (F.col("start") + F.col("w.e")).alias("end")))
+    their paragraphs, where pieces under the least size are left out. A text's sections are cut where
+    the text lies: it meets them in no join."""
+    def cut(text):
+        for _, _, title, start, end, _ in headed(text):
+            if end - start <= 1.5 * c.max_size:
+                yield title, start, end
+                continue
+            edges = [start, *[start + b for b in _blank_bounds(text[start:end])], end]
+            good = [x for x in zip(edges, edges[1:]) if x[1] - x[0] >= c.min_size]
+            for s, e in good or [(start, end)]:
+                yield title, s, e
+
+    fields = [T.StructField("title", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]
+    return by_text(docs.filter("doc_id IS NOT NULL"), fields, lambda text: list(cut(text)))
+
+
+def _blank_bounds(text: str) -> list[int]:
+    """``fallback_boundaries`` of one text."""
+    return [b for b in accumulate(len(p) + 2 for p in text.split("\n\n")) if b < len(text)]
 
 
 def boundary_spans(text: Column, boundaries: Column, least: int) -> Column:
@@ -192,7 +204,7 @@ def _pieces_of(text: str | None, bounds: list[int] | None, least: int) -> list[d
     if text is None:
         return []
     if bounds is None:
-        bounds = [b for b in accumulate(len(p) + 2 for p in text.split("\n\n")) if b < len(text)]
+        bounds = _blank_bounds(text)
     edges = [0, *bounds, len(text)]
     cut = ((a, b, text[a:b].strip(_BLANK)) for a, b in zip(edges, edges[1:]))
     return [{"start": a, "end": b, "content": c} for a, b, c in cut if len(c) >= least]
@@ -237,8 +249,9 @@ def quality(chunks: DataFrame, c: ChunkConfig = ChunkConfig()) -> DataFrame:
                                         F.floor(F.avg(n)).alias("avg_size"), F.min(n).alias("min_size"), F.max(n).alias("max_size"))
 
 
-def containing_section(chunks: DataFrame, secs: DataFrame) -> DataFrame:
-    """The first section whose span holds a chunk's start (both ends included), null if none.
+def with_section(places: DataFrame, secs: DataFrame) -> DataFrame:
+    """``places`` (doc_id, start and other columns) with ``section``, the title of the first section whose
+    span holds each (both ends included), null if none.
 
     A section that ends no later than one before it never is the first to hold a place, so only
     those that reach further than all before count. Their beginnings and ends both rise: the first
@@ -247,10 +260,15 @@ def containing_section(chunks: DataFrame, secs: DataFrame) -> DataFrame:
     before = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     far = secs.filter("doc_id IS NOT NULL").withColumn("_reach", F.max("end").over(before)).filter("_reach IS NULL OR end > _reach")
     ends = far.select("doc_id", F.col("end").alias("_at"), F.lit(1).alias("_kind"), F.struct(F.col("start").alias("s"), "title").alias("_sec"))
-    places = chunks.select("doc_id", "start").distinct().select("doc_id", F.col("start").alias("_at"), F.lit(0).alias("_kind"))
+    asked = places.select("doc_id", F.col("start").alias("_at"), F.lit(0).alias("_kind"), F.struct(*[F.col(c) for c in places.columns]).alias("_row"))
     w = Window.partitionBy("doc_id").orderBy(F.desc("_at"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
-    both = places.unionByName(ends, allowMissingColumns=True).withColumn("_sec", F.last("_sec", ignorenulls=True).over(w)).filter("_kind = 0")
-    return both.select("doc_id", F.col("_at").alias("start"), F.when(F.col("_sec.s") <= F.col("_at"), F.col("_sec.title")).alias("section"))
+    both = asked.unionByName(ends, allowMissingColumns=True).withColumn("_sec", F.last("_sec", ignorenulls=True).over(w)).filter("_kind = 0")
+    return both.select("_row.*", F.when(F.col("_sec.s") <= F.col("_at"), F.col("_sec.title")).alias("section"))
+
+
+def containing_section(chunks: DataFrame, secs: DataFrame) -> DataFrame:
+    """Each place (doc_id, start) of chunks once, ``with_section``."""
+    return with_section(chunks.select("doc_id", "start").repartition("doc_id").distinct(), secs)
 
 
 def text_overlap(a: Column, b: Column, most: int) -> Column:

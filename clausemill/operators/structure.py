@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,28 +20,61 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_number", "line"))
 
 
-def _placed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_number, raw, position, words_before): where each line begins and how many
-    words stand before it, as running sums, so that texts are split once and carried no further."""
-    before = Window.partitionBy("doc_id").orderBy("line_number").rowsBetween(Window.unboundedPreceding, -1)
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_number", "raw"))
-    return rows.withColumns({"position": F.coalesce(F.sum(F.length("raw") + 1).over(before), F.lit(0)), "words_before": F.coalesce(F.sum(X.word_count(F.col("raw"))).over(before), F.lit(0))})
+_BLANK = " \t\n\r\f\x0b"
+#: ``MARKDOWN_HEADING`` and ``NUMBERED_HEADING`` in one, with the classes of the other engines' regexes.
+_HEADING = re.compile(r"(?:(#{1,6})|([0-9]+(?:\.[0-9]+)*\.?))[ \t\n\x0b\f\r]+([^\n\r\x85\u2028\u2029]+)\Z")
+_HEAD_STARTS = frozenset("#0123456789")
+
+
+def headed(text: str) -> list[tuple[int, int, str, int, int, int]]:
+    """(line_number, level, title, start, end, n_words) of a text's headings and the sections below
+    them, in order. Going from the last to the first, the open ones' levels rise, so the first that
+    isn't deeper ends the section: linear time. A section is a run of lines, so its words are a
+    difference of running sums."""
+    heads, at = [], 0
+    for i, raw in enumerate(text.split("\n")):
+        line = raw.strip(_BLANK)
+        if line and line[0] in _HEAD_STARTS and (m := _HEADING.match(line)) and (m[1] or len(line) < 100):
+            heads.append((i, len(m[1]) if m[1] else m[2].count(".") + 1, m[3].strip(_BLANK), at))
+        at += len(raw) + 1
+    out, open_, end, words = [], [], len(text), 0
+    for i, level, title, start in reversed(heads):
+        words += len(text[start:end].replace("\x0b", "x").encode().split())  # a vertical tab is no blank between words
+        end = start
+        while open_ and open_[-1][0] > level:
+            open_.pop()
+        stop, after = open_[-1][1:] if open_ else (len(text), 0)
+        out.append((i, level, title, start, stop, words - after))
+        if open_ and open_[-1][0] == level:
+            open_.pop()
+        open_.append((level, start, words))
+    return out[::-1]
+
+
+def by_text(docs: DataFrame, schema: list[T.StructField], rows: Callable[[str], list[tuple]]) -> DataFrame:
+    """``doc_id`` and the rows that ``rows`` gives for each text; null texts have none. Texts are
+    taken where they lie, without a shuffle or a join."""
+    docs = docs.filter("text IS NOT NULL").select("doc_id", "text")
+    whole = T.StructType([docs.schema["doc_id"], *schema])
+
+    def run(batches):
+        for batch in batches:
+            got = [rows(t) for t in batch.column("text").to_pylist()]
+            of = pa.array([i for i, rs in enumerate(got) for _ in rs], pa.int64())
+            cells = list(zip(*[r for rs in got for r in rs])) or [()] * len(schema)
+            yield pa.record_batch([batch.column("doc_id").take(of), *[pa.array(c, pa.string() if f.dataType == T.StringType() else pa.int32()) for c, f in zip(cells, schema)]], names=whole.names)
+
+    return docs.mapInArrow(run, whole)
 
 
-def _headings(docs: DataFrame) -> DataFrame:
-    rows = _placed_lines(docs).withColumn("line", X.strip(F.col("raw")))
-    rows = rows.withColumns({"marks": F.regexp_extract("line", K.MARKDOWN_HEADING, 1), "number": F.regexp_extract("line", K.NUMBERED_HEADING, 1)})
-    found = rows.filter((F.col("marks") != "") | ((F.col("number") != "") & (F.length("line") < 100)))
-    dots = F.length("number") - F.length(F.replace("number", F.lit("."), F.lit("")))
-    marked = F.col("marks") != ""
-    title = F.when(marked, F.regexp_extract("line", K.MARKDOWN_HEADING, 2)).otherwise(F.regexp_extract("line", K.NUMBERED_HEADING, 2))
-    return found.select("doc_id", "line_number", F.when(marked, F.length("marks")).otherwise(dots + 1).alias("level"), X.strip(title).alias("title"), F.col("position").cast("int").alias("position"), "words_before")
+def _headed(docs: DataFrame) -> DataFrame:
+    return by_text(docs, [T.StructField(n, T.StringType() if n == "title" else T.IntegerType()) for n in ("line_number", "level", "title", "start", "end", "n_words")], headed)
 
 
 def headings(docs: DataFrame) -> DataFrame:
     """Markdown headings and short numbered lines: level, title, and where the line begins; each
     of several equal lines has its own place."""
-    return _headings(docs).drop("words_before")
+    return _headed(docs).select("doc_id", "line_number", "level", "title", F.col("start").alias("position"))
 
 
 def paragraphs(docs: DataFrame, separator: str = r"\n[ \t\n\r\f]*\n", least: int = 20) -> DataFrame:
@@ -71,36 +107,8 @@ def table_runs(docs: DataFrame) -> DataFrame:
 
 
 def sections(docs: DataFrame) -> DataFrame:
-    """From each heading to the next of its level or above: level, title, start, end, words.
-
-    Spark sorts a document's headings from the last to the first; going through them, a task keeps
-    the open ones, whose levels rise, so the first that isn't deeper ends the section. That takes
-    linear time and holds a heading for each level. A section is a run of lines, so its words are a
-    difference of running sums.
-    """
-    heads = _headings(docs).filter("doc_id IS NOT NULL").select("doc_id", "level", "title", "position", F.col("words_before").alias("words"))
-    schema = T.StructType([*heads.schema, T.StructField("end", T.IntegerType()), T.StructField("end_words", T.LongType())])
-
-    def run(batches):
-        doc, open_ = object(), []
-        for batch in batches:
-            ends, words = [], []
-            for d, level, at, w in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "level", "position", "words")]):
-                if d != doc:
-                    doc, open_ = d, []
-                while open_ and open_[-1][0] > level:
-                    open_.pop()
-                ends.append(open_[-1][1] if open_ else None)
-                words.append(open_[-1][2] if open_ else None)
-                open_.append((level, at, w))
-                if len(open_) > 1 and open_[-2][0] == level:
-                    del open_[-2]
-            yield pa.record_batch([*batch.columns, pa.array(ends, pa.int32()), pa.array(words, pa.int64())], names=schema.names)
-
-    closed = heads.repartition("doc_id").sortWithinPartitions("doc_id", F.desc("position")).mapInArrow(run, schema)
-    ends = docs.select("doc_id", F.length("text").alias("n"), X.word_count(F.col("text")).cast("long").alias("w"))
-    rows = closed.join(ends, "doc_id")
-    return rows.select("doc_id", "level", "title", F.col("position").alias("start"), F.coalesce("end", "n").alias("end"), (F.coalesce("end_words", "w") - F.col("words")).cast("int").alias("n_words"))
+    """From each heading to the next of its level or above: level, title, start, end, words."""
+    return _headed(docs.filter("doc_id IS NOT NULL")).select("doc_id", "level", "title", "start", "end", "n_words")
 
 
 def page_headings(docs: DataFrame) -> DataFrame:

@@ -165,10 +165,9 @@ def chunk_records(spark, d):
     """Chunks as records with their section, and how they are shown with their context."""
     docs = load(spark, d, STRUCTURED)
     chunks = C.fixed(docs, C.ChunkConfig(300, 50, 50))
-    section = C.containing_section(chunks, S.sections(docs))
-    rows = chunks.join(section, ["doc_id", "start"])
-    record = F.to_json(F.struct("doc_id", "start", "end", "section"))
-    return rows.select("doc_id", "start", record.alias("record"), F.md5(C.context_label(F.col("content"), F.col("start"), F.col("end"), 100).cast("binary")).alias("shown_md5"))
+    shown = F.md5(C.context_label(F.col("content"), F.col("start"), F.col("end"), 100).cast("binary"))
+    rows = C.with_section(chunks.select("doc_id", "start", "end", shown.alias("shown_md5")), S.sections(docs))
+    return rows.select("doc_id", "start", F.to_json(F.struct("doc_id", "start", "end", "section")).alias("record"), "shown_md5")
 
 
 def search_stats(spark, d):
