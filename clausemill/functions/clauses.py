@@ -26,19 +26,24 @@ def numbered_rest(text: Column) -> Column:
 
 def structure_type(text: Column) -> Column:
     """What a text is: by keyword, by how it begins, by its numbering, else by its length."""
-    def kind(x):
-        low, n, parts = x["low"], x["n"], x["parts"]
+    return let(numbering(text), lambda n: structure_kind(text, n))
+
+
+def structure_kind(text: Column, number: Column) -> Column:
+    """``structure_type`` of a text whose ``numbering`` is known."""
+    def by_start(low):
         starts = lambda *ws: reduce(lambda a, b: a | b, [F.startswith(low, F.lit(w)) for w in ws])
         has = lambda w: F.contains(low, F.lit(w))
-        out = F.when(text.rlike(K.STRUCTURES[0][1]), K.STRUCTURES[0][0])
-        for name, p in K.STRUCTURES[1:]:
-            out = out.when(text.rlike(p), name)
-        out = (out.when(starts("whereas", "recital"), "recital").when(starts("preamble"), "preamble").when(has("signature") & (has("date") | has("sign")), "signature_block").when(starts("schedule", "appendix", "exhibit"), "schedule"))
-        out = out.when(n.isNotNull() & (parts > 2), "subclause").when(n.isNotNull() & (parts > 1), "clause").when(n.isNotNull() & (F.length(numbered_rest(text)) > 200), "section").when(n.isNotNull(), "subsection")
-        return out.when(F.length(text) < 100, "heading").when(F.length(text) < 500, "paragraph").otherwise("section")
+        return F.when(starts("whereas", "recital"), "recital").when(starts("preamble"), "preamble").when(has("signature") & (has("date") | has("sign")), "signature_block").when(starts("schedule", "appendix", "exhibit"), "schedule")
 
-    facts = let(numbering(text), lambda n: F.struct(F.lower(strip(text)).alias("low"), n.alias("n"), F.size(F.split(n, "\\.")).alias("parts")))
-    return let(facts, kind)
+    dots = F.length(number) - F.length(F.replace(number, F.lit("."), F.lit("")))
+    out = F.when(text.rlike(K.STRUCTURES[0][1]), K.STRUCTURES[0][0])
+    for name, p in K.STRUCTURES[1:]:
+        out = out.when(text.rlike(p), name)
+    numbered = F.when(number.isNotNull(), F.when(dots > 1, "subclause").when(dots > 0, "clause").when(F.length(numbered_rest(text)) > 200, "section").otherwise("subsection"))
+    # keywords are looked for only where a text may begin with one
+    named = F.when(text.rlike(K.STRUCTURE_START), out)
+    return F.coalesce(named, let(F.lower(strip(text)), by_start), numbered, F.when(F.length(text) < 100, "heading").when(F.length(text) < 500, "paragraph").otherwise("section"))
 
 
 def clause_type(text: Column) -> Column:
@@ -77,9 +82,16 @@ def likely_clause(text: Column) -> Column:
 
 def section_level(line: Column) -> Column:
     """Dots of the numbering and one; without one by keyword, else 4."""
-    low, n = F.lower(line), numbering(line)
-    has = lambda *ws: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in ws])
-    return F.when(n.isNotNull(), F.length(n) - F.length(F.replace(n, F.lit("."), F.lit(""))) + 1).when(has("article", "chapter", "part"), 1).when(has("section"), 2).when(has("clause"), 3).otherwise(4)
+    return let(numbering(line), lambda n: level_of(line, n))
+
+
+def level_of(line: Column, number: Column) -> Column:
+    """``section_level`` of a line whose ``numbering`` is known."""
+    def by_word(low):
+        has = lambda *ws: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in ws])
+        return F.when(has("article", "chapter", "part"), 1).when(has("section"), 2).when(has("clause"), 3).otherwise(4)
+
+    return F.when(number.isNotNull(), F.length(number) - F.length(F.replace(number, F.lit("."), F.lit(""))) + 1).otherwise(let(F.lower(line), by_word))
 
 
 def context(text: Column, start: Column, end: Column, around: int = 500) -> Column:

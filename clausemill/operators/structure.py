@@ -166,9 +166,13 @@ def looks_tabular(text: Column) -> Column:
 
 def clause_sections(docs: DataFrame) -> DataFrame:
     """Lines that head a section, an article or a heading: kind, numbering and level."""
-    rows = lines(docs).withColumn("title", X.strip(F.col("line"))).filter(F.col("title") != "")
-    rows = rows.select("doc_id", "line_number", "title", C.structure_type(F.col("title")).alias("structure_type"), C.numbering(F.col("title")).alias("number"), C.section_level(F.col("title")).alias("level"))
-    return rows.filter(F.col("structure_type").isin("section", "article", "heading"))
+    lines_ = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("line_number"), X.strip(line).alias("title")))
+    full = docs.select("doc_id", F.explode(F.filter(lines_, lambda x: x["title"] != "")).alias("x")).select("doc_id", "x.*")
+    t = F.col("title")
+    # numbering and kind are made once each: an exploded array keeps the filter from making them again
+    facts = X.let(C.numbering(t), lambda n: F.struct(C.structure_kind(t, n).alias("structure_type"), n.alias("number"), C.level_of(t, n).alias("level")))
+    kept = F.filter(F.array(facts), lambda x: x["structure_type"].isin("section", "article", "heading"))
+    return full.select("doc_id", "line_number", "title", F.explode(kept).alias("x")).select("doc_id", "line_number", "title", "x.*")
 
 
 def sections_by_title(secs: DataFrame) -> DataFrame:

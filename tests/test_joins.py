@@ -30,3 +30,13 @@ def test_odd_headings_and_sections(spark):
     assert [r.title for r in S.headings(docs).filter("doc_id IS NULL").collect()] == ["lost"]
     big = spark.createDataFrame([(1, "# t\n" + "\n\n".join(["p" * 30, "q" * 80, "r" * 5, "s" * 90])), (1, "# u")], "doc_id int, text string")
     assert sorted(map(tuple, C.hybrid(big, C.ChunkConfig(60, 20, 5)).collect())) == [(1, "t", 0, 36), (1, "t", 36, 118), (1, "t", 125, 215), (1, "u", 0, 3)]
+
+
+def test_kinds_of_lines_are_made_once(spark, sf):
+    from clausemill.functions import constants as K
+
+    plan = plans.queries()["clause_sections"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(K.STRUCTURES[0][1]) == 1 and plan.count(K.NUMBERINGS[0]) <= 4
+    rows = spark.createDataFrame([(1, "Section 1.2 Scope\n\n 2.1.3 Deep part\nWHEREAS all\n(a) letter\nArticle IV\nPreamble of it\n7 chapter"), (2, None), (3, "")], "doc_id int, text string")
+    got = [(r.line_number, r.structure_type, r.number, r.level) for r in S.clause_sections(rows).orderBy("line_number").collect()]
+    assert got == [(0, "section", None, 2), (5, "article", None, 1)]
