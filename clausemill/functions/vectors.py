@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -15,13 +17,12 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def norm(v: Column) -> Column:
-    return F.sqrt(dot(v, v))
+    return let(doubles(v), lambda d: F.sqrt(dot(d, d)))
 
 
 def normalise(v: Column) -> Column:
-    """Unit length; a zero vector stays as it is."""
-    n = norm(v)
-    return F.transform(doubles(v), lambda x: x / F.when(n == 0, 1.0).otherwise(n))
+    """Unit length; a zero vector stays as it is. The norm is bound, or each element would sum it anew."""
+    return let(doubles(v), lambda d: let(F.sqrt(dot(d, d)), lambda n: F.transform(d, lambda x: x / F.when(n == 0, 1.0).otherwise(n))))
 
 
 def finite(v: Column) -> Column:

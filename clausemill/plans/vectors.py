@@ -31,8 +31,8 @@ def vector_topk_batch(spark, d):
 
 
 def vector_normalize(spark, d):
-    u = V.normalise(F.col("embedding"))
-    return table(spark, d, "embeddings").select("vec_id", F.size("embedding").alias("dim"), F.round(F.try_element_at(u, F.lit(1)), 6).alias("first"), F.round(V.norm(u), 6).alias("unit_norm"))
+    rows = table(spark, d, "embeddings").select("vec_id", F.size("embedding").alias("dim"), V.normalise(F.col("embedding")).alias("u"))
+    return rows.select("vec_id", "dim", F.round(F.try_element_at("u", F.lit(1)), 6).alias("first"), F.round(V.norm(F.col("u")), 6).alias("unit_norm"))
 
 
 def vector_remove(spark, d):
