@@ -81,9 +81,12 @@ def _snapped_spans(text: str, c: ChunkConfig, back: int) -> Iterator[tuple[int,
 def long_boundaries(text: Column, size: int = 3000, step: int = 2500) -> Column:
     """Boundaries of a long text by way of overlapping segments: each one's own boundaries, moved
     to their place in the text, each once and sorted."""
-    at = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(step))
-    found = F.transform(at, lambda s: F.transform(fallback_boundaries(F.substring(text, s + 1, F.lit(size))), lambda b: b + s))
-    return F.array_sort(F.array_distinct(F.flatten(found)))
+    def found(t):
+        at = F.sequence(F.lit(0), F.greatest(F.length(t) - 1, F.lit(0)), F.lit(step))
+        # each segment is bound: its length is asked for at every boundary
+        return F.flatten(F.transform(at, lambda s: X.let(F.substring(t, s + 1, F.lit(size)), lambda part: F.transform(fallback_boundaries(part), lambda b: b + s))))
+
+    return F.array_sort(F.array_distinct(X.let(text, found)))
 
 
 def coverage(docs: DataFrame, chunks: DataFrame, least: float = 0.8) -> DataFrame:

@@ -40,3 +40,10 @@ def test_kinds_of_lines_are_made_once(spark, sf):
     rows = spark.createDataFrame([(1, "Section 1.2 Scope\n\n 2.1.3 Deep part\nWHEREAS all\n(a) letter\nArticle IV\nPreamble of it\n7 chapter"), (2, None), (3, "")], "doc_id int, text string")
     got = [(r.line_number, r.structure_type, r.number, r.level) for r in S.clause_sections(rows).orderBy("line_number").collect()]
     assert got == [(0, "section", None, 2), (5, "article", None, 1)]
+
+
+def test_a_segment_is_cut_once(spark, sf):
+    plan = plans.queries()["long_boundaries"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("substring(") <= 1
+    df = spark.createDataFrame([("a\n\nbc\n\n" * 3,), ("",), (None,)], "text string")
+    assert [r.b for r in df.select(C.long_boundaries(F.col("text"), 10, 5).alias("b")).collect()] == [[3, 7, 10, 14, 17], [], None]
