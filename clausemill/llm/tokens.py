@@ -3,8 +3,8 @@
 The tokenizer lower-cases, then takes letter runs, single digits and mark runs apart and encodes
 each by itself. For texts of ASCII and the accented Latin letters, where lower case and
 composition are settled, that split is done here, so that each worker can keep the ids of the
-words it has met (bounded) and ask the library only for new ones, a batch at a time. Other
-pieces of text go to the library as they are.
+words it has met (bounded) and ask the library's model only for new ones. Other pieces of text go
+to the library as they are.
 """
 
 from __future__ import annotations
@@ -28,23 +28,46 @@ def default_path() -> str:
     return public_tokenizers.path(DEFAULT_TOKENIZER)
 
 
+#: Bytes as the byte-level vocabulary writes them: visible Latin-1 as it is, others from U+0100 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = dict(zip([b for b in range(256) if b not in _SHOWN], range(256, 512)))
+
+
+class _Known(dict):
+    """Ids of pieces, as bytes; a new piece is encoded when it is looked up. Two generations of at
+    most ``most`` entries each: a full one is set aside, what is met again returns from there."""
+
+    def __init__(self, encode, most: int):
+        super().__init__()
+        self._encode, self._most, self._old = encode, most, {}
+
+    def __missing__(self, piece: str | tuple[str]) -> bytes:
+        ids = self._old.get(piece)
+        if ids is None:
+            ids = self._encode(piece)
+            if len(piece if type(piece) is str else piece[0]) > _LONG:
+                return ids
+        if len(self) >= self._most:
+            self._old = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class WordIds:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, max_words: int = 1_000_000):
+    def __init__(self, path: str, max_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self._lib = Tokenizer.from_file(path)
         self._specials = [t.content for t in self._lib.get_added_tokens_decoder().values()]
-        self._word_lib = Tokenizer.from_file(path)  # for words that are split and lower-cased already
-        self._word_lib.normalizer = None
-        self._word_lib.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self._max, self._known = max_words, {}
-
-    @staticmethod
-    def _ask(lib, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in lib.encode_batch_fast(parts, add_special_tokens=False)]
+        self._word_model = Tokenizer.from_file(path).model  # for words that are split and lower-cased already
+        if hasattr(self._word_model, "_resize_cache"):
+            self._word_model._resize_cache(0)  # words are kept here
+        self._stored = [n.to_bytes(4, "little") for n in range(max(self._lib.get_vocab().values()) + 1)]
+        self._known = _Known(self._ids, max(1, max_words // 2))
 
     def _pieces(self, text: str) -> list[str | tuple[str]]:
         """White-space separated pieces, lower-cased; what only the library can split is a tuple."""
@@ -58,30 +81,18 @@ class WordIds:
             out.append(piece.lower() if safe else (piece,))
         return out
 
-    def _learn(self, new: list[str | tuple[str]]) -> None:
-        """Put the ids of ``new`` pieces, and of the words in them, into the cache."""
-        known = self._known
-        other = [w for w in new if type(w) is tuple]
-        known.update(zip(other, self._ask(self._lib, [w[0] for w in other])))
-        parts = {w: _WORDS(w) for w in new if type(w) is str}
-        words = list({w for ws in parts.values() for w in ws if w not in known})
-        known.update(zip(words, self._ask(self._word_lib, words)))
-        for piece, ws in parts.items():
-            if len(ws) > 1:
-                known[piece] = b"".join([known[w] for w in ws])
+    def _ids(self, piece: str | tuple[str]) -> bytes:
+        if type(piece) is tuple:
+            return np.array(self._lib.encode_batch_fast([piece[0]], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+        words = [piece] if piece.isalpha() else _WORDS(piece)
+        if len(words) > 1:
+            return b"".join([self._known[w] for w in words])
+        word = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
+        return b"".join([self._stored[t.id] for t in self._word_model.tokenize(word)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [self._pieces(t) if t else [] for t in texts]
-        known = self._known
-        if len(known) > self._max:
-            known.clear()
-        new = list(set().union(*split).difference(known))
-        self._learn(new)
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for w in new:
-            if len(w if type(w) is str else w[0]) > _LONG:
-                known.pop(w, None)
-        return out
+        ids = self._known.__getitem__
+        return [b"".join(map(ids, self._pieces(t))) if t else b"" for t in texts]
 
 
 _ENCODERS: dict[str, WordIds] = {}

@@ -40,6 +40,13 @@ def test_special_tokens_and_long_words(library, coder):
         assert coder.encode([t]) == [ids_of(library, t)]
 
 
+def test_the_cache_stays_small_within_a_batch(library):
+    coder = tokens.WordIds(tokens.default_path(), max_words=50)
+    text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}, d'é{i % 7}" for i in range(600))
+    assert coder.encode([text] * 2) == [ids_of(library, text)] * 2
+    assert len(coder._known) + len(getattr(coder._known, "_old", ())) <= 50
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 90), max_size=60), st.integers(1, 6))
 def test_windows_keep_every_id_once(sizes, k):
