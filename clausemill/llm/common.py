@@ -75,9 +75,25 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def tidy(run):
-    """``run``, a function over a task's Arrow batches, that gives its memory back at the end."""
+_KEPT: dict[str, dict] = {}
+
+
+def kept(name: str) -> dict:
+    """What this worker keeps between the tasks that use ``name`` (see ``tidy``)."""
+    return _KEPT.setdefault(name, {})
+
+
+def drop_others(name: str | None) -> None:
+    for other, things in _KEPT.items():
+        if other != name:
+            things.clear()
+
+
+def tidy(run, uses: str | None = None):
+    """``run``, a function over a task's Arrow batches, that gives its memory back at the end.
+    Workers live on from job to job: what they ``kept`` for others than ``uses`` goes first."""
     def tidied(batches):
+        drop_others(uses)
         try:
             yield from run(batches)
         finally:

@@ -129,4 +129,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity:
         rows.extend(box.finish())
         yield flush()
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(tidy(run), SCHEMA)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(tidy(run, "tokens"), SCHEMA)

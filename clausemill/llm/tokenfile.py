@@ -47,7 +47,7 @@ def encode_sorted(docs: DataFrame, tokenizer_path: str | None = None, end_id: in
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     n = [partitions] if partitions else []
-    return rows.repartitionByRange(*n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(tidy(run), FILE_SCHEMA)
+    return rows.repartitionByRange(*n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(tidy(run, "tokens"), FILE_SCHEMA)
 
 
 def write_token_files(encoded: DataFrame, path: str, stripe_bytes: int = 16 << 20, bloom_fpp: float = 0.01) -> None:

@@ -14,6 +14,8 @@ import re
 
 import numpy as np
 
+from .common import kept
+
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 
 _SAFE = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*\Z")
@@ -95,14 +97,12 @@ class WordIds:
         return [b"".join(map(ids, self._pieces(t))) if t else b"" for t in texts]
 
 
-_ENCODERS: dict[str, WordIds] = {}
-
-
 def encoder(path: str) -> WordIds:
-    """This worker's encoder for a vocabulary file; kept between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordIds(path)
-    return _ENCODERS[path]
+    """This worker's encoder for a vocabulary file; kept between tasks that use tokens."""
+    encoders = kept("tokens")
+    if path not in encoders:
+        encoders[path] = WordIds(path)
+    return encoders[path]
 
 
 def batches_of_texts(batch, max_chars: int = 1_000_000):

@@ -47,6 +47,16 @@ def test_the_cache_stays_small_within_a_batch(library):
     assert len(coder._known) + len(getattr(coder._known, "_old", ())) <= 50
 
 
+def test_other_tasks_drop_the_encoder(spark):
+    from clausemill.llm.common import kept, tidy
+
+    here = tokens.encoder(tokens.default_path())
+    list(tidy(iter, "tokens")([]))
+    assert tokens.encoder(tokens.default_path()) is here
+    list(tidy(iter)([]))
+    assert not kept("tokens")
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 90), max_size=60), st.integers(1, 6))
 def test_windows_keep_every_id_once(sizes, k):
