@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import mail, scratch
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 
 
 def _messages(spark, d):
@@ -21,11 +21,11 @@ def _messages(spark, d):
     extra = F.when(F.col("doc_id") % 3 == 0, of(part("text/plain", text, "\r\nContent-Disposition: attachment; filename=t.txt"), "OUT")).otherwise("")
     whole = F.concat(head, F.lit("MIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary=OUT\r\n\r\n"), inner, extra, F.lit("--OUT--\r\n"))
     raw = F.when(F.col("doc_id") % 5 == 0, plain).otherwise(whole)
-    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), raw.cast("binary").alias("content"))
+    return dealt(spark, d, "documents", "doc_id").select(F.col("doc_id").cast("string").alias("path"), raw.cast("binary").alias("content"))
 
 
 def mail_structure(spark, d):
-    out = mail.structure(mail.parts(_messages(spark, d)))
+    out = mail.structure(mail.parts(_messages(spark, d), texts=False))
     return out.select(F.col("path").cast("long").alias("doc_id"), "is_multipart", "n_parts", "depth", "has_html", "has_plain_text", "n_attachments", F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["n_bytes"]).alias("attached_bytes"), "n_bytes")
 
 

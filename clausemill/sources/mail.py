@@ -5,8 +5,11 @@ from __future__ import annotations
 import datetime as dt
 import email
 import email.header
+import email.headerregistry
+import email.parser
 import email.policy
 import email.utils
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +21,10 @@ from . import scratch
 
 PARTS = "path string, part string, parent string, depth int, pos int, content_type string, filename string, is_multipart boolean, is_attachment boolean, is_inline boolean, n_bytes long, text string, error string"
 HEADERS = "path string, subject string, from_name string, from_address string, to_addresses array<string>, cc_addresses array<string>, bcc_addresses array<string>, reply_to string, date_sent timestamp, message_id string, in_reply_to string, references array<string>, priority string, content_type string, conversation_id string, is_forward boolean, error string"
+#: Characters of a message looked through for the end of its headers; longer ones are parsed whole.
+_HEAD = 1 << 16
+#: Senders, types and the like recur: a value is parsed once.
+_HEADER_POLICY = email.policy.default.clone(header_factory=functools.lru_cache(4096)(email.headerregistry.HeaderRegistry()))
 _FAULTS = (LookupError, ValueError, AssertionError, TypeError, AttributeError)
 
 
@@ -37,12 +44,12 @@ def tree(message) -> Iterator[tuple]:
             todo += [(f"{part}.{i}", part, depth + 1, x) for i, x in reversed(list(enumerate(m.get_payload(), 1)))]
 
 
-def _leaf(m) -> tuple[int, str | None]:
-    """Bytes of a part's content, and its text if it is one."""
+def _leaf(m, texts: bool) -> tuple[int, str | None]:
+    """Bytes of a part's content, and its text if it is one and asked for."""
     if m.is_multipart():
         return sum(len(bytes(x)) for x in m.get_payload()) if m.get_content_maintype() == "message" else 0, None
     data = m.get_payload(decode=True) or b""
-    if m.get_content_maintype() != "text":
+    if not texts or m.get_content_maintype() != "text":
         return len(data), None
     try:
         return len(data), data.decode(m.get_content_charset("utf-8"), "replace")
@@ -50,38 +57,45 @@ def _leaf(m) -> tuple[int, str | None]:
         return len(data), data.decode("utf-8", "replace")
 
 
-def _part_rows(path: str, data: bytes) -> list[tuple]:
+def _part_rows(path: str, data: bytes, texts: bool = True) -> list[tuple]:
     out = []
     # the older policy reads a part's few headers many times faster; names are decoded here
     for part, parent, depth, pos, m in tree(email.message_from_bytes(data, policy=email.policy.compat32)):
         name, way = m.get_filename(), m.get_content_disposition()
         name = name and str(email.header.make_header(email.header.decode_header(name)))
         holder = m.is_multipart() and m.get_content_maintype() == "multipart"
-        n, text = _leaf(m)
+        n, text = _leaf(m, texts)
         out.append((path, part, parent, depth, pos, m.get_content_type(), name, holder, not holder and (name is not None or way == "attachment" or m.get_content_maintype() == "message"), way == "inline", n, text, None))
     return out
 
 
 def _parsed(files: DataFrame, schema: str, rows_of) -> DataFrame:
-    """A message that can't be read gives a row with its error; none is lost."""
+    """A message that can't be read gives a row with its error; none is lost. A worker holds a few
+    megabytes of messages and of their rows at a time."""
     names = _names(schema)
+    scratch.bound_batches(files.sparkSession)
 
     def run(frames):
         for f in frames:
-            rows = []
+            rows, size = [], 0
             for path, data in zip(f["path"], f["content"]):
                 try:
                     rows += rows_of(path, bytes(data))
+                    size += len(data)
                 except _FAULTS as e:
                     rows.append((path, *[None] * (len(names) - 2), type(e).__name__))
+                if size > 1 << 20:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, size = [], 0
             yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "content").mapInPandas(run, schema)
 
 
-def parts(files: DataFrame) -> DataFrame:
-    """A row for each MIME part of the messages in ``files`` (path, content)."""
-    return _parsed(files, PARTS, _part_rows)
+def parts(files: DataFrame, texts: bool = True) -> DataFrame:
+    """A row for each MIME part of the messages in ``files`` (path, content), with its text unless
+    ``texts`` is False."""
+    return _parsed(files, PARTS, functools.partial(_part_rows, texts=texts))
 
 
 def _when(value) -> dt.datetime | None:
@@ -92,7 +106,7 @@ def _when(value) -> dt.datetime | None:
 
 
 def _header_row(path: str, data: bytes) -> list[tuple]:
-    m = email.message_from_bytes(data, policy=email.policy.default)
+    m = email.parser.BytesParser(policy=_HEADER_POLICY).parsebytes(data, headersonly=True)
     get = lambda h: str(m[h] or "")
     split = lambda h: [a.strip() for a in get(h).split(",") if a.strip()]
     name, address = email.utils.parseaddr(get("from"))
@@ -103,8 +117,10 @@ def _header_row(path: str, data: bytes) -> list[tuple]:
 
 
 def headers(files: DataFrame) -> DataFrame:
-    """A row for each message; a date that can't be read is null, others are UTC."""
-    return _parsed(files, HEADERS, _header_row)
+    """A row for each message; a date that can't be read is null, others are UTC. Only what stands
+    before the first empty line is handed to Python and parsed."""
+    end = F.regexp_instr(F.decode(F.substring("content", 1, _HEAD), "ISO-8859-1"), F.lit(r"(?:\r\n|\r(?!\n)|\n)[\r\n]"))
+    return _parsed(files.select("path", F.when(end > 0, F.substring("content", F.lit(1), end + 4)).otherwise(F.col("content")).alias("content")), HEADERS, _header_row)
 
 
 def structure(rows: DataFrame) -> DataFrame:

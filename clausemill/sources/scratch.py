@@ -25,6 +25,14 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def bound_batches(spark: SparkSession, most: int = 2 << 20) -> None:
+    """Let Arrow batches hold ``most`` bytes where the session has the default of 64 MB: a worker
+    holds a batch of texts several times over, with what is made of them."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == f"{64 << 20}b":
+        spark.conf.set(key, f"{most}b")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written there and read back, so that later reads don't work it out again."""
     path = f"{folder(df.sparkSession, name)}/t"
