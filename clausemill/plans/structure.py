@@ -9,7 +9,7 @@ from ..functions import constants as K
 from ..functions import text as X
 from ..operators import chunking as C
 from ..operators import structure as S
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 from .profile import _T, _n, _strip
 from .samples import PAGED, STRUCTURED, load
 
@@ -103,7 +103,7 @@ def tune_chunking(spark, d):
 
 def batch_list(spark, d):
     """Batches of 32 words; the hash is over the batches, a line each."""
-    rows = _docs(spark, d).select("doc_id", C.batches(X.words(F.col("text")), 32).alias("b"))
+    rows = dealt(spark, d, "documents", "doc_id").select("doc_id", C.batches(X.words(F.coalesce("text", F.lit(""))), 32).alias("b"))
     return rows.select("doc_id", F.size("b").alias("n_batches"), F.size(F.flatten("b")).alias("n_words"), F.md5(F.array_join(F.transform("b", lambda b: F.array_join(b, " ")), "\n")).alias("batches_md5"))
 
 
