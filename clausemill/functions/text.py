@@ -7,9 +7,10 @@ from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import scratch
 from . import constants as K
 
 #: Blanks that every engine's regexes agree on.
@@ -199,6 +200,13 @@ def nfc(text: Column) -> Column:
     return run(text)
 
 
+def with_nfc(rows: DataFrame, name: str = "text") -> DataFrame:
+    """``rows`` with the column ``name`` composed. ASCII texts don't go to Python, and others in small batches."""
+    scratch.bound_batches(rows.sparkSession)
+    t = F.col(name)
+    return rows.withColumn(name, F.coalesce(nfc(F.when(F.octet_length(t) > F.length(t), t)), t))
+
+
 def expand_contractions(text: Column) -> Column:
     return reduce(lambda t, c: F.replace(t, F.lit(c[0]), F.lit(c[1])), K.CONTRACTIONS, text)
 
@@ -264,18 +272,29 @@ def logged_list(items: Column, most: int = 10, length: int = 200) -> Column:
     return F.transform(F.slice(items, 1, most), lambda s: truncate(redact(s), length))
 
 
-def change_counts(text: Column) -> Column:
-    """struct of what ``normalise`` changes, step by step: characters removed or replaced."""
+def changes(text: Column) -> Column:
+    """struct(counts, length): what ``normalise`` changes, step by step, as characters removed or
+    replaced, and the length that it leaves (its last steps put one character for one). Each step is
+    made once."""
     def from_clean(t):
-        lined = F.regexp_replace(t, r"\r\n?", "\n")
-        spaced = F.regexp_replace(lined, f"[{K.UNICODE_SPACES}]", " ")
-        return F.struct(
+        return let(F.regexp_replace(t, r"\r\n?", "\n"), lambda lined: from_lined(t, lined))
+
+    def from_lined(t, lined):
+        return let(F.regexp_replace(lined, f"[{K.UNICODE_SPACES}]", " "), lambda spaced: let(F.length(F.regexp_replace(spaced, " {2,}", " ")), lambda n: facts(t, lined, spaced, n)))
+
+    def facts(t, lined, spaced, n):
+        counts = F.struct(
             (F.length(text) - F.length(t)).alias("control_characters"), count(t, r"\r\n?").alias("line_endings"), count(lined, f"[{K.UNICODE_SPACES}]").alias("white_space"),
-            (F.length(spaced) - F.length(F.regexp_replace(spaced, " {2,}", " "))).alias("extra_spaces"), count(t, f"[{K.DOUBLE_QUOTES}{K.SINGLE_QUOTES}]").alias("quotes"), count(t, f"[{K.DASHES}]").alias("dashes"))
+            (F.length(spaced) - n).alias("extra_spaces"), count(t, f"[{K.DOUBLE_QUOTES}{K.SINGLE_QUOTES}]").alias("quotes"), count(t, f"[{K.DASHES}]").alias("dashes"))
+        return F.struct(counts.alias("counts"), n.alias("length"))
 
     return let(F.regexp_replace(text, r"[\p{C}&&[^\n\r\t]]", ""), from_clean)
 
 
+def change_counts(text: Column) -> Column:
+    return changes(text)["counts"]
+
+
 def hyperlinks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(K.URL), F.lit(0))
 

@@ -12,7 +12,7 @@ from ..operators import chunking as C
 from ..operators import search
 from ..operators import state as ST
 from ..operators import structure as S
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 from .claims import _MATCH, _PARSED, _claims, _matched
 from .clauses import _SEGMENTS, _first, segments
 from .profile import _T, _any, _n, _parts, _present, _strip
@@ -39,8 +39,8 @@ def _unruly(c):
 
 def normalize_changes(spark, d):
     """What normalising changes, and by how much it shortens the text in per cent."""
-    rows = _documents(spark, d).select("doc_id", _unruly(F.col("text")).alias("t"))
-    rows = rows.select("doc_id", F.length("t").alias("before"), F.length(T.normalise(F.col("t"))).alias("after"), T.change_counts(F.col("t")).alias("x"))
+    rows = dealt(spark, d, "documents", "doc_id").select("doc_id", _unruly(F.coalesce("text", F.lit(""))).alias("t"))
+    rows = rows.select("doc_id", F.length("t").alias("before"), T.changes(F.col("t")).alias("c")).select("doc_id", "before", F.col("c.length").alias("after"), F.col("c.counts").alias("x"))
     return rows.select("doc_id", "x.*", F.when(F.col("before") > 0, F.round((F.col("before") - F.col("after")) / F.col("before") * 100, 6)).otherwise(0.0).alias("reduction"))
 
 
