@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions import clauses as C
 from ..functions import constants as K
 from ..functions import text as X
+from ..sources import scratch
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -54,6 +55,7 @@ def headed(text: str) -> list[tuple[int, int, str, int, int, int]]:
 def by_text(docs: DataFrame, schema: list[T.StructField], rows: Callable[[str], list[tuple]]) -> DataFrame:
     """``doc_id`` and the rows that ``rows`` gives for each text; null texts have none. Texts are
     taken where they lie, without a shuffle or a join."""
+    scratch.bound_batches(docs.sparkSession)
     docs = docs.filter("text IS NOT NULL").select("doc_id", "text")
     whole = T.StructType([docs.schema["doc_id"], *schema])
 
@@ -79,11 +81,20 @@ def headings(docs: DataFrame) -> DataFrame:
 
 def paragraphs(docs: DataFrame, separator: str = r"\n[ \t\n\r\f]*\n", least: int = 20) -> DataFrame:
     """Parts between blank lines longer than ``least``; a part's start counts two characters for
-    each separator before it."""
-    parts = docs.select("doc_id", F.posexplode(F.transform(F.split("text", separator), X.strip)).alias("i", "content"))
-    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    rows = parts.withColumn("start", F.coalesce(F.sum(F.length("content") + 2).over(before), F.lit(0)))
-    return rows.filter(F.length("content") > least).select("doc_id", "i", "content", "start", (F.col("start") + F.length("content")).alias("end"), X.word_count(F.col("content")).alias("n_words"))
+    each separator before it. Rows that share a doc_id are cut each by itself."""
+    between = re.compile(separator)
+
+    def cut(text):
+        rows, at = [], 0
+        for i, raw in enumerate(between.split(text)):
+            part = raw.strip(_BLANK)
+            if len(part) > least:
+                rows.append((i, part, at, at + len(part), len(part.replace("\x0b", "x").encode().split())))
+            at += len(part) + 2
+        return rows
+
+    fields = [T.StructField(n, T.StringType() if n == "content" else T.IntegerType()) for n in ("i", "content", "start", "end", "n_words")]
+    return by_text(docs, fields, cut).withColumns({c: F.col(c).cast("long") for c in ("start", "end")})
 
 
 def _runs(rows: DataFrame, hit: Column) -> DataFrame:
