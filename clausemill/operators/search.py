@@ -130,13 +130,19 @@ def with_chunks(found: DataFrame, chunks: DataFrame, id_col: str = "vec_id", cut
     return rows.select("rank", name.alias("chunk"), F.round("score", 3).alias("score"), F.coalesce("chunk_text", F.lit("")).alias("text"))
 
 
+#: Edges that one task joins, at most about.
+TASK_EDGES = 500_000
+
+
 def related(clauses: DataFrame, edges: DataFrame) -> DataFrame:
     """(clause_id, related_id, relation, direction) along reference edges (src, dst, relation) in
-    both directions; ends that are no clauses are left out."""
-    known = clauses.select(F.col("clause_id").alias("known")).distinct()
-    out = edges.select(F.col("src").alias("clause_id"), F.col("dst").alias("related_id"), "relation", F.lit("to").alias("direction"))
-    back = edges.select(F.col("dst").alias("clause_id"), F.col("src").alias("related_id"), "relation", F.lit("from").alias("direction"))
-    both = out.unionByName(back)
-    for end in ("clause_id", "related_id"):
-        both = both.join(known, both[end] == known["known"], "left_semi")
-    return both
+    both directions; ends that are no clauses are left out. Edges meet the clauses once for each end and
+    are turned round afterwards. Their rows shrink to a few bytes in a shuffle, which would make a
+    task's share large: partitions are counted by rows."""
+    tasks = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // TASK_EDGES))
+    known = clauses.select(F.col("clause_id").alias("known")).repartition(tasks, "known").distinct()
+    for end in ("src", "dst"):
+        edges = edges.repartition(tasks, end)
+        edges = edges.join(known, edges[end] == known["known"], "left_semi")
+    way = lambda a, b, name: F.struct(F.col(a).alias("clause_id"), F.col(b).alias("related_id"), "relation", F.lit(name).alias("direction"))
+    return edges.select(F.explode(F.array(way("src", "dst", "to"), way("dst", "src", "from"))).alias("x")).select("x.*")
