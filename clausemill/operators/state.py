@@ -75,8 +75,10 @@ def token_cost(texts: DataFrame, model: Column, prices: DataFrame, default: str)
     catalogue."""
     base = prices.filter(F.col("model") == default).select("rate").first()
     tokens = F.floor(F.length("text") / 4)
-    rows = texts.withColumn("model", model).join(prices, "model", "left")
-    return rows.select("doc_id", "model", tokens.alias("tokens"), (tokens / 1000 * F.coalesce("rate", F.lit(float(base[0]) if base else 0.0))).alias("cost"))
+    # texts end here, and the catalogue goes to where rows lie: few models would take all rows to few tasks
+    rows = texts.select("doc_id", model.alias("model"), tokens.alias("tokens")).join(F.broadcast(prices), "model", "left")
+    tokens = F.col("tokens")
+    return rows.select("doc_id", "model", "tokens", (tokens / 1000 * F.coalesce("rate", F.lit(float(base[0]) if base else 0.0))).alias("cost"))
 
 
 def render(template: Column, values: dict[str, Column]) -> Column:
