@@ -39,8 +39,9 @@ def fixed_spans(length: Column, c: ChunkConfig) -> Column:
 
 def fixed(docs: DataFrame, c: ChunkConfig = ChunkConfig()) -> DataFrame:
     """(doc_id, k, start, end, content) of fixed windows; blank texts give none."""
-    rows = docs.filter(X.strip(F.col("text")) != "").select("doc_id", "text", F.explode(fixed_spans(F.length("text"), c)).alias("w"))
-    return rows.select("doc_id", F.col("w.k").alias("k"), F.col("w.s").alias("start"), F.col("w.e").alias("end"), F.substring("text", F.col("w.s") + 1, F.col("w.e") - F.col("w.s")).alias("content"))
+    # windows are cut before they are rows: an exploded row would carry the whole text
+    cut = F.transform(fixed_spans(F.length("text"), c), lambda w: F.struct(w["k"].alias("k"), w["s"].alias("start"), w["e"].alias("end"), F.substring("text", w["s"] + 1, w["e"] - w["s"]).alias("content")))
+    return docs.filter(X.strip(F.col("text")) != "").select("doc_id", F.explode(cut).alias("w")).select("doc_id", "w.*")
 
 
 def snapped(docs: DataFrame, c: ChunkConfig = ChunkConfig(), back: int = 200) -> DataFrame:
@@ -305,8 +306,8 @@ def tune(docs: DataFrame, target: int = 10, min_size: int = 100, separator: str
 
 
 def batches(items: Column, n: int) -> Column:
-    """The list in batches of ``n``."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(n)), lambda i: F.slice(items, i, F.lit(n)))
+    """The list in batches of ``n``. The list is made once, not for every batch."""
+    return X.let(items, lambda xs: F.transform(F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(n)), lambda i: F.slice(xs, i, F.lit(n))))
 
 
 STRATEGIES = {"fixed_size": fixed, "sentence_based": by_sentences, "paragraph_based": by_paragraphs, "structure_aware": by_sections, "hybrid": hybrid}

@@ -37,7 +37,7 @@ def preprocess(docs: DataFrame, stages: Stages, c: ChunkConfig = ChunkConfig(),
     length = F.length("text")
     read = stages.watch(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "read", n_chars=F.sum(length), n_blank=F.sum((X.strip(F.col("text")) == "").cast("long")))
     valid = stages.watch(read.filter(F.length(X.strip(F.col("text"))) >= least), "valid", n_chars=F.sum(length))
-    clean = valid.withColumn("_before", length).withColumn("_old", F.xxhash64("text")).withColumn("text", X.nfc(X.normalise(F.col("text"))))
+    clean = X.with_nfc(valid.withColumn("_before", length).withColumn("_old", F.xxhash64("text")).withColumn("text", X.normalise(F.col("text"))))
     clean = stages.watch(clean, "normalised", n_chars_before=F.sum("_before"), n_chars=F.sum(length), n_changed=F.sum((F.xxhash64("text") != F.col("_old")).cast("long")))
     size = F.length("content")
     return stages.watch(fixed(clean.select("doc_id", "text"), c), "chunked", n_chars=F.sum(size), smallest=F.min(size), largest=F.max(size), n_small=F.sum((size < c.min_size).cast("long")))

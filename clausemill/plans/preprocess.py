@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import preprocess as P
 from ..sources import scratch
-from ..sources.tables import table
+from ..sources.tables import dealt
 from .profile import _TEXT_UNRULY
 from .profile import SQL as PROFILE_SQL
 
@@ -15,7 +15,7 @@ def _run(spark, d):
     t = F.coalesce("text", F.lit(""))
     unruly = F.replace(F.replace(F.replace(F.replace(t, F.lit(". "), F.lit(".  ")), F.lit(", "), F.lit(" – ")), F.lit("\n"), F.lit("\r\n")), F.lit(" the "), F.lit(" “the” "))
     stages = P.Stages()
-    chunks = P.preprocess(table(spark, d, "documents").select("doc_id", unruly.alias("text")), stages)
+    chunks = P.preprocess(dealt(spark, d, "documents", "doc_id").select("doc_id", unruly.alias("text")), stages)
     return stages, scratch.written(chunks, "chunks")
 
 
