@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metadata as M
 from ..functions import text as T
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 from .profile import SQL as PROFILE_SQL
 
 _LEFT = """to_json(named_struct('source', named_struct('name', coalesce(source, 'none'), 'lang', coalesce(lang, 'none')), 'stats', named_struct('n', n_chars, 'words', named_struct('all', doc_id % 97)), 'tags', array('a', lang), 'flat', doc_id))"""
@@ -32,7 +32,7 @@ def metadata_leaves(spark, d):
 
 def metadata_tree(spark, d):
     """Fields of the whole metadata document, picked out of its groups, and how many it has."""
-    rows = table(spark, d, "documents").select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    rows = dealt(spark, d, "documents", "doc_id").select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text"))
     counts = M.text_counts(F.col("text"))
     rows = rows.withColumns({f"_{k}": c for k, c in counts.items()})
     known = {k: F.col(f"_{k}") for k in counts}
