@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clauses as X
 from ..functions import constants as K
 from ..functions.text import strip
+from ..operators import clauses as C
 from .profile import _any, _n, _strip
 from .samples import CLAUSES, NL, load
 
@@ -57,9 +58,9 @@ def segments(docs):
 
 
 def clauses(spark, d):
-    rows = segments(load(spark, d, _PARTED)).filter(X.likely_clause(F.col("part")))
+    rows = C.clauses(load(spark, d, _PARTED))
     ident = F.concat_ws("_", F.col("clause_id").cast("string"), F.lit("clause"), F.col("start").cast("string"), F.substring(F.md5("part"), 1, 8))
-    return rows.select("clause_id", "start", ident.alias("id"), X.type_and_confidence(F.col("part"))["clause_type"].alias("clause_type"), X.structure_type(F.col("part")).alias("structure_type"))
+    return rows.select("clause_id", "start", ident.alias("id"), "clause_type", X.structure_type(F.col("part")).alias("structure_type"))
 
 
 def clauses_from_chunks(spark, d):
