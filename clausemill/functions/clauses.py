@@ -20,11 +20,11 @@ def first_of(text: Column, patterns: list[str], group: int = 1) -> Column:
 
 
 def numbering(text: Column) -> Column:
-    return first_of(strip(text), K.NUMBERINGS)
+    return F.when(text.rlike(K.NUMBERING_START), first_of(strip(text), K.NUMBERINGS))
 
 
 def numbered_rest(text: Column) -> Column:
-    return F.trim(first_of(strip(text), K.NUMBERINGS, 2))
+    return F.when(text.rlike(K.NUMBERING_START), F.trim(first_of(strip(text), K.NUMBERINGS, 2)))
 
 
 def structure_type(text: Column) -> Column:
@@ -93,13 +93,21 @@ def _set(*lists: Column) -> Column:
 
 
 def references(text: Column) -> Column:
-    return _set(*[F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in K.REFERENCES])
+    """Sections, parts and schedules named, and words for places in the text. A pattern is tried only
+    where the lower-cased text has one of its words."""
+    some = let(F.lower(text), lambda low: F.array(*[reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in ws]) for ws in K.REFERENCE_WORDS]))
+    return let(some, lambda has: _set(*[F.when(~has[i], F.array().cast("array<string>")).otherwise(F.regexp_extract_all(text, F.lit(p), F.lit(g))) for i, (p, g) in enumerate(K.REFERENCES)]))
+
+
+_TERMS = "|".join(p.removeprefix(r"\b(?:").removesuffix(r")\b") for p in K.KEY_TERMS).split("|")
+#: ``KEY_TERMS`` as one pattern: no word stands in terms of two of them, so that one pass finds what a pass for
+#: each finds. Terms are tried only where a word has the first letter of one.
+_TERM = rf"\b(?=[{''.join(sorted({t[0] for t in _TERMS}))}])(?:{'|'.join(_TERMS)})\b"
 
 
 def key_terms(text: Column) -> Column:
     """Legal terms, quoted terms and runs of capitals."""
-    terms = let(F.lower(text), lambda low: F.flatten(F.array(*[F.regexp_extract_all(low, F.lit(p), F.lit(0)) for p in K.KEY_TERMS])))
-    return _set(terms, F.regexp_extract_all(text, F.lit('"([^"]+)"'), F.lit(1)), F.regexp_extract_all(text, F.lit(r"\b[A-Z][A-Z\s]{2,}\b"), F.lit(0)))
+    return _set(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)), F.regexp_extract_all(text, F.lit('"([^"]+)"'), F.lit(1)), F.regexp_extract_all(text, F.lit(r"\b[A-Z][A-Z\s]{2,}\b"), F.lit(0)))
 
 
 def likely_clause(text: Column) -> Column:
@@ -122,9 +130,3 @@ def level_of(line: Column, number: Column) -> Column:
         return F.when(has("article", "chapter", "part"), 1).when(has("section"), 2).when(has("clause"), 3).otherwise(4)
 
     return F.when(number.isNotNull(), F.length(number) - F.length(F.replace(number, F.lit("."), F.lit(""))) + 1).otherwise(let(F.lower(line), by_word))
-
-
-def context(text: Column, start: Column, end: Column, around: int = 500) -> Column:
-    """A span with ``around`` characters on either side."""
-    at = F.greatest(start - around, F.lit(0))
-    return F.substring(text, at + 1, end + around - at)

@@ -72,8 +72,12 @@ CLAUSE_INDICATORS = {
 }
 LIKELY_CLAUSE = [r"\b(?:shall|must|will|agrees?|undertakes?)\b", r"\b(?:party|parties|agreement|contract)\b", r"\b(?:liable|liability|responsible|damages)\b", r"\b(?:breach|default|violation|termination)\b", r"\b(?:confidential|proprietary|intellectual\s+property)\b", r"\b(?:payment|fee|cost|compensation)\b", r"\b(?:governing\s+law|jurisdiction|dispute)\b"]
 REFERENCES = [(r"(?i)\b(?:Section|Article|Clause|Paragraph)\s+(\d+(?:\.\d+)*)\b", 1), (r"(?i)\b(?:subsection|subparagraph)\s+\(([a-z0-9]+)\)\b", 1), (r"(?i)\b(?:Schedule|Appendix|Exhibit)\s+([A-Z\d]+)\b", 1), (r"(?i)\b(?:above|below|herein|hereof|hereto|hereunder)\b", 0)]
+#: Words in lower case, one of which a match of each of ``REFERENCES`` holds.
+REFERENCE_WORDS = [["section", "article", "clause", "paragraph"], ["subsection", "subparagraph"], ["schedule", "appendix", "exhibit"], ["above", "below", "here"]]
 KEY_TERMS = [r"\b(?:agreement|contract|party|parties)\b", r"\b(?:breach|default|violation|non-compliance)\b", r"\b(?:damages|liability|indemnification|compensation)\b", r"\b(?:confidential|proprietary|intellectual\s+property)\b", r"\b(?:termination|expiration|renewal)\b", r"\b(?:governing\s+law|jurisdiction|dispute\s+resolution)\b", r"\b(?:force\s+majeure|act\s+of\s+god)\b", r"\b(?:warranty|representation|guarantee)\b", r"\b(?:assignment|transfer|delegation)\b", r"\b(?:notice|notification|communication)\b"]
 NUMBERINGS = [r"^\s*(\d+(?:\.\d+)*\.?)\s+(.+)$", r"(?i)^\s*([ivxlcdm]+\.?)\s+(.+)$", r"^\s*([a-z]\.?)\s+(.+)$", r"^\s*\(([a-z0-9]+)\)\s+(.+)$", r"^\s*\[([a-z0-9]+)\]\s+(.+)$"]
+#: How a text begins that one of ``NUMBERINGS`` matches.
+NUMBERING_START = r"^\s*(?:\d|[IVXLCDMivxlcdm]+\.?\s|[a-z]\.?\s|[(\[][a-z0-9])"
 STRUCTURES = [("article", r"(?i)^\s*ARTICLE\s+([IVXLCDM\d]+)"), ("section", r"(?i)^\s*SECTION\s+(\d+(?:\.\d+)*)"), ("clause", r"(?i)^\s*CLAUSE\s+(\d+(?:\.\d+)*)"), ("paragraph", r"(?i)^\s*PARAGRAPH\s+(\d+(?:\.\d+)*)"), ("schedule", r"(?i)^\s*SCHEDULE\s+([A-Z\d]+)"), ("appendix", r"(?i)^\s*APPENDIX\s+([A-Z\d]+)"), ("exhibit", r"(?i)^\s*EXHIBIT\s+([A-Z\d]+)")]
 #: The letters that one of ``STRUCTURES`` begins with.
 STRUCTURE_START = r"^\s*[ASCPEascpe]"

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import clauses as X
 from ..functions import constants as K
-from ..functions.text import strip
 from ..operators import clauses as C
 from .profile import _any, _n, _strip
 from .samples import CLAUSES, NL, load
@@ -49,14 +47,6 @@ def likely_clause(spark, d):
     return _rows(spark, d, {"likely": X.likely_clause(T())})
 
 
-def segments(docs):
-    """Parts between blank lines of more than 50 characters, with the running position."""
-    rows = docs.select("clause_id", F.posexplode(F.transform(F.split("text", "\n\n"), strip)).alias("i", "part"))
-    before = Window.partitionBy("clause_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", F.coalesce(F.sum(F.length("part") + 2).over(before), F.lit(0)))
-    return rows.filter(F.length("part") > 50)
-
-
 def clauses(spark, d):
     rows = C.clauses(load(spark, d, _PARTED))
     ident = F.concat_ws("_", F.col("clause_id").cast("string"), F.lit("clause"), F.col("start").cast("string"), F.substring(F.md5("part"), 1, 8))

@@ -9,12 +9,13 @@ from ..functions import clauses as X
 from ..functions import constants as K
 from ..functions import text as T
 from ..operators import chunking as C
+from ..operators import clauses as L
 from ..operators import search
 from ..operators import state as ST
 from ..operators import structure as S
 from ..sources.tables import dealt, table
 from .claims import _MATCH, _PARSED, _claims, _matched
-from .clauses import _SEGMENTS, _first, segments
+from .clauses import _SEGMENTS, _first
 from .profile import _T, _any, _n, _parts, _present, _strip
 from .samples import CLAUSES, NL, QUESTIONS, STRUCTURED, load
 from .structure import _CHUNKS, _DOCS, _HEADS, _SECTIONS, _fixed
@@ -117,10 +118,8 @@ _DOUBLED = f"SELECT clause_id, text || {NL} || {NL} || 'Tiny part.' || {NL} || {
 
 def clause_records(spark, d):
     """Clauses as records: level, references, terms and the text around, 60 characters each side."""
-    docs = load(spark, d, _DOUBLED)
-    found = segments(docs).filter(X.likely_clause(F.col("part"))).join(docs, "clause_id")
-    around = X.context(F.col("text"), F.col("start").cast("int"), (F.col("start") + F.length("part")).cast("int"), 60)
-    rows = found.select("clause_id", F.col("start").cast("long").alias("start"), X.section_level(F.col("part")).alias("level"), F.array_join(X.references(F.col("part")), "|").alias("refs"), F.size(X.key_terms(F.col("part"))).alias("n_terms"), F.md5(around.cast("binary")).alias("context_md5"))
+    found = L.clauses(load(spark, d, _DOUBLED).filter("clause_id IS NOT NULL"), types=False, around=60)
+    rows = found.select("clause_id", "start", X.section_level(F.col("part")).alias("level"), F.array_join(X.references(F.col("part")), "|").alias("refs"), F.size(X.key_terms(F.col("part"))).alias("n_terms"), F.md5(F.col("context").cast("binary")).alias("context_md5"))
     return rows.withColumn("record", F.to_json(F.struct("clause_id", "start", "level")))
 
 

@@ -57,3 +57,26 @@ def test_patterns_run_in_batches(spark, sf):
     assert "MapInArrow" in plan and not any(w in plan for w in ("Window", "Sort", "Join", K.LIKELY_CLAUSE[0], K.CLAUSE_INDICATORS["right"][0]))
     for name in ("clause_type", "clauses_from_chunks", "clause_llm_merge", "clauses_by_type"):
         assert K.CLAUSE_INDICATORS["right"][0] not in plans.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_records_meet_in_no_join(spark, sf, odd):
+    plan = plans.queries()["clause_records"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and not any(w in plan for w in ("Window", "Sort", "Join", K.KEY_TERMS[0]))
+    cut = "md5(substr(d.text, CAST(greatest(start - 60, 0) AS BIGINT) + 1, CAST(start + length(s.text) + 60 - greatest(start - 60, 0) AS BIGINT)))"
+    want = odd.sql(f"SELECT clause_id, start::BIGINT, {cut} FROM ({P._SEGMENTS.replace(P._PARTED, 'SELECT * FROM odd')}) s JOIN odd d USING (clause_id) WHERE length(s.text) > 50 AND {P._likely('s.text')}").fetchall()
+    got = C.clauses(docs(spark), types=False, around=60).select("clause_id", "start", F.md5("context")).collect()
+    assert len({w[2] for w in want}) > 10 and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_tried_only_where_they_may_match(spark):
+    starts = ["1.2 a", "\x0b 12.\tb", "(a) c", "[9] d", "( a) e", "iv. f", "IV g", "x. h", "X. i", "b", "b ", "i", "٣ j", "mix k", "Mix. l", "civil", "1", "a.\nm", "vi\n\nn o\n", "[B] p", ".1 q", None, ""]
+    words = ["see SECTION 1.2 and subsection (b), Schedule C, hereunder", "ſection 4, Kelvin above", "subparagraph (9) BELOW", "whereof herein", "exhibit A1; Appendix 7", "Clause x", "paragraph 1.", "Governing  law, governing law; acts of god, act\nof god",
+             "non-compliance non compliance partyparties party, parties' Parties CONFIDENTIAL", "dispute resolution and dispute; notice_ notification İnotice", "Warranty warranties representation guarantee transfer expiration renewal juRisdiction", *TEXTS]
+    rows = spark.createDataFrame([(t,) for t in starts + words], "t string")
+    t, text = F.col("t"), X.strip(F.col("t"))
+    each = F.concat(*[F.regexp_extract_all(F.lower(t), F.lit(p), F.lit(0)) for p in K.KEY_TERMS], F.regexp_extract_all(t, F.lit('"([^"]+)"'), F.lit(1)), F.regexp_extract_all(t, F.lit(r"\b[A-Z][A-Z\s]{2,}\b"), F.lit(0)))
+    pairs = {"number": (X.numbering(t), X.first_of(text, K.NUMBERINGS)), "rest": (X.numbered_rest(t), F.trim(X.first_of(text, K.NUMBERINGS, 2))), "terms": (X.key_terms(t), F.array_sort(F.array_distinct(each))),
+             "refs": (X.references(t), F.array_sort(F.array_distinct(F.concat(*[F.regexp_extract_all(t, F.lit(p), F.lit(g)) for p, g in K.REFERENCES]))))}
+    for name, (a, b) in pairs.items():
+        got = rows.select("t", a.alias("a"), b.alias("b")).collect()
+        assert [(r.t, r.a) for r in got] == [(r.t, r.b) for r in got] and sum(bool(r.a) for r in got) > 5, name
