@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -37,11 +37,11 @@ def _split(v: np.ndarray, m: int) -> np.ndarray:
     return v.reshape(len(v), m, -1)
 
 
-def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, v) of the rows that an index holds: id and vector are there, all numbers are finite.
-    Vectors have unit length; a zero vector stays one and is like nothing."""
+def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *also: Column) -> DataFrame:
+    """(id, v) and the columns ``also`` of the rows that an index holds: id and vector are there, all numbers
+    are finite. Vectors have unit length; a zero vector stays one and is like nothing."""
     rows = vectors.filter(F.col(id_col).isNotNull() & V.finite(F.col(vector_col)) & (F.size(vector_col) > 0))
-    return rows.select(F.col(id_col).cast("long").alias("id"), V.normalise(F.col(vector_col)).alias("v"))
+    return rows.select(F.col(id_col).cast("long").alias("id"), V.normalise(F.col(vector_col)).alias("v"), *also)
 
 
 def fit(rows: DataFrame, m: int, k: int, rounds: int = 8, sample: int = 65_536, seed: int = 17) -> np.ndarray:

@@ -73,7 +73,7 @@ def _near_copies(spark, d):
 
 
 def similar_pairs(spark, d):
-    return pairs.similar_pairs(_near_copies(spark, d), 0.9).select("a", "b", F.round("cosine", 6).alias("cosine"))
+    return pairs.expanded_pairs(_near_copies(spark, d), 0.9).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 def similar_links(spark, d):
